@@ -81,3 +81,29 @@ def describe_sql(prof_alias: str = "b") -> str:
     return (f"array_to_string(list_transform(list_sort([{entries}]), "
             f"lambda e: e.t || ':' || CAST(CAST(round_even(e.p * 100, 0) AS BIGINT) AS VARCHAR) || '%'),"
             f" ', ')")
+
+
+def strip_sql(x: str) -> str:
+    """Python ``str.strip()`` in DuckDB."""
+    return f"regexp_replace({x}, '^{P.STRIP_WS}+|{P.STRIP_WS}+$', '', 'g')"
+
+
+def normalize_type_sql(x: str) -> str:
+    from ferrylake.functions.scalars import CHOICE_ALIASES
+    t = f"lower({strip_sql(x)})"
+    cases = " ".join(f"WHEN {t} = '{a}' THEN '{b}'" for a, b in CHOICE_ALIASES.items())
+    return f"coalesce(CASE {cases} ELSE {t} END, 'string')"
+
+
+def map_type_sql(x: str) -> str:
+    from ferrylake.functions.scalars import CATALOG_DEFAULT, CATALOG_TYPE_GROUPS
+    t = f"lower({strip_sql(x)})"
+    cases = " ".join(
+        f"WHEN {t} IN ({', '.join(lit(n) for n in names)}) THEN '{target}'"
+        for target, names in CATALOG_TYPE_GROUPS)
+    return f"CASE WHEN {x} IS NULL THEN '{CATALOG_DEFAULT}' {cases} ELSE '{CATALOG_DEFAULT}' END"
+
+
+def values_sql(rows, names) -> str:
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return f"(SELECT * FROM (VALUES {body}) AS v({', '.join(q(n) for n in names)}))"
