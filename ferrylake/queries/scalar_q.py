@@ -120,7 +120,7 @@ def page_objects(pages):
     return pages.select(
         F.regexp_extract("url", URL_HOST, 1).alias("container"),
         F.regexp_extract("url", URL_KEY, 1).alias("key"),
-        F.octet_length("html").cast("bigint").alias("size"), "page_id")
+        F.octet_length("html").cast("bigint").alias("size"), "page_id", "url")
 
 
 PAGE_OBJECTS_SQL = (f"(SELECT regexp_extract(url, '{URL_HOST}', 1) AS container, "
