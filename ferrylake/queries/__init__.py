@@ -30,7 +30,7 @@ def register(name: str, sql: str | None = None):
 
 def _load_all() -> None:
     # Import order = registration order.
-    from ferrylake.queries import profile_q, resolve_q, scalar_q, objects_q, io_q  # noqa: F401
+    from ferrylake.queries import profile_q, resolve_q, scalar_q, objects_q, io_q  # noqa: F401,E501
 
 
 def queries() -> dict[str, QueryFn]:

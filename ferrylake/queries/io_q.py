@@ -1 +1,238 @@
-"""placeholder"""
+"""Source/sink, catalog, bulk-job, ingest and streaming queries (S1-S8,
+T1-T7, B5-B8, I1-I2). Each writes what it needs under the shared scratch
+folder (``spark.checkpoint.dir``) from the driver's tables, then reads back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ferrylake.operators import profile as A
+from ferrylake.operators import resolve as R
+from ferrylake.plans import bulk as B
+from ferrylake.plans import catalog as T
+from ferrylake.plans.ingest import ingest, run_ledger
+from ferrylake.queries import register
+from ferrylake.queries.profile_q import _sql_counts
+from ferrylake.queries.resolve_q import _ORDERS_AGG_SQL, typed_from_text
+from ferrylake.queries.sqlgen import long_sql, profile_sql, q
+from ferrylake.session import scratch_path
+from ferrylake.sources import text as S
+from ferrylake.sources.inventory import object_inventory
+from ferrylake.sources.schema_store import load_schema, save_schema
+from ferrylake.streaming import landing
+from ferrylake.tables import TEXT_COLUMNS, load
+
+_CUSTOMER_SQL = ("SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, "
+                 "c_acctbal, c_mktsegment FROM customer")
+
+
+def _customer_csv(spark, sf_dir, n_files=4):
+    out = scratch_path(spark, "customer-csv")
+    S.write_text_table(load(spark, sf_dir, "customer"), out, n_files=n_files)
+    return out
+
+
+@register("csv_roundtrip", _CUSTOMER_SQL)
+def csv_roundtrip(spark, sf_dir):
+    # Customer written as CSV text, read back as text, typed by its vote.
+    text = S.read_text_table(spark, _customer_csv(spark, sf_dir))
+    return typed_from_text(text, TEXT_COLUMNS["customer"])
+
+
+@register("parquet_convert", _CUSTOMER_SQL)
+def parquet_convert(spark, sf_dir):
+    # S5 then S4: the typed table written as Parquet and scanned.
+    typed = typed_from_text(S.read_text_table(spark, _customer_csv(spark, sf_dir)),
+                            TEXT_COLUMNS["customer"])
+    out = S.convert_to_parquet(typed, scratch_path(spark, "customer-parquet"))
+    return S.scan_parquet_table(spark, out)
+
+
+def _page_tree(spark, sf_dir):
+    """The pages as a tree of objects ``<host>/<page_id>.html``."""
+    pages = load(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+    root = scratch_path(spark, "page-tree")
+    B.put_objects(pages.select(F.concat(host, F.lit("/"), F.col("page_id").cast("string"),
+                                        F.lit(".html")).alias("key"),
+                               F.col("html").alias("body")), root)
+    return root
+
+
+@register("object_texts_read",
+          "SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1) AS host, "
+          "CAST(count(*) AS BIGINT) AS n_objects, CAST(sum(length(html)) AS BIGINT) AS n_chars "
+          "FROM pages GROUP BY 1")
+def object_texts_read(spark, sf_dir):
+    # Every page stored as its own object <host>/<page_id>.html, each
+    # object read back whole.
+    texts = S.object_texts(spark, _page_tree(spark, sf_dir))
+    h = F.regexp_extract("path", r"/([^/]*)/[^/]*$", 1)
+    return texts.groupBy(h.alias("host")).agg(
+        F.count(F.lit(1)).alias("n_objects"),
+        F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+
+
+@register("schema_store",
+          f"SELECT pos, {q('column')} AS name, type, confidence FROM ({profile_sql(long_sql('customer'))}) AS p")
+def schema_store(spark, sf_dir):
+    # customer's settled schema saved next to another dataset's, loaded back.
+    prof = A.profile(load(spark, sf_dir, "customer"), columns=TEXT_COLUMNS["customer"])
+    store = scratch_path(spark, "schema-store")
+    save_schema(R.settled_schema(prof), store, "lake.customer")
+    other = A.profile(load(spark, sf_dir, "nation"), columns=TEXT_COLUMNS["nation"])
+    save_schema(R.settled_schema(other), store, "lake.nation")
+    return load_schema(spark, store, "lake.customer")
+
+
+@register("registered_table_scan",
+          "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, "
+          "CAST(c_nationkey AS INTEGER) AS c_nationkey, CAST(c_acctbal AS FLOAT) AS c_acctbal, "
+          "c_mktsegment FROM customer")
+def registered_table_scan(spark, sf_dir):
+    # T1 + T4 + S3: customer's CSV registered as an external table with its
+    # vote's types mapped to catalog types (int, float ... as the reference
+    # registers them), scanned through the catalog.
+    loc = _customer_csv(spark, sf_dir)
+    prof = A.profile(S.read_text_table(spark, loc), mode="exclusive")
+    cols = [{"Name": n, "Type": t} for n, t in R.schema_pairs(R.settled_schema(prof))]
+    db = "lake_" + loc.rsplit("-", 1)[-1]
+    res = T.register_table(spark, db, "Customer Raw", loc, cols, fmt="csv")
+    if not res["success"]:
+        raise RuntimeError(res["error"])
+    return spark.table(f"{res['database']}.{res['table']}")
+
+
+def _catalog_session(spark, sf_dir):
+    loc = _customer_csv(spark, sf_dir)
+    db = "cat_" + loc.rsplit("-", 1)[-1]
+    cols = [{"Name": c, "Type": "string"} for c in TEXT_COLUMNS["customer"]]
+    T.create_database(spark, db, "scratch catalog")
+    for name in ("customer raw", "customer-copy", "Customer Raw"):  # the last one exists already
+        T.register_table(spark, db, name, loc, cols)
+    T.register_table(spark, db, "dropped", loc, cols)
+    T.drop_table(spark, db, "dropped")
+    return db
+
+
+@register("list_tables")
+def list_tables(spark, sf_dir):
+    # Tables left after creating, re-creating and dropping.
+    db = _catalog_session(spark, sf_dir)
+    return T.list_tables(spark, db).select("tableName")
+
+
+@register("describe_table")
+def describe_table(spark, sf_dir):
+    # T5: metadata rows of a registered table.
+    db = _catalog_session(spark, sf_dir)
+    return T.describe_table(spark, db, "customer raw")
+
+
+# ------------------------------------------------------------ bulk jobs
+_PAGE_KEYS_SQL = ("SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1) "
+                  "|| '/' || CAST(page_id AS VARCHAR) || '.html' AS key, "
+                  "CAST(strlen(html) AS BIGINT) AS bytes, 'ok' AS status FROM pages")
+
+
+@register("land_folder",
+          "SELECT 'raw/' || key AS key, bytes, status FROM (" + _PAGE_KEYS_SQL + ") AS p")
+def land_folder(spark, sf_dir):
+    tree = _page_tree(spark, sf_dir)
+    ledger = B.land_folder(spark, tree, scratch_path(spark, "lake"), "raw/")
+    return ledger.select(F.col("dst_key").alias("key"), "bytes", "status")
+
+
+@register("bulk_copy_ledger", _PAGE_KEYS_SQL)
+def bulk_copy_ledger(spark, sf_dir):
+    tree = _page_tree(spark, sf_dir)
+    from ferrylake.operators import objects as O
+    plan = O.plan_copy(object_inventory(spark, tree), scratch_path(spark, "mirror"))
+    ledger = B.run_copy(spark, B.write_plan(plan))
+    return ledger.select("key", "bytes", "status")
+
+
+@register("bulk_move_ledger",
+          "SELECT key, bytes, status, true AS deleted, 0 AS left_behind FROM (" + _PAGE_KEYS_SQL + ") AS p")
+def bulk_move_ledger(spark, sf_dir):
+    tree = _page_tree(spark, sf_dir)
+    from ferrylake.operators import objects as O
+    plan = O.plan_move(object_inventory(spark, tree), scratch_path(spark, "archive"))
+    ledger = B.run_move(spark, B.write_plan(plan))
+    left = object_inventory(spark, tree).count()
+    return ledger.select("key", "bytes", "status", "deleted", F.lit(left).cast("int").alias("left_behind"))
+
+
+@register("bulk_delete_ledger",
+          "SELECT key, status, 0 AS left_behind FROM (" + _PAGE_KEYS_SQL + ") AS p")
+def bulk_delete_ledger(spark, sf_dir):
+    tree = _page_tree(spark, sf_dir)
+    from ferrylake.operators import objects as O
+    plan = O.plan_delete(object_inventory(spark, tree))
+    ledger = B.run_delete(spark, B.write_plan(plan))
+    left = object_inventory(spark, tree).count()
+    return ledger.select("key", "status", F.lit(left).cast("int").alias("left_behind"))
+
+
+# ---------------------------------------------------------------- ingest
+def _orders_landing(spark, sf_dir):
+    folder = scratch_path(spark, "orders-landing")
+    S.write_text_table(load(spark, sf_dir, "orders"), folder, n_files=4)
+    return folder
+
+
+def _orders_agg(df):
+    return df.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_custkey").cast("bigint").alias("sum_custkey"),
+        F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).cast("bigint").alias("sum_price_cents"),
+        F.min("o_orderdate").alias("min_date"), F.max("o_orderdate").alias("max_date"),
+        F.count_distinct("o_orderpriority").alias("n_priorities"))
+
+
+@register("ingest_flagship", _ORDERS_AGG_SQL)
+def ingest_flagship(spark, sf_dir):
+    # Orders landed as CSV files -> voted -> typed Parquet table -> catalog.
+    folder = _orders_landing(spark, sf_dir)
+    run = ingest(spark, folder, scratch_path(spark, "lake"), database="lake_orders",
+                 table="orders " + folder.rsplit("-", 1)[-1])
+    if not run.success or not run.parquet_table:
+        raise RuntimeError(f"ingest failed: {run.errors or run.next}")
+    return _orders_agg(spark.table(f"{run.database}.{run.parquet_table}"))
+
+
+@register("ingest_ledger")
+def ingest_ledger(spark, sf_dir):
+    # The ordered steps of an ingest run, and a second run stopped by an
+    # open column (overlap voting leaves numeric columns ambiguous).
+    folder = _orders_landing(spark, sf_dir)
+    lake = scratch_path(spark, "lake")
+    ledgers = scratch_path(spark, "runs")
+    ingest(spark, folder, lake, database="lake_orders", ledger_root=ledgers)
+    ingest(spark, folder, lake, database="lake_orders", mode="overlap", ledger_root=ledgers)
+    return spark.read.parquet(ledgers).select("seq", "step", "success")
+
+
+# ------------------------------------------------------------- streaming
+@register("stream_type_counts_orders", _sql_counts("orders"))
+def stream_type_counts_orders(spark, sf_dir):
+    # A1 as a stream: CSV files arriving in a landing folder, counts kept as
+    # streaming state; the final snapshot equals the batch vote.
+    folder = _orders_landing(spark, sf_dir)
+    out = scratch_path(spark, "stream-counts")
+    landing.profile_stream(spark, folder, TEXT_COLUMNS["orders"], out,
+                           scratch_path(spark, "stream-ckpt")).awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_ingest_orders", _ORDERS_AGG_SQL)
+def stream_ingest_orders(spark, sf_dir):
+    # R6 as a stream: each arriving CSV file is typed with the settled schema
+    # and appended to a Parquet table (exactly once through the checkpoint).
+    folder = _orders_landing(spark, sf_dir)
+    text = S.read_text_table(spark, folder)
+    prof = A.profile(text, mode="exclusive", already_text=True)
+    pairs = R.schema_pairs(R.settled_schema(prof))
+    out = scratch_path(spark, "stream-typed")
+    landing.ingest_stream(spark, folder, TEXT_COLUMNS["orders"], pairs, out,
+                          scratch_path(spark, "stream-ckpt")).awaitTermination()
+    return _orders_agg(spark.read.parquet(out))

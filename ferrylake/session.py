@@ -69,3 +69,28 @@ def to_local(path: str) -> str:
     if path.startswith("file:"):
         return path[len("file:"):]
     return path
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``ferrylake`` importable in Python workers (pandas functions are
+    pickled by reference). Zips the package once per SparkContext and adds
+    it with ``addPyFile``; a no-op when it is already shipped."""
+    import zipfile
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="ferrylake-pyfiles-")
+    zpath = os.path.join(out_dir, "ferrylake.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)

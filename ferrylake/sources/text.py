@@ -110,6 +110,7 @@ def object_texts(spark: SparkSession, root: str) -> DataFrame:
 
     One row per file; a file is read whole by one task (objects are small
     units here, as in the reference, which decodes a body in memory)."""
-    return (spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-            .text(root)
+    # wholetext must go as the keyword: text() resets the option to False.
+    return (spark.read.option("recursiveFileLookup", "true")
+            .text(root, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
