@@ -116,6 +116,12 @@ PATTERNS = {
 }
 
 
+# The same white space as literal characters, for Spark's trim(str, chars),
+# which strips any of them from both ends without a regex.
+STRIP_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+NUM_STRIP_CHARS = "".join(c for c in STRIP_CHARS if not "\x1c" <= c <= "\x1f")
+
+
 def _col(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
@@ -127,7 +133,7 @@ def _match(v, pattern: str) -> Column:
 
 def is_blank(v) -> Column:
     """``v.strip() == ""``; null is not blank."""
-    return _match(v, BLANK_RE)
+    return F.coalesce(strip_ws(v) == F.lit(""), F.lit(False))
 
 
 def is_int(v) -> Column:
@@ -141,13 +147,23 @@ def is_float(v) -> Column:
 
 
 def is_bool(v) -> Column:
-    """Stripped, lower-cased value is a bool word; blank is not bool."""
-    return _match(v, BOOL_RE)
+    """Stripped, lower-cased value is a bool word; blank is not bool.
+
+    No regex: ``lower(trim(v))`` against the word list (Java's lower case of
+    a non-ASCII letter never yields one of these ASCII words)."""
+    return F.coalesce(F.lower(strip_ws(v)).isin(*BOOL_WORDS), F.lit(False))
+
+
+def _ts_match(v) -> Column:
+    # Every format has a '-' or a '/': the regex only runs on such values.
+    c = _col(v)
+    return F.when(c.contains("-") | c.contains("/"), _match(c, TIMESTAMP_RE)) \
+        .otherwise(F.lit(False))
 
 
 def is_timestamp(v) -> Column:
     """P5: blank, or one of the six strptime formats gives a real date."""
-    return is_blank(v) | _match(v, TIMESTAMP_RE)
+    return is_blank(v) | _ts_match(v)
 
 
 def is_string(v) -> Column:
@@ -156,8 +172,9 @@ def is_string(v) -> Column:
 
 
 def strip_ws(v) -> Column:
-    """Python ``str.strip()``: Spark's ``trim`` removes only blanks."""
-    return F.regexp_replace(_col(v), rf"^{STRIP_WS}+|{STRIP_WS}+$", "")
+    """Python ``str.strip()``: ``trim`` with every white-space character
+    (plain ``trim`` removes only blanks)."""
+    return F.trim(_col(v), F.lit(STRIP_CHARS))
 
 
 def narrowest_type(v) -> Column:
@@ -167,8 +184,8 @@ def narrowest_type(v) -> Column:
         F.when(_col(v).isNull() | is_blank(v), F.lit(None).cast("string"))
         .when(_match(v, INT_RE), F.lit("int"))
         .when(_match(v, FLOAT_RE), F.lit("float"))
-        .when(_match(v, BOOL_RE), F.lit("bool"))
-        .when(_match(v, TIMESTAMP_RE), F.lit("timestamp"))
+        .when(is_bool(v), F.lit("bool"))
+        .when(_ts_match(v), F.lit("timestamp"))
         .otherwise(F.lit("string"))
     )
 

@@ -36,68 +36,85 @@ def _empty(v: Column) -> Column:
     return v.isNull() | P.is_blank(v)
 
 
-def text_to_bigint(v: Column) -> Column:
-    s = F.replace(P.strip_ws(v), F.lit("_"), F.lit(""))
-    return F.when(_empty(v), F.lit(None)).when(
-        P._match(v, P.INT_RE), s.try_cast("bigint"))
+# Each cast is built in two projections: the first computes the stripped text,
+# the guard and (for timestamps) the digit groups once per value; the second
+# assembles the typed value from them. Spark keeps the two projections apart
+# when a value is used more than once, so nothing is evaluated twice.
 
-
-def text_to_double(v: Column) -> Column:
-    s = F.lower(F.replace(P.strip_ws(v), F.lit("_"), F.lit("")))
-    num = F.when(s.rlike(r"^[+-]?nan$"), F.lit(float("nan"))).otherwise(s.try_cast("double"))
-    return F.when(_empty(v), F.lit(None).cast("double")).when(
-        P._match(v, P.INT_RE) | P._match(v, P.FLOAT_RE), num)
-
-
-def text_to_boolean(v: Column) -> Column:
-    s = F.lower(P.strip_ws(v))
-    return F.when(P._match(v, P.BOOL_RE), s.isin("true", "yes", "1"))
-
-
-def text_to_timestamp(v: Column) -> Column:
-    """One of the six reference formats -> timestamp_ntz.
-
-    The digit groups come out in order; the layout is told apart by ``/``
-    (month/day/year) and by a 4-digit first group (year first)."""
+def _helpers(v: Column, st: str) -> dict[str, Column]:
     s = P.strip_ws(v)
-    g = F.regexp_extract_all(s, F.lit(r"(\d+)"), 1)
-    first4 = F.length(F.get(g, 0)) == 4
-    mdy = s.contains("/")
-    year = F.when(first4, F.get(g, 0)).otherwise(F.get(g, 2)).cast("int")
-    month = F.when(mdy, F.get(g, 0)).when(first4, F.get(g, 1)).otherwise(F.get(g, 1)).cast("int")
-    day = F.when(mdy, F.get(g, 1)).when(first4, F.get(g, 2)).otherwise(F.get(g, 0)).cast("int")
-    hour = F.when(first4, F.coalesce(F.get(g, 3), F.lit("0"))).otherwise(F.lit("0")).cast("int")
-    minute = F.when(first4, F.coalesce(F.get(g, 4), F.lit("0"))).otherwise(F.lit("0")).cast("int")
-    frac = F.rpad(F.coalesce(F.get(g, 6), F.lit("")), 6, "0")
-    sec = F.concat(F.when(first4, F.coalesce(F.get(g, 5), F.lit("0"))).otherwise(F.lit("0")),
-                   F.lit("."), frac).cast("decimal(16,6)")
-    ts = F.make_timestamp_ntz(year, month, day, hour, minute, sec)
-    return F.when(_empty(v), F.lit(None).cast("timestamp_ntz")).when(
-        P._match(v, P.TIMESTAMP_RE), ts)
+    if st == "bigint":
+        return {"e": _empty(v), "ok": P._match(v, P.INT_RE),
+                "s": F.replace(s, F.lit("_"), F.lit(""))}
+    if st == "double":
+        return {"e": _empty(v), "ok": P._match(v, P.INT_RE) | P._match(v, P.FLOAT_RE),
+                "s": F.lower(F.replace(s, F.lit("_"), F.lit("")))}
+    if st == "boolean":
+        return {"e": _empty(v), "s": F.lower(s)}
+    if st == "timestamp_ntz":
+        return {"e": _empty(v), "ok": P._ts_match(v), "mdy": s.contains("/"),
+                "g": F.regexp_extract_all(s, F.lit(r"(\d+)"), 1)}
+    return {}
 
 
-def cast_text(v, type_name: str) -> Column:
-    """A text column read as its settled type; blank -> null."""
-    col = F.col(v) if isinstance(v, str) else v
-    st = spark_type(type_name)
+def _typed(h: dict[str, Column], st: str, v: Column) -> Column:
     if st == "bigint":
-        return text_to_bigint(col)
+        return F.when(h["e"], F.lit(None)).when(h["ok"], h["s"].try_cast("bigint"))
     if st == "double":
-        return text_to_double(col)
+        num = F.when(h["s"].rlike(r"^[+-]?nan$"), F.lit(float("nan"))) \
+            .otherwise(h["s"].try_cast("double"))
+        return F.when(h["e"], F.lit(None).cast("double")).when(h["ok"], num)
     if st == "boolean":
-        return text_to_boolean(col)
+        return F.when(h["s"].isin(*P.BOOL_WORDS), h["s"].isin("true", "yes", "1"))
     if st == "timestamp_ntz":
-        return text_to_timestamp(col)
-    return col.cast("string")
+        g, mdy = h["g"], h["mdy"]
+        first4 = F.length(F.get(g, 0)) == 4
+        year = F.when(first4, F.get(g, 0)).otherwise(F.get(g, 2)).cast("int")
+        month = F.when(mdy, F.get(g, 0)).otherwise(F.get(g, 1)).cast("int")
+        day = F.when(mdy, F.get(g, 1)).when(first4, F.get(g, 2)).otherwise(F.get(g, 0)).cast("int")
+        hour = F.coalesce(F.get(g, 3), F.lit("0")).cast("int")
+        minute = F.coalesce(F.get(g, 4), F.lit("0")).cast("int")
+        frac = F.rpad(F.coalesce(F.get(g, 6), F.lit("")), 6, "0")
+        sec = F.concat(F.coalesce(F.get(g, 5), F.lit("0")), F.lit("."), frac).cast("decimal(16,6)")
+        ts = F.make_timestamp_ntz(year, month, day, hour, minute, sec)
+        return F.when(h["e"], F.lit(None).cast("timestamp_ntz")).when(h["ok"], ts)
+    return v.cast("string")
+
+
+def cast_text(v, type_name: str) -> Column:
+    """A text column read as its settled type; blank -> null (one expression;
+    ``apply_schema`` uses the two-projection form)."""
+    col = F.col(v) if isinstance(v, str) else v
+    st = spark_type(type_name)
+    return _typed(_helpers(col, st), st, col)
+
+
+def _typed_frame(df: DataFrame, types: dict[str, str], keep_text: bool) -> tuple[DataFrame, dict]:
+    """``df`` plus, per typed column, its typed value ``__t<i>``."""
+    helper_cols, refs = [], {}
+    for i, c in enumerate(df.columns):
+        if c not in types:
+            continue
+        st = spark_type(types[c])
+        hs = _helpers(F.col(f"`{c}`"), st)
+        names = {k: f"__h{i}_{k}" for k in hs}
+        helper_cols += [e.alias(names[k]) for k, e in hs.items()]
+        refs[c] = (st, {k: F.col(n) for k, n in names.items()}, i)
+    staged = df.select("*", *helper_cols)
+    typed = [_typed(h, st, F.col(f"`{c}`")).cast(st).alias(f"__t{i}")
+             for c, (st, h, i) in refs.items()]
+    out = staged.select(*[F.col(f"`{c}`") for c in df.columns], *typed)
+    return out, {c: f"__t{i}" for c, (_, _, i) in refs.items()}
 
 
 def apply_schema(df: DataFrame, schema) -> DataFrame:
     """The table with its settled types, in its own column order; columns
     the schema does not name stay text."""
+    from ferrylake.operators.profile import spread
     types = dict(schema_pairs(schema))
-    return df.select([
-        cast_text(F.col(f"`{c}`"), types[c]).cast(spark_type(types[c])).alias(c)
-        if c in types else F.col(f"`{c}`") for c in df.columns])
+    staged, typed = _typed_frame(spread(df), types, keep_text=False)
+    return staged.select([F.col(typed[c]).alias(c) if c in typed else F.col(f"`{c}`")
+                          for c in df.columns])
 
 
 def rejects(df: DataFrame, schema) -> DataFrame:
@@ -111,11 +128,13 @@ def rejects(df: DataFrame, schema) -> DataFrame:
     checked = [c for c in df.columns if c in types and spark_type(types[c]) != "string"]
     if not checked:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
+    from ferrylake.operators.profile import spread
+    staged, typed = _typed_frame(spread(df.select(*[F.col(f"`{c}`") for c in checked])),
+                                 {c: types[c] for c in checked}, keep_text=True)
     items = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"),
-                 (~_empty(F.col(f"`{c}`")) & cast_text(F.col(f"`{c}`"), types[c]).isNull())
-                 .alias("bad"))
+                 (~_empty(F.col(f"`{c}`")) & F.col(typed[c]).isNull()).alias("bad"))
         for c in checked])
-    bad = df.select(F.explode(F.filter(items, lambda x: x["bad"])).alias("r"))
+    bad = staged.select(F.explode(F.filter(items, lambda x: x["bad"])).alias("r"))
     return bad.groupBy(F.col("r.column").alias("column"), F.col("r.value").alias("value")) \
         .agg(F.count(F.lit(1)).alias("n"))

@@ -43,8 +43,28 @@ def as_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return df.select([F.col(c).cast("string").alias(c) for c in cols])
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over at least the cluster's cores when the input
+    has fewer splits (a small file is one split); a no-op for large inputs,
+    which already have many more splits than cores."""
+    if df.isStreaming:
+        return df
+    spark = df.sparkSession
+    n = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < n:
+        return df.repartition(n)
+    return df
+
+
 def _unpivot(text: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return text.select(*cols).unpivot([], list(cols), "column", "value")
+    """(column, value) rows; a generator over one array per row (no shuffle).
+
+    ``inline`` rather than ``unpivot``: Spark's code generation fails on
+    ``Expand`` followed by the classifier's shared subexpressions and falls
+    back to interpreted evaluation."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"))
+                      for c in cols])
+    return text.select(F.inline(pairs))
 
 
 def _counts(long: DataFrame, weight: Column, mode: str) -> DataFrame:
@@ -90,6 +110,7 @@ def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool = True,
     if not cols:
         raise ValueError("table has no columns to profile")
     text = df.select(*cols) if already_text else as_text(df, cols)
+    text = spread(text)
     direct = [c for c in direct if c in cols]
     grouped_cols = cols if not pre_group else [c for c in cols if c not in direct]
     direct_cols = [c for c in cols if c not in grouped_cols]
