@@ -56,18 +56,19 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df
 
 
-def _unpivot(text: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column, value) rows; a generator over one array per row (no shuffle).
+def _unpivot(text: DataFrame, cols: Sequence[str], table: str | None = None) -> DataFrame:
+    """(table?, column, value) rows; a generator over one array per row (no shuffle).
 
     ``inline`` rather than ``unpivot``: Spark's code generation fails on
     ``Expand`` followed by the classifier's shared subexpressions and falls
     back to interpreted evaluation."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"))
+    label = [F.lit(table).alias("table")] if table is not None else []
+    pairs = F.array(*[F.struct(*label, F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"))
                       for c in cols])
     return text.select(F.inline(pairs))
 
 
-def _counts(long: DataFrame, weight: Column, mode: str) -> DataFrame:
+def _counts(long: DataFrame, weight: Column, mode: str, keys: Sequence[str]) -> DataFrame:
     v = F.col("value")
     if mode == "overlap":
         flags = {
@@ -79,12 +80,12 @@ def _counts(long: DataFrame, weight: Column, mode: str) -> DataFrame:
         }
         flags["string"] = ~flags["timestamp"]
         classified = long.select(
-            "column", weight.alias("w"),
+            *keys, weight.alias("w"),
             *[f.alias(f"f_{k}") for k, f in flags.items()])
         aggs = [F.sum(F.when(F.col(f"f_{k}"), F.col("w")).otherwise(F.lit(0)))
                 .cast("bigint").alias(f"n_{k}") for k in flags]
     elif mode == "exclusive":
-        classified = long.select("column", weight.alias("w"),
+        classified = long.select(*keys, weight.alias("w"),
                                  P.narrowest_type(v).alias("t"))
         aggs = [F.sum(F.when(F.col("t").isNull(), F.col("w")).otherwise(F.lit(0)))
                 .cast("bigint").alias("n_blank")]
@@ -92,10 +93,32 @@ def _counts(long: DataFrame, weight: Column, mode: str) -> DataFrame:
                  .cast("bigint").alias(f"n_{t}") for t in P.TYPE_ORDER]
     else:
         raise ValueError(f"unknown profile mode {mode!r}")
-    return classified.groupBy("column").agg(
+    return classified.groupBy(*keys).agg(
         F.sum("w").cast("bigint").alias("total"), *aggs)
 
 
+def _vote(longs_grouped: list[DataFrame], longs_direct: list[DataFrame], mode: str,
+          pre_group: bool, keys: Sequence[str]) -> DataFrame:
+    parts = []
+    if longs_grouped:
+        long = _union(longs_grouped)
+        if pre_group:
+            long = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_w"))
+            parts.append(_counts(long, F.col("_w"), mode, keys))
+        else:
+            parts.append(_counts(long, F.lit(1).cast("bigint"), mode, keys))
+    if longs_direct:
+        parts.append(_counts(_union(longs_direct), F.lit(1).cast("bigint"), mode, keys))
+    return _union(parts)
+
+
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
+
+
 def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool = True,
                 direct: Iterable[str] = (), columns: Sequence[str] | None = None,
                 already_text: bool = False) -> DataFrame:
@@ -111,29 +134,45 @@ def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool = True,
         raise ValueError("table has no columns to profile")
     text = df.select(*cols) if already_text else as_text(df, cols)
     text = spread(text)
-    direct = [c for c in direct if c in cols]
-    grouped_cols = cols if not pre_group else [c for c in cols if c not in direct]
-    direct_cols = [c for c in cols if c not in grouped_cols]
-
-    parts = []
-    if grouped_cols:
-        long = _unpivot(text, grouped_cols)
-        if pre_group:
-            long = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_w"))
-            parts.append(_counts(long, F.col("_w"), mode))
-        else:
-            parts.append(_counts(long, F.lit(1).cast("bigint"), mode))
-    if direct_cols:
-        parts.append(_counts(_unpivot(text, direct_cols), F.lit(1).cast("bigint"), mode))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    direct = [c for c in direct if c in cols] if pre_group else []
+    grouped = [c for c in cols if c not in direct]
+    out = _vote([_unpivot(text, grouped)] if grouped else [],
+                [_unpivot(text, direct)] if direct else [], mode, pre_group, ["column"])
     pos_map = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i))])
     return out.select(
         pos_map[F.col("column")].alias("pos"), "column", "total", "n_blank",
         *COUNT_COLS)
 
 
+def type_counts_tables(tables: dict[str, DataFrame], mode: str = "overlap",
+                       pre_group: bool = True, direct: dict[str, Sequence[str]] | None = None,
+                       columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """A1 over many tables in one plan: ``(table, pos, column, ...counts)``.
+
+    All tables' values flow through the same two aggregations (one shuffle of
+    distinct values, one tiny shuffle of counts) instead of one chain of
+    stages per table."""
+    direct = direct or {}
+    columns = columns or {}
+    grouped, straight, pos_entries = [], [], []
+    for name, df in tables.items():
+        cols = list(columns.get(name) or text_columns(df))
+        text = spread(as_text(df, cols))
+        d = [c for c in direct.get(name, ()) if c in cols] if pre_group else []
+        g = [c for c in cols if c not in d]
+        if g:
+            grouped.append(_unpivot(text, g, name))
+        if d:
+            straight.append(_unpivot(text, d, name))
+        pos_entries += [(name, c, i) for i, c in enumerate(cols)]
+    out = _vote(grouped, straight, mode, pre_group, ["table", "column"])
+    pos_map = F.create_map(*[x for t, c, i in pos_entries
+                             for x in (F.lit(f"{t}\u0000{c}"), F.lit(i))])
+    key = F.concat(F.col("table"), F.lit("\u0000"), F.col("column"))
+    return out.select("table", pos_map[key].alias("pos"), "column", "total", "n_blank",
+                      *COUNT_COLS)
+
+
 def type_shares(counts: DataFrame, mode: str = "overlap") -> DataFrame:
     """A2: share of each type; 0 when there is nothing to divide by.
 
@@ -174,6 +213,13 @@ def profile(df: DataFrame, mode: str = "overlap", threshold: float = AMBIGUITY_T
     return ambiguity(best_type(type_shares(counts, mode)), threshold)
 
 
+def profile_tables(tables: dict[str, DataFrame], mode: str = "overlap",
+                   threshold: float = AMBIGUITY_THRESHOLD, **count_kwargs) -> DataFrame:
+    """A1-A4 for many tables in one plan: one row per (table, column)."""
+    counts = type_counts_tables(tables, mode=mode, **count_kwargs)
+    return ambiguity(best_type(type_shares(counts, mode)), threshold)
+
+
 def ambiguous_columns(prof: DataFrame) -> DataFrame:
     """The open columns, in column order."""
     return prof.filter(F.col("ambiguous")).orderBy("pos")

@@ -87,11 +87,12 @@ def run_copy(spark: SparkSession, plan_path: str, ledger_path: str | None = None
              parallelism: int | None = None) -> DataFrame:
     """Copy every planned object, carry on after failures; the ledger
     ``(container, key, dst_container, dst_key, status, error, bytes)`` is
-    written and returned."""
+    written and returned. Work is spread by key hash over ``parallelism``
+    tasks (default: the shuffle partitions)."""
     ship_package(spark)
     plan = spark.read.parquet(plan_path).select("container", "key", "dst_container", "dst_key")
-    n = parallelism or spark.sparkContext.defaultParallelism * 2
-    ledger = plan.repartition(n, "key").mapInPandas(_copy_batches, LEDGER_SCHEMA)
+    spread = plan.repartition(parallelism, "key") if parallelism else plan.repartition("key")
+    ledger = spread.mapInPandas(_copy_batches, LEDGER_SCHEMA)
     ledger_path = ledger_path or scratch_path(spark, "copy-ledger")
     ledger.write.mode("overwrite").parquet(ledger_path)
     return _read_ledger(spark, ledger_path)
@@ -187,8 +188,8 @@ def put_objects(df: DataFrame, root: str, key: str = "key", body: str = "body",
     small object per row, written by executors); returns the ledger."""
     spark = df.sparkSession
     ship_package(spark)
-    n = parallelism or spark.sparkContext.defaultParallelism * 2
-    rows = df.select(F.col(key).alias("key"), F.col(body).alias("body")).repartition(n, "key")
+    rows = df.select(F.col(key).alias("key"), F.col(body).alias("body"))
+    rows = rows.repartition(parallelism, "key") if parallelism else rows.repartition("key")
     ledger = rows.mapInPandas(_put_batches(root.rstrip("/")),
                               "container string, key string, status string, error string, bytes bigint")
     path = scratch_path(spark, "put-ledger")

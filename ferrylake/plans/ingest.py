@@ -105,10 +105,8 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
             run.step("find_csv", True, message="No CSV files found in uploaded folder")
             return _finish(spark, run, ledger_root)
 
-        # 2-3. read every landed CSV together and vote
-        csv_paths = [f"{lake}/{r['dst_key']}" for r in
-                     ledger.filter(has_suffix("dst_key")).select("dst_key").orderBy("dst_key").collect()]
-        text = S.read_text_table(spark, csv_paths, multi_line=multi_line)
+        # 2-3. read every landed CSV together and vote (Spark lists them)
+        text = S.read_text_table(spark, raw_root, multi_line=multi_line, csv_only=True)
         try:
             inferred = A.infer_schema(text, mode=mode)
         except ValueError as e:

@@ -58,13 +58,8 @@ def type_shares_orders(spark, sf_dir):
 
 
 def _all_profiles(spark, sf_dir, mode="overlap"):
-    out = None
-    for t in TABLE_NAMES:
-        p = A.profile(load(spark, sf_dir, t), mode=mode, columns=TEXT_COLUMNS[t],
-                      direct=WIDE_TEXT.get(t, ()))
-        p = p.select(F.lit(t).alias("table"), "*")
-        out = p if out is None else out.unionByName(p)
-    return out
+    tables = {t: load(spark, sf_dir, t) for t in TABLE_NAMES}
+    return A.profile_tables(tables, mode=mode, columns=TEXT_COLUMNS, direct=WIDE_TEXT)
 
 
 def _all_profiles_sql(mode="overlap"):

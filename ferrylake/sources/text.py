@@ -31,7 +31,7 @@ CSV_WRITE = {
 
 
 def read_text_table(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True,
-                    empty_as_blank: bool = True) -> DataFrame:
+                    empty_as_blank: bool = True, csv_only: bool = False) -> DataFrame:
     """CSV with a header, every value as text.
 
     Blank lines are skipped, surplus values of a long row dropped, a short
@@ -42,9 +42,15 @@ def read_text_table(spark: SparkSession, path: str | Sequence[str], multi_line:
     ``multi_line`` keeps quoted line breaks inside one value; it reads each
     file in one task, so land data as many mid-sized files. Turn it off for
     data known to have no quoted line breaks: files are then split.
+
+    ``csv_only`` reads every ``*.csv`` file (any letter case) below ``path``:
+    Spark lists the tree itself, no file list passes through the driver.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.options(**CSV_READ).option("multiLine", str(multi_line).lower())
+    if csv_only:
+        reader = reader.option("recursiveFileLookup", "true") \
+            .option("pathGlobFilter", "*.[cC][sS][vV]")
     df = reader.csv(paths)
     if empty_as_blank and df.columns:
         df = df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
