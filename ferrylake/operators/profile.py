@@ -40,7 +40,7 @@ def text_columns(df: DataFrame) -> list[str]:
 def as_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Every (chosen) column cast to string: the table as the CSV reader sees it."""
     cols = list(columns) if columns is not None else text_columns(df)
-    return df.select([F.col(c).cast("string").alias(c) for c in cols])
+    return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in cols])
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -132,8 +132,9 @@ def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool = True,
     cols = list(columns) if columns is not None else text_columns(df)
     if not cols:
         raise ValueError("table has no columns to profile")
-    text = df.select(*cols) if already_text else as_text(df, cols)
-    text = spread(text)
+    # spread the typed columns (smaller than their text), then cast
+    picked = spread(df.select(*[F.col(f"`{c}`") for c in cols]))
+    text = picked if already_text else as_text(picked, cols)
     direct = [c for c in direct if c in cols] if pre_group else []
     grouped = [c for c in cols if c not in direct]
     out = _vote([_unpivot(text, grouped)] if grouped else [],
@@ -157,7 +158,7 @@ def type_counts_tables(tables: dict[str, DataFrame], mode: str = "overlap",
     grouped, straight, pos_entries = [], [], []
     for name, df in tables.items():
         cols = list(columns.get(name) or text_columns(df))
-        text = spread(as_text(df, cols))
+        text = as_text(spread(df.select(*[F.col(f"`{c}`") for c in cols])), cols)
         d = [c for c in direct.get(name, ()) if c in cols] if pre_group else []
         g = [c for c in cols if c not in d]
         if g:
