@@ -236,3 +236,40 @@ def stream_ingest_orders(spark, sf_dir):
     landing.ingest_stream(spark, folder, TEXT_COLUMNS["orders"], pairs, out,
                           scratch_path(spark, "stream-ckpt")).awaitTermination()
     return _orders_agg(spark.read.parquet(out))
+
+
+# S3: customer's CSV read as an external CSV table with a declared schema in
+# which c_name is declared int: values that do not fit read as null.
+_DECLARED = "c_custkey bigint, c_name int, c_nationkey int, c_acctbal double, c_mktsegment string"
+
+
+@register("scan_csv_declared",
+          "SELECT c_custkey, TRY_CAST(c_name AS INTEGER) AS c_name, c_nationkey, c_acctbal, "
+          "c_mktsegment FROM customer")
+def scan_csv_declared(spark, sf_dir):
+    return S.scan_csv_table(spark, _customer_csv(spark, sf_dir), _DECLARED)
+
+
+@register("infer_schema_lineitem",
+          f"SELECT pos, {q('column')} AS name, type, confidence, ambiguous "
+          f"FROM ({profile_sql(long_sql('lineitem'))}) AS p")
+def infer_schema_lineitem(spark, sf_dir):
+    # The whole inference of lineitem read back as CSV text.
+    folder = scratch_path(spark, "lineitem-csv")
+    S.write_text_table(load(spark, sf_dir, "lineitem"), folder, n_files=8)
+    res = A.infer_schema(S.read_text_table(spark, folder))
+    return res.profile.select("pos", F.col("column").alias("name"), "type", "confidence",
+                              "ambiguous")
+
+
+@register("list_databases")
+def list_databases(spark, sf_dir):
+    # T2 after T1 and T3: a database created, another created and dropped.
+    loc = _customer_csv(spark, sf_dir)
+    suffix = loc.rsplit("-", 1)[-1]
+    T.create_database(spark, f"keep {suffix}")
+    T.create_database(spark, f"gone {suffix}")
+    T.drop_database(spark, f"gone {suffix}")
+    dbs = T.list_databases(spark)
+    name = dbs.columns[0]
+    return dbs.filter(F.col(name).endswith(suffix)).select(F.col(name).alias("database"))

@@ -167,7 +167,7 @@ _FMT_DUCK = ["%Y-%-m-%-d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S",
                              for i, f in enumerate(_FMT_DUCK)) +
           " END AS txt FROM orders) AS t GROUP BY fmt")
 def timestamp_formats(spark, sf_dir):
-    o = load(spark, sf_dir, "orders")
+    o = A.spread(load(spark, sf_dir, "orders"))
     k = (F.col("o_orderkey") % 6).cast("int")
     txt = None
     for i, f in enumerate(_FMT_SPARK):
