@@ -6,13 +6,15 @@ Plan shape (``type_counts``):
     shuffle) -> [partial count per (column, value)] -> classify -> partial
     sum per column -> one tiny shuffle of #columns rows per map task.
 
-``pre_group=True`` classifies each distinct value once: the partial
-aggregate collapses repeated values inside each map task before the shuffle,
-and a hot value (one key holding a third of all rows) reaches its reducer as
-one row per map task. Columns listed in ``direct`` skip the pre-grouping and
-are classified value by value with no shuffle of values at all: use it for
-near-unique wide text (documents, html) where grouping would only move the
-texts across the network.
+Pre-grouping classifies each distinct value once: the partial aggregate
+collapses repeated values inside each map task before the shuffle, and a hot
+value (one key holding a third of all rows) reaches its reducer as one row per
+map task. Columns in ``direct`` skip the pre-grouping and are classified value
+by value with no shuffle of values at all - the right plan for near-unique
+columns (keys, prices, long text), where grouping would move every value
+across the network for nothing. ``pre_group="auto"`` (default) finds those
+columns with one small probe job over the first rows; the counts are exact
+whatever plan is chosen.
 """
 
 from __future__ import annotations
@@ -119,7 +121,60 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool = True,
+PROBE_ROWS = 20000
+NEAR_UNIQUE = 0.5
+PROBE_MIN_BYTES = 256 << 20  # below this the choice of plan hardly matters
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (from file sizes; no job)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - unknown size: treat as large
+        return 1 << 62
+
+
+def _probe(df: DataFrame, cols: Sequence[str], label: str, probe_rows: int) -> DataFrame:
+    probe = df.select(*[F.col(f"`{c}`") for c in cols]).limit(probe_rows)
+    agg = probe.agg(F.count(F.lit(1)).alias("__n"),
+                    *[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"__d{i}")
+                      for i, c in enumerate(cols)])
+    return agg.select(F.inline(F.array(*[
+        F.struct(F.lit(label).alias("table"), F.lit(c).alias("column"),
+                 F.try_divide(F.col(f"__d{i}"), F.col("__n")).alias("ratio"))
+        for i, c in enumerate(cols)])))
+
+
+def near_unique_columns_tables(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]],
+                               probe_rows: int = PROBE_ROWS,
+                               threshold: float = NEAR_UNIQUE) -> dict[str, list[str]]:
+    """Per table, the columns whose values look nearly all distinct in the
+    first ``probe_rows`` rows. One small job for all tables; it only picks
+    the plan (the counts stay exact): pre-grouping such a column would
+    shuffle every value for nothing. Tables whose estimated size is under
+    ``PROBE_MIN_BYTES`` are not probed (their shuffle is small either way)."""
+    parts = [_probe(df, columns[t], t, probe_rows) for t, df in tables.items()
+             if not df.isStreaming and columns.get(t)
+             and estimated_bytes(df.select(*[F.col(f"`{c}`") for c in columns[t]]))
+             >= PROBE_MIN_BYTES]
+    out: dict[str, list[str]] = {t: [] for t in tables}
+    if not parts:
+        return out
+    probe = parts[0]
+    for p in parts[1:]:
+        probe = probe.unionByName(p)
+    for r in probe.collect():  # one row per column: bounded by the tables' width
+        if r["ratio"] is not None and r["ratio"] > threshold:
+            out[r["table"]].append(r["column"])
+    return out
+
+
+def near_unique_columns(df: DataFrame, cols: Sequence[str], probe_rows: int = PROBE_ROWS,
+                        threshold: float = NEAR_UNIQUE) -> list[str]:
+    return near_unique_columns_tables({"t": df}, {"t": list(cols)}, probe_rows, threshold)["t"]
+
+
+def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool | str = "auto",
                 direct: Iterable[str] = (), columns: Sequence[str] | None = None,
                 already_text: bool = False) -> DataFrame:
     """A1: per column ``(pos, column, total, n_blank, n_int, n_float, n_bool,
@@ -128,10 +183,17 @@ def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool = True,
     ``overlap`` (default) is the reference's vote: a value adds to every type
     it parses as, and string means "not a timestamp". ``exclusive`` gives each
     non-blank value only its narrowest type.
+
+    ``pre_group="auto"`` adds the columns that look nearly unique (probe of
+    the first rows) to ``direct``.
     """
     cols = list(columns) if columns is not None else text_columns(df)
     if not cols:
         raise ValueError("table has no columns to profile")
+    if pre_group == "auto":
+        direct = list(direct) + near_unique_columns(
+            df, [c for c in cols if c not in set(direct)])
+        pre_group = True
     # spread the typed columns (smaller than their text), then cast
     picked = spread(df.select(*[F.col(f"`{c}`") for c in cols]))
     text = picked if already_text else as_text(picked, cols)
@@ -146,15 +208,22 @@ def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool = True,
 
 
 def type_counts_tables(tables: dict[str, DataFrame], mode: str = "overlap",
-                       pre_group: bool = True, direct: dict[str, Sequence[str]] | None = None,
+                       pre_group: bool | str = "auto",
+                       direct: dict[str, Sequence[str]] | None = None,
                        columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """A1 over many tables in one plan: ``(table, pos, column, ...counts)``.
 
     All tables' values flow through the same two aggregations (one shuffle of
     distinct values, one tiny shuffle of counts) instead of one chain of
     stages per table."""
-    direct = direct or {}
-    columns = columns or {}
+    direct = {t: list(v) for t, v in (direct or {}).items()}
+    columns = {t: list(columns.get(t) or text_columns(df)) for t, df in tables.items()} \
+        if columns else {t: text_columns(df) for t, df in tables.items()}
+    if pre_group == "auto":
+        found = near_unique_columns_tables(
+            tables, {t: [c for c in columns[t] if c not in direct.get(t, [])] for t in tables})
+        direct = {t: direct.get(t, []) + found[t] for t in tables}
+        pre_group = True
     grouped, straight, pos_entries = [], [], []
     for name, df in tables.items():
         cols = list(columns.get(name) or text_columns(df))

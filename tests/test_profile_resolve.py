@@ -127,3 +127,16 @@ def test_apply_and_rejects(spark):
     rej = {(r["column"], r["value"]) for r in R6.rejects(df, schema).collect()}
     assert rej == {("a", "x"), ("a", "99999999999999999999"), ("b", "1d"), ("c", "t"),
                    ("d", "2023-02-29")}
+
+
+def test_auto_plan_probe_keeps_counts(spark, monkeypatch):
+    # force the probe even on small data: near-unique columns go direct, the
+    # counts must not change
+    monkeypatch.setattr(A, "PROBE_MIN_BYTES", 0)
+    rows = [(str(i), "x" if i % 3 else "2024-01-01", str(i % 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v string, b string")
+    assert A.near_unique_columns(df, df.columns) == ["k"]
+    auto = {tuple(r) for r in A.type_counts(df, pre_group="auto").collect()}
+    grouped = {tuple(r) for r in A.type_counts(df, pre_group=True).collect()}
+    direct = {tuple(r) for r in A.type_counts(df, pre_group=False).collect()}
+    assert auto == grouped == direct
