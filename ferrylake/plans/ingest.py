@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 import uuid
 from dataclasses import dataclass, field
 
@@ -42,12 +43,16 @@ class IngestRun:
     database: str | None = None
     table: str | None = None
     parquet_table: str | None = None
+    _clock: float = field(default_factory=time.time)
 
     @property
     def success(self) -> bool:
         return not self.errors
 
     def step(self, name: str, ok: bool, **detail) -> None:
+        now = time.time()
+        detail["seconds"] = round(now - self._clock, 3)
+        self._clock = now
         self.steps.append((name, bool(ok), json.dumps(detail, default=str, sort_keys=True)))
         if not ok:
             self.errors.append({"step": name, **detail})

@@ -73,6 +73,7 @@ def sample_rows(df: DataFrame, n: int | str | float | None = 500,
             n = int(n)
     except (TypeError, ValueError):
         n = 500
+    n = max(n, 0)  # the reference stops before the first row for n <= 0
     if not order_by:
         raise ValueError("a sample needs order_by: Spark tables have no row order")
     return df.orderBy(*order_by).limit(n)
