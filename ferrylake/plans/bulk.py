@@ -195,3 +195,79 @@ def put_objects(df: DataFrame, root: str, key: str = "key", body: str = "body",
     path = scratch_path(spark, "put-ledger")
     ledger.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+# --------------------------------------------------------------------------
+# Whole-tree jobs: plan (the reference's dry run) or plan + run.
+
+
+def _exists(root: str) -> bool:
+    from pyarrow import fs as pafs
+    fs, base = filesystem(root)
+    return fs.get_file_info(base).type == pafs.FileType.Directory
+
+
+def plan_copy_tree(spark: SparkSession, src_root: str, dst_root: str,
+                   move: bool = False) -> DataFrame:
+    """B1/B2 over two roots: every object of ``src_root`` to the same key in
+    ``dst_root``; ``overwrites`` from the destination's own inventory. The
+    destination must exist (create it first), as in the reference."""
+    if not _exists(dst_root):
+        raise ValueError(f"Destination '{dst_root}' does not exist. Create it first.")
+    src = object_inventory(spark, src_root)
+    dst = object_inventory(spark, dst_root)
+    plan = O.plan_move if move else O.plan_copy
+    return plan(src.select("container", "key", "size"), dst_root.rstrip("/"), dst)
+
+
+def copy_tree(spark: SparkSession, src_root: str, dst_root: str, dry_run: bool = True,
+              move: bool = False) -> dict:
+    """Copy (or move) a whole tree. ``dry_run`` returns the written plan and
+    its size without touching an object; otherwise the plan is run and the
+    ledger returned with its summary."""
+    plan_path = write_plan(plan_copy_tree(spark, src_root, dst_root, move))
+    plan = spark.read.parquet(plan_path)
+    if dry_run:
+        n = plan.count()
+        verb = "move" if move else "copy"
+        return {"success": True, "plan": plan_path, f"would_{verb}": n,
+                "overwrites": plan.filter("overwrites").count(),
+                "message": f"(dry-run) Would {verb} {n} objects from '{src_root}' to '{dst_root}'"}
+    ledger = run_move(spark, plan_path) if move else run_copy(spark, plan_path)
+    s = O.outcome_summary(ledger, by=[]).first()
+    return {"success": s is None or s["failed"] == 0, "plan": plan_path, "ledger": ledger,
+            "done": 0 if s is None else s["done"], "failed": 0 if s is None else s["failed"]}
+
+
+def delete_tree(spark: SparkSession, root: str, dry_run: bool = True) -> dict:
+    """Delete every object under ``root`` (the root itself is kept)."""
+    plan_path = write_plan(O.plan_delete(object_inventory(spark, root)))
+    plan = spark.read.parquet(plan_path)
+    if dry_run:
+        n = plan.count()
+        return {"success": True, "plan": plan_path, "would_delete": n,
+                "message": f"(dry-run) Would delete {n} objects from '{root}'"}
+    ledger = run_delete(spark, plan_path)
+    s = O.outcome_summary(ledger, by=[]).first()
+    return {"success": s is None or s["failed"] == 0, "plan": plan_path, "ledger": ledger,
+            "deleted": 0 if s is None else s["done"], "failed": 0 if s is None else s["failed"]}
+
+
+def plan_delete_roots(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """Per root, objects found and what a delete would remove; a root
+    that does not exist is listed with its error instead of stopping the rest."""
+    parts, missing = [], []
+    for r in roots:
+        if _exists(r):
+            parts.append(object_inventory(spark, r))
+        else:
+            missing.append((r.rstrip("/"), f"'{r}' does not exist"))
+    schema = "container string, objects_found bigint, would_delete bigint, bytes bigint, error string"
+    out = spark.createDataFrame([(c, 0, 0, 0, e) for c, e in missing], schema)
+    if parts:
+        inv = parts[0]
+        for p in parts[1:]:
+            inv = inv.unionByName(p)
+        found = O.plan_delete_many(inv).withColumn("error", F.lit(None).cast("string"))
+        out = found.unionByName(out)
+    return out

@@ -145,3 +145,24 @@ def test_partitioned_table_repair(spark, tmp_path):
                            partition_keys=[{"Name": "year", "Type": "string"}], fmt="parquet")
     assert res["success"]
     assert spark.table("part_db.pt").count() == 2
+
+
+def test_tree_jobs_dry_run_then_run(spark, tmp_path):
+    src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
+    _tree(src)
+    with pytest.raises(ValueError, match="does not exist"):
+        B.plan_copy_tree(spark, src, dst)
+    os.makedirs(dst)
+    _write(f"{dst}/top.txt", "old")
+    dry = B.copy_tree(spark, src, dst, dry_run=True)
+    assert dry["would_copy"] == 34 and dry["overwrites"] == 1
+    assert object_inventory(spark, dst).count() == 1  # nothing touched
+    done = B.copy_tree(spark, src, dst, dry_run=False)
+    assert done["success"] and done["done"] == 34
+    assert open(f"{dst}/top.txt").read() == "top"
+    roots = B.plan_delete_roots(spark, [src, dst, str(tmp_path / "nope")]).collect()
+    by = {r["container"].rsplit("/", 1)[-1]: r for r in roots}
+    assert by["src"]["would_delete"] == 34 and by["nope"]["error"]
+    assert B.delete_tree(spark, dst, dry_run=True)["would_delete"] == 34
+    assert B.delete_tree(spark, dst, dry_run=False)["deleted"] == 34
+    assert object_inventory(spark, dst).count() == 0 and os.path.isdir(dst)
