@@ -42,7 +42,24 @@ def text_columns(df: DataFrame) -> list[str]:
 def as_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Every (chosen) column cast to string: the table as the CSV reader sees it."""
     cols = list(columns) if columns is not None else text_columns(df)
-    return df.select([F.col(f"`{c}`").cast("string").alias(c) for c in cols])
+    # one selectExpr: a single call to the JVM for any number of columns
+    return df.selectExpr(*[f"CAST({_ident(c)} AS STRING) AS {_ident(c)}" for c in cols])
+
+
+def _ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_str(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of ``df`` (from file sizes; no job)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - unknown size: treat as large
+        return 1 << 62
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -53,7 +70,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
         return df
     spark = df.sparkSession
     n = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < n:
+    # splits estimated from the optimizer's size (no planning of the scan)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
+    split_bytes = int(split) if split.isdigit() else 128 << 20
+    if estimated_bytes(df) // max(split_bytes, 1) + 1 < n:
         return df.repartition(n)
     return df
 
@@ -64,10 +84,10 @@ def _unpivot(text: DataFrame, cols: Sequence[str], table: str | None = None) ->
     ``inline`` rather than ``unpivot``: Spark's code generation fails on
     ``Expand`` followed by the classifier's shared subexpressions and falls
     back to interpreted evaluation."""
-    label = [F.lit(table).alias("table")] if table is not None else []
-    pairs = F.array(*[F.struct(*label, F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"))
-                      for c in cols])
-    return text.select(F.inline(pairs))
+    label = f"{_sql_str(table)} AS `table`, " if table is not None else ""
+    pairs = ", ".join(f"struct({label}{_sql_str(c)} AS `column`, {_ident(c)} AS `value`)"
+                      for c in cols)
+    return text.selectExpr(f"inline(array({pairs}))")
 
 
 def _counts(long: DataFrame, weight: Column, mode: str, keys: Sequence[str]) -> DataFrame:
@@ -126,14 +146,6 @@ NEAR_UNIQUE = 0.5
 PROBE_MIN_BYTES = 256 << 20  # below this the choice of plan hardly matters
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (from file sizes; no job)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - unknown size: treat as large
-        return 1 << 62
-
-
 def _probe(df: DataFrame, cols: Sequence[str], label: str, probe_rows: int) -> DataFrame:
     probe = df.select(*[F.col(f"`{c}`") for c in cols]).limit(probe_rows)
     agg = probe.agg(F.count(F.lit(1)).alias("__n"),

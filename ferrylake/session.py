@@ -21,6 +21,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # no Python call-site capture on every Column call (debug info only)
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -37,5 +37,16 @@ WIDE_TEXT = {
 TABLE_NAMES = list(TEXT_COLUMNS)
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; its schema is read once per path (later loads skip the
+    footer-reading job)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    schema = _SCHEMAS.get(path)
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
+    df = spark.read.parquet(path)
+    _SCHEMAS[path] = df.schema
+    return df
