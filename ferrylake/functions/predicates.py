@@ -1,10 +1,12 @@
 """Text-value predicates (P1-P6): does a text value parse as int, float, bool or
 timestamp under Python's own parsing rules?
 
-Every predicate is a native ``Column -> Column`` expression built on ``rlike``
-with a literal pattern, so it stays inside whole-stage codegen and the pattern
-is compiled once per task. The same pattern text runs unchanged in DuckDB
-(RE2), which is what the oracle SQL in ``ferrylake.queries`` uses.
+Every predicate is a native ``Column -> Column`` expression: ``trim``/``isin``
+for blank and bool, ``rlike`` with a literal pattern (compiled once per task)
+for int, float and timestamp, each behind a cheap guard on the first
+character, so it stays inside whole-stage codegen. The same pattern text runs
+unchanged in DuckDB (RE2), which is what the oracle SQL in
+``ferrylake.queries`` uses.
 
 Python semantics being reproduced:
 
@@ -136,14 +138,34 @@ def is_blank(v) -> Column:
     return F.coalesce(strip_ws(v) == F.lit(""), F.lit(False))
 
 
+# Cheap necessary conditions, checked before a regex runs: the first
+# character after stripping (a substring of Spark's own string, no copy of a
+# long text) must be able to start the form at all.
+_INT_START = tuple("0123456789+-")
+_FLOAT_START = tuple("0123456789+-.nNiI")
+_DIGIT_START = tuple("0123456789")
+
+
+def _first(v) -> Column:
+    return F.substring(strip_ws(v), 1, 1)
+
+
+def _int_match(v) -> Column:
+    return F.when(_first(v).isin(*_INT_START), _match(v, INT_RE)).otherwise(F.lit(False))
+
+
+def _float_match(v) -> Column:
+    return F.when(_first(v).isin(*_FLOAT_START), _match(v, FLOAT_RE)).otherwise(F.lit(False))
+
+
 def is_int(v) -> Column:
     """Blank, or Python ``int(v)`` succeeds."""
-    return _match(v, INT_RE) | is_blank(v)
+    return _int_match(v) | is_blank(v)
 
 
 def is_float(v) -> Column:
     """Blank, or Python ``float(v)`` succeeds (every int text is a float text)."""
-    return F.when(is_int(v), F.lit(True)).otherwise(_match(v, FLOAT_RE))
+    return F.when(is_int(v), F.lit(True)).otherwise(_float_match(v))
 
 
 def is_bool(v) -> Column:
@@ -151,14 +173,17 @@ def is_bool(v) -> Column:
 
     No regex: ``lower(trim(v))`` against the word list (Java's lower case of
     a non-ASCII letter never yields one of these ASCII words)."""
-    return F.coalesce(F.lower(strip_ws(v)).isin(*BOOL_WORDS), F.lit(False))
+    s = strip_ws(v)
+    return F.when(F.length(s) <= 5, F.coalesce(F.lower(s).isin(*BOOL_WORDS), F.lit(False))) \
+        .otherwise(F.lit(False))
 
 
 def _ts_match(v) -> Column:
-    # Every format has a '-' or a '/': the regex only runs on such values.
+    # Every format starts with a digit and has a '-' or a '/': the regex only
+    # runs on such values.
     c = _col(v)
-    return F.when(c.contains("-") | c.contains("/"), _match(c, TIMESTAMP_RE)) \
-        .otherwise(F.lit(False))
+    return F.when(_first(c).isin(*_DIGIT_START) & (c.contains("-") | c.contains("/")),
+                  _match(c, TIMESTAMP_RE)).otherwise(F.lit(False))
 
 
 def is_timestamp(v) -> Column:
@@ -182,8 +207,8 @@ def narrowest_type(v) -> Column:
     non-blank value, else string; null for null or blank values."""
     return (
         F.when(_col(v).isNull() | is_blank(v), F.lit(None).cast("string"))
-        .when(_match(v, INT_RE), F.lit("int"))
-        .when(_match(v, FLOAT_RE), F.lit("float"))
+        .when(_int_match(v), F.lit("int"))
+        .when(_float_match(v), F.lit("float"))
         .when(is_bool(v), F.lit("bool"))
         .when(_ts_match(v), F.lit("timestamp"))
         .otherwise(F.lit("string"))
