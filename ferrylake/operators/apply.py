@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrylake.functions import predicates as P
-from ferrylake.functions.scalars import map_column_type  # noqa: F401  (re-export)
 from ferrylake.operators.resolve import schema_pairs
 
 # Settled or declared type name -> Spark type of the typed table (wide types).

@@ -10,7 +10,7 @@ from ferrylake.operators import profile as A
 from ferrylake.operators import resolve as R
 from ferrylake.plans import bulk as B
 from ferrylake.plans import catalog as T
-from ferrylake.plans.ingest import ingest, run_ledger
+from ferrylake.plans.ingest import ingest
 from ferrylake.queries import register
 from ferrylake.queries.profile_q import _sql_counts
 from ferrylake.queries.resolve_q import _ORDERS_AGG_SQL, typed_from_text

@@ -7,11 +7,8 @@ from pyspark.sql import functions as F
 from ferrylake.functions import predicates as P
 from ferrylake.functions import scalars as S
 from ferrylake.functions.schema_text import LINE_BREAKS, parse_schema_texts
-from ferrylake.operators import profile as A
-from ferrylake.operators import resolve as R
 from ferrylake.queries import register
-from ferrylake.queries.sqlgen import (long_sql, map_type_sql, normalize_type_sql,
-                                      profile_sql, q, strip_sql)
+from ferrylake.queries.sqlgen import map_type_sql, normalize_type_sql, q, strip_sql
 from ferrylake.queries.profile_q import _all_profiles, _all_profiles_sql
 from ferrylake.tables import load
 

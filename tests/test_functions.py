@@ -1,6 +1,5 @@
 """Scalar functions, and F3/F8 as inverses."""
 
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -10,7 +10,7 @@ import pytest
 import __spark_entry__ as E
 from ferrylake.tables import TABLE_NAMES
 
-from conftest import SF001, SF01
+from conftest import SF01
 
 FAST = ["type_counts_customer", "type_shares_orders", "ambiguous_columns_events",
         "sample_profile_part", "describe_shares_mixed", "resolve_choices", "invalid_choices",

@@ -5,10 +5,8 @@ import random
 from datetime import datetime
 
 import duckdb
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from ferrylake.functions import predicates as P
 
