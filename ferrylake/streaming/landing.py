@@ -24,10 +24,11 @@ from ferrylake.sources.text import CSV_READ
 
 def text_stream(spark: SparkSession, folder: str, columns: Sequence[str],
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """New CSV files of ``folder`` as a stream of text rows (header skipped,
-    every value a string, empty values read as "")."""
+    """New CSV files anywhere below ``folder`` as a stream of text rows
+    (header skipped, every value a string, empty values read as "")."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = spark.readStream.options(**CSV_READ).option("multiLine", "true").schema(schema)
+    reader = (spark.readStream.options(**CSV_READ).option("multiLine", "true").schema(schema)
+              .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     from pyspark.sql import functions as F

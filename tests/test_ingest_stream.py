@@ -56,3 +56,23 @@ def test_profile_stream_equals_batch(spark, tmp_path):
     assert got == batch
     # a new file lands: the next run adds it to the kept state
     S.write_text_table(orders.limit(10), os.path.join(folder, "more"), mode="overwrite")
+
+
+def test_ingest_stream_restart_is_exactly_once(spark, tmp_path):
+    orders = load(spark, SF001, "orders")
+    folder = str(tmp_path / "landing")
+    S.write_text_table(orders.filter("o_orderkey % 2 = 0"), folder + "/a", n_files=2)
+    text = S.read_text_table(spark, folder, csv_only=True)
+    pairs = R.schema_pairs(R.settled_schema(A.profile(text, mode="exclusive", already_text=True)))
+    out, ckpt = str(tmp_path / "typed"), str(tmp_path / "ckpt")
+    landing.ingest_stream(spark, folder + "/a", TEXT_COLUMNS["orders"], pairs, out, ckpt).awaitTermination()
+    first = spark.read.parquet(out).count()
+    # the same query restarted on its checkpoint: nothing is appended twice
+    landing.ingest_stream(spark, folder + "/a", TEXT_COLUMNS["orders"], pairs, out, ckpt).awaitTermination()
+    assert spark.read.parquet(out).count() == first == orders.filter("o_orderkey % 2 = 0").count()
+    # a new file lands: only it is added
+    S.write_text_table(orders.filter("o_orderkey % 2 = 1"), folder + "/a/more", n_files=1)
+    landing.ingest_stream(spark, folder + "/a", TEXT_COLUMNS["orders"], pairs, out, ckpt).awaitTermination()
+    typed = spark.read.parquet(out)
+    assert typed.count() == orders.count()
+    assert typed.exceptAll(orders.select(*typed.columns)).count() == 0
