@@ -43,16 +43,17 @@ def _empty(v: Column) -> Column:
 def _helpers(v: Column, st: str) -> dict[str, Column]:
     s = P.strip_ws(v)
     if st == "bigint":
-        return {"e": _empty(v), "ok": P._match(v, P.INT_RE),
+        return {"e": _empty(v), "ok": P._int_match(v),
                 "s": F.replace(s, F.lit("_"), F.lit(""))}
     if st == "double":
-        return {"e": _empty(v), "ok": P._match(v, P.INT_RE) | P._match(v, P.FLOAT_RE),
+        return {"e": _empty(v), "ok": P._int_match(v) | P._float_match(v),
                 "s": F.lower(F.replace(s, F.lit("_"), F.lit("")))}
     if st == "boolean":
         return {"e": _empty(v), "s": F.lower(s)}
     if st == "timestamp_ntz":
-        return {"e": _empty(v), "ok": P._ts_match(v), "mdy": s.contains("/"),
-                "g": F.regexp_extract_all(s, F.lit(r"(\d+)"), 1)}
+        ok = P._ts_match(v)
+        return {"e": _empty(v), "ok": ok, "mdy": s.contains("/"),
+                "g": F.when(ok, F.regexp_extract_all(s, F.lit(r"(\d+)"), 1))}
     return {}
 
 

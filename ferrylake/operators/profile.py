@@ -2,9 +2,10 @@
 
 Plan shape (``type_counts``):
 
-    scan (only the profiled columns) -> cast to text -> unpivot (Expand, no
-    shuffle) -> [partial count per (column, value)] -> classify -> partial
-    sum per column -> one tiny shuffle of #columns rows per map task.
+    scan (only the profiled columns) -> [spread if fewer splits than cores]
+    -> cast to text -> unpivot (inline generator, no shuffle) -> [partial
+    count per (column, value) -> shuffle of distinct values] -> classify ->
+    partial sum per column -> one tiny shuffle of #columns rows per map task.
 
 Pre-grouping classifies each distinct value once: the partial aggregate
 collapses repeated values inside each map task before the shuffle, and a hot
