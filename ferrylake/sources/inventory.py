@@ -14,6 +14,7 @@ from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ferrylake.operators.objects import INVENTORY_SCHEMA
 from ferrylake.session import ship_package, to_local
@@ -52,22 +53,56 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["container", "key", "size", "mtime"])
 
 
-def object_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """All objects under ``root``; the container column is the root itself, so
-    a plan built from the inventory can be executed."""
+_LEVEL_SCHEMA = "container string, key string, size bigint, mtime timestamp, folder string"
+
+
+def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One level of each folder: its files, and its sub-folders (as rows with
+    a ``folder`` and no key)."""
     from pyarrow import fs as pafs
+    for pdf in batches:
+        rows = []
+        for root, folder in zip(pdf["root"], pdf["folder"]):
+            fs, base = filesystem(root)
+            sel = pafs.FileSelector(folder, recursive=False, allow_not_found=True)
+            for info in fs.get_file_info(sel):
+                if info.type == pafs.FileType.File:
+                    rows.append((*_row(info, root, base), None))
+                elif info.type == pafs.FileType.Directory:
+                    rows.append((root, None, None, None, info.path))
+        yield pd.DataFrame(rows, columns=["container", "key", "size", "mtime", "folder"])
+
+
+def object_inventory(spark: SparkSession, root: str, max_depth: int = 3,
+                     min_prefixes: int | None = None) -> DataFrame:
+    """All objects under ``root``; the container column is the root itself, so
+    a plan built from the inventory can be executed.
+
+    Folders are expanded breadth first, one level per small Spark job (only
+    the sub-folder names come back to the driver), until there are at least
+    ``min_prefixes`` (default 4 per core) folders or ``max_depth`` levels;
+    executors then list each remaining folder recursively. A tree whose
+    objects sit in one big sub-folder is thus split over its sub-folders. A
+    single flat folder is still listed by one task: a file-system listing
+    cannot be split inside one folder."""
     ship_package(spark)
     root = root.rstrip("/")
-    fs, base = filesystem(root)
-    top = fs.get_file_info(pafs.FileSelector(base, recursive=False, allow_not_found=True))
-    files = [_row(i, root, base) for i in top if i.type == pafs.FileType.File]
-    folders = [(root, i.path) for i in top if i.type == pafs.FileType.Directory]
-    parts = []
-    if folders:
-        n = max(1, min(len(folders), spark.sparkContext.defaultParallelism * 4))
-        fdf = spark.createDataFrame(folders, "root string, folder string").repartition(n)
-        parts.append(fdf.mapInPandas(_list_folders, INVENTORY_SCHEMA))
-    parts.append(spark.createDataFrame(files, INVENTORY_SCHEMA))
+    _fs, base = filesystem(root)
+    target = min_prefixes or spark.sparkContext.defaultParallelism * 4
+    parts, frontier = [], [base]
+    for _depth in range(max_depth):
+        level = spark.createDataFrame([(root, f) for f in frontier], "root string, folder string")
+        listed = level.repartition(max(1, min(len(frontier), target))) \
+            .mapInPandas(_list_level, _LEVEL_SCHEMA)
+        parts.append(listed.filter(F.col("key").isNotNull()).drop("folder"))
+        frontier = [r["folder"] for r in
+                    listed.filter(F.col("folder").isNotNull()).select("folder").collect()]
+        if len(frontier) >= target or not frontier:
+            break
+    if frontier:
+        fdf = spark.createDataFrame([(root, f) for f in frontier], "root string, folder string")
+        parts.append(fdf.repartition(max(1, min(len(frontier), target)))
+                     .mapInPandas(_list_folders, INVENTORY_SCHEMA))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
