@@ -78,10 +78,11 @@ def object_inventory(spark: SparkSession, root: str, max_depth: int = 3,
     """All objects under ``root``; the container column is the root itself, so
     a plan built from the inventory can be executed.
 
-    Folders are expanded breadth first, one level per small Spark job (only
-    the sub-folder names come back to the driver), until there are at least
-    ``min_prefixes`` (default 4 per core) folders or ``max_depth`` levels;
-    executors then list each remaining folder recursively. A tree whose
+    Folders are expanded breadth first, one level per small Spark job, until
+    there are at least ``min_prefixes`` (default 4 per core) folders or
+    ``max_depth`` levels; executors then list each remaining folder
+    recursively. Folder names come back to the driver only while they are
+    fewer than ``min_prefixes``. A tree whose
     objects sit in one big sub-folder is thus split over its sub-folders. A
     single flat folder is still listed by one task: a file-system listing
     cannot be split inside one folder."""
@@ -89,19 +90,26 @@ def object_inventory(spark: SparkSession, root: str, max_depth: int = 3,
     root = root.rstrip("/")
     _fs, base = filesystem(root)
     target = min_prefixes or spark.sparkContext.defaultParallelism * 4
-    parts, frontier = [], [base]
-    for _depth in range(max_depth):
-        level = spark.createDataFrame([(root, f) for f in frontier], "root string, folder string")
-        listed = level.repartition(max(1, min(len(frontier), target))) \
-            .mapInPandas(_list_level, _LEVEL_SCHEMA)
+    wide = max(target, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    parts = []
+    frontier = spark.createDataFrame([(root, base)], "root string, folder string")
+    n = 1
+    for depth in range(max_depth):
+        listed = frontier.repartition(max(1, min(n, wide))).mapInPandas(_list_level, _LEVEL_SCHEMA)
         parts.append(listed.filter(F.col("key").isNotNull()).drop("folder"))
-        frontier = [r["folder"] for r in
-                    listed.filter(F.col("folder").isNotNull()).select("folder").collect()]
-        if len(frontier) >= target or not frontier:
+        folders = listed.filter(F.col("folder").isNotNull()) \
+            .select(F.col("container").alias("root"), "folder")
+        n = folders.count()
+        if n == 0:
+            frontier = None
             break
-    if frontier:
-        fdf = spark.createDataFrame([(root, f) for f in frontier], "root string, folder string")
-        parts.append(fdf.repartition(max(1, min(len(frontier), target)))
+        if n >= target or depth == max_depth - 1:
+            frontier = folders  # stays a DataFrame: never collected, however many
+            break
+        # few folders: bring the names back and go one level deeper
+        frontier = spark.createDataFrame(folders.collect(), "root string, folder string")
+    if frontier is not None:
+        parts.append(frontier.repartition(max(1, min(n, wide)))
                      .mapInPandas(_list_folders, INVENTORY_SCHEMA))
     out = parts[0]
     for p in parts[1:]:

@@ -166,3 +166,16 @@ def test_tree_jobs_dry_run_then_run(spark, tmp_path):
     assert B.delete_tree(spark, dst, dry_run=True)["would_delete"] == 34
     assert B.delete_tree(spark, dst, dry_run=False)["deleted"] == 34
     assert object_inventory(spark, dst).count() == 0 and os.path.isdir(dst)
+
+
+@pytest.mark.parametrize("min_prefixes", [1, 2, 100])
+def test_inventory_same_for_any_expansion(spark, tmp_path, min_prefixes):
+    root = str(tmp_path / "tree")
+    _tree(root)
+    for i in range(5):
+        _write(f"{root}/deep/l1/l2/l3/f{i}.txt", "x")
+    inv = object_inventory(spark, root, min_prefixes=min_prefixes)
+    keys = sorted(r["key"] for r in inv.collect())
+    expect = sorted(os.path.relpath(os.path.join(d, f), root)
+                    for d, _, fs in os.walk(root) for f in fs)
+    assert keys == expect
