@@ -72,15 +72,16 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
            table: str | None = None, choices: DataFrame | None = None,
            convert_to_parquet: bool = True, mode: str = "exclusive",
            raw_prefix: str = "raw/", processed_prefix: str = "processed/",
-           ledger_root: str | None = None, multi_line: bool = True) -> IngestRun:
+           ledger_root: str | None = None, multi_line: bool = True,
+           report_rejects: bool = False) -> IngestRun:
     """``path`` (a folder or one CSV file) -> tables in the catalog.
 
     Steps: land under ``lake_root/raw_prefix`` (B8) -> read all landed CSVs
     together (S1) -> vote (A6, ``mode``) -> settle with ``choices`` (R2) ->
     stop with ``next='disambiguate'`` if columns stay open (R5) -> database
     (T1) -> raw CSV table (T4) -> typed Parquet (R6, S5) -> Parquet table
-    ``<table>_parquet`` (T4) -> settled schema saved (S8). Any failed step makes
-    the run failed. ``ledger_root`` receives the run ledger (I2) as Parquet.
+    ``<table>_parquet`` (T4) -> [rejects, R7, with ``report_rejects``] ->
+    settled schema saved (S8). Any failed step makes the run failed. ``ledger_root`` receives the run ledger (I2) as Parquet.
     """
     run = IngestRun(run_id=uuid.uuid4().hex)
     lake = lake_root.rstrip("/")
@@ -167,6 +168,14 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
             if res["success"]:
                 run.parquet_table = res["table"]
 
+        # 7b. values the settled types cannot hold (a second pass over the text)
+        if report_rejects:
+            rej_out = f"{lake}/rejects/{run.table}"
+            R6.rejects(text, pairs).write.mode("overwrite").parquet(rej_out)
+            n = spark.read.parquet(rej_out).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            run.step("rejects", True, location=rej_out, values=int(n))
+            run.locations["rejects"] = rej_out
+
         # 8. keep the settled schema
         store = f"{lake}/_schemas"
         save_schema(schema, store, f"{run.database}.{run.table}")

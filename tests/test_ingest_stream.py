@@ -38,8 +38,11 @@ def test_ingest_stops_on_open_columns_then_choices(spark, tmp_path):
     run = ingest(spark, folder, str(tmp_path / "lake"))
     assert run.next == "disambiguate" and run.open_columns == ["reading"]
     choices = R.choices_frame(spark, [("reading", "double")])
-    run2 = ingest(spark, folder, str(tmp_path / "lake2"), choices=choices, table="readings")
+    run2 = ingest(spark, folder, str(tmp_path / "lake2"), choices=choices, table="readings",
+                  report_rejects=True)
     assert run2.success and run2.parquet_table
+    rej = spark.read.parquet(run2.locations["rejects"]).collect()
+    assert [(r["column"], r["value"], r["n"]) for r in rej] == [("reading", "n/a", 20)]
     typed = spark.table(f"{run2.database}.{run2.parquet_table}")
     assert typed.filter(F.col("reading").isNull()).count() == 20
     assert run_ledger(spark, run2).count() == len(run2.steps)
