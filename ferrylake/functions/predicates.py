@@ -150,12 +150,26 @@ def _first(v) -> Column:
     return F.substring(strip_ws(v), 1, 1)
 
 
+def _never(c: Column, *chars: str) -> Column:
+    out = None
+    for ch in chars:
+        e = ~c.contains(ch)
+        out = e if out is None else out & e
+    return out
+
+
 def _int_match(v) -> Column:
-    return F.when(_first(v).isin(*_INT_START), _match(v, INT_RE)).otherwise(F.lit(False))
+    # int() never takes '.', ':' or '/'
+    c = _col(v)
+    return F.when(_first(c).isin(*_INT_START) & _never(c, ".", ":", "/"), _match(c, INT_RE)) \
+        .otherwise(F.lit(False))
 
 
 def _float_match(v) -> Column:
-    return F.when(_first(v).isin(*_FLOAT_START), _match(v, FLOAT_RE)).otherwise(F.lit(False))
+    # float() never takes ':' or '/'
+    c = _col(v)
+    return F.when(_first(c).isin(*_FLOAT_START) & _never(c, ":", "/"), _match(c, FLOAT_RE)) \
+        .otherwise(F.lit(False))
 
 
 def is_int(v) -> Column:
