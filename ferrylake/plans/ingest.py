@@ -30,6 +30,7 @@ from ferrylake.sources.inventory import object_inventory
 from ferrylake.sources.schema_store import save_schema
 
 RUN_LEDGER_SCHEMA = "run_id string, seq int, step string, success boolean, detail string"
+WIDE_DECLARED = {"int": "bigint", "float": "double"}
 
 
 @dataclass
@@ -146,9 +147,11 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
             return _finish(spark, run, ledger_root)
         run.database = res["database"]
 
-        # 6. raw CSV table over the landed folder, types through F2
+        # 6. raw CSV table over the landed folder, types through F2. The
+        # settled int/float are declared 64-bit (bigint/double): a 32-bit
+        # declaration would read large keys as null.
         tbl_name = table or f"tbl_{_name_hash(run.run_id + 't')}"
-        cols = [{"Name": n, "Type": t} for n, t in pairs]
+        cols = [{"Name": n, "Type": WIDE_DECLARED.get(t, t)} for n, t in pairs]
         res = T.register_table(spark, run.database, tbl_name, raw_root, cols, fmt="csv")
         run.step("create_table_raw", res["success"], **res)
         if not res["success"]:
