@@ -127,3 +127,18 @@ def outcome_summary(spark, sf_dir):
         F.col("event_id").cast("string").alias("key"),
         F.when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("ok")).alias("status"))
     return O.outcome_summary(ledger)
+
+
+# B4 with one hot container: every third document goes to 'hot', so one
+# container holds a third of all keys (the skew the sequence is built for).
+@register("delete_batches_hot_container",
+          "SELECT container, key, "
+          "CAST(row_number() OVER (PARTITION BY container ORDER BY key) AS BIGINT) AS seq, "
+          f"CAST(floor((row_number() OVER (PARTITION BY container ORDER BY key) - 1) / {O.DELETE_BATCH}) AS BIGINT) AS batch "
+          "FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE source END AS container, "
+          "doc_id AS key FROM documents) AS d")
+def delete_batches_hot_container(spark, sf_dir):
+    docs = load(spark, sf_dir, "documents").select(
+        F.when(F.col("doc_id") % 3 == 0, F.lit("hot")).otherwise(F.col("source")).alias("container"),
+        F.col("doc_id").alias("key"))
+    return O.delete_batches(docs).select("container", "key", "seq", "batch")
