@@ -86,8 +86,8 @@ def plan_move(src: DataFrame, dst_container: str | None = None,
 def sequence_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
                       name: str = "seq", n_partitions: int | None = None,
                       stable: bool = True) -> DataFrame:
-    """1-based position of each row within its group, by ``order`` (which must
-    be unique within the group).
+    """1-based position of each row within its group, by ``order`` (ties are
+    numbered in an arbitrary but fixed order).
 
     Unlike ``row_number() over (partition by group)``, no group is ever held by
     one task: rows are range-partitioned on (group, order), numbered inside
