@@ -21,7 +21,10 @@ Python semantics being reproduced:
   ``\\s+`` and rejects impossible calendar dates, year 0 and second 60/61.
 * blank (``v.strip() == ""``) counts as int, float and timestamp, not as bool.
 
-Not covered: non-ASCII digits, which Python also accepts.
+Unicode decimal digits count for int and float as in Python (they are
+mapped to ASCII digits first). Not covered: the few positions where
+``strptime`` itself accepts a non-ASCII digit (``%Y``, the second digit of
+``%d``/``%H``/``%M``/``%S``); such timestamps count as text here.
 """
 
 from __future__ import annotations
@@ -124,10 +127,28 @@ STRIP_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 NUM_STRIP_CHARS = "".join(c for c in STRIP_CHARS if not "\x1c" <= c <= "\x1f")
 
 
+# int() and float() read any Unicode decimal digit (category Nd) as its
+# value; these two strings map each such digit to its ASCII digit (built from
+# the Unicode database by rule, 680 characters).
+import unicodedata as _ud  # noqa: E402
+
+_ND = [chr(c) for c in range(0x110000) if _ud.category(chr(c)) == "Nd"]
+UNICODE_DIGITS = "".join(c for c in _ND if not "0" <= c <= "9")
+ASCII_OF_DIGITS = "".join(str(_ud.digit(c)) for c in UNICODE_DIGITS)
+
+
 def _col(v) -> Column:
     return F.col(v) if isinstance(v, str) else v
 
 
+def ascii_digits(v) -> Column:
+    """Unicode decimal digits replaced by ASCII digits (no-op, and no copy,
+    for pure-ASCII text: its byte length equals its character length)."""
+    c = _col(v)
+    return F.when(F.length(c) == F.octet_length(c), c) \
+        .otherwise(F.translate(c, UNICODE_DIGITS, ASCII_OF_DIGITS))
+
+
 def _match(v, pattern: str) -> Column:
     # rlike(null) is null; a null value (short CSV row) matches nothing.
     return F.coalesce(_col(v).rlike(pattern), F.lit(False))
@@ -160,14 +181,14 @@ def _never(c: Column, *chars: str) -> Column:
 
 def _int_match(v) -> Column:
     # int() never takes '.', ':' or '/'
-    c = _col(v)
+    c = ascii_digits(v)
     return F.when(_first(c).isin(*_INT_START) & _never(c, ".", ":", "/"), _match(c, INT_RE)) \
         .otherwise(F.lit(False))
 
 
 def _float_match(v) -> Column:
     # float() never takes ':' or '/'
-    c = _col(v)
+    c = ascii_digits(v)
     return F.when(_first(c).isin(*_FLOAT_START) & _never(c, ":", "/"), _match(c, FLOAT_RE)) \
         .otherwise(F.lit(False))
 
@@ -235,13 +256,18 @@ def sql_match(x: str, kind: str) -> str:
     return f"coalesce(regexp_matches({x}, '{PATTERNS[kind]}'), false)"
 
 
+def sql_ascii_digits(x: str) -> str:
+    return f"translate({x}, '{UNICODE_DIGITS}', '{ASCII_OF_DIGITS}')"
+
+
 def sql_flags(x: str) -> dict[str, str]:
     blank = sql_match(x, "blank")
     ts = f"({blank} OR {sql_match(x, 'timestamp')})"
+    a = sql_ascii_digits(x)
     return {
         "blank": blank,
-        "int": f"({blank} OR {sql_match(x, 'int')})",
-        "float": f"({blank} OR {sql_match(x, 'int')} OR {sql_match(x, 'float')})",
+        "int": f"({blank} OR {sql_match(a, 'int')})",
+        "float": f"({blank} OR {sql_match(a, 'int')} OR {sql_match(a, 'float')})",
         "bool": sql_match(x, "bool"),
         "timestamp": ts,
         "string": f"(NOT {ts})",

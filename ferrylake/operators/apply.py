@@ -41,7 +41,7 @@ def _empty(v: Column) -> Column:
 # when a value is used more than once, so nothing is evaluated twice.
 
 def _helpers(v: Column, st: str) -> dict[str, Column]:
-    s = P.strip_ws(v)
+    s = P.strip_ws(P.ascii_digits(v)) if st in ("bigint", "double") else P.strip_ws(v)
     if st == "bigint":
         return {"e": _empty(v), "ok": P._int_match(v),
                 "s": F.replace(s, F.lit("_"), F.lit(""))}

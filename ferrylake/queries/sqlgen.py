@@ -40,9 +40,10 @@ def counts_sql(long: str, mode: str = "overlap") -> str:
         return (f"SELECT pos, {q('column')}, CAST(count(*) AS BIGINT) AS total, {sums} "
                 f"FROM ({long}) AS l GROUP BY pos, {q('column')}")
     blank = P.sql_match(v, "blank")
+    a = P.sql_ascii_digits(v)
     narrow = (f"CASE WHEN {v} IS NULL OR {blank} THEN NULL "
-              f"WHEN {P.sql_match(v, 'int')} THEN 'int' "
-              f"WHEN {P.sql_match(v, 'float')} THEN 'float' "
+              f"WHEN {P.sql_match(a, 'int')} THEN 'int' "
+              f"WHEN {P.sql_match(a, 'float')} THEN 'float' "
               f"WHEN {P.sql_match(v, 'bool')} THEN 'bool' "
               f"WHEN {P.sql_match(v, 'timestamp')} THEN 'timestamp' ELSE 'string' END")
     sums = [f"CAST(sum(CASE WHEN t IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_blank"]

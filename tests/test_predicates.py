@@ -109,3 +109,36 @@ def test_property_random_text(spark, values):
     got = _spark_flags(spark, values)
     for v in values:
         assert got[v][:4] == py_flags(v), repr(v)
+
+
+UNICODE_NUMBERS = ["١٢٣", " ١_٢ ", "𝟏.𝟓", "٣e٢", "١٢٣٤٥٦٧٨٩٠١٢٣٤٥٦٧٨٩٠١", "１２", "٣.", "-٧",
+                   "١٢a", "१२३", "٣:٤", "١/٢"]
+
+
+def test_unicode_digits_int_float(spark):
+    got = _spark_flags(spark, UNICODE_NUMBERS)
+    for v in UNICODE_NUMBERS:
+        assert got[v][:2] == py_flags(v)[:2], repr(v)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(v VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in UNICODE_NUMBERS])
+    f = P.sql_flags("v")
+    for v, i, fl in con.execute(f"SELECT v, {f['int']}, {f['float']} FROM t").fetchall():
+        assert (i, fl) == py_flags(v)[:2], repr(v)
+
+
+def test_unicode_digits_cast(spark):
+    from ferrylake.operators.apply import apply_schema
+    df = spark.createDataFrame([(v, v) for v in UNICODE_NUMBERS], "a string, b string")
+    rows = apply_schema(df, [("a", "int"), ("b", "float")]).collect()
+    for v, r in zip(UNICODE_NUMBERS, rows):
+        try:
+            exp_i = int(v)
+            exp_i = exp_i if -2**63 <= exp_i < 2**63 else None
+        except ValueError:
+            exp_i = None
+        try:
+            exp_f = float(v)
+        except ValueError:
+            exp_f = None
+        assert r["a"] == exp_i and r["b"] == exp_f, repr(v)
