@@ -21,10 +21,10 @@ Python semantics being reproduced:
   ``\\s+`` and rejects impossible calendar dates, year 0 and second 60/61.
 * blank (``v.strip() == ""``) counts as int, float and timestamp, not as bool.
 
-Unicode decimal digits count for int and float as in Python (they are
-mapped to ASCII digits first). Not covered: the few positions where
-``strptime`` itself accepts a non-ASCII digit (``%Y``, the second digit of
-``%d``/``%H``/``%M``/``%S``); such timestamps count as text here.
+Unicode decimal digits count as in Python: for int and float anywhere (they
+are mapped to ASCII digits first), for timestamps only where ``strptime``'s
+own groups take them (``%Y``, the second digit of ``%d``, ``%H``, ``%M``,
+``%S``).
 """
 
 from __future__ import annotations
@@ -112,12 +112,27 @@ TIMESTAMP_RE = (
     rf"|{_DMY}|{_MDY}){STRIP_WS}*$"
 )
 
+# The shape strptime itself accepts, where its own groups use \d (any Unicode
+# decimal digit): %Y, the second digit of %d, %H, %M, %S. Month, the first
+# digit of day and %f are ASCII. A non-ASCII text is a timestamp when it has
+# this shape AND its digits, mapped to ASCII, pass TIMESTAMP_RE (the calendar).
+_U = r"\p{Nd}"
+_SY = rf"{_U}{{4}}"
+_SM = r"(?:1[0-2]|0[1-9]|[1-9])"
+_SD = rf"(?:3[01]|[12]{_U}|0[1-9]|[1-9]| [1-9])"
+_STIME = rf"(?:2[0-3]|[01]{_U}|{_U}):(?:[0-5]{_U}|{_U}):(?:6[01]|[0-5]{_U}|{_U})"
+TIMESTAMP_SHAPE_RE = (
+    rf"^{STRIP_WS}*(?:{_SY}-{_SM}-{_SD}(?:{STRIP_WS}+{_STIME}|[Tt]{_STIME}(?:\.[0-9]{{1,6}})?)?"
+    rf"|{_SD}-{_SM}-{_SY}|{_SM}/{_SD}/{_SY}){STRIP_WS}*$"
+)
+
 PATTERNS = {
     "blank": BLANK_RE,
     "int": INT_RE,
     "float": FLOAT_RE,
     "bool": BOOL_RE,
     "timestamp": TIMESTAMP_RE,
+    "timestamp_shape": TIMESTAMP_SHAPE_RE,
 }
 
 
@@ -214,11 +229,16 @@ def is_bool(v) -> Column:
 
 
 def _ts_match(v) -> Column:
-    # Every format starts with a digit and has a '-' or a '/': the regex only
-    # runs on such values.
+    # Every format has a '-' or a '/' and (in ASCII) starts with a digit: the
+    # regex only runs on such values. Non-ASCII text must have strptime's
+    # shape and a valid calendar once its digits are mapped to ASCII.
     c = _col(v)
-    return F.when(_first(c).isin(*_DIGIT_START) & (c.contains("-") | c.contains("/")),
-                  _match(c, TIMESTAMP_RE)).otherwise(F.lit(False))
+    ascii_text = F.length(c) == F.octet_length(c)
+    return (F.when(~(c.contains("-") | c.contains("/")), F.lit(False))
+            .when(ascii_text, F.when(_first(c).isin(*_DIGIT_START), _match(c, TIMESTAMP_RE))
+                  .otherwise(F.lit(False)))
+            .otherwise(_match(c, TIMESTAMP_SHAPE_RE)
+                       & _match(ascii_digits(c), TIMESTAMP_RE)))
 
 
 def is_timestamp(v) -> Column:
@@ -262,8 +282,8 @@ def sql_ascii_digits(x: str) -> str:
 
 def sql_flags(x: str) -> dict[str, str]:
     blank = sql_match(x, "blank")
-    ts = f"({blank} OR {sql_match(x, 'timestamp')})"
     a = sql_ascii_digits(x)
+    ts = f"({blank} OR ({sql_match(x, 'timestamp_shape')} AND {sql_match(a, 'timestamp')}))"
     return {
         "blank": blank,
         "int": f"({blank} OR {sql_match(a, 'int')})",

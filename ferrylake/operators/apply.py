@@ -53,7 +53,7 @@ def _helpers(v: Column, st: str) -> dict[str, Column]:
     if st == "timestamp_ntz":
         ok = P._ts_match(v)
         return {"e": _empty(v), "ok": ok, "mdy": s.contains("/"),
-                "g": F.when(ok, F.regexp_extract_all(s, F.lit(r"(\d+)"), 1))}
+                "g": F.when(ok, F.regexp_extract_all(P.ascii_digits(s), F.lit(r"(\d+)"), 1))}
     return {}
 
 

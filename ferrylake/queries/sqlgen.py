@@ -45,7 +45,8 @@ def counts_sql(long: str, mode: str = "overlap") -> str:
               f"WHEN {P.sql_match(a, 'int')} THEN 'int' "
               f"WHEN {P.sql_match(a, 'float')} THEN 'float' "
               f"WHEN {P.sql_match(v, 'bool')} THEN 'bool' "
-              f"WHEN {P.sql_match(v, 'timestamp')} THEN 'timestamp' ELSE 'string' END")
+              f"WHEN {P.sql_match(v, 'timestamp_shape')} AND {P.sql_match(a, 'timestamp')} "
+              f"THEN 'timestamp' ELSE 'string' END")
     sums = [f"CAST(sum(CASE WHEN t IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_blank"]
     sums += [f"CAST(sum(CASE WHEN t = '{t}' THEN 1 ELSE 0 END) AS BIGINT) AS n_{t}"
              for t in P.TYPE_ORDER]

@@ -142,3 +142,41 @@ def test_unicode_digits_cast(spark):
         except ValueError:
             exp_f = None
         assert r["a"] == exp_i and r["b"] == exp_f, repr(v)
+
+
+UNICODE_TIMES = ["٢٠٢٤-01-05", "2024-٠١-05", "2024-1٥-05", "2024-01-1٥", "2024-01-3٠",
+                 "2024-01-05 1٢:3٠:٠٥", "2024-01-05 1٢:3٠:0٥", "٥-1-٢٠٢٤", "1/2/٢٠٢٤",
+                 "2024-02-2٩", "٢٠٢٣-02-29", "2024-01-05T٢:3:4.5", "2024-01-05T2:3:4.٥",
+                 "１２３４-01-01", "2024-01-05　"]
+
+
+def test_unicode_digits_timestamps(spark):
+    rng = random.Random(11)
+    alphabet = "0123456789٠١٢٣٤٥٦٧٨٩-/: T."
+    values = UNICODE_TIMES + ["".join(rng.choice(alphabet) for _ in range(rng.randint(6, 19)))
+                              for _ in range(3000)]
+    values += [f"20{a}{b}-0{c}-1{d}" for a in "2٢" for b in "4٤" for c in "2٢" for d in "9٩"]
+    values = sorted(set(values))
+    got = _spark_flags(spark, values)
+    bad = [v for v in values if got[v][:4] != py_flags(v)]
+    assert not bad, bad[:10]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(v VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?)", [(v,) for v in values])
+    f = P.sql_flags("v")
+    rows = con.execute(f"SELECT v, {f['timestamp']} FROM t").fetchall()
+    bad = [r[0] for r in rows if r[1] != py_flags(r[0])[3]]
+    assert not bad, bad[:10]
+    from ferrylake.operators.apply import cast_text
+    df = spark.createDataFrame([(v,) for v in UNICODE_TIMES], "v string")
+    for v, ts in df.select("v", cast_text("v", "timestamp").alias("ts")).collect():
+        if py_flags(v)[3]:
+            for fmt in P.TIMESTAMP_FORMATS:
+                try:
+                    exp = datetime.strptime(v.strip(), fmt)
+                    break
+                except ValueError:
+                    continue
+            assert ts == exp, v
+        else:
+            assert ts is None, v
