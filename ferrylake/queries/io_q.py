@@ -13,7 +13,8 @@ from ferrylake.plans import catalog as T
 from ferrylake.plans.ingest import ingest
 from ferrylake.queries import register
 from ferrylake.queries.profile_q import _sql_counts
-from ferrylake.queries.resolve_q import _ORDERS_AGG_SQL, typed_from_text
+from ferrylake.queries.resolve_q import (_ORDERS_AGG_SQL, REJECTS_EVENTS_SQL, spoiled_events,
+                                        typed_from_text)
 from ferrylake.queries.sqlgen import long_sql, profile_sql, q
 from ferrylake.session import scratch_path
 from ferrylake.sources import text as S
@@ -273,3 +274,17 @@ def list_databases(spark, sf_dir):
     dbs = T.list_databases(spark)
     name = dbs.columns[0]
     return dbs.filter(F.col(name).endswith(suffix)).select(F.col(name).alias("database"))
+
+
+# I1 + R7: events with spoiled values landed as CSV; the ingest votes their
+# types (exclusive), writes the typed table and reports what did not fit -
+# the same rejects as declaring the events' schema by hand.
+@register("ingest_rejects_events", REJECTS_EVENTS_SQL)
+def ingest_rejects_events(spark, sf_dir):
+    folder = scratch_path(spark, "events-landing")
+    S.write_text_table(spoiled_events(load(spark, sf_dir, "events")), folder, n_files=4)
+    run = ingest(spark, folder, scratch_path(spark, "lake"), database="lake_events",
+                 table="events " + folder.rsplit("-", 1)[-1], report_rejects=True)
+    if not run.success or "rejects" not in run.locations:
+        raise RuntimeError(f"ingest failed: {run.errors or run.next}")
+    return spark.read.parquet(run.locations["rejects"])

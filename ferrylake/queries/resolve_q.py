@@ -128,9 +128,12 @@ def _reject_sql(col, kind):
             f"FROM {_SPOILED_SQL} AS s WHERE {bad} GROUP BY {col}")
 
 
-@register("rejects_events", "\nUNION ALL ".join([
+REJECTS_EVENTS_SQL = "\nUNION ALL ".join([
     _reject_sql("event_id", "int"), _reject_sql("ts", "timestamp"),
-    _reject_sql("user_id", "int"), _reject_sql("value", "float")]))
+    _reject_sql("user_id", "int"), _reject_sql("value", "float")])
+
+
+@register("rejects_events", REJECTS_EVENTS_SQL)
 def rejects_events(spark, sf_dir):
     return R6.rejects(spoiled_events(load(spark, sf_dir, "events")), EVENTS_SCHEMA)
 
