@@ -140,3 +140,17 @@ def test_auto_plan_probe_keeps_counts(spark, monkeypatch):
     grouped = {tuple(r) for r in A.type_counts(df, pre_group=True).collect()}
     direct = {tuple(r) for r in A.type_counts(df, pre_group=False).collect()}
     assert auto == grouped == direct
+
+
+@pytest.mark.parametrize("mode", ["overlap", "exclusive"])
+def test_many_tables_equal_one_by_one(spark, mode):
+    names = ["region", "nation", "orders", "documents"]
+    tables = {t: load(spark, SF001, t) for t in names}
+    together = {tuple(r) for r in A.type_counts_tables(
+        tables, mode=mode, columns={t: TEXT_COLUMNS[t] for t in names},
+        direct={"documents": ["text"]}).collect()}
+    alone = set()
+    for t in names:
+        for r in A.type_counts(tables[t], mode=mode, columns=TEXT_COLUMNS[t]).collect():
+            alone.add((t, *tuple(r)))
+    assert together == alone
