@@ -183,7 +183,9 @@ _DIGIT_START = tuple("0123456789")
 
 
 def _first(v) -> Column:
-    return F.substring(strip_ws(v), 1, 1)
+    """First character after stripping, a Unicode digit shown as its ASCII
+    digit (a one-character translate, whatever the length of the text)."""
+    return F.translate(F.substring(strip_ws(v), 1, 1), UNICODE_DIGITS, ASCII_OF_DIGITS)
 
 
 def _never(c: Column, *chars: str) -> Column:
@@ -196,16 +198,16 @@ def _never(c: Column, *chars: str) -> Column:
 
 def _int_match(v) -> Column:
     # int() never takes '.', ':' or '/'
-    c = ascii_digits(v)
-    return F.when(_first(c).isin(*_INT_START) & _never(c, ".", ":", "/"), _match(c, INT_RE)) \
-        .otherwise(F.lit(False))
+    c = _col(v)
+    return F.when(_first(c).isin(*_INT_START) & _never(c, ".", ":", "/"),
+                  _match(ascii_digits(c), INT_RE)).otherwise(F.lit(False))
 
 
 def _float_match(v) -> Column:
     # float() never takes ':' or '/'
-    c = ascii_digits(v)
-    return F.when(_first(c).isin(*_FLOAT_START) & _never(c, ":", "/"), _match(c, FLOAT_RE)) \
-        .otherwise(F.lit(False))
+    c = _col(v)
+    return F.when(_first(c).isin(*_FLOAT_START) & _never(c, ":", "/"),
+                  _match(ascii_digits(c), FLOAT_RE)).otherwise(F.lit(False))
 
 
 def is_int(v) -> Column:
@@ -233,10 +235,9 @@ def _ts_match(v) -> Column:
     # regex only runs on such values. Non-ASCII text must have strptime's
     # shape and a valid calendar once its digits are mapped to ASCII.
     c = _col(v)
-    ascii_text = F.length(c) == F.octet_length(c)
     return (F.when(~(c.contains("-") | c.contains("/")), F.lit(False))
-            .when(ascii_text, F.when(_first(c).isin(*_DIGIT_START), _match(c, TIMESTAMP_RE))
-                  .otherwise(F.lit(False)))
+            .when(~_first(c).isin(*_DIGIT_START), F.lit(False))
+            .when(F.length(c) == F.octet_length(c), _match(c, TIMESTAMP_RE))
             .otherwise(_match(c, TIMESTAMP_SHAPE_RE)
                        & _match(ascii_digits(c), TIMESTAMP_RE)))
 
