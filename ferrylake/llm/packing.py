@@ -37,14 +37,17 @@ _PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Tokens:
-    """Token ids of texts, with a bounded cache of white-space-free chunks.
+    """Token ids of texts, with a bounded cache of blank-free chunks.
 
     The vocabulary's pre-tokeniser never joins characters across a blank, so the
     ids of a text are the ids of its blank-separated chunks in order; chunks
-    repeat, and each is encoded once while the cache holds it.
+    repeat, and each is encoded once while the cache holds it. It also parts
+    letters from a comma or full stop and lower-cases letters one by one, so
+    ``Word,`` needs only ``word`` and ``,`` to be encoded (a capital sigma, whose
+    lower case depends on its place in Python, is left to the tokeniser).
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 800_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
@@ -52,42 +55,94 @@ class Tokens:
 
     def _reset(self) -> None:
         self.index: dict[str, int] = {}
-        self.lengths = np.zeros(1024, np.int64)
-        self.starts = np.zeros(1024, np.int64)
-        self.flat = np.zeros(8192, np.uint32)
+        self.lengths = np.zeros(1 << 16, np.int64)
+        self.starts = np.zeros(1 << 16, np.int64)
+        self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
+        self.rows = 0
+
+    def _row(self, ids) -> int:
+        k, n = self.rows, len(ids)
+        if k == len(self.lengths):
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+        while self.used + n > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.starts[k], self.lengths[k] = self.used, n
+        self.flat[self.used:self.used + n] = ids
+        self.used += n
+        self.rows += 1
+        return k
+
+    def _ids_of(self, chunk: str) -> np.ndarray:
+        k = self.index[chunk]
+        return self.flat[self.starts[k]:self.starts[k] + self.lengths[k]]
 
     def _learn(self, chunks: list[str]) -> None:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        for chunk, e in zip(chunks, encoded, strict=True):
-            ids = e.ids
-            k = len(self.index)
-            if k >= len(self.lengths):
-                self.lengths = np.resize(self.lengths, 2 * k)
-                self.starts = np.resize(self.starts, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.index[chunk] = k
-            self.starts[k], self.lengths[k] = self.used, len(ids)
-            self.flat[self.used:self.used + len(ids)] = ids
-            self.used += len(ids)
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of ``text``, as uint32."""
-        chunks = (text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+        index, split, encode = self.index, [], {}
+        for c in chunks:
+            stem, tail = (c[:-1], c[-1]) if c[-1:] in (",", ".") else (c, "")
+            if stem.isalpha() and "\u03a3" not in stem:
+                stem = stem.lower()
+            else:
+                stem, tail = c, ""
+            split.append((c, stem, tail))
+            for part in (stem, tail):
+                if part and part not in index:
+                    encode[part] = None
+        encode = list(encode)
+        for part, e in zip(encode, self.tokenizer.encode_batch_fast(
+                encode, add_special_tokens=False), strict=True):
+            index[part] = self._row(e.ids)
+        for c, stem, tail in split:
+            if c not in index:
+                if tail:
+                    ids = np.concatenate([self._ids_of(stem), self._ids_of(tail)])
+                    index[c] = self._row(ids)
+                else:
+                    index[c] = index[stem] if stem else self._row([])
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, as uint32."""
         if len(self.index) > self.limit:
             self._reset()
         index = self.index
-        new = [c for c in dict.fromkeys(chunks) if c not in index]
+        chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+                  for t in texts]
+        new = {c for cs in chunks for c in cs if c not in index}
         if new:
-            self._learn(new)
-        rows = np.fromiter(map(index.__getitem__, chunks), np.int64, len(chunks))
+            self._learn(sorted(new))
+        return [self._gather(np.fromiter(map(index.__getitem__, cs), np.int64, len(cs)))
+                for cs in chunks]
+
+    def _gather(self, rows: np.ndarray) -> np.ndarray:
         n = self.lengths[rows]
-        total = int(n.sum())
-        if not total:
-            return np.empty(0, np.uint32)
-        begin = np.repeat(self.starts[rows] - (np.cumsum(n) - n), n)
-        return self.flat[begin + np.arange(total)]
+        ends = np.cumsum(n)
+        begin = np.repeat(self.starts[rows] - (ends - n), n)
+        return self.flat[begin + np.arange(len(begin))]
+
+
+_TOKENS: dict[str, Tokens] = {}
+
+
+def tokens_of(path: str) -> Tokens:
+    """One cache per Python worker, kept over its tasks."""
+    if path not in _TOKENS:
+        _TOKENS[path] = Tokens(path)
+    return _TOKENS[path]
+
+
+def text_runs(texts, chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) in runs of about ``chars`` characters."""
+    run, first, size = [], 0, 0
+    for k, t in enumerate(texts):
+        run.append(t or "")
+        size += len(run[-1])
+        if size >= chars:
+            yield first, run
+            run, first, size = [], k + 1, 0
+    if run:
+        yield first, run
 
 
 def text_pieces(ids: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
@@ -107,17 +162,18 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = Tokens(tokenizer_path)
+        tok = tokens_of(tokenizer_path)
         end = np.array([end_id], np.uint32)
         for b in batches:
-            ids, out = [], []
-            for doc, t in zip(b["doc_id"], b["text"], strict=True):
-                for p in text_pieces(np.concatenate([tok.ids(t or ""), end]), size):
-                    ids.append(doc)
-                    out.append(p)
+            docs = b["doc_id"].astype("Int64")
+            rows, out = [], []
+            for first, texts in text_runs(b["text"]):
+                for k, ids in enumerate(tok.batch(texts)):
+                    for p in text_pieces(np.concatenate([ids, end]), size):
+                        rows.append(first + k)
+                        out.append(p)
             frame = pd.DataFrame(out, columns=["piece", "start", "length", "ids_crc32"])
-            frame.insert(0, "doc_id", pd.array([None if pd.isna(x) else int(x) for x in ids],
-                                               dtype="Int64"))
+            frame.insert(0, "doc_id", docs.iloc[rows].array)
             yield frame
 
     return d.mapInPandas(run, _PIECES)

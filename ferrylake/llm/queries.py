@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylake.llm import packing, quality, sharding
+from ferrylake.llm import decontaminate, lm, packing, quality, sharding
 from ferrylake.llm.common import load, written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,40 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows found in every document."""
+    found = decontaminate.contaminated(load(spark, sf_dir, "documents"),
+                                       load(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+ORACLE["op2_decontamination"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, array_to_string(ws[i:i+9], ' ') AS k, least(len(ws), 10) AS n
+       FROM b, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS u(i) WHERE len(ws) > 0),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT rid, i, n, array_to_string(ws[i:i+n-1], ' ') AS k
+       FROM d, sizes, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS u(i)
+       WHERE len(ws) >= n),
+f AS (SELECT rid, i, dw.n, item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit
+      FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM f) GROUP BY rid),
+s AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+      FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item FROM f) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN s USING (rid)
+"""
+
+
 @query
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequence and offset."""
@@ -85,6 +119,12 @@ def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document."""
+    return lm.score(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
