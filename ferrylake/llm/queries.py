@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylake.llm import decontaminate, lm, packing, quality, sharding
+from ferrylake.llm import decontaminate, lm, neardup, packing, pii, quality, sharding
 from ferrylake.llm.common import load, written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+@query
+def op1_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest doc_id of its near-duplicate class."""
+    return neardup.classes(load(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 @query
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows found in every document."""
@@ -60,6 +66,12 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN s USING (rid)
 """
 
 
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.report(pii.find(load(spark, sf_dir, "documents")))
+
+
 @query
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequence and offset."""
