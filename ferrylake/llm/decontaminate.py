@@ -168,14 +168,34 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
     """One row per document row: (key, doc_id, n_words, n_hit, n_items, item_ids,
     items_sha256, contaminated)."""
     distinct, of_item = windows(items, item_id, item_text, size)
-    terms = term_table(distinct)
-    index = postings(docs, terms, doc_id, doc_text)
-    rare = anchors(distinct, terms, index)
-    places = written(candidates(index, rare), "places")
-    found = written(exact_matches(docs, places, distinct, doc_id, doc_text), "matches")
+    index, found = search(docs, distinct, doc_id, doc_text)
     return report(index, found, of_item)
 
 
+def search(docs: DataFrame, distinct: DataFrame, id: str = "doc_id",
+           text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The index of ``docs`` and the exact matches of the windows in it."""
+    terms = term_table(distinct)
+    index = postings(docs, terms, id, text)
+    places = written(candidates(index, anchors(distinct, terms, index)), "places")
+    return index, written(exact_matches(docs, places, distinct, id, text), "matches")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id",
+                         doc_text: str = "text", item_id: str = "item_id",
+                         item_text: str = "text", size: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` (all columns) in which no window of an item occurs."""
+    distinct, _ = windows(items, item_id, item_text, size)
+    _, found = search(docs, distinct, doc_id, doc_text)
+    hit = checkpointed(found.select(F.col("key").alias("_hit")).distinct())
+    names = docs.columns
+    own = F.xxhash64(F.col(f"`{doc_id}`").cast("string"), F.col(f"`{doc_text}`"))
+    d = docs.select(*[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(names)],
+                    own.alias("_own"))
+    kept = bounded_join(d, hit, F.col("_own") == F.col("_hit"), "left_anti")
+    return kept.select(*[F.col(f"_in_{i}").alias(c) for i, c in enumerate(names)])
+
+
 def report(index: DataFrame, found: DataFrame, of_item: DataFrame) -> DataFrame:
     covered = F.array_distinct(F.flatten(F.transform(
         F.collect_set(F.struct("start", "len")),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylake.llm import decontaminate, lm, neardup, packing, pii, quality, sharding
+from ferrylake.llm import (decontaminate, htmltext, lm, neardup, packing, pii, quality,
+                           sharding, urlfilter, warc)
 from ferrylake.llm.common import load, written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +67,13 @@ FROM d LEFT JOIN h USING (rid) LEFT JOIN s USING (rid)
 """
 
 
+@query
+def op3_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    t = htmltext.texts(load(spark, sf_dir, "pages"))
+    return t.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""
@@ -123,6 +131,26 @@ FROM f JOIN b ON f.source IS NOT DISTINCT FROM b.source
 """
 
 
+@query
+def op7_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return urlfilter.judge(load(spark, sf_dir, "pages")).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+@query
+def op8_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The response behind every not-modified revisit of records made from all
+    pages, with its merged headers."""
+    records = warc.captures_of_pages(load(spark, sf_dir, "pages"))
+    r = warc.resolve(warc.parse_records(records))
+    headers = F.array_sort(F.map_entries("headers"))
+    lines = F.transform(headers, lambda h: F.concat_ws(": ", h["key"], h["value"]))
+    return r.select("record_id", F.floor(F.col("record_id") / 10).alias("page_id"), "curl", "ts",
+                    "status", F.floor(F.col("original_id") / 10).alias("original_page_id"),
+                    "original_ts", F.array_join(lines, "\n").alias("headers"))
+
+
 @query
 def op9_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document."""
