@@ -146,7 +146,8 @@ def scores(urls: DataFrame, counts: DataFrame, order: int, keep: list[str]) -> D
 
 def threshold(held: DataFrame) -> float:
     """The score above which blocking gives the highest balanced accuracy on
-    labelled URLs (score, is_bad); only one row per score class is gathered."""
+    labelled URLs (score, is_bad), in the middle between the score classes it
+    parts; only one row per score class is gathered."""
     bins = (held.groupBy(F.floor(F.col("score") / STEP).alias("bin"))
             .agg(F.sum(F.col("is_bad").cast("long")).alias("bad"),
                  F.sum((~F.col("is_bad")).cast("long")).alias("good")))
@@ -157,13 +158,14 @@ def threshold(held: DataFrame) -> float:
     bad, good = sum(r["bad"] for r in rows), sum(r["good"] for r in rows)
     if not bad or not good:
         return 0.0
-    best, cut, passed_bad, passed_good = -1.0, 0.0, 0, 0
+    best, cut, passed_bad, passed_good, below = -1.0, 0.0, 0, 0, rows[0]["bin"] - 1
     for r in rows:
         accuracy = ((bad - passed_bad) / bad + passed_good / good) / 2
-        if accuracy > best:
-            best, cut = accuracy, r["bin"] * STEP
+        if accuracy > best:                   # the middle of the gap below this class
+            best, cut = accuracy, (below + 1 + r["bin"]) / 2 * STEP
         passed_bad += r["bad"]
         passed_good += r["good"]
+        below = r["bin"]
     return cut
 
 
