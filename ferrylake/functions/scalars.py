@@ -29,6 +29,8 @@ CATALOG_TYPE_GROUPS = [
 ]
 CATALOG_DEFAULT = "string"
 PARQUET_PREFIX = "processed/"
+# what a slug replaces, in order (F1): (pattern, replacement)
+SLUG_STEPS = ((r"[ \-]+", "_"), (r"[^a-z0-9_]", ""), (r"^_+", ""))
 # ---------------------------------------------------------------------------
 
 
@@ -46,9 +48,8 @@ def slugify(name, prefix: str = "obj") -> Column:
     """
     n = _col(name)
     s = F.lower(strip_ws(n))
-    s = F.regexp_replace(s, r"[ \-]+", "_")
-    s = F.regexp_replace(s, r"[^a-z0-9_]", "")
-    s = F.regexp_replace(s, r"^_+", "")
+    for pattern, new in SLUG_STEPS:
+        s = F.regexp_replace(s, pattern, new)
     fallback = F.concat(F.lit(f"{prefix}_"),
                         F.substring(F.md5(F.coalesce(n, F.lit(""))), 1, 8))
     return (F.when(n.isNull() | (n == "") | (s == ""), fallback)
@@ -136,6 +137,12 @@ def to_json_row(*cols) -> Column:
 
 
 def json_args(col) -> Column:
-    """JSON object text -> map<string,string>; broken text -> empty map."""
-    return F.coalesce(F.from_json(_col(col), "map<string,string>"),
-                      F.create_map().cast("map<string,string>"))
+    """JSON object text -> map<string,string>; broken text (also single-quoted
+    names or anything after the object) -> empty map."""
+    none = F.create_map().cast("map<string,string>")
+    # inside an array, the parser meets what follows the object and refuses it
+    whole = F.from_json(F.concat(F.lit("["), _col(col), F.lit("]")), "array<map<string,string>>",
+                        {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    return F.coalesce(F.when((F.size(whole) == 1) & F.ltrim(_col(col)).startswith("{")
+                             & F.rtrim(_col(col)).endswith("}"),
+                             F.get(whole, 0)), none)

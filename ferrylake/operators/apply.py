@@ -109,10 +109,9 @@ def _typed_frame(df: DataFrame, types: dict[str, str], keep_text: bool) -> tuple
 
 def apply_schema(df: DataFrame, schema) -> DataFrame:
     """The table with its settled types, in its own column order; columns
-    the schema does not name stay text."""
-    from ferrylake.operators.profile import spread
+    the schema does not name stay text. A projection: nothing is shuffled."""
     types = dict(schema_pairs(schema))
-    staged, typed = _typed_frame(spread(df), types, keep_text=False)
+    staged, typed = _typed_frame(df, types, keep_text=False)
     return staged.select([F.col(typed[c]).alias(c) if c in typed else F.col(f"`{c}`")
                           for c in df.columns])
 
@@ -128,8 +127,7 @@ def rejects(df: DataFrame, schema) -> DataFrame:
     checked = [c for c in df.columns if c in types and spark_type(types[c]) != "string"]
     if not checked:
         return df.sparkSession.createDataFrame([], "column string, value string, n bigint")
-    from ferrylake.operators.profile import spread
-    staged, typed = _typed_frame(spread(df.select(*[F.col(f"`{c}`") for c in checked])),
+    staged, typed = _typed_frame(df.select(*[F.col(f"`{c}`") for c in checked]),
                                  {c: types[c] for c in checked}, keep_text=True)
     items = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value"),

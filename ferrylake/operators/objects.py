@@ -12,6 +12,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ferrylake.session import ensure_checkpoint_dir
+
 DELETE_BATCH = 1000  # fixed value: keys per delete call
 
 INVENTORY_SCHEMA = "container string, key string, size bigint, mtime timestamp"
@@ -60,7 +62,7 @@ def plan_copy(src: DataFrame, dst_container: str | None = None,
     ``dst_key`` is the source key under ``dst_prefix`` (with the source
     container as a folder when ``keep_container``)."""
     if dst_container is None:
-        raise ValueError("Destination does not exist. Create it first.")
+        raise ValueError("a copy plan needs a destination container")
     rel = F.concat(F.col("container"), F.lit("/"), F.col("key")) if keep_container else F.col("key")
     plan = src.select("container", "key", "size",
                       F.lit(dst_container).alias("dst_container"),
@@ -104,13 +106,19 @@ def sequence_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     if stable:
+        ensure_checkpoint_dir(spark)
         tagged = tagged.checkpoint(eager=True)
     stats = tagged.groupBy(*group, "_pid").agg(
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.select(*group, "_pid", "_first",
                            F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    out = tagged.join(offsets, [*group, "_pid"])
+    offsets = offsets.select(F.col("_pid").alias("_p"), "_first", "_before",
+                             *[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group)])
+    same = F.col("_pid") == F.col("_p")
+    for i, g in enumerate(group):             # a null group is a group like any other
+        same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}"))
+    out = tagged.join(offsets, same).drop("_p", *[f"_g{i}" for i in range(len(group))])
     return out.withColumn(name, (F.col("_before") + F.col("_mid") - F.col("_first") + 1)
                           .cast("bigint")).drop("_pid", "_mid", "_first", "_before")
 

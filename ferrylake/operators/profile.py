@@ -1,21 +1,18 @@
 """Type profile of a text table.
 
-Plan shape (``type_counts``):
-
-    scan (only the profiled columns) -> [spread if fewer splits than cores]
-    -> cast to text -> unpivot (inline generator, no shuffle) -> [partial
-    count per (column, value) -> shuffle of distinct values] -> classify ->
-    partial sum per column -> one tiny shuffle of #columns rows per map task.
-
-Pre-grouping classifies each distinct value once: the partial aggregate
-collapses repeated values inside each map task before the shuffle, and a hot
-value (one key holding a third of all rows) reaches its reducer as one row per
-map task. Columns in ``direct`` skip the pre-grouping and are classified value
-by value with no shuffle of values at all - the right plan for near-unique
-columns (keys, prices, long text), where grouping would move every value
-across the network for nothing. ``pre_group="auto"`` (default) finds those
-columns with one small probe job over the first rows; the counts are exact
-whatever plan is chosen.
+Plan shape (``type_counts``), the same at every size:
+
+    scan (only the profiled columns) -> cast to text -> unpivot (inline
+    generator, no shuffle) -> classify each value -> partial sum per column ->
+    one tiny shuffle of #columns rows per map task.
+
+No value crosses the network, so neither a hot value nor a near-unique column
+matters. ``pre_group=True`` is an explicit choice for wide tables of few
+distinct values: it counts equal values first, inside each map task and then
+over a shuffle of distinct values, and classifies each distinct value once;
+columns in ``direct`` are left out of that. ``partitions=n`` deals the rows of
+an input with too few splits (one small file, one row group) over n tasks; it is
+never implied. The counts are exact whatever is chosen.
 """
 
 from __future__ import annotations
@@ -35,9 +32,14 @@ SHARE_COLS = [f"p_{t}" for t in P.TYPE_ORDER]
 
 
 def text_columns(df: DataFrame) -> list[str]:
-    """Columns that have a text form (nested and binary columns are left out)."""
+    """All columns; an error if one has no text form (nested or binary): name the
+    columns to profile instead, so that none is left out unseen."""
     skip = (T.ArrayType, T.MapType, T.StructType, T.BinaryType)
-    return [f.name for f in df.schema.fields if not isinstance(f.dataType, skip)]
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, skip)]
+    if nested:
+        raise ValueError(f"columns without a text form: {', '.join(nested)}; "
+                         "pass columns= to choose the others")
+    return df.columns
 
 
 def as_text(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -55,28 +57,9 @@ def _sql_str(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of ``df`` (from file sizes; no job)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - unknown size: treat as large
-        return 1 << 62
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over at least the cluster's cores when the input
-    has fewer splits (a small file is one split); a no-op for large inputs,
-    which already have many more splits than cores."""
-    if df.isStreaming:
-        return df
-    spark = df.sparkSession
-    n = min_partitions or spark.sparkContext.defaultParallelism
-    # splits estimated from the optimizer's size (no planning of the scan)
-    split = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")
-    split_bytes = int(split) if split.isdigit() else 128 << 20
-    if estimated_bytes(df) // max(split_bytes, 1) + 1 < n:
-        return df.repartition(n)
-    return df
+def dealt(df: DataFrame, partitions: int | None) -> DataFrame:
+    """``df`` dealt round-robin over ``partitions`` tasks, if the caller says so."""
+    return df.repartition(partitions) if partitions and not df.isStreaming else df
 
 
 def _unpivot(text: DataFrame, cols: Sequence[str], table: str | None = None) -> DataFrame:
@@ -142,73 +125,21 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
-PROBE_ROWS = 20000
-NEAR_UNIQUE = 0.5
-PROBE_MIN_BYTES = 256 << 20  # below this the choice of plan hardly matters
-
-
-def _probe(df: DataFrame, cols: Sequence[str], label: str, probe_rows: int) -> DataFrame:
-    probe = df.select(*[F.col(f"`{c}`") for c in cols]).limit(probe_rows)
-    agg = probe.agg(F.count(F.lit(1)).alias("__n"),
-                    *[F.approx_count_distinct(F.col(f"`{c}`"), 0.05).alias(f"__d{i}")
-                      for i, c in enumerate(cols)])
-    return agg.select(F.inline(F.array(*[
-        F.struct(F.lit(label).alias("table"), F.lit(c).alias("column"),
-                 F.try_divide(F.col(f"__d{i}"), F.col("__n")).alias("ratio"))
-        for i, c in enumerate(cols)])))
-
-
-def near_unique_columns_tables(tables: dict[str, DataFrame], columns: dict[str, Sequence[str]],
-                               probe_rows: int = PROBE_ROWS,
-                               threshold: float = NEAR_UNIQUE) -> dict[str, list[str]]:
-    """Per table, the columns whose values look nearly all distinct in the
-    first ``probe_rows`` rows. One small job for all tables; it only picks
-    the plan (the counts stay exact): pre-grouping such a column would
-    shuffle every value for nothing. Tables whose estimated size is under
-    ``PROBE_MIN_BYTES`` are not probed (their shuffle is small either way)."""
-    parts = [_probe(df, columns[t], t, probe_rows) for t, df in tables.items()
-             if not df.isStreaming and columns.get(t)
-             and estimated_bytes(df.select(*[F.col(f"`{c}`") for c in columns[t]]))
-             >= PROBE_MIN_BYTES]
-    out: dict[str, list[str]] = {t: [] for t in tables}
-    if not parts:
-        return out
-    probe = parts[0]
-    for p in parts[1:]:
-        probe = probe.unionByName(p)
-    for r in probe.collect():  # one row per column: bounded by the tables' width
-        if r["ratio"] is not None and r["ratio"] > threshold:
-            out[r["table"]].append(r["column"])
-    return out
-
-
-def near_unique_columns(df: DataFrame, cols: Sequence[str], probe_rows: int = PROBE_ROWS,
-                        threshold: float = NEAR_UNIQUE) -> list[str]:
-    return near_unique_columns_tables({"t": df}, {"t": list(cols)}, probe_rows, threshold)["t"]
-
-
-def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool | str = "auto",
+def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool = False,
                 direct: Iterable[str] = (), columns: Sequence[str] | None = None,
-                already_text: bool = False) -> DataFrame:
+                already_text: bool = False, partitions: int | None = None) -> DataFrame:
     """A1: per column ``(pos, column, total, n_blank, n_int, n_float, n_bool,
     n_timestamp, n_string)``.
 
     ``overlap`` (default) is the reference's vote: a value adds to every type
     it parses as, and string means "not a timestamp". ``exclusive`` gives each
     non-blank value only its narrowest type.
-
-    ``pre_group="auto"`` adds the columns that look nearly unique (probe of
-    the first rows) to ``direct``.
     """
     cols = list(columns) if columns is not None else text_columns(df)
     if not cols:
         raise ValueError("table has no columns to profile")
-    if pre_group == "auto":
-        direct = list(direct) + near_unique_columns(
-            df, [c for c in cols if c not in set(direct)])
-        pre_group = True
-    # spread the typed columns (smaller than their text), then cast
-    picked = spread(df.select(*[F.col(f"`{c}`") for c in cols]))
+    # deal the typed columns (smaller than their text), then cast
+    picked = dealt(df.select(*[F.col(f"`{c}`") for c in cols]), partitions)
     text = picked if already_text else as_text(picked, cols)
     direct = [c for c in direct if c in cols] if pre_group else []
     grouped = [c for c in cols if c not in direct]
@@ -221,26 +152,21 @@ def type_counts(df: DataFrame, mode: str = "overlap", pre_group: bool | str = "a
 
 
 def type_counts_tables(tables: dict[str, DataFrame], mode: str = "overlap",
-                       pre_group: bool | str = "auto",
+                       pre_group: bool = False,
                        direct: dict[str, Sequence[str]] | None = None,
-                       columns: dict[str, Sequence[str]] | None = None) -> DataFrame:
+                       columns: dict[str, Sequence[str]] | None = None,
+                       partitions: int | None = None) -> DataFrame:
     """A1 over many tables in one plan: ``(table, pos, column, ...counts)``.
 
-    All tables' values flow through the same two aggregations (one shuffle of
-    distinct values, one tiny shuffle of counts) instead of one chain of
-    stages per table."""
+    All tables' values flow through the same aggregations (one tiny shuffle of
+    counts, with ``pre_group`` also one of distinct values) instead of one
+    chain of stages per table."""
     direct = {t: list(v) for t, v in (direct or {}).items()}
-    columns = {t: list(columns.get(t) or text_columns(df)) for t, df in tables.items()} \
-        if columns else {t: text_columns(df) for t, df in tables.items()}
-    if pre_group == "auto":
-        found = near_unique_columns_tables(
-            tables, {t: [c for c in columns[t] if c not in direct.get(t, [])] for t in tables})
-        direct = {t: direct.get(t, []) + found[t] for t in tables}
-        pre_group = True
+    columns = columns or {}
     grouped, straight, pos_entries = [], [], []
     for name, df in tables.items():
         cols = list(columns.get(name) or text_columns(df))
-        text = as_text(spread(df.select(*[F.col(f"`{c}`") for c in cols])), cols)
+        text = as_text(dealt(df.select(*[F.col(f"`{c}`") for c in cols]), partitions), cols)
         d = [c for c in direct.get(name, ()) if c in cols] if pre_group else []
         g = [c for c in cols if c not in d]
         if g:
@@ -281,6 +207,7 @@ def ambiguity(best: DataFrame, threshold: float = AMBIGUITY_THRESHOLD) -> DataFr
     reason text lists them the way the reference prints a Python list."""
     th = F.lit(float(threshold))
     high = [F.when(F.col(f"p_{t}") > th, F.lit(f"'{t}'")) for t in P.TYPE_ORDER]
+    # fixed value: the text before the list is part of the compared output
     n_high = sum((F.when(F.col(f"p_{t}") > th, 1).otherwise(0) for t in P.TYPE_ORDER),
                  F.lit(0))
     amb = n_high > 1
@@ -346,7 +273,7 @@ def infer_schema(df: DataFrame, mode: str = "overlap",
     default profiles the whole table.
     """
     if not df.columns:
-        raise ValueError("Could not detect CSV header")
+        raise ValueError("the table has no columns: is there a header row?")
     if sample is not None:
         from ferrylake.sources.text import sample_rows
         df = sample_rows(df, sample, order_by)
@@ -354,7 +281,7 @@ def infer_schema(df: DataFrame, mode: str = "overlap",
     # One action; the result has one row per column, never per data row.
     rows = prof.orderBy("pos").collect()
     if not rows or rows[0]["total"] == 0:
-        raise ValueError("CSV has no data rows")
+        raise ValueError("the table has a header but no rows")
     spark = df.sparkSession
     small = spark.createDataFrame(rows, prof.schema)
     cols = [{"Name": r["column"], "Type": r["type"], "Confidence": r["confidence"]}

@@ -23,25 +23,39 @@ def open_columns(prof: DataFrame) -> DataFrame:
     return prof.filter(F.col("ambiguous")).select("pos", "column").orderBy("pos")
 
 
-def _normalized_choices(choices: DataFrame) -> DataFrame:
-    """One normalized choice per column; with a ``seq`` column the last wins."""
+def _valid_choices(choices: DataFrame) -> DataFrame:
+    """One valid normalized choice per column: choices outside the five types are
+    set aside first; of the others the last wins if there is a ``seq`` column,
+    else the last type by name (``contradictions`` lists such columns)."""
     c = choices.select(F.col("column"), normalize_type(F.col("type")).alias("choice"),
                        *(["seq"] if "seq" in choices.columns else []))
+    c = c.filter(F.col("choice").isin(*VALID_CHOICES))
     if "seq" in c.columns:
         return c.groupBy("column").agg(F.max_by("choice", "seq").alias("choice"))
     return c.groupBy("column").agg(F.max("choice").alias("choice"))
 
 
-def invalid_choices(choices: DataFrame, prof: DataFrame | None = None) -> DataFrame:
-    """Choices that cannot be applied: a type outside the five, or (with a
-    profile) a column the table does not have."""
+def contradictions(choices: DataFrame) -> DataFrame:
+    """Columns with more than one valid type among their choices."""
+    c = choices.select("column", normalize_type(F.col("type")).alias("choice")).filter(
+        F.col("choice").isin(*VALID_CHOICES))
+    return c.groupBy("column").agg(F.sort_array(F.collect_set("choice")).alias("types")).filter(
+        F.size("types") > 1)
+
+
+def invalid_choices(choices: DataFrame, names: DataFrame | Sequence[str] | None = None
+                    ) -> DataFrame:
+    """Choices that cannot be applied: a type outside the five, or (with the
+    table's column names, or a profile that has them) a column it does not have."""
     c = choices.select("column", F.col("type"), normalize_type(F.col("type")).alias("choice"))
     bad_type = c.filter(~F.col("choice").isin(*VALID_CHOICES)).select(
         "column", "type", F.lit("unknown type").alias("problem"))
-    if prof is None:
+    if names is None:
         return bad_type
-    unknown = c.filter(F.col("choice").isin(*VALID_CHOICES)).join(
-        prof.select("column"), "column", "left_anti").select(
+    known = c.filter(F.col("choice").isin(*VALID_CHOICES))
+    known = known.join(names.select("column"), "column", "left_anti") \
+        if isinstance(names, DataFrame) else known.filter(~F.col("column").isin(*names))
+    unknown = known.select(
         "column", "type", F.lit("unknown column").alias("problem"))
     return bad_type.unionByName(unknown)
 
@@ -49,7 +63,7 @@ def invalid_choices(choices: DataFrame, prof: DataFrame | None = None) -> DataFr
 def resolve(prof: DataFrame, choices: DataFrame) -> DataFrame:
     """R2: a valid choice replaces the guessed type with confidence 1.0; the
     column is then no longer open."""
-    valid = _normalized_choices(choices).filter(F.col("choice").isin(*VALID_CHOICES))
+    valid = _valid_choices(choices)
     j = prof.join(valid, "column", "left")
     chosen = F.col("choice").isNotNull()
     cols = [c for c in prof.columns if c not in ("type", "confidence", "ambiguous")]
@@ -63,7 +77,7 @@ def resolve(prof: DataFrame, choices: DataFrame) -> DataFrame:
 
 def open_after_choices(prof: DataFrame, choices: DataFrame) -> DataFrame:
     """Open columns that no valid choice settles (left anti join)."""
-    valid = _normalized_choices(choices).filter(F.col("choice").isin(*VALID_CHOICES))
+    valid = _valid_choices(choices)
     return open_columns(prof).join(valid.select("column"), "column", "left_anti") \
         .select("pos", "column")
 
@@ -94,11 +108,11 @@ def schema_or_resolved(columns, spark: SparkSession | None = None, store: str |
             return [{"Name": r["name"], "Type": r["type"]} for r in rows]
         return [dict(c) for c in columns]
     if spark is None or store is None or dataset is None:
-        raise ValueError("No resolved schema available to create table. Run schema inference first.")
+        raise ValueError("no settled schema is stored for this dataset: infer and settle it first")
     from ferrylake.sources.schema_store import load_schema
     rows = load_schema(spark, store, dataset).orderBy("pos").collect()
     if not rows:
-        raise ValueError("No resolved schema available to create table. Run schema inference first.")
+        raise ValueError("no settled schema is stored for this dataset: infer and settle it first")
     return [{"Name": r["name"], "Type": r["type"], "Confidence": r["confidence"]} for r in rows]
 
 

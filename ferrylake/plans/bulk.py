@@ -6,14 +6,21 @@ Rules that keep the jobs safe on a cluster that loses executors:
   listed again on a retry and could differ.
 * Copy overwrites its target, delete of an absent key is success: a task that
   is retried repeats its work with the same outcome.
+* A copy is done only if it has as many bytes as its source; on local and
+  Hadoop file systems it is written under another name and renamed, so a failed
+  or doubled attempt never leaves a short target. An object is never copied
+  onto itself, and a tree never into itself.
 * A move deletes only originals whose copy the *written* copy ledger reports
   as done (left semi join), never "the first n keys".
-* The work is spread by key hash (copy) or by delete batch (at most 1000 keys
-  per group), so no task holds a whole container.
+* The work is spread by the hash of container and key (copy) or by delete batch
+  (at most 1000 keys per group), so no task holds a whole container, nor all
+  objects of one name.
 """
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
 from typing import Iterator
 
 import pandas as pd
@@ -23,7 +30,7 @@ from pyspark.sql import functions as F
 from ferrylake.functions.scalars import dest_key
 from ferrylake.operators import objects as O
 from ferrylake.session import scratch_path, ship_package
-from ferrylake.sources.inventory import filesystem, object_inventory
+from ferrylake.sources.inventory import filesystem, kind_of, object_inventory
 
 LEDGER_SCHEMA = ("container string, key string, dst_container string, dst_key string, "
                  "status string, error string, bytes bigint")
@@ -43,17 +50,34 @@ def _join(base: str, key: str) -> str:
 
 
 def _copy_one(src_fs, src, dst_fs, dst) -> int:
+    """Copy one object and return its size; an error if the copy has another one.
+    Within one store the store copies (no byte passes through here)."""
+    if src_fs.equals(dst_fs) and src_fs.normalize_path(src) == dst_fs.normalize_path(dst):
+        raise ValueError("source and target are the same object")
+    size = src_fs.get_file_info(src).size
+    if size is None:
+        raise FileNotFoundError(src)
+    renames = dst_fs.type_name in ("local", "hdfs")     # object stores put whole objects
     parent = dst.rsplit("/", 1)[0]
-    if parent:
+    if parent and renames:
         dst_fs.create_dir(parent, recursive=True)
-    n = 0
-    with src_fs.open_input_stream(src) as fin, dst_fs.open_output_stream(dst) as fout:
-        while True:
-            buf = fin.read(CHUNK)
-            if not buf:
-                break
-            fout.write(buf)
-            n += len(buf)
+    to = f"{parent}/.{uuid.uuid4().hex}.part" if renames else dst
+    try:
+        if src_fs.equals(dst_fs):
+            dst_fs.copy_file(src, to)
+        else:
+            with src_fs.open_input_stream(src) as fin, dst_fs.open_output_stream(to) as fout:
+                while buf := fin.read(CHUNK):
+                    fout.write(buf)
+        n = dst_fs.get_file_info(to).size
+        if n != size:
+            raise OSError(f"{n} of {size} bytes copied")
+        if renames:
+            dst_fs.move(to, dst)
+    except Exception:
+        if renames and dst_fs.get_file_info(to).size is not None:
+            dst_fs.delete_file(to)
+        raise
     return n
 
 
@@ -67,11 +91,14 @@ def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for pdf in batches:
         out = []
-        for c, k, dc, dk in zip(pdf["container"], pdf["key"], pdf["dst_container"], pdf["dst_key"]):
+        for c, k, dc, dk, size in zip(pdf["container"], pdf["key"], pdf["dst_container"],
+                                      pdf["dst_key"], pdf["size"]):
             try:
                 sfs, sbase = fs_of(c)
                 dfs, dbase = fs_of(dc)
                 n = _copy_one(sfs, _join(sbase, k), dfs, _join(dbase, dk))
+                if not pd.isna(size) and n != int(size):
+                    raise OSError(f"{n} bytes now, {int(size)} when it was planned")
                 out.append((c, k, dc, dk, "ok", None, n))
             except Exception as e:  # noqa: BLE001 - one failure must not stop the rest
                 out.append((c, k, dc, dk, "failed", f"{type(e).__name__}: {e}", 0))
@@ -87,32 +114,41 @@ def run_copy(spark: SparkSession, plan_path: str, ledger_path: str | None = None
              parallelism: int | None = None) -> DataFrame:
     """Copy every planned object, carry on after failures; the ledger
     ``(container, key, dst_container, dst_key, status, error, bytes)`` is
-    written and returned. Work is spread by key hash over ``parallelism``
+    written and returned. If the plan has sizes, an object that has another one by
+    now is a failure. Work is spread by container and key over ``parallelism``
     tasks (default: the shuffle partitions)."""
     ship_package(spark)
-    plan = spark.read.parquet(plan_path).select("container", "key", "dst_container", "dst_key")
-    spread = plan.repartition(parallelism, "key") if parallelism else plan.repartition("key")
-    ledger = spread.mapInPandas(_copy_batches, LEDGER_SCHEMA)
+    plan = spark.read.parquet(plan_path)
+    if "size" not in plan.columns:
+        plan = plan.withColumn("size", F.lit(None).cast("bigint"))
+    plan = plan.select("container", "key", "dst_container", "dst_key", "size")
+    by = ["container", "key"]
+    dealt = plan.repartition(parallelism, *by) if parallelism else plan.repartition(*by)
+    ledger = dealt.mapInPandas(_copy_batches, LEDGER_SCHEMA)
     ledger_path = ledger_path or scratch_path(spark, "copy-ledger")
     ledger.write.mode("overwrite").parquet(ledger_path)
     return _read_ledger(spark, ledger_path)
 
 
+DELETE_THREADS = 8
+
+
 def _delete_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    from pyarrow import fs as pafs
-    out = []
-    cache: dict = {}
-    for c, k in zip(pdf["container"], pdf["key"]):
+    """One call per key, some at a time; a key that is gone already is done."""
+    roots = {c: filesystem(c) for c in pdf["container"].unique()}
+
+    def delete(c: str, k: str) -> tuple:
+        fs, base = roots[c]
         try:
-            if c not in cache:
-                cache[c] = filesystem(c)
-            fs, base = cache[c]
-            path = _join(base, k)
-            if fs.get_file_info(path).type != pafs.FileType.NotFound:
-                fs.delete_file(path)
-            out.append((c, k, "ok", None))
+            fs.delete_file(_join(base, k))
+        except FileNotFoundError:
+            pass
         except Exception as e:  # noqa: BLE001
-            out.append((c, k, "failed", f"{type(e).__name__}: {e}"))
+            return c, k, "failed", f"{type(e).__name__}: {e}"
+        return c, k, "ok", None
+
+    with ThreadPoolExecutor(DELETE_THREADS) as pool:
+        out = list(pool.map(delete, pdf["container"], pdf["key"]))
     return pd.DataFrame(out, columns=["container", "key", "status", "error"])
 
 
@@ -152,7 +188,8 @@ def run_move(spark: SparkSession, plan_path: str, ledger_path: str | None = None
 
 def land_folder(spark: SparkSession, local_root: str, dst_root: str, prefix: str = "raw/",
                 ledger_path: str | None = None) -> DataFrame:
-    """A whole tree copied under ``prefix`` of ``dst_root``, layout kept."""
+    """A whole tree copied under ``prefix`` of ``dst_root``, layout kept; an
+    error if there is no such tree."""
     inv = object_inventory(spark, local_root)
     root = local_root.rstrip("/")
     plan = inv.select(
@@ -189,7 +226,8 @@ def put_objects(df: DataFrame, root: str, key: str = "key", body: str = "body",
     spark = df.sparkSession
     ship_package(spark)
     rows = df.select(F.col(key).alias("key"), F.col(body).alias("body"))
-    rows = rows.repartition(parallelism, "key") if parallelism else rows.repartition("key")
+    rows = rows.repartition(parallelism) if parallelism else rows.repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")))
     ledger = rows.mapInPandas(_put_batches(root.rstrip("/")),
                               "container string, key string, status string, error string, bytes bigint")
     path = scratch_path(spark, "put-ledger")
@@ -202,9 +240,16 @@ def put_objects(df: DataFrame, root: str, key: str = "key", body: str = "body",
 
 
 def _exists(root: str) -> bool:
-    from pyarrow import fs as pafs
-    fs, base = filesystem(root)
-    return fs.get_file_info(base).type == pafs.FileType.Directory
+    return kind_of(root) == "folder"
+
+
+def _refuse_overlap(src_root: str, dst_root: str) -> None:
+    """A tree is not copied or moved onto or into itself, nor over a folder that
+    holds it."""
+    (sfs, src), (dfs, dst) = filesystem(src_root), filesystem(dst_root)
+    a, b = src.rstrip("/") + "/", dst.rstrip("/") + "/"
+    if sfs.equals(dfs) and (a.startswith(b) or b.startswith(a)):
+        raise ValueError(f"{src_root} and {dst_root} are the same tree, or one holds the other")
 
 
 def plan_copy_tree(spark: SparkSession, src_root: str, dst_root: str,
@@ -213,7 +258,8 @@ def plan_copy_tree(spark: SparkSession, src_root: str, dst_root: str,
     ``dst_root``; ``overwrites`` from the destination's own inventory. The
     destination must exist (create it first), as in the reference."""
     if not _exists(dst_root):
-        raise ValueError(f"Destination '{dst_root}' does not exist. Create it first.")
+        raise ValueError(f"no such destination: {dst_root}")
+    _refuse_overlap(src_root, dst_root)
     src = object_inventory(spark, src_root)
     dst = object_inventory(spark, dst_root)
     plan = O.plan_move if move else O.plan_copy
@@ -232,7 +278,7 @@ def copy_tree(spark: SparkSession, src_root: str, dst_root: str, dry_run: bool =
         verb = "move" if move else "copy"
         return {"success": True, "plan": plan_path, f"would_{verb}": n,
                 "overwrites": plan.filter("overwrites").count(),
-                "message": f"(dry-run) Would {verb} {n} objects from '{src_root}' to '{dst_root}'"}
+                "message": f"dry run, {verb}: {n} objects of {src_root} to {dst_root}"}
     ledger = run_move(spark, plan_path) if move else run_copy(spark, plan_path)
     s = O.outcome_summary(ledger, by=[]).first()
     return {"success": s is None or s["failed"] == 0, "plan": plan_path, "ledger": ledger,
@@ -246,7 +292,7 @@ def delete_tree(spark: SparkSession, root: str, dry_run: bool = True) -> dict:
     if dry_run:
         n = plan.count()
         return {"success": True, "plan": plan_path, "would_delete": n,
-                "message": f"(dry-run) Would delete {n} objects from '{root}'"}
+                "message": f"dry run, delete: {n} objects of {root}"}
     ledger = run_delete(spark, plan_path)
     s = O.outcome_summary(ledger, by=[]).first()
     return {"success": s is None or s["failed"] == 0, "plan": plan_path, "ledger": ledger,
@@ -261,7 +307,7 @@ def plan_delete_roots(spark: SparkSession, roots: list[str]) -> DataFrame:
         if _exists(r):
             parts.append(object_inventory(spark, r))
         else:
-            missing.append((r.rstrip("/"), f"'{r}' does not exist"))
+            missing.append((r.rstrip("/"), f"no such folder: {r}"))
     schema = "container string, objects_found bigint, would_delete bigint, bytes bigint, error string"
     out = spark.createDataFrame([(c, 0, 0, 0, e) for c, e in missing], schema)
     if parts:

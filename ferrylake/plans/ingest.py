@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import time
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrylake.functions.scalars import has_suffix
@@ -24,13 +23,11 @@ from ferrylake.operators import profile as A
 from ferrylake.operators import resolve as R
 from ferrylake.plans import bulk as B
 from ferrylake.plans import catalog as T
-from ferrylake.session import to_local
 from ferrylake.sources import text as S
-from ferrylake.sources.inventory import object_inventory
+from ferrylake.sources.inventory import kind_of, object_inventory
 from ferrylake.sources.schema_store import save_schema
 
 RUN_LEDGER_SCHEMA = "run_id string, seq int, step string, success boolean, detail string"
-WIDE_DECLARED = {"int": "bigint", "float": "double"}
 
 
 @dataclass
@@ -65,6 +62,11 @@ def run_ledger(spark: SparkSession, run: IngestRun) -> DataFrame:
     return spark.createDataFrame(rows, RUN_LEDGER_SCHEMA)
 
 
+def _passed_over(key: str) -> Column:
+    """CSV objects that Spark does not list: ``_`` or ``.`` begins a part of the key."""
+    return has_suffix(key) & F.col(key).rlike(r"(^|/)[_.]")
+
+
 def _name_hash(text: str) -> str:
     return hashlib.md5(text.encode()).hexdigest()[:8]
 
@@ -77,7 +79,12 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
            report_rejects: bool = False) -> IngestRun:
     """``path`` (a folder or one CSV file) -> tables in the catalog.
 
-    Steps: land under ``lake_root/raw_prefix`` (B8) -> read all landed CSVs
+    Every dataset has places of its own, ``raw|processed|rejects/<database>/<table>``
+    of the lake, and only its own are read. A source that is not there, CSV files
+    that Spark would pass over (names that begin with ``_`` or ``.``) and a table
+    registered with other columns are failures.
+
+    Steps: land under ``lake_root/raw_prefix`` (B8) -> read all CSVs landed there
     together (S1) -> vote (A6, ``mode``) -> settle with ``choices`` (R2) ->
     stop with ``next='disambiguate'`` if columns stay open (R5) -> database
     (T1) -> raw CSV table (T4) -> typed Parquet (R6, S5) -> Parquet table
@@ -86,30 +93,41 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
     """
     run = IngestRun(run_id=uuid.uuid4().hex)
     lake = lake_root.rstrip("/")
-    src = to_local(path).rstrip("/")
+    src = path.rstrip("/")
     try:
+        db_name = T.slug_name(database or f"db_{_name_hash(run.run_id)}", "db")
+        tbl_name = T.slug_name(table or f"tbl_{_name_hash(run.run_id + 't')}", "tbl")
+        own = f"{db_name}/{tbl_name}"
         # 1. land
-        if os.path.isfile(src):
-            folder, only = os.path.dirname(src), os.path.basename(src)
-        else:
-            folder, only = src, None
-        raw_root = f"{lake}/{raw_prefix.strip('/')}"
+        kind = kind_of(src)
+        if kind == "missing":
+            run.step("land", False, error=f"no such file or folder: {path}")
+            return _finish(spark, run, ledger_root)
+        folder, only = src.rsplit("/", 1) if kind == "file" else (src, None)
+        raw_root = f"{lake}/{raw_prefix.strip('/')}/{own}"
         if only is None:
-            ledger = B.land_folder(spark, folder, lake, raw_prefix)
+            ledger = B.land_folder(spark, folder, raw_root, "")
         else:
             inv = object_inventory(spark, folder).filter(F.col("key") == only)
-            plan = inv.select("container", "key", F.lit(lake).alias("dst_container"),
-                              F.concat(F.lit(raw_prefix), F.col("key")).alias("dst_key"))
+            plan = inv.select("container", "key", F.lit(raw_root).alias("dst_container"),
+                              F.col("key").alias("dst_key"), "size")
             ledger = B.run_copy(spark, B.write_plan(plan))
         counts = ledger.groupBy().agg(F.count(F.lit(1)).alias("n"),
                                       F.count_if(F.col("status") != "ok").alias("failed"),
-                                      F.count_if(has_suffix("dst_key")).alias("csv")).first()
+                                      F.count_if(has_suffix("dst_key")).alias("csv"),
+                                      F.count_if(_passed_over("dst_key")).alias("hidden")).first()
         run.step("land", counts["failed"] == 0, uploaded=counts["n"], failed=counts["failed"])
         run.locations["raw"] = raw_root
         if counts["failed"]:
             return _finish(spark, run, ledger_root)
         if counts["csv"] == 0:
-            run.step("find_csv", True, message="No CSV files found in uploaded folder")
+            run.step("find_csv", True, message="nothing to ingest: no CSV file among the objects")
+            return _finish(spark, run, ledger_root)
+        if counts["hidden"]:
+            some = [r["key"] for r in ledger.filter(_passed_over("dst_key")).select("key")
+                    .orderBy("key").limit(5).collect()]
+            run.step("find_csv", False, files=counts["hidden"], first=some,
+                     error="CSV files whose names begin with _ or . would not be read")
             return _finish(spark, run, ledger_root)
 
         # 2-3. read every landed CSV together and vote (Spark lists them)
@@ -124,9 +142,11 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
 
         # 4. settle with the choices; stop if columns stay open
         if choices is not None:
-            bad = R.invalid_choices(choices, prof).collect()
+            bad = R.invalid_choices(choices, text.columns).collect() + [
+                (r["column"], r["types"]) for r in R.contradictions(choices).collect()
+                if "seq" not in choices.columns]
             if bad:
-                run.step("choices", False, invalid=[r.asDict() for r in bad])
+                run.step("choices", False, invalid=[r.asDict() if hasattr(r, "asDict") else r for r in bad])
                 return _finish(spark, run, ledger_root)
             prof = R.resolve(prof, choices)
         open_cols = [r["column"] for r in (R.open_after_choices(prof, choices) if choices is not None
@@ -140,19 +160,18 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
         pairs = R.schema_pairs(schema)
 
         # 5. database
-        db_name = database or f"db_{_name_hash(run.run_id)}"
         res = T.create_database(spark, db_name)
         run.step("create_database", res["success"], **res)
         if not res["success"]:
             return _finish(spark, run, ledger_root)
         run.database = res["database"]
 
-        # 6. raw CSV table over the landed folder, types through F2. The
-        # settled int/float are declared 64-bit (bigint/double): a 32-bit
-        # declaration would read large keys as null.
-        tbl_name = table or f"tbl_{_name_hash(run.run_id + 't')}"
-        cols = [{"Name": n, "Type": WIDE_DECLARED.get(t, t)} for n, t in pairs]
-        res = T.register_table(spark, run.database, tbl_name, raw_root, cols, fmt="csv")
+        # 6. raw CSV table over the landed folder, every column as text: the CSV
+        # reader's own casts take other values than the vote does (1_000, yes,
+        # 5-1-2024), so the types are given by the casts of step 7 alone
+        cols = [{"Name": n, "Type": "string"} for n, _ in pairs]
+        res = T.register_table(spark, run.database, tbl_name, raw_root, cols, fmt="csv",
+                               multi_line=multi_line)
         run.step("create_table_raw", res["success"], **res)
         if not res["success"]:
             return _finish(spark, run, ledger_root)
@@ -160,10 +179,11 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
 
         # 7. typed Parquet + its table (written schema)
         if convert_to_parquet:
-            out = f"{lake}/{processed_prefix.strip('/')}/{run.table}"
+            out = f"{lake}/{processed_prefix.strip('/')}/{own}"
             typed = R6.apply_schema(text, pairs)
             S.convert_to_parquet(typed, out)
-            run.step("write_parquet", True, location=out)
+            rows = spark.read.parquet(out).count()      # from the files' footers
+            run.step("write_parquet", True, location=out, rows=rows)
             run.locations["processed"] = out
             res = T.register_table(spark, run.database, f"{run.table}_parquet", out, None,
                                    fmt="parquet")
@@ -173,7 +193,7 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
 
         # 7b. values the settled types cannot hold (a second pass over the text)
         if report_rejects:
-            rej_out = f"{lake}/rejects/{run.table}"
+            rej_out = f"{lake}/rejects/{own}"
             R6.rejects(text, pairs).write.mode("overwrite").parquet(rej_out)
             n = spark.read.parquet(rej_out).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
             run.step("rejects", True, location=rej_out, values=int(n))

@@ -28,6 +28,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def cores(spark: SparkSession) -> int:
+    """The given tables are single files of one row group, so queries that spend
+    their time on values say themselves over how many tasks to deal them."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _load_all() -> None:
     # Import order = registration order.
     from ferrylake.queries import profile_q, resolve_q, scalar_q, objects_q, io_q  # noqa: F401,E501

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ferrylake.operators import apply as R6
 from ferrylake.operators import profile as A
 from ferrylake.operators import resolve as R
 from ferrylake.plans import bulk as B
@@ -49,6 +50,43 @@ def parquet_convert(spark, sf_dir):
     return S.scan_parquet_table(spark, out)
 
 
+# Two files of one folder with their columns in opposite orders, each read by
+# its own header.
+@register("csv_mixed_headers", _CUSTOMER_SQL)
+def csv_mixed_headers(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    out = scratch_path(spark, "customer-mixed")
+    S.write_text_table(c.filter("c_custkey % 2 = 0"), out, n_files=2)
+    S.write_text_table(c.filter("c_custkey % 2 = 1").select(*reversed(c.columns)), out,
+                       mode="append", n_files=2)
+    return typed_from_text(S.read_text_table(spark, out), TEXT_COLUMNS["customer"])
+
+
+# Rows that end before their last field, others whose last field is empty.
+@register("csv_short_rows",
+          "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS sum_custkey, "
+          "CAST(count(CASE WHEN c_custkey % 3 = 0 THEN 1 END) AS BIGINT) AS n_absent, "
+          "CAST(count(CASE WHEN c_custkey % 3 = 1 THEN 1 END) AS BIGINT) AS n_blank, "
+          "CAST(count(CASE WHEN c_custkey % 3 = 2 AND c_mktsegment <> '' THEN 1 END) AS BIGINT) "
+          "AS n_full FROM customer")
+def csv_short_rows(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    kind = F.col("c_custkey") % 3
+    cells = [F.col(x).cast("string") for x in ("c_custkey", "c_acctbal")]
+    line = F.concat_ws(",", *cells, F.when(kind == 1, F.lit("")).when(
+        kind == 2, F.col("c_mktsegment")))
+    lines = spark.createDataFrame([(-1, "c_custkey,c_acctbal,c_mktsegment")], "k long, value string")
+    lines = lines.union(c.select(F.col("c_custkey").cast("long"), line))
+    out = scratch_path(spark, "customer-short")
+    lines.repartition(1).sortWithinPartitions("k").select("value").write.text(out)
+    t = S.read_text_table(spark, out)
+    seg = F.col("c_mktsegment")
+    return t.agg(F.count(F.lit(1)).alias("n"),
+                 F.sum(F.col("c_custkey").cast("long")).alias("sum_custkey"),
+                 F.count_if(seg.isNull()).alias("n_absent"), F.count_if(seg == "").alias("n_blank"),
+                 F.count_if(seg != "").alias("n_full"))
+
+
 def _page_tree(spark, sf_dir):
     """The pages as a tree of objects ``<host>/<page_id>.html``."""
     pages = load(spark, sf_dir, "pages")
@@ -116,18 +154,44 @@ def _catalog_session(spark, sf_dir):
     return db
 
 
-@register("list_tables")
+_SEGMENT_SLUG = "regexp_replace(lower(trim(c_mktsegment)), '[ \\-]+', '_', 'g')"
+
+
+@register("list_tables", f"SELECT DISTINCT {_SEGMENT_SLUG} AS \"tableName\" FROM customer")
 def list_tables(spark, sf_dir):
-    # Tables left after creating, re-creating and dropping.
-    db = _catalog_session(spark, sf_dir)
+    # One table per market segment, registered twice; another dropped.
+    db, loc, cols = _segment_tables(spark, sf_dir)
+    T.register_table(spark, db, "dropped", loc, cols)
+    T.drop_table(spark, db, "dropped")
     return T.list_tables(spark, db).select("tableName")
 
 
-@register("describe_table")
+def _segment_tables(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    loc = _customer_csv(spark, sf_dir)
+    db = "cat_" + loc.rsplit("-", 1)[-1]
+    cols = [{"Name": x, "Type": "string"} for x in TEXT_COLUMNS["customer"]]
+    T.create_database(spark, db, "scratch catalog")
+    for r in c.select("c_mktsegment").distinct().collect() * 2:
+        T.register_table(spark, db, r["c_mktsegment"], loc, cols)
+    return db, loc, cols
+
+
+@register("describe_table",
+          f"SELECT pos, {q('column')} AS col_name, CASE type WHEN 'bool' THEN 'boolean' "
+          f"ELSE type END AS data_type FROM ({profile_sql(long_sql('customer'), 'exclusive')}) AS p")
 def describe_table(spark, sf_dir):
-    # T5: metadata rows of a registered table.
-    db = _catalog_session(spark, sf_dir)
-    return T.describe_table(spark, db, "customer raw")
+    # T5: the columns of a table registered with customer's own vote.
+    prof = A.profile(load(spark, sf_dir, "customer"), mode="exclusive",
+                     columns=TEXT_COLUMNS["customer"])
+    cols = [{"Name": n, "Type": t} for n, t in R.schema_pairs(R.settled_schema(prof))]
+    loc = _customer_csv(spark, sf_dir)
+    db = "cat_" + loc.rsplit("-", 1)[-1]
+    T.register_table(spark, db, "voted", loc, cols)
+    place = {c["Name"]: i for i, c in enumerate(cols)}
+    rows = T.describe_table(spark, db, "voted").filter(F.col("col_name").isin(*place))
+    at = F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(i))])
+    return rows.select(at[F.col("col_name")].alias("pos"), "col_name", "data_type")
 
 
 # ------------------------------------------------------------ bulk jobs
@@ -148,9 +212,13 @@ def land_folder(spark, sf_dir):
 def bulk_copy_ledger(spark, sf_dir):
     tree = _page_tree(spark, sf_dir)
     from ferrylake.operators import objects as O
-    plan = O.plan_copy(object_inventory(spark, tree), scratch_path(spark, "mirror"))
+    mirror = scratch_path(spark, "mirror")
+    plan = O.plan_copy(object_inventory(spark, tree), mirror)
     ledger = B.run_copy(spark, B.write_plan(plan))
-    return ledger.select("key", "bytes", "status")
+    # what the destination itself has, not what the ledger says of it
+    there = object_inventory(spark, mirror).select("key", F.col("size").alias("bytes"))
+    return ledger.select("key", "status").join(there, "key", "full").select(
+        "key", "bytes", "status")
 
 
 @register("bulk_move_ledger",
@@ -201,16 +269,80 @@ def ingest_flagship(spark, sf_dir):
     return _orders_agg(spark.table(f"{run.database}.{run.parquet_table}"))
 
 
-@register("ingest_ledger")
+_STEPS = ["land", "infer_schema", "create_database", "create_table_raw", "write_parquet",
+          "create_table_parquet", "save_schema"]
+_LEDGER_SQL = " UNION ALL ".join(
+    [f"SELECT 1 AS run, {i} AS seq, '{s}' AS step, true AS success, "
+     + ("(SELECT CAST(count(*) AS BIGINT) FROM orders)" if s == "write_parquet"
+        else "CAST(NULL AS BIGINT)") + " AS n_rows" for i, s in enumerate(_STEPS)]
+    + [f"SELECT 2, {i}, '{s}', true, CAST(NULL AS BIGINT)"
+       for i, s in enumerate(["land", "infer_schema", "disambiguate"])]
+    + ["SELECT 3, 0, 'land', false, CAST(NULL AS BIGINT)"])
+
+
+@register("ingest_ledger", _LEDGER_SQL)
 def ingest_ledger(spark, sf_dir):
-    # The ordered steps of an ingest run, and a second run stopped by an
-    # open column (overlap voting leaves numeric columns ambiguous).
+    # The ordered steps of an ingest run with the rows it wrote, of a run stopped
+    # by an open column (overlap voting leaves numeric columns ambiguous), and of one
+    # whose source is missing.
     folder = _orders_landing(spark, sf_dir)
+    lake, ledgers = scratch_path(spark, "lake"), scratch_path(spark, "runs")
+    runs = [ingest(spark, folder, lake, database="lake_orders", ledger_root=ledgers,
+                   table="orders " + folder.rsplit("-", 1)[-1]),
+            ingest(spark, folder, lake, database="lake_orders", mode="overlap",
+                   ledger_root=ledgers),
+            ingest(spark, folder + "-missing", lake, ledger_root=ledgers)]
+    order = F.create_map(*[x for i, r in enumerate(runs)
+                           for x in (F.lit(r.run_id), F.lit(i + 1))])
+    return spark.read.parquet(ledgers).select(
+        order[F.col("run_id")].alias("run"), "seq", "step", "success",
+        F.get_json_object("detail", "$.rows").cast("bigint").alias("n_rows"))
+
+
+@register("ingest_two_datasets",
+          "SELECT 'orders' AS dataset, CAST(o_orderkey AS BIGINT) AS k, o_orderstatus AS t, "
+          "o_totalprice AS v FROM orders UNION ALL SELECT 'customer', CAST(c_custkey AS BIGINT), "
+          "c_name, c_acctbal FROM customer")
+def ingest_two_datasets(spark, sf_dir):
+    # Two datasets of different columns in one lake and database.
     lake = scratch_path(spark, "lake")
-    ledgers = scratch_path(spark, "runs")
-    ingest(spark, folder, lake, database="lake_orders", ledger_root=ledgers)
-    ingest(spark, folder, lake, database="lake_orders", mode="overlap", ledger_root=ledgers)
-    return spark.read.parquet(ledgers).select("seq", "step", "success")
+    tables = {}
+    for name, folder in (("orders", _orders_landing(spark, sf_dir)),
+                         ("customer", _customer_csv(spark, sf_dir))):
+        run = ingest(spark, folder, lake, database="lake_two",
+                     table=f"{name} {lake.rsplit('-', 1)[-1]}")
+        if not run.success or not run.parquet_table:
+            raise RuntimeError(f"ingest failed: {run.errors or run.next}")
+        tables[name] = spark.table(f"{run.database}.{run.parquet_table}")
+    o, c = tables["orders"], tables["customer"]
+    return o.select(F.lit("orders").alias("dataset"), F.col("o_orderkey").alias("k"),
+                    F.col("o_orderstatus").alias("t"), F.col("o_totalprice").alias("v")).union(
+        c.select(F.lit("customer"), "c_custkey", "c_name", "c_acctbal"))
+
+
+@register("raw_against_typed", _ORDERS_AGG_SQL)
+def raw_against_typed(spark, sf_dir):
+    # T4 + R6: the raw table of an ingest holds texts; read with the settled types
+    # it is the typed table (rows that differ would stay in the second half).
+    folder = _orders_landing(spark, sf_dir)
+    run = ingest(spark, folder, scratch_path(spark, "lake"), database="lake_orders",
+                 table="orders " + folder.rsplit("-", 1)[-1])
+    raw = spark.table(f"{run.database}.{run.table}")
+    typed = spark.table(f"{run.database}.{run.parquet_table}")
+    cast = R6.apply_schema(raw, [(f.name, f.dataType.simpleString()) for f in typed.schema])
+    return _orders_agg(cast.unionByName(typed.exceptAll(cast)).unionByName(
+        cast.exceptAll(typed)))
+
+
+@register("apply_stored_schema_orders", _ORDERS_AGG_SQL)
+def apply_stored_schema_orders(spark, sf_dir):
+    # A placeholder instead of a column list means the settled schema in the store.
+    text = A.as_text(load(spark, sf_dir, "orders"), TEXT_COLUMNS["orders"])
+    store = scratch_path(spark, "schema-store")
+    save_schema(R.settled_schema(A.profile(text, mode="exclusive", already_text=True)), store,
+                "lake.orders")
+    columns = R.schema_or_resolved("INFERRED_SCHEMA", spark, store, "lake.orders")
+    return _orders_agg(R6.apply_schema(text, columns))
 
 
 # ------------------------------------------------------------- streaming
@@ -263,17 +395,21 @@ def infer_schema_lineitem(spark, sf_dir):
                               "ambiguous")
 
 
-@register("list_databases")
+@register("list_databases",
+          "SELECT DISTINCT replace(lower(trim(r_name)), ' ', '_') AS database FROM region WHERE r_regionkey % 2 = 0")
 def list_databases(spark, sf_dir):
-    # T2 after T1 and T3: a database created, another created and dropped.
-    loc = _customer_csv(spark, sf_dir)
-    suffix = loc.rsplit("-", 1)[-1]
-    T.create_database(spark, f"keep {suffix}")
-    T.create_database(spark, f"gone {suffix}")
-    T.drop_database(spark, f"gone {suffix}")
+    # T2 after T1 and T3: a database per region, those of odd keys dropped again.
+    suffix = "_" + scratch_path(spark, "db").rsplit("-", 1)[-1]
+    rows = load(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()
+    for r in rows:
+        T.create_database(spark, r["r_name"] + suffix)
+    for r in rows:
+        if r["r_regionkey"] % 2:
+            T.drop_database(spark, r["r_name"] + suffix)
     dbs = T.list_databases(spark)
-    name = dbs.columns[0]
-    return dbs.filter(F.col(name).endswith(suffix)).select(F.col(name).alias("database"))
+    name = F.col(dbs.columns[0])
+    return dbs.filter(name.endswith(suffix)).select(
+        F.substring_index(name, suffix, 1).alias("database"))
 
 
 # I1 + R7: events with spoiled values landed as CSV; the ingest votes their

@@ -6,18 +6,18 @@ from pyspark.sql import functions as F
 
 from ferrylake.functions import predicates as P
 from ferrylake.operators import profile as A
-from ferrylake.queries import register
+from ferrylake.queries import cores, register
 from ferrylake.queries.sqlgen import (counts_sql, describe_sql, lit, long_sql,
                                       profile_sql, q)
 from ferrylake.sources.text import sample_rows
-from ferrylake.tables import TABLE_NAMES, TEXT_COLUMNS, WIDE_TEXT, load
+from ferrylake.tables import TABLE_NAMES, TEXT_COLUMNS, load
 
 COUNT_OUT = ["pos", "column", "total", "n_blank", *A.COUNT_COLS]
 
 
 def _counts(spark, sf_dir, table):
     df = load(spark, sf_dir, table)
-    return A.type_counts(df, columns=TEXT_COLUMNS[table], direct=WIDE_TEXT.get(table, ()))
+    return A.type_counts(df, columns=TEXT_COLUMNS[table], partitions=cores(df.sparkSession))
 
 
 def _sql_counts(table):
@@ -59,7 +59,7 @@ def type_shares_orders(spark, sf_dir):
 
 def _all_profiles(spark, sf_dir, mode="overlap"):
     tables = {t: load(spark, sf_dir, t) for t in TABLE_NAMES}
-    return A.profile_tables(tables, mode=mode, columns=TEXT_COLUMNS, direct=WIDE_TEXT)
+    return A.profile_tables(tables, mode=mode, columns=TEXT_COLUMNS, partitions=cores(spark))
 
 
 def _all_profiles_sql(mode="overlap"):
@@ -89,7 +89,8 @@ def best_type_exclusive_all_tables(spark, sf_dir):
           + ", ".join(f"p_{t}" for t in P.TYPE_ORDER)
           + f" FROM ({profile_sql(long_sql('events'))}) AS x WHERE ambiguous")
 def ambiguous_columns_events(spark, sf_dir):
-    prof = A.profile(load(spark, sf_dir, "events"), columns=TEXT_COLUMNS["events"])
+    prof = A.profile(load(spark, sf_dir, "events"), columns=TEXT_COLUMNS["events"],
+                     partitions=cores(spark))
     return A.ambiguous_columns(prof).select(
         "pos", "column", "type", "confidence", "reason", *A.SHARE_COLS)
 

@@ -9,7 +9,7 @@ from ferrylake.functions.scalars import VALID_CHOICES
 from ferrylake.operators import apply as R6
 from ferrylake.operators import profile as A
 from ferrylake.operators import resolve as R
-from ferrylake.queries import register
+from ferrylake.queries import cores, register
 from ferrylake.queries.sqlgen import (long_sql, normalize_type_sql, profile_sql, q,
                                       values_sql)
 from ferrylake.tables import TEXT_COLUMNS, load
@@ -18,6 +18,7 @@ from ferrylake.tables import TEXT_COLUMNS, load
 # an unknown type and an unknown column among them.
 CUSTOMER_CHOICES = [
     ("c_custkey", "integer"),
+    ("c_custkey", "varchar"),
     ("c_acctbal", " Double "),
     ("c_mktsegment", "STRING"),
     ("c_name", "varchar"),
@@ -57,7 +58,7 @@ def resolve_choices(spark, sf_dir):
           f"(SELECT {q('column')} FROM ({_CUST_PROFILE}) AS p)")
 def invalid_choices(spark, sf_dir):
     choices = R.choices_frame(spark, CUSTOMER_CHOICES)
-    return R.invalid_choices(choices, _customer_profile(spark, sf_dir))
+    return R.invalid_choices(choices, load(spark, sf_dir, "customer").columns)
 
 
 @register("open_after_choices",
@@ -170,15 +171,15 @@ _FMT_DUCK = ["%Y-%-m-%-d", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S",
                              for i, f in enumerate(_FMT_DUCK)) +
           " END AS txt FROM orders) AS t GROUP BY fmt")
 def timestamp_formats(spark, sf_dir):
-    o = A.spread(load(spark, sf_dir, "orders"))
+    o = load(spark, sf_dir, "orders").repartition(cores(spark))
     k = (F.col("o_orderkey") % 6).cast("int")
     txt = None
     for i, f in enumerate(_FMT_SPARK):
         e = F.date_format("o_orderdate", f)
         txt = F.when(k == i, e) if txt is None else txt.when(k == i, e)
     t = o.select(k.alias("fmt"), txt.alias("txt"), "o_orderdate")
-    back = R6.cast_text(F.col("txt"), "timestamp")
+    t = R6.apply_schema(t.withColumn("back", F.col("txt")), [("back", "timestamp")])
     return t.groupBy("fmt").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(P.is_timestamp("txt").cast("int")).cast("bigint").alias("n_timestamp"),
-        F.sum((back == F.col("o_orderdate")).cast("int")).cast("bigint").alias("n_roundtrip"))
+        F.sum((F.col("back") == F.col("o_orderdate")).cast("int")).cast("bigint").alias("n_roundtrip"))

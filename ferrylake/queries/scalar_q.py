@@ -172,11 +172,15 @@ def parquet_keys(spark, sf_dir):
           "CAST(coalesce(len(json_keys(CASE WHEN ok THEN TRY_CAST(p AS JSON) END)), 0) AS INTEGER) AS n_keys FROM ("
           "SELECT event_id, p, coalesce(json_type(TRY_CAST(p AS JSON)) = 'OBJECT', false) AS ok FROM ("
           "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN substring(props, 1, length(props) - 1) "
+          "WHEN event_id % 7 = 1 THEN replace(props, '\"', chr(39)) "
+          "WHEN event_id % 7 = 2 THEN props || ' trailing' "
           "ELSE props END AS p FROM events) AS e0) AS e1) AS e2")
 def json_props(spark, sf_dir):
     ev = load(spark, sf_dir, "events")
-    p = F.when(F.col("event_id") % 7 == 0, F.expr("substring(props, 1, length(props) - 1)")) \
-        .otherwise(F.col("props"))
+    kind = F.col("event_id") % 7              # cut short, single quotes, text after the object
+    p = F.when(kind == 0, F.expr("substring(props, 1, length(props) - 1)")) \
+        .when(kind == 1, F.replace("props", F.lit('"'), F.lit("'"))) \
+        .when(kind == 2, F.concat("props", F.lit(" trailing"))).otherwise(F.col("props"))
     m = S.json_args(p)
     out = ev.select("event_id", m.alias("m")).select(
         "event_id", F.col("m")["k"].alias("k"), F.size("m").alias("n_keys"))

@@ -52,7 +52,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Unset: a local run or a test. Only here do we choose a folder.
+        # Unset: only a local run or a test may choose a folder of its own.
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="ferrylake-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

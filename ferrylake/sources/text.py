@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from typing import Sequence
-
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+import os
+from typing import Iterator, Sequence
+from urllib.parse import urlsplit
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrylake.functions.scalars import has_suffix
+from ferrylake.session import to_local
+from ferrylake.sources.inventory import filesystem, kind_of, object_inventory
+
 # CSV dialect of the text tables: comma, double quote, a quote inside a quoted
 # field doubled (RFC 4180), header row.
 CSV_READ = {
@@ -30,31 +39,124 @@ CSV_WRITE = {
 }
 
 
+_CORRUPT = "_ferrylake_record"
+_HEADER_BYTES = 1 << 20       # a header record is looked for in a file's first bytes
+
+
 def read_text_table(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True,
-                    empty_as_blank: bool = True, csv_only: bool = False) -> DataFrame:
+                    empty_as_blank: bool = True, csv_only: bool = False,
+                    by_header: bool = True) -> DataFrame:
     """CSV with a header, every value as text.
 
-    Blank lines are skipped, surplus values of a long row dropped, a short
-    row's missing values are null. Spark reads an empty unquoted field as null
-    too; with ``empty_as_blank`` both become ``""``, which is what Python's
-    csv module gives for an empty field.
+    Blank lines are skipped and surplus values of a long row dropped. An empty
+    field is ``""`` (null with ``empty_as_blank=False``); a field that a short row
+    does not have is null, which the vote counts in ``total`` and as string only.
+
+    Files of a folder may have their columns in different orders, or different
+    columns: each is read by its own header, and a column a file lacks is null
+    (``by_header=False`` trusts the caller that all headers are equal and skips
+    the look at each file's first line). In such a mixed folder, a data row equal
+    to its file's header is taken for a header.
 
     ``multi_line`` keeps quoted line breaks inside one value; it reads each
     file in one task, so land data as many mid-sized files. Turn it off for
     data known to have no quoted line breaks: files are then split.
 
     ``csv_only`` reads every ``*.csv`` file (any letter case) below ``path``:
-    Spark lists the tree itself, no file list passes through the driver.
+    Spark lists the tree itself, no file list passes through the driver. Spark
+    passes over names that begin with ``_`` or ``.``; ``ingest`` refuses those.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.options(**CSV_READ).option("multiLine", str(multi_line).lower())
     if csv_only:
         reader = reader.option("recursiveFileLookup", "true") \
             .option("pathGlobFilter", "*.[cC][sS][vV]")
-    df = reader.csv(paths)
-    if empty_as_blank and df.columns:
-        df = df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns])
-    return df
+    names = reader.csv(paths).columns
+    if by_header and isinstance(path, str) and names and kind_of_or_none(path) == "folder":
+        headers = file_headers(spark, path, csv_only)
+        kinds = headers.select("header").distinct().limit(2).count()
+        if kinds > 1:
+            return _read_mixed(reader, path, headers, empty_as_blank)
+    if not names:
+        return reader.csv(paths)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _CORRUPT]])
+    df = reader.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT) \
+        .option("columnPruning", "false").csv(paths)
+    if not empty_as_blank:
+        return df.drop(_CORRUPT)
+    here = _field_count(len(names))
+    return df.select([F.when(F.lit(i) < here, F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c)
+                      for i, c in enumerate(names)])
+
+
+def _field_count(width: int) -> Column:
+    """How many fields a record has: all of them, unless the reader kept the record
+    because it has another number; then its separators outside quotes are counted."""
+    bare = F.regexp_replace(F.col(_CORRUPT), '"[^"]*"', "")
+    seps = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit("")))
+    return F.when(F.col(_CORRUPT).isNull(), F.lit(width)).otherwise(seps + 1)
+
+
+def kind_of_or_none(path: str) -> str | None:
+    """``file``, ``folder`` or ``missing``; None where only Spark can read."""
+    try:
+        return kind_of(path)
+    except Exception:  # noqa: BLE001 - a store that pyarrow does not know
+        return None
+
+
+def file_headers(spark: SparkSession, root: str, csv_only: bool = False) -> DataFrame:
+    """(key, header): the header record of each file that Spark would read under
+    ``root``, taken from the file's first bytes by executors."""
+    inv = object_inventory(spark, root).filter(~F.col("key").rlike(r"(^|/)[_.]"))
+    inv = inv.filter(has_suffix("key")) if csv_only else inv.filter(~F.col("key").contains("/"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for c, k in zip(b["container"], b["key"]):
+                fs, base = filesystem(c)
+                with fs.open_input_stream(f"{base.rstrip('/')}/{k}") as f:
+                    head = f.read(_HEADER_BYTES).decode("utf-8", "replace")
+                first = next((r for r in csv.reader(io.StringIO(head, newline="")) if r), None)
+                if first:
+                    rows.append((k, first))
+            yield pd.DataFrame(rows, columns=["key", "header"])
+
+    return inv.mapInPandas(run, "key string, header array<string>").checkpoint(eager=True)
+
+
+def _read_mixed(reader, root: str, headers: DataFrame, empty_as_blank: bool) -> DataFrame:
+    """Files of unequal headers: read by position, then each row by its file's
+    header (joined by the file's place under ``root``; one row a file)."""
+    bad = headers.filter(F.size("header") != F.size(F.array_distinct("header"))).first()
+    if bad:
+        raise ValueError(f"{bad['key']} names a column twice: {bad['header']}")
+    kinds = headers.groupBy("header").agg(F.min("key").alias("k")).orderBy("k")
+    # as many kinds of header as a table has versions; columns in order of first file
+    columns = list(dict.fromkeys(c for r in kinds.collect() for c in r["header"]))
+    width = headers.agg(F.max(F.size("header"))).first()[0]
+    cells = [f"_c{i}" for i in range(width)]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, _CORRUPT]])
+    df = reader.option("header", "false").schema(schema) \
+        .option("columnNameOfCorruptRecord", _CORRUPT).option("columnPruning", "false").csv(root)
+    base = urlsplit(to_local(root) if root.startswith("file:") else root).path
+    base = os.path.abspath(base).rstrip("/") + "/"
+    place = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+    place = F.regexp_replace(place, "^[a-z0-9]+:(//[^/]*)?", "")
+    rows = df.select(F.array(*[F.coalesce(c, F.lit("")) for c in cells]).alias("_cells"),
+                     _field_count(width).alias("_n"),
+                     F.substring(place, F.lit(len(base) + 1), F.length(place)).alias("key"))
+    rows = rows.join(headers, "key").filter(
+        F.slice("_cells", F.lit(1), F.size("header")) != F.col("header"))
+
+    def cell(c: str) -> Column:
+        at = F.array_position("header", c)
+        value = F.get("_cells", (at - 1).cast("int"))
+        return F.when((at > 0) & (at <= F.col("_n")),
+                      value if empty_as_blank else F.nullif(value, F.lit(""))).alias(c)
+
+    return rows.select([cell(c) for c in columns])
 
 
 def sample_rows(df: DataFrame, n: int | str | float | None = 500,

@@ -28,8 +28,8 @@ def test_csv_fixtures(spark, tmp_path):
     q = S.read_text_table(spark, f"{d}/quoted").collect()
     assert [tuple(r) for r in q] == [('x "q"', "l1\nl2")]
     r = S.read_text_table(spark, f"{d}/ragged").collect()
-    assert sorted(tuple(x) for x in r) == [("1", ""), ("1", "2")]
-    with pytest.raises(ValueError, match="no data rows"):
+    assert sorted((tuple(x) for x in r), key=str) == [("1", "2"), ("1", None)]
+    with pytest.raises(ValueError, match="no rows"):
         A.infer_schema(S.read_text_table(spark, f"{d}/header"))
     with pytest.raises(ValueError):
         A.infer_schema(S.read_text_table(spark, f"{d}/empty"))
@@ -150,7 +150,7 @@ def test_partitioned_table_repair(spark, tmp_path):
 def test_tree_jobs_dry_run_then_run(spark, tmp_path):
     src, dst = str(tmp_path / "src"), str(tmp_path / "dst")
     _tree(src)
-    with pytest.raises(ValueError, match="does not exist"):
+    with pytest.raises(ValueError, match="no such destination"):
         B.plan_copy_tree(spark, src, dst)
     os.makedirs(dst)
     _write(f"{dst}/top.txt", "old")

@@ -1,6 +1,7 @@
 """Physical plans: pruning, pushdown and join shapes that the scale design
 relies on."""
 
+from ferrylake.operators import apply as R6
 from ferrylake.operators import objects as O
 from ferrylake.operators import profile as A
 from ferrylake.sources.schema_store import load_schema, save_schema
@@ -44,3 +45,17 @@ def test_batches_never_window_a_whole_container(spark):
     # the only window runs over per-(container, partition) counts
     assert "RangePartitioning" in plan or "ReusedExchange" in plan or "Scan ExistingRDD" in plan
     assert "row_number" not in plan
+
+
+def test_vote_has_no_exchange_before_its_partial_counts(spark):
+    li = load(spark, SF001, "lineitem")
+    plan = _plan(A.type_counts(li))
+    assert plan.count("FileScan parquet") == 1 and plan.count("Exchange") == 1
+    below = plan[plan.index("Exchange"):]
+    assert "partial_sum" in below or "partial_" in below
+
+
+def test_typed_read_is_map_only(spark):
+    text = A.as_text(load(spark, SF001, "orders"))
+    typed = R6.apply_schema(text, [("o_orderkey", "int"), ("o_orderdate", "timestamp")])
+    assert "Exchange" not in _plan(typed)

@@ -73,7 +73,7 @@ def test_describe_shares_rounds_half_even(spark):
 
 def test_infer_schema_errors(spark):
     empty = spark.createDataFrame([], "a string")
-    with pytest.raises(ValueError, match="no data rows"):
+    with pytest.raises(ValueError, match="no rows"):
         A.infer_schema(empty)
 
 
@@ -129,17 +129,36 @@ def test_apply_and_rejects(spark):
                    ("d", "2023-02-29")}
 
 
-def test_auto_plan_probe_keeps_counts(spark, monkeypatch):
-    # force the probe even on small data: near-unique columns go direct, the
-    # counts must not change
-    monkeypatch.setattr(A, "PROBE_MIN_BYTES", 0)
-    rows = [(str(i), "x" if i % 3 else "2024-01-01", str(i % 2)) for i in range(300)]
-    df = spark.createDataFrame(rows, "k string, v string, b string")
-    assert A.near_unique_columns(df, df.columns) == ["k"]
-    auto = {tuple(r) for r in A.type_counts(df, pre_group="auto").collect()}
-    grouped = {tuple(r) for r in A.type_counts(df, pre_group=True).collect()}
-    direct = {tuple(r) for r in A.type_counts(df, pre_group=False).collect()}
-    assert auto == grouped == direct
+def test_grouping_and_dealing_keep_counts(spark):
+    # constant at first, unique later: the plan does not look at the first rows
+    rows = [("c" if i < 200 else str(i), "x" if i % 3 else "2024-01-01") for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v string")
+    plain = {tuple(r) for r in A.type_counts(df).collect()}
+    assert plain == {tuple(r) for r in A.type_counts(df, pre_group=True).collect()}
+    assert plain == {tuple(r) for r in A.type_counts(df, pre_group=True, direct=["k"]).collect()}
+    assert plain == {tuple(r) for r in A.type_counts(df, partitions=7).collect()}
+
+
+def test_columns_without_text_are_named(spark):
+    df = spark.sql("SELECT 1 AS a, array(1) AS b, map('k', 1) AS c, CAST('x' AS BINARY) AS d")
+    with pytest.raises(ValueError, match="b, c, d"):
+        A.type_counts(df)
+    assert [r["column"] for r in A.type_counts(df, columns=["a"]).collect()] == ["a"]
+
+
+def test_valid_choice_beside_an_unknown_type(spark):
+    prof = A.profile(spark.createDataFrame([("1",), ("x",)], "c string"))
+    assert prof.first()["ambiguous"]
+    choices = R.choices_frame(spark, [("c", "int"), ("c", "varchar")])
+    r = R.resolve(prof, choices).first()
+    assert (r["type"], r["chosen"], r["ambiguous"]) == ("int", True, False)
+    assert R.is_resolved(prof, choices)
+    assert R.contradictions(choices).count() == 0
+    both = R.choices_frame(spark, [("c", "int"), ("c", "float"), ("d", "int")])
+    assert [(x["column"], x["types"]) for x in R.contradictions(both).collect()] == [
+        ("c", ["float", "int"])]
+    named = {(x["column"], x["problem"]) for x in R.invalid_choices(both, ["c"]).collect()}
+    assert named == {("d", "unknown column")}
 
 
 @pytest.mark.parametrize("mode", ["overlap", "exclusive"])
