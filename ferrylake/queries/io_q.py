@@ -354,7 +354,7 @@ def stream_type_counts_orders(spark, sf_dir):
     out = scratch_path(spark, "stream-counts")
     landing.profile_stream(spark, folder, TEXT_COLUMNS["orders"], out,
                            scratch_path(spark, "stream-ckpt")).awaitTermination()
-    return spark.read.parquet(out)
+    return landing.read_snapshot(spark, out)
 
 
 @register("stream_ingest_orders", _ORDERS_AGG_SQL)

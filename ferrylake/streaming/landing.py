@@ -2,7 +2,8 @@
 Streaming queries over CSV files arriving in a folder.
 
 * ``profile_stream``: the A1 counts kept as streaming state (one row per
-  column, however many files arrive); each trigger writes the whole snapshot.
+  column, however many files arrive); each trigger writes the whole snapshot to
+  a place of its own, so a reader never meets a gap (``read_snapshot``).
 * ``ingest_stream``: each new file typed with the settled schema (R6) and
   appended to Parquet; the checkpoint makes the file sink exactly-once.
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 from typing import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,7 +33,6 @@ def text_stream(spark: SparkSession, folder: str, columns: Sequence[str],
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    from pyspark.sql import functions as F
     df = reader.csv(folder)
     return df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
 
@@ -39,12 +40,13 @@ def text_stream(spark: SparkSession, folder: str, columns: Sequence[str],
 def profile_stream(spark: SparkSession, folder: str, columns: Sequence[str], out: str,
                    checkpoint: str, mode: str = "overlap",
                    available_now: bool = True) -> StreamingQuery:
-    """Running type counts of a landing folder, snapshot written to ``out``."""
+    """Running type counts of a landing folder; each trigger's snapshot is the
+    partition ``epoch=<n>`` of ``out``."""
     counts = A.type_counts(text_stream(spark, folder, columns), mode=mode,
                            pre_group=False, already_text=True)
 
-    def write_snapshot(batch: DataFrame, _epoch: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(out)
+    def write_snapshot(batch: DataFrame, epoch: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     w = (counts.writeStream.outputMode("complete").foreachBatch(write_snapshot)
          .option("checkpointLocation", checkpoint))
@@ -52,6 +54,13 @@ def profile_stream(spark: SparkSession, folder: str, columns: Sequence[str], out
     return w.start()
 
 
+def read_snapshot(spark: SparkSession, out: str) -> DataFrame:
+    """The counts of the last trigger that ``profile_stream`` has finished."""
+    every = spark.read.parquet(out)
+    last = every.agg(F.max("epoch")).first()[0]
+    return every.filter(F.col("epoch") == last).drop("epoch")
+
+
 def ingest_stream(spark: SparkSession, folder: str, columns: Sequence[str], schema,
                   out: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Typed Parquet appended as files land."""

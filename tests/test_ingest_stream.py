@@ -54,11 +54,15 @@ def test_profile_stream_equals_batch(spark, tmp_path):
     out = str(tmp_path / "counts")
     landing.profile_stream(spark, folder, TEXT_COLUMNS["orders"], out,
                            str(tmp_path / "ckpt")).awaitTermination()
-    got = {tuple(r) for r in spark.read.parquet(out).collect()}
+    got = {tuple(r) for r in landing.read_snapshot(spark, out).collect()}
     batch = {tuple(r) for r in A.type_counts(orders, columns=TEXT_COLUMNS["orders"]).collect()}
     assert got == batch
     # a new file lands: the next run adds it to the kept state
     S.write_text_table(orders.limit(10), os.path.join(folder, "more"), mode="overwrite")
+    landing.profile_stream(spark, folder, TEXT_COLUMNS["orders"], out,
+                           str(tmp_path / "ckpt")).awaitTermination()
+    totals = {r["total"] for r in landing.read_snapshot(spark, out).collect()}
+    assert totals == {orders.count() + 10}
 
 
 def test_ingest_stream_restart_is_exactly_once(spark, tmp_path):

@@ -120,14 +120,17 @@ def test_catalog(spark, tmp_path):
     loc = S.write_text_table(spark.createDataFrame([("1", "x")], "a string, b string"),
                              str(tmp_path / "t"))
     assert T.create_database(spark, "Cat Test-DB")["database"] == "cat_test_db"
-    assert "already exists" in T.create_database(spark, "cat test db")["message"]
+    assert "was there" in T.create_database(spark, "cat test db")["message"]
     dry = T.register_table(spark, "cat test db", "T1", loc, [{"Name": "a", "Type": "integer"}],
                            dry_run=True)
     assert "`a` int" in dry["table_input"]
     res = T.register_table(spark, "cat test db", "T1", loc,
                            [{"Name": "a", "Type": "integer"}, {"Name": "b", "Type": "string"}])
     assert res["success"] and spark.table("cat_test_db.t1").first()["a"] == 1
-    assert "already exists" in T.register_table(spark, "cat test db", "T1", loc, [])["message"]
+    again = [{"Name": "a", "Type": "integer"}, {"Name": "b", "Type": "string"}]
+    assert "was there" in T.register_table(spark, "cat test db", "T1", loc, again)["message"]
+    other = T.register_table(spark, "cat test db", "T1", loc, [{"Name": "a", "Type": "string"}])
+    assert not other["success"] and "other columns" in other["error"]
     assert [r[0] for r in T.list_tables(spark, "cat test db").select("tableName").collect()] == ["t1"]
     assert T.describe_table(spark, "cat test db", "t1").count() > 3
     assert not T.drop_database(spark, "cat test db")["success"]  # not empty
