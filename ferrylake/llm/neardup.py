@@ -42,6 +42,7 @@ SKETCH_BITS = 256            # one bit of each coordinate
 # Pairs at the threshold agree in 0.9 of the bits, give or take 0.019; five
 # deviations below that a pair is not looked at.
 SKETCH_MIN = 0.80
+SIGN_TOGETHER = 400_000      # regions and coordinates that one throw handles
 
 _SIGNED = "doc_id long, key long, bands array<long>, sketch array<long>"
 
@@ -55,64 +56,71 @@ def strips(words: list[bytes], hashes: WordHashes, n: int = SHINGLE) -> np.ndarr
     first = np.concatenate([[True], s[1:] != s[:-1]])
     at = np.arange(len(s))
     occurrence = at - np.maximum.accumulate(np.where(first, at, 0))
-    with np.errstate(over="ignore"):
-        return mix(s + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(s + occurrence.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0 ** -53
 
 
-def dart_signature(regions: np.ndarray, k: int, widths: np.ndarray | None = None) -> np.ndarray:
-    """k coordinates of weighted regions, as hashes of the darts that were kept.
+def dart_signatures(regions: list[np.ndarray], k: int,
+                    widths: list[np.ndarray] | None = None) -> np.ndarray:
+    """k coordinates for each set of weighted regions, as hashes of the darts kept.
 
-    ``regions`` are hashes of unit regions; ``widths`` (all 1 if left out) the
-    part of each that the weight fills: a dart counts if its place is below it.
+    ``regions`` are hashes of unit regions (none of the sets is empty);
+    ``widths`` (all 1 if left out) the part of each that the weight fills: a dart
+    counts if its place is below it. Sets are thrown at together; each has a
+    rank limit that suits its weight, doubled while a coordinate has no dart.
     """
-    weight = float(len(regions) if widths is None else widths.sum())
+    sizes = np.array([len(r) for r in regions])
+    weight = sizes.astype(float) if widths is None else np.array([w.sum() for w in widths])
     limit = (k * np.log(k) + 2 * k) / weight
-    while True:
-        rank = np.full(k, np.inf)
-        kept = np.zeros(k, np.uint64)
-        at, h, time = regions, regions, np.zeros(len(regions))
-        wide = widths
-        while len(at):
-            with np.errstate(over="ignore"):
-                h = mix(h + np.uint64(0x9E3779B97F4A7C15))
+    out = np.zeros((len(regions), k), np.uint64)
+    todo = np.arange(len(regions))
+    while len(todo):
+        doc = np.repeat(np.arange(len(todo)), sizes[todo])
+        h = np.concatenate([regions[i] for i in todo])
+        wide = None if widths is None else np.concatenate([widths[i] for i in todo])
+        time, most = np.zeros(len(h)), limit[todo]
+        rank = np.full(len(todo) * k, np.inf)
+        kept = np.zeros(len(todo) * k, np.uint64)
+        while len(h):                          # the next dart of every region
+            h = mix(h + np.uint64(0x9E3779B97F4A7C15))
             time = time - np.log(_uniform(h))
-            alive = time < limit
-            at, h, time = at[alive], h[alive], time[alive]
-            if wide is not None:
-                wide = wide[alive]
+            alive = time < most[doc]
+            h, time, doc = h[alive], time[alive], doc[alive]
             dart = mix(h ^ np.uint64(0xA0761D6478BD642F))
-            to = (dart % np.uint64(k)).astype(np.int64)
+            to = doc * k + (dart % np.uint64(k)).astype(np.int64)
             score = time
             if wide is not None:
+                wide = wide[alive]
                 score = np.where(_uniform(mix(dart)) < wide, time, np.inf)
-            order = np.argsort(-score, kind="stable")     # the earliest is written last
-            best = np.full(k, np.inf)
-            best[to[order]] = score[order]
-            name = np.zeros(k, np.uint64)
-            name[to[order]] = dart[order]
-            better = best < rank
-            rank[better], kept[better] = best[better], name[better]
-        if np.isfinite(rank).all():
-            return kept
-        limit *= 2                                        # some coordinate got no dart
-
-
-def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    s = signature[:bands * rows].reshape(bands, rows)
-    acc = np.arange(bands, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(rows):
-            acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + s[:, j])
+            np.minimum.at(rank, to, score)
+            first = (rank[to] == score) & (score < np.inf)
+            kept[to[first]] = dart[first]
+        full = np.isfinite(rank).reshape(-1, k).all(axis=1)
+        out[todo[full]] = kept.reshape(-1, k)[full]
+        todo = todo[~full]
+        limit[todo] *= 2
+    return out
+
+
+def dart_signature(regions: np.ndarray, k: int, widths: np.ndarray | None = None) -> np.ndarray:
+    return dart_signatures([regions], k, None if widths is None else [widths])[0]
+
+
+def band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One hash per band, with its number in it, for each row of signatures."""
+    s = signatures[:, :bands * rows].reshape(-1, bands, rows)
+    acc = np.broadcast_to(np.arange(bands, dtype=np.uint64), s.shape[:2])
+    for j in range(rows):
+        acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + s[:, :, j])
     return acc.view(np.int64)
 
 
-def sketch(signature: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
-    b = ((mix(signature[:bits]) >> np.uint64(33)) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(b).view(np.int64)
+def sketches(signatures: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    b = ((mix(signatures[:, :bits]) >> np.uint64(33)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(b, axis=1).view(np.int64)
 
 
 def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -129,12 +137,28 @@ def signed(keyed_docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            bs, sk = [], []
-            for t in b["text"]:
+            bs: list = [None] * len(b)
+            sk: list = [None] * len(b)
+            at, sets, total = [], [], 0
+
+            def sign() -> None:
+                if sets:
+                    s = dart_signatures(sets, bands * rows)
+                    for i, x, y in zip(at, band_hashes(s, bands, rows), sketches(s), strict=True):
+                        bs[i], sk[i] = x, y
+                at.clear()
+                sets.clear()
+
+            for i, t in enumerate(b["text"]):
                 w = alnum_words(t)
-                s = dart_signature(strips(w, hashes), bands * rows) if w else None
-                bs.append(None if s is None else band_hashes(s, bands, rows))
-                sk.append(None if s is None else sketch(s))
+                if w:
+                    at.append(i)
+                    sets.append(strips(w, hashes))
+                    total += len(sets[-1]) + bands * rows
+                if total > SIGN_TOGETHER:
+                    sign()
+                    total = 0
+            sign()
             yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"],
                                 "bands": bs, "sketch": sk})
 
