@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ferrylake.functions.scalars import dest_key
 from ferrylake.operators import objects as O
-from ferrylake.session import scratch_path, ship_package
+from ferrylake.session import remove_scratch, scratch_path, ship_package
 from ferrylake.sources.inventory import filesystem, kind_of, object_inventory
 
 LEDGER_SCHEMA = ("container string, key string, dst_container string, dst_key string, "
@@ -169,10 +169,11 @@ def run_delete(spark: SparkSession, plan_path: str, ledger_path: str | None = No
 def run_move(spark: SparkSession, plan_path: str, ledger_path: str | None = None) -> DataFrame:
     """Copy, then delete exactly the originals the written copy ledger
     reports as copied. Ledger has the copy columns plus ``deleted``."""
-    copy_ledger = run_copy(spark, plan_path)
+    copy_path, delete_path = (scratch_path(spark, x) for x in ("copy-ledger", "delete-ledger"))
+    copy_ledger = run_copy(spark, plan_path, copy_path)
     copied = copy_ledger.filter(F.col("status") == "ok").select("container", "key")
     to_delete = write_plan(O.delete_batches(copied))
-    del_ledger = run_delete(spark, to_delete)
+    del_ledger = run_delete(spark, to_delete, delete_path)
     deleted = del_ledger.select("container", "key", (F.col("status") == "ok").alias("deleted"),
                                 F.col("error").alias("delete_error"))
     moved = copy_ledger.join(deleted, ["container", "key"], "left").select(
@@ -183,6 +184,7 @@ def run_move(spark: SparkSession, plan_path: str, ledger_path: str | None = None
         F.coalesce("deleted", F.lit(False)).alias("deleted"))
     ledger_path = ledger_path or scratch_path(spark, "move-ledger")
     moved.write.mode("overwrite").parquet(ledger_path)
+    remove_scratch(spark, copy_path, delete_path, to_delete)
     return _read_ledger(spark, ledger_path)
 
 
@@ -196,7 +198,10 @@ def land_folder(spark: SparkSession, local_root: str, dst_root: str, prefix: str
         "container", "key", F.lit(dst_root.rstrip("/")).alias("dst_container"),
         dest_key(F.concat(F.lit(root + "/"), F.col("key")), root, prefix).alias("dst_key"),
         "size")
-    return run_copy(spark, write_plan(plan), ledger_path)
+    plan_path = write_plan(plan)
+    ledger = run_copy(spark, plan_path, ledger_path)
+    remove_scratch(spark, plan_path)
+    return ledger
 
 
 def _put_batches(root: str):

@@ -23,6 +23,7 @@ from ferrylake.operators import profile as A
 from ferrylake.operators import resolve as R
 from ferrylake.plans import bulk as B
 from ferrylake.plans import catalog as T
+from ferrylake.session import remove_scratch, scratch_path
 from ferrylake.sources import text as S
 from ferrylake.sources.inventory import kind_of, object_inventory
 from ferrylake.sources.schema_store import save_schema
@@ -105,13 +106,14 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
             return _finish(spark, run, ledger_root)
         folder, only = src.rsplit("/", 1) if kind == "file" else (src, None)
         raw_root = f"{lake}/{raw_prefix.strip('/')}/{own}"
+        landed = scratch_path(spark, "land-ledger")
         if only is None:
-            ledger = B.land_folder(spark, folder, raw_root, "")
+            ledger = B.land_folder(spark, folder, raw_root, "", landed)
         else:
             inv = object_inventory(spark, folder).filter(F.col("key") == only)
             plan = inv.select("container", "key", F.lit(raw_root).alias("dst_container"),
                               F.col("key").alias("dst_key"), "size")
-            ledger = B.run_copy(spark, B.write_plan(plan))
+            ledger = B.run_copy(spark, B.write_plan(plan), landed)
         counts = ledger.groupBy().agg(F.count(F.lit(1)).alias("n"),
                                       F.count_if(F.col("status") != "ok").alias("failed"),
                                       F.count_if(has_suffix("dst_key")).alias("csv"),
@@ -129,6 +131,7 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
             run.step("find_csv", False, files=counts["hidden"], first=some,
                      error="CSV files whose names begin with _ or . would not be read")
             return _finish(spark, run, ledger_root)
+        remove_scratch(spark, landed)
 
         # 2-3. read every landed CSV together and vote (Spark lists them)
         text = S.read_text_table(spark, raw_root, multi_line=multi_line, csv_only=True)

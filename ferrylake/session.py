@@ -66,6 +66,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/ferrylake-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete folders made by ``scratch_path`` once nothing reads them any more."""
+    for p in paths:
+        if "/ferrylake-scratch/" not in p:
+            raise ValueError(f"{p} is not a scratch folder")
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def to_local(path: str) -> str:
     """Strip a ``file:`` scheme so pyarrow/os can use the path."""
     if path.startswith("file://"):
