@@ -129,16 +129,18 @@ def outcome_summary(spark, sf_dir):
     return O.outcome_summary(ledger)
 
 
-# B4 with one hot container: every third document goes to 'hot', so one
-# container holds a third of all keys (the skew the sequence is built for).
+# B4 with one hot container over many batches: orders as objects, every third one
+# of container 'hot', some of no container at all.
+_HOT = ("CASE WHEN o_orderkey % 3 = 0 THEN 'hot' WHEN o_orderkey % 31 = 1 THEN NULL "
+        "ELSE 'c' || CAST(o_custkey % 10 AS VARCHAR) END")
+
+
 @register("delete_batches_hot_container",
           "SELECT container, key, "
           "CAST(row_number() OVER (PARTITION BY container ORDER BY key) AS BIGINT) AS seq, "
           f"CAST(floor((row_number() OVER (PARTITION BY container ORDER BY key) - 1) / {O.DELETE_BATCH}) AS BIGINT) AS batch "
-          "FROM (SELECT CASE WHEN doc_id % 3 = 0 THEN 'hot' ELSE source END AS container, "
-          "doc_id AS key FROM documents) AS d")
+          f"FROM (SELECT {_HOT} AS container, o_orderkey AS key FROM orders) AS d")
 def delete_batches_hot_container(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select(
-        F.when(F.col("doc_id") % 3 == 0, F.lit("hot")).otherwise(F.col("source")).alias("container"),
-        F.col("doc_id").alias("key"))
-    return O.delete_batches(docs).select("container", "key", "seq", "batch")
+    keys = load(spark, sf_dir, "orders").select(
+        F.expr(_HOT.replace("VARCHAR", "STRING")).alias("container"), F.col("o_orderkey").alias("key"))
+    return O.delete_batches(keys).select("container", "key", "seq", "batch")
