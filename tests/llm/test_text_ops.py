@@ -292,37 +292,47 @@ def test_local_search_improves_a_poor_packing(seed):
 
 # --- scores ------------------------------------------------------------------
 
-def scores_by_hand(rows, prior=lm.PRIOR):
+def scores_by_hand(rows, order=2, prior=lm.PRIOR):
     def toks(t):
         return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + ["</s>"]
     held = [zlib.crc32(("" if d is None else str(d)).encode()) % 10 == 0 for d, _ in rows]
-    one, two = collections.Counter(), collections.Counter()
+    seen = collections.Counter()                  # n-grams of all orders, as tuples
     for (d, t), h in zip(rows, held, strict=True):
         if not h:
-            w = toks(t)
-            one.update(w)
-            two.update(zip(["<s>"] + w, w))
+            w = ["<s>"] + toks(t)
+            for i in range(1, len(w)):
+                for k in range(min(order, i + 1)):
+                    seen[tuple(w[i - k:i + 1])] += 1
+    one = {k[0]: c for k, c in seen.items() if len(k) == 1}
     n, v = sum(one.values()), len(one)
-    before = one | collections.Counter({"<s>": one["</s>"]})
+    seen["<s>",] = one.get("</s>", 0)
+
+    def prob(history, x):
+        if not history:
+            return (one.get(x, 0) + .1) / (n + .1 * (v + 1))
+        p = prob(history[1:], x)
+        c = seen[history]
+        return (seen[(*history, x)] + prior * p) / (c + prior) if c else p
+
     out = []
     for (d, t), h in zip(rows, held, strict=True):
-        w, base, score = toks(t), 0.0, 0.0
-        for a, b in zip(["<s>"] + w, w):
-            p = (one[b] + .1) / (n + .1 * (v + 1))
-            base += math.log10(p)
-            score += math.log10((two[a, b] + prior * p) / (before[a] + prior) if before[a] else p)
-        out.append((d, h, len(w), sum(one[x] > 0 for x in w), n, round(base, 6), round(score, 6)))
+        w = ["<s>"] + toks(t)
+        base = sum(math.log10(prob((), x)) for x in w[1:])
+        score = sum(math.log10(prob(tuple(w[max(0, i - order + 1):i]), w[i]))
+                    for i in range(1, len(w)))
+        out.append((d, h, len(w) - 1, sum(x in one for x in w[1:]), n, round(base, 6),
+                    round(score, 6)))
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_tokens", [50, 1_000_000])
-def test_lm_scores_equal_brute_force(spark, table, block_tokens):
+@pytest.mark.parametrize("block_tokens, order", [(50, 2), (1_000_000, 2), (70, 3)])
+def test_lm_scores_equal_brute_force(spark, table, block_tokens, order):
     rows = [(d, t) for d, t, _ in cases()]
     out = lm.score(table(rows, "doc_id long, text string"), block_tokens=block_tokens,
-                   range_keys=700).collect()
+                   order=order, range_keys=700).collect()
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens,
                     round(r.base_score, 6), round(r.score, 6)) for r in out),
-                  key=repr) == scores_by_hand(rows)
+                  key=repr) == scores_by_hand(rows, order)
 
 
 def test_lm_orders_sum_to_one(spark, table):
