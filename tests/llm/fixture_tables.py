@@ -1,17 +1,7 @@
-import os
-import sys
+"""The ``table`` fixture of these tests (``spark`` comes from the folder above)."""
 
 import pytest
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, ROOT)
-
-
-@pytest.fixture(scope="session")
-def spark():
-    from ferrylake.session import local_session
-    yield local_session(4, shuffle_partitions=6)
-
+from pyspark.sql import functions as F
 
 # names that the operators use inside, as columns of the input
 CLASH = ("key", "row", "size", "shard", "slot", "host", "n_words", "spans", "window", "class",
@@ -22,7 +12,6 @@ CLASH = ("key", "row", "size", "shard", "slot", "host", "n_words", "spans", "win
 def table(spark):
     """Rows as a table with further columns whose names clash with inner ones."""
     def make(rows, schema, clash=True):
-        from pyspark.sql import functions as F
         df = spark.createDataFrame(rows, schema).repartition(3)
         if clash:
             df = df.select("*", *[F.lit("x").alias(c) for c in CLASH if c not in df.columns])

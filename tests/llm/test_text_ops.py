@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from fixture_tables import table  # noqa: F401
 
 from ferrylake.llm import decontaminate, lm, packing, pii, quality, sharding
 from ferrylake.llm.queries import tokenizer_path

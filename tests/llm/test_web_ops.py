@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from fixture_tables import table  # noqa: F401
 from pyspark.sql import functions as F
 
 from ferrylake.llm import htmltext, neardup, urlfilter, warc
