@@ -12,8 +12,10 @@ Rows of equal words are one class from the start. Bands of the signature give
 buckets of distinct texts; the members of a bucket are compared with its most
 widely shared member first, exactly, and linked from ``threshold`` on. Buckets
 whose members are then still in several classes are joined with themselves,
-across classes only and where a one-bit sketch of the signatures allows it, and
-those pairs are compared exactly too. Classes are the connected components.
+across classes only, and those pairs are compared exactly too. Two bounds keep that
+join small: the shingles a text shares with any other text in question bound
+what it can share with one (exact), and a one-bit sketch of the signatures must
+allow the similarity. Classes are the connected components.
 
 Cases: words are runs of ASCII letters, digits and non-ASCII characters, A-Z
 lower-cased; a text of one to four words is one shingle; rows without words
@@ -28,7 +30,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +40,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 8          # misses 0.3 % of pairs at 0.8 and less above
 SKETCH_BITS = 256            # one bit of each coordinate
-# Pairs at the threshold agree in 0.9 of the bits, give or take 0.019; five
+# Pairs at the threshold agree in 0.9 of the bits, give or take 0.019; four
 # deviations below that a pair is not looked at.
-SKETCH_MIN = 0.80
+SKETCH_MIN = 0.82
 SIGN_TOGETHER = 400_000      # regions and coordinates that one throw handles
 
 _SIGNED = "doc_id long, key long, bands array<long>, sketch array<long>"
@@ -177,11 +178,25 @@ def exact_strips(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "key long, strips array<int>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def sets_of(keys: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, strips) of the texts with the given keys; no other text is read whole."""
+    used = checkpointed(keys.select("key").distinct())
+    return written(exact_strips(bounded_join(texts, used, "key", "left_semi")), "strips")
+
+
+def reach(sets: DataFrame) -> DataFrame:
+    """(key, n, common): the size of each set and how many of its members any other
+    of the sets has too. No two sets can share more than the smaller ``common``."""
+    each = sets.select("key", F.explode("strips").alias("strip"))
+    often = each.groupBy("strip").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    common = each.join(often, "strip").groupBy("key").agg(F.count(F.lit(1)).alias("common"))
+    return sets.select("key", F.size("strips").alias("n")).join(common, "key").select(
+        "key", "n", "common")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) key pairs whose weighted Jaccard similarity is ``threshold`` or
-    more. Only texts in a pair are read; a pair meets its two sets by key."""
-    used = checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    sets = written(exact_strips(bounded_join(texts, used, "key", "left_semi")), "strips")
+    more; a pair meets its two sets by key."""
     first = sets.select(F.col("key").alias("a"), F.col("strips").alias("_a"))
     second = sets.select(F.col("key").alias("b"), F.col("strips").alias("_b"))
     both = pairs.join(first, "a").join(second, "b")
@@ -240,26 +255,35 @@ def links(marks: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> D
         member.join(centre, "hash").filter("key <> centre")
         .select(F.least("key", "centre").alias("a"), F.greatest("key", "centre").alias("b"))
         .distinct(), "star-pairs")
-    good = written(verified(stars, texts, threshold), "star-links")
+    ends = stars.select(F.explode(F.array("a", "b")).alias("key"))
+    good = written(verified(stars, sets_of(ends, texts), threshold), "star-links")
     # buckets with members of several classes: pairs across classes
     classed = written(
         member.select("key", "hash").join(components(good), "key", "left")
         .withColumn("class", F.coalesce("class", "key")), "classed")
     split = (classed.groupBy("hash").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
              .filter("lo <> hi").select("hash"))
-    left = written(classed.join(split, "hash").join(marks.select("key", "sketch"), "key"),
-                   "split-buckets")
-    x, y = (left.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in ("key", "class", "sketch")])
+    left = written(classed.join(split, "hash"), "split-buckets")
+    # a text most of whose shingles no other text in question has cannot be similar
+    sets = sets_of(left, texts)
+    able = checkpointed(reach(sets).filter(F.col("common") >= F.col("n") * threshold - 1e-9))
+    left = written(left.join(able, "key").join(marks, "key"), "able-buckets")
+    x, y = (left.select("hash", *[F.col(c).alias(f"{s}_{c}") for c in
+                                  ("key", "class", "sketch", "bands", "n", "common")])
             for s in "ab")
+    most = F.least("a_common", "b_common") * (1 + threshold)
     differ = sum((F.bit_count(F.get("a_sketch", i).bitwiseXOR(F.get("b_sketch", i)))
                   for i in range(1, SKETCH_BITS // 64)),
                  F.bit_count(F.get("a_sketch", 0).bitwiseXOR(F.get("b_sketch", 0))))
     cross = (x.join(y, (x["hash"] == y["hash"]) & (F.col("a_key") < F.col("b_key"))
                     & (F.col("a_class") != F.col("b_class"))
-                    & (differ <= int(SKETCH_BITS * (1 - SKETCH_MIN))))
-             .select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct()
+                    & (most >= (F.col("a_n") + F.col("b_n")) * threshold - 1e-9)
+                    & (differ <= int(SKETCH_BITS * (1 - SKETCH_MIN)))
+                    # a pair that shares several buckets is made in the first of them
+                    & (F.get(F.array_intersect("a_bands", "b_bands"), 0) == x["hash"]))
+             .select(F.col("a_key").alias("a"), F.col("b_key").alias("b"))
              .join(stars, ["a", "b"], "left_anti"))
-    more = verified(written(cross, "cross-pairs"), texts, threshold)
+    more = verified(written(cross, "cross-pairs"), sets, threshold)
     return written(good.union(more), "links")
 
 
