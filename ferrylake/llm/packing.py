@@ -17,6 +17,7 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ from ferrylake.llm.common import pick, ship_package, written
 
 SEQUENCE = 2048
 GROUP_PIECES = 30_000
+CACHE_CHUNKS = 400_000
 SEARCH_STEPS = 1_000      # steps of the local search in a group
 PAIR_BINS = 16            # bins and items that a two-for-one exchange looks at
 PAIR_ITEMS = 4
@@ -47,60 +49,48 @@ class Tokens:
     lower case depends on its place in Python, is left to the tokeniser).
     """
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.lengths = np.zeros(1 << 16, np.int64)
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-        self.rows = 0
-
-    def _row(self, ids) -> int:
-        k, n = self.rows, len(ids)
-        if k == len(self.lengths):
-            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        while self.used + n > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.starts[k], self.lengths[k] = self.used, n
-        self.flat[self.used:self.used + n] = ids
-        self.used += n
-        self.rows += 1
-        return k
-
-    def _ids_of(self, chunk: str) -> np.ndarray:
-        k = self.index[chunk]
-        return self.flat[self.starts[k]:self.starts[k] + self.lengths[k]]
-
-    def _learn(self, chunks: list[str]) -> None:
-        index, split, encode = self.index, [], {}
+        # chunk -> 4 * row of its stem + number of its tail in TAILS; row 0 has no ids
+        self.index: dict[str, int] = {"": 0}
+        self.starts = self.lengths = np.zeros(1, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+        self._add(self.TAILS[1:])
+        self.tail_rows = np.array([self.index[t] >> 2 for t in self.TAILS])
+
+    TAILS = ("", ",", ".")
+
+    def _add(self, stems: tuple[str, ...] | list[str]) -> None:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(stems),
+                                                               add_special_tokens=False)]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        first = len(self.lengths)
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
+        self.lengths = np.concatenate([self.lengths, n])
+        self.flat = np.concatenate([self.flat, np.fromiter(
+            itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))])
+        self.index.update(zip(stems, range(4 * first, 4 * (first + len(ids)), 4)))
+
+    def _learn(self, chunks: set[str]) -> None:
+        index, parts, stems = self.index, [], {}
+        tails = {t: k for k, t in enumerate(self.TAILS)}
         for c in chunks:
-            stem, tail = (c[:-1], c[-1]) if c[-1:] in (",", ".") else (c, "")
+            tail = tails.get(c[-1], 0)
+            stem = c[:-1] if tail else c
             if stem.isalpha() and "\u03a3" not in stem:
                 stem = stem.lower()
             else:
-                stem, tail = c, ""
-            split.append((c, stem, tail))
-            for part in (stem, tail):
-                if part and part not in index:
-                    encode[part] = None
-        encode = list(encode)
-        for part, e in zip(encode, self.tokenizer.encode_batch_fast(
-                encode, add_special_tokens=False), strict=True):
-            index[part] = self._row(e.ids)
-        for c, stem, tail in split:
-            if c not in index:
-                if tail:
-                    ids = np.concatenate([self._ids_of(stem), self._ids_of(tail)])
-                    index[c] = self._row(ids)
-                else:
-                    index[c] = index[stem] if stem else self._row([])
+                stem, tail = c, 0
+            parts.append((c, stem, tail))
+            if stem not in index:
+                stems[stem] = None
+        self._add(list(stems))
+        index.update([(c, index[stem] + tail) for c, stem, tail in parts])
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as uint32."""
@@ -111,25 +101,28 @@ class Tokens:
                   for t in texts]
         new = {c for cs in chunks for c in cs if c not in index}
         if new:
-            self._learn(sorted(new))
+            self._learn(new)
         return [self._gather(np.fromiter(map(index.__getitem__, cs), np.int64, len(cs)))
                 for cs in chunks]
 
-    def _gather(self, rows: np.ndarray) -> np.ndarray:
+    def _gather(self, codes: np.ndarray) -> np.ndarray:
+        rows = np.empty(2 * len(codes), np.int64)
+        rows[0::2], rows[1::2] = codes >> 2, self.tail_rows[codes & 3]
         n = self.lengths[rows]
         ends = np.cumsum(n)
         begin = np.repeat(self.starts[rows] - (ends - n), n)
         return self.flat[begin + np.arange(len(begin))]
 
 
-_TOKENS: dict[str, Tokens] = {}
+_TOKENS: dict[tuple[str, int], Tokens] = {}
 
 
-def tokens_of(path: str) -> Tokens:
+def tokens_of(path: str, limit: int) -> Tokens:
     """One cache per Python worker, kept over its tasks."""
-    if path not in _TOKENS:
-        _TOKENS[path] = Tokens(path)
-    return _TOKENS[path]
+    if (path, limit) not in _TOKENS:
+        _TOKENS.clear()
+        _TOKENS[path, limit] = Tokens(path, limit)
+    return _TOKENS[path, limit]
 
 
 def text_runs(texts, chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
@@ -154,15 +147,17 @@ def text_pieces(ids: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE,
-           id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """One row per piece of each document: its ids end with ``end_id``."""
+           id: str = "doc_id", text: str = "text", end_id: int = 0,
+           cache: int = CACHE_CHUNKS) -> DataFrame:
+    """One row per piece of each document: its ids end with ``end_id``. ``cache`` is
+    the number of chunks a Python worker keeps (about 250 bytes each)."""
     ship_package(docs.sparkSession)
     d = pick(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = tokens_of(tokenizer_path)
+        tok = tokens_of(tokenizer_path, cache)
         end = np.array([end_id], np.uint32)
         for b in batches:
             docs = b["doc_id"].astype("Int64")
@@ -341,7 +336,7 @@ def pack(parts: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECE
 
 def packed(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE,
            group_pieces: int = GROUP_PIECES, id: str = "doc_id",
-           text: str = "text") -> DataFrame:
+           text: str = "text", cache: int = CACHE_CHUNKS) -> DataFrame:
     """Tokenise, cut and pack ``docs``: one row per piece with its place."""
-    return pack(written(pieces(docs, tokenizer_path, size, id, text), "pieces"),
-                size, group_pieces)
+    parts = pieces(docs, tokenizer_path, size, id, text, cache=cache)
+    return pack(written(parts, "pieces"), size, group_pieces)

@@ -83,7 +83,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their sequence and offset."""
-    return packing.packed(load(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed(load(spark, sf_dir, "documents"), tokenizer_path(), cache=1_000_000)
 
 
 @query
