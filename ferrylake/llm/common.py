@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ferrylake.session import ensure_checkpoint_dir, scratch_path, ship_package
 from ferrylake.tables import load
 
 __all__ = ["load", "ship_package", "checkpointed", "written", "bounded_join", "pick",
-           "BROADCAST_ROWS"]
+           "BROADCAST_ROWS", "let"]
 
 # A side is broadcast only when its counted rows are at most this many (rows of
 # a few dozen bytes: about 10 MB); otherwise the join shuffles both sides and
@@ -32,6 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` over ``value``, which is evaluated once however often fn uses it."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def bounded_join(big: DataFrame, small: DataFrame, on, how: str = "inner",
                  rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join; ``small`` (already materialised) is broadcast if it is counted to
@@ -49,7 +56,3 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 def _col(df: DataFrame, name: str) -> Column:
     return F.col(f"`{name}`")
-
-
-def spark_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession

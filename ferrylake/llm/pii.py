@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrylake.llm.common import pick
+from ferrylake.llm.common import let, pick
 
 
 @dataclass(frozen=True)
@@ -47,11 +47,6 @@ KEEP = 0.5
 BEFORE, AFTER = 40, 20        # neighbouring characters looked at
 
 
-def let(value: Column, fn: Callable[[Column], Column]) -> Column:
-    """``fn`` over ``value``, which is evaluated once however often fn uses it."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def _yes(m: Column) -> Column:
     return F.lit(True)
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrylake.llm.common import checkpointed, pick, ship_package
+from ferrylake.llm.common import checkpointed, let, pick, ship_package, written
 
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 
@@ -69,28 +69,40 @@ def header_map(block: Column) -> Column:
     lines = F.filter(F.split(F.coalesce(block, F.lit("")), "\r?\n"),
                      lambda x: x.rlike("^[!#$%&'*+.^_`|~0-9A-Za-z-]+:"))
     pairs = F.transform(lines, lambda x: F.struct(
-        F.lower(F.regexp_extract(x, "^([^:]+):", 1)).alias("k"),
-        F.trim(F.regexp_extract(x, "^[^:]+:(.*)$", 1)).alias("v")))
-    names = F.array_distinct(F.transform(pairs, lambda p: p["k"]))
-    return F.map_from_arrays(names, F.transform(names, lambda n: F.array_join(F.transform(
-        F.filter(pairs, lambda p: p["k"] == n), lambda p: p["v"]), ", ")))
+        F.lower(F.substring_index(x, ":", 1)).alias("k"),
+        F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
+
+    def merged(ps: Column) -> Column:
+        return let(F.array_distinct(F.transform(ps, lambda p: p["k"])),
+                   lambda names: F.map_from_arrays(names, F.transform(
+                       names, lambda n: F.array_join(F.transform(F.filter(
+                           ps, lambda p: p["k"] == n), lambda p: p["v"]), ", "))))
+
+    return let(pairs, merged)
 
 
 def parse_records(raw: DataFrame, id: str = "record_id", record: str = "record") -> DataFrame:
     """Captures from the text of uncompressed WARC records: (record_id, type,
-    profile, url, ts, headers, body). Times are seconds since 1970."""
+    profile, url, ts, headers, body). Times are seconds since 1970. The body is cut
+    from the text only where it is used."""
     d = pick(raw, record_id=id, _r=record)
-    r = F.coalesce(F.col("_r"), F.lit(""))
-    parts = F.split(r, "\r?\n\r?\n", 3)
-    warc = header_map(F.get(parts, 0))
-    return d.select("record_id", warc.alias("_w"), F.get(parts, 1).alias("_h"),
-                    F.get(parts, 2).alias("body")).select(
-        "record_id", F.lower(F.element_at("_w", F.lit("warc-type"))).alias("type"),
-        F.element_at("_w", F.lit("warc-profile")).alias("profile"),
-        F.element_at("_w", F.lit("warc-target-uri")).alias("url"),
-        F.unix_timestamp(F.try_to_timestamp(F.element_at("_w", F.lit("warc-date")),
-                                            F.lit("yyyy-MM-dd'T'HH:mm:ssX"))).alias("ts"),
-        header_map(F.col("_h")).alias("headers"), "body")
+    r, gap = F.coalesce(F.col("_r"), F.lit("")), "\r\n\r\n"
+    head = F.substring_index(r, gap, 2)
+    both = let(F.split(head, gap), lambda p: F.struct(
+        header_map(F.get(p, 0)).alias("w"), header_map(F.get(p, 1)).alias("h")))
+    body = F.substring(r, F.length(head) + len(gap) + 1, F.length(r))
+    # a generator keeps the maps from being made again for each use of them
+    d = d.select("record_id", body.alias("body"), F.explode(F.array(both)).alias("_m"))
+
+    def field(name: str) -> Column:
+        return F.element_at(F.col("_m.w"), F.lit(name))
+
+    return d.select(
+        "record_id", F.lower(field("warc-type")).alias("type"),
+        field("warc-profile").alias("profile"), field("warc-target-uri").alias("url"),
+        F.unix_timestamp(F.try_to_timestamp(
+            field("warc-date"), F.lit("yyyy-MM-dd'T'HH:mm:ssX"))).alias("ts"),
+        F.col("_m.h").alias("headers"), "body")
 
 
 def _weak(tag: str | None) -> str | None:
@@ -152,6 +164,7 @@ def resolve(captures: DataFrame, partitions: int | None = None) -> DataFrame:
     c = c.filter(full | revisit).select(
         "record_id", "curl", "ts", F.when(full, 1).otherwise(0).alias("full"),
         F.when(full, 0).otherwise(1).alias("rank"), "headers")
+    c = written(c, "captures")                # small rows; the ranges are sampled from them
     tie = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))
     order = ["curl", "ts", "rank", "record_id", "_tie"]
     ranged = in_order(c.withColumn("_tie", tie), parts, order)
