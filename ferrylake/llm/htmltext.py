@@ -12,8 +12,12 @@ sidebar, notice, advert, form or comment is removed before that, also on hosts
 with too few pages for statistics. What is left of the article (or of ``main``,
 or of the page where neither is marked) is the text.
 
+Pages of a host with the same text are one page to the statistics: a copy, a
+mirror or another spelling of a URL says nothing about the layout. Copies that
+differ in a word are pages of their own.
+
 Cases: null or empty html gives an empty text; a null or hostless url shares one
-host; repeated pages each give their row and each count; deep nesting is cut at
+host; repeated pages each give their row and count once; deep nesting is cut at
 64 levels (the text stays, with its ancestor); very long pages take linear time;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -51,7 +55,7 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PLAIN = _HEADINGS | frozenset("p pre blockquote ul ol dl table figure".split())
 _MAIN = frozenset(("article", "main"))
 
-_NODES = ("key long, host string, path long, parent long, depth int, style long, "
+_NODES = ("key long, host string, same long, path long, parent long, depth int, style long, "
           "feats array<long>, feat_n array<int>")
 
 
@@ -166,14 +170,17 @@ def main_text(text: str | None, low: frozenset[int] = frozenset()) -> str:
 
 
 def page_nodes(text: str) -> list[tuple]:
-    """(path, parent path, depth, style, features, their counts) of each distinct
-    path of a page that its own marks do not remove."""
+    """(text hash of the page, path, parent path, depth, style, features, their
+    counts) of each distinct path of a page that its own marks do not remove."""
     v = view(text)
     ok = inside(v)
     feats: dict[int, Counter] = {}
+    whole = xxhash.xxh64()
     for k, t in v.page.segments:
         if ok[k]:
+            whole.update(t + "\n")
             feats.setdefault(v.page.nodes[k].path, Counter())[xxhash.xxh64_intdigest(t) >> 1] += 1
+    same = whole.intdigest() >> 1
     out, seen = [], set()
     for k, node in enumerate(v.page.nodes):
         if ok[k] and node.path not in seen:
@@ -181,7 +188,7 @@ def page_nodes(text: str) -> list[tuple]:
             f = feats.get(node.path, {})
             parent = v.page.nodes[node.parent].path if node.parent >= 0 else 0
             style = xxhash.xxh64_intdigest("|".join(node.children)) >> 1
-            out.append((node.path, parent, node.depth, style, list(f), list(f.values())))
+            out.append((same, node.path, parent, node.depth, style, list(f), list(f.values())))
     return out
 
 
@@ -201,9 +208,16 @@ def tree_nodes(pages: DataFrame) -> DataFrame:
     return pages.select("key", "host", "html").mapInPandas(run, _NODES)
 
 
+def distinct_pages(nodes: DataFrame) -> DataFrame:
+    """One row per path of the distinct texts of each host, copies merged map-side."""
+    one = F.max(F.struct("parent", "depth", "style", "feats", "feat_n")).alias("n")
+    return nodes.groupBy("host", "same", "path").agg(one).select("host", "path", "n.*")
+
+
 def importance(nodes: DataFrame, gamma: float = GAMMA) -> DataFrame:
     """(host, path, pages, importance): the merged tree of each host, combined
-    from the leaves up, one depth at a time. All steps add up map-side first."""
+    from the leaves up, one depth at a time, from ``distinct_pages``. All steps add
+    up map-side first."""
     log_m = F.log(F.col("pages").cast("double"))
     styles = nodes.groupBy("host", "path", "parent", "depth", "style").agg(
         F.count(F.lit(1)).alias("c"))
@@ -255,7 +269,8 @@ def texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "
     p = p.withColumn("key", F.xxhash64(F.col("page_id").cast("string"), "url", "html"))
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1))
     nodes = written(tree_nodes(p.withColumn("host", host)), "tree-nodes")
-    weak = checkpointed(importance(nodes).filter(
+    pages_once = written(distinct_pages(nodes), "tree-pages")
+    weak = checkpointed(importance(pages_once).filter(
         (F.col("importance") < low) & (F.col("pages") >= min_pages)).select("host", "path"))
     # a page's list of weak paths is as long as the page's tree at most
     lists = checkpointed(bounded_join(nodes.select("key", "host", "path"), weak,

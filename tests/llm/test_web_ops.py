@@ -146,6 +146,33 @@ def test_copies_of_an_article_keep_its_text(spark, table):
     assert {r.text for r in out} == {"Same title\nSame words."}
 
 
+@pytest.mark.parametrize("page", [
+    "<article><h1>T</h1><div class=entry><p>One of {0}.</p><p>Two.</p><p>Three.</p></div></article>",
+    "<article><h1>T</h1><section><p>One of {0}.</p></section><section><p>Two.</p></section>"
+    "<section><p>Three.</p></section></article>",
+    "<body><div><h1>T</h1><p>One of {0}.</p><p>Two.</p><p>Three.</p></div></body>",
+])
+def test_copies_in_a_wrapper_keep_their_text(spark, table, page):
+    rows = [(k, f"http://c.example.com/?v={k}", f"<head><!--{k}--></head>" + page.format("all"))
+            for k in range(20)]
+    # groups of copies, and one page many times
+    rows += [(100 + k, f"http://d.example.com/{k}", page.format(k % 3)) for k in range(30)]
+    rows += [(200, "http://e.example.com/", page.format("e"))] * 8
+    out = htmltext.texts(table(rows, "page_id long, url string, html string")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        n = "all" if r.page_id < 100 else "e" if r.page_id == 200 else (r.page_id - 100) % 3
+        assert r.text == f"T\nOne of {n}.\nTwo.\nThree."
+
+
+def test_copies_do_not_hide_the_layout(spark, table):
+    rows = [(k, f"http://a.example.com/{k}", site_page(k % 12, f"story {k % 12} tells of it"))
+            for k in range(60)]
+    out = htmltext.texts(table(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in out} == {
+        f"story {k} tells of it\nSecond part {k} of story {k} tells of it" for k in range(12)}
+
+
 def test_pages_empty_table(spark, table):
     assert htmltext.texts(table([], "page_id long, url string, html string")).count() == 0
 
