@@ -30,7 +30,7 @@ _CLOSES = {"li": ({"li"}, _LIST), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "d
            "th": ({"td", "th"}, _ROW), "option": ({"option"}, {"select"}),
            "tbody": ({"thead", "tbody", "tr", "td", "th"}, _TABLE),
            "tfoot": ({"tbody", "tr", "td", "th"}, _TABLE)}
-MAX_DEPTH = 64          # deeper blocks count as their ancestor at this depth
+MAX_DEPTH = 64          # a site's statistics go down to this depth, a page's tree further
 
 
 @dataclass
@@ -172,17 +172,14 @@ def parse(text: str) -> Page:
             continue
         flush()
         parent = stack[-1][1]
-        if nodes[parent].depth < MAX_DEPTH:
-            tokens, hidden = _tokens(attrs) if "=" in attrs or "hidden" in attrs else (
-                frozenset(), False)
-            label = _label(name, tokens)
-            kids = nodes[parent].children
-            if not kids or kids[-1] != label:
-                kids.append(label)
-            path = xxhash.xxh64_intdigest(label, nodes[parent].path) >> 1
-            nodes.append(Node(name, tokens, parent, nodes[parent].depth + 1, path, hidden))
-            stack.append((name, len(nodes) - 1))
-        else:
-            stack.append((name, parent))
+        tokens, hidden = _tokens(attrs) if "=" in attrs or "hidden" in attrs else (
+            frozenset(), False)
+        label = _label(name, tokens)
+        kids = nodes[parent].children
+        if not kids or kids[-1] != label:
+            kids.append(label)
+        path = xxhash.xxh64_intdigest(label, nodes[parent].path) >> 1
+        nodes.append(Node(name, tokens, parent, nodes[parent].depth + 1, path, hidden))
+        stack.append((name, len(nodes) - 1))
     flush()
     return Page(nodes, segments)

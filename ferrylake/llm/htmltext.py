@@ -17,8 +17,9 @@ mirror or another spelling of a URL says nothing about the layout. Copies that
 differ in a word are pages of their own.
 
 Cases: null or empty html gives an empty text; a null or hostless url shares one
-host; repeated pages each give their row and count once; deep nesting is cut at
-64 levels (the text stays, with its ancestor); very long pages take linear time;
+host; repeated pages each give their row and count once; a page's own marks hold at any
+depth, the site's statistics judge blocks of up to 64 levels (deeper text counts as
+its ancestor's there, and goes or stays with it); very long pages take linear time;
 an empty table gives an empty result; other columns are ignored.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrylake.llm.common import bounded_join, checkpointed, pick, ship_package, written
-from ferrylake.llm.dom import Node, Page, parse
+from ferrylake.llm.dom import MAX_DEPTH, Node, Page, parse
 
 GAMMA = 0.9              # how much of a node's importance its branches decide
 LOW = 0.3                # branches below this importance are removed
@@ -171,22 +172,27 @@ def main_text(text: str | None, low: frozenset[int] = frozenset()) -> str:
 
 def page_nodes(text: str) -> list[tuple]:
     """(text hash of the page, path, parent path, depth, style, features, their
-    counts) of each distinct path of a page that its own marks do not remove."""
+    counts) of each distinct path of a page that its own marks do not remove, down
+    to ``MAX_DEPTH``."""
     v = view(text)
-    ok = inside(v)
+    ok, nodes = inside(v), v.page.nodes
+    judged = list(range(len(nodes)))     # the node that a node's text counts for
+    for k, node in enumerate(nodes):
+        if node.depth > MAX_DEPTH:
+            judged[k] = judged[node.parent]
     feats: dict[int, Counter] = {}
     whole = xxhash.xxh64()
     for k, t in v.page.segments:
         if ok[k]:
             whole.update(t + "\n")
-            feats.setdefault(v.page.nodes[k].path, Counter())[xxhash.xxh64_intdigest(t) >> 1] += 1
+            feats.setdefault(nodes[judged[k]].path, Counter())[xxhash.xxh64_intdigest(t) >> 1] += 1
     same = whole.intdigest() >> 1
     out, seen = [], set()
-    for k, node in enumerate(v.page.nodes):
-        if ok[k] and node.path not in seen:
+    for k, node in enumerate(nodes):
+        if ok[k] and judged[k] == k and node.path not in seen:
             seen.add(node.path)
             f = feats.get(node.path, {})
-            parent = v.page.nodes[node.parent].path if node.parent >= 0 else 0
+            parent = nodes[node.parent].path if node.parent >= 0 else 0
             style = xxhash.xxh64_intdigest("|".join(node.children)) >> 1
             out.append((same, node.path, parent, node.depth, style, list(f), list(f.values())))
     return out

@@ -195,6 +195,24 @@ def test_main_text(page, text):
     assert htmltext.main_text(page) == text
 
 
+def test_marks_hold_below_the_depth_of_the_statistics(spark, table):
+    deep = "<div>" * 100
+    page = (f"{deep}<nav>menu</nav><div class='advert'>Buy</div><div hidden>no</div>"
+            "<p>outside</p><article><h1>T</h1><p>Words.</p><form>mail</form>"
+            "<section class='comments'>Nice!</section></article><footer>f</footer>")
+    assert htmltext.main_text(page) == "T\nWords."
+    plain = f"{deep}<nav>menu</nav><p>Words.</p><footer>f</footer>"
+    assert htmltext.main_text(plain) == "Words."
+    assert max(n[3] for n in htmltext.page_nodes(plain)) == htmltext.MAX_DEPTH
+    # deep text counts for the last block that the statistics judge
+    assert [n[3] for n in htmltext.page_nodes(plain) if n[5]] == [htmltext.MAX_DEPTH]
+    # and an article below the statistics is the page's text
+    rows = [(k, f"http://deep.example.com/{k}", page.replace("Words", f"Words {k}"))
+            for k in range(8)]
+    out = htmltext.texts(table(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in out} == {f"T\nWords {k}." for k in range(8)}
+
+
 # --- URLs --------------------------------------------------------------------
 
 def test_url_rules(spark, table):
