@@ -141,8 +141,8 @@ def op7_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The response behind every not-modified revisit of records made from all
-    pages, with its merged headers."""
-    records = warc.captures_of_pages(load(spark, sf_dir, "pages"))
+    pages, with its merged headers. Times are microseconds."""
+    records = warc.captures_of_pages(load(spark, sf_dir, "pages"), others=True)
     r = warc.resolve(warc.parse_records(records))
     headers = F.array_sort(F.map_entries("headers"))
     lines = F.transform(headers, lambda h: F.concat_ws(": ", h["key"], h["value"]))

@@ -1,7 +1,8 @@
 """Not-modified revisits of web archives, resolved by an as-of join.
 
-A capture is a WARC record: ``response`` (a full answer) or ``revisit`` with the
-server-not-modified profile (a 304 answer without a body). Each revisit is joined
+A capture is a WARC record: ``response`` with status 200 (a full answer; a part
+(206), an error or a 304 has no body that a 304 could stand for) or ``revisit`` with
+the server-not-modified profile (a 304 answer without a body). Each revisit is joined
 to the latest earlier full response of the same canonical URL; its validators
 (ETag, else Last-Modified) must agree with the response's, and the headers that
 a 304 may update are merged into the stored ones.
@@ -15,7 +16,7 @@ record names the response whose body it has.
 Order within a URL is time, then full responses before revisits of the same
 instant (they count as earlier), then record id. Cases: a null URL is a URL of
 its own that nothing resolves; a null time sorts first and has no earlier
-response; null or broken headers are empty ones; repeated rows each give their
+response; a response without a status line is not a full answer; null or broken headers are empty ones; repeated rows each give their
 row; a revisit with no validator in common is ``unverified``; an empty table gives an
 empty result; other columns are ignored.
 """
@@ -81,15 +82,34 @@ def header_map(block: Column) -> Column:
     return let(pairs, merged)
 
 
+def http_status(block: Column) -> Column:
+    """The status code of an HTTP header block's first line, or null."""
+    code = F.regexp_extract(F.coalesce(block, F.lit("")), r"^HTTP/\d+(?:\.\d+)? +(\d{3})\b", 1)
+    return F.nullif(code, F.lit("")).cast("int")
+
+
+def warc_micros(date: Column) -> Column:
+    """Microseconds since 1970 of a WARC-Date: a year, month, day or minute (its
+    first instant in UTC), or a second with any number of decimals; else null."""
+    d = F.regexp_replace(F.regexp_replace(date, r"^(\d{4})$", "$1-01"), r"^(\d{4}-\d\d)$", "$1-01")
+    d = F.regexp_replace(d, r"^(\d{4}-\d\d-\d\d)$", "$1T00:00Z")
+    d = F.regexp_replace(d, r"(T\d\d:\d\d)(Z|[+-])", "$1:00$2")
+    d = F.regexp_replace(d, r"([+-]\d\d)(\d\d)?$", "$1:$2")      # a colon in the zone
+    d = F.regexp_replace(d, r"([+-]\d\d:)$", "$100")
+    whole = d.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)$")
+    return F.when(whole, F.unix_micros(d.try_cast("timestamp")))
+
+
 def parse_records(raw: DataFrame, id: str = "record_id", record: str = "record") -> DataFrame:
     """Captures from the text of uncompressed WARC records: (record_id, type,
-    profile, url, ts, headers, body). Times are seconds since 1970. The body is cut
-    from the text only where it is used."""
+    profile, url, ts, http_status, headers, body). Times are microseconds since 1970.
+    The body is cut from the text only where it is used."""
     d = pick(raw, record_id=id, _r=record)
     r, gap = F.coalesce(F.col("_r"), F.lit("")), "\r\n\r\n"
     head = F.substring_index(r, gap, 2)
     both = let(F.split(head, gap), lambda p: F.struct(
-        header_map(F.get(p, 0)).alias("w"), header_map(F.get(p, 1)).alias("h")))
+        header_map(F.get(p, 0)).alias("w"), header_map(F.get(p, 1)).alias("h"),
+        http_status(F.get(p, 1)).alias("s")))
     body = F.substring(r, F.length(head) + len(gap) + 1, F.length(r))
     # a generator keeps the maps from being made again for each use of them
     d = d.select("record_id", body.alias("body"), F.explode(F.array(both)).alias("_m"))
@@ -100,8 +120,7 @@ def parse_records(raw: DataFrame, id: str = "record_id", record: str = "record")
     return d.select(
         "record_id", F.lower(field("warc-type")).alias("type"),
         field("warc-profile").alias("profile"), field("warc-target-uri").alias("url"),
-        F.unix_timestamp(F.try_to_timestamp(
-            field("warc-date"), F.lit("yyyy-MM-dd'T'HH:mm:ssX"))).alias("ts"),
+        warc_micros(field("warc-date")).alias("ts"), F.col("_m.s").alias("http_status"),
         F.col("_m.h").alias("headers"), "body")
 
 
@@ -150,16 +169,19 @@ def resolve(captures: DataFrame, partitions: int | None = None) -> DataFrame:
     """(record_id, curl, ts, status, original_id, original_ts, headers): one row per
     not-modified revisit; status is resolved, mismatch, unverified or orphan.
 
-    ``captures`` has (record_id, type, profile, url, ts, headers); other records
-    than full responses and not-modified revisits are left out.
+    ``captures`` has (record_id, type, profile, url, ts, headers) and http_status;
+    without that column every response counts as a full one. ts may have any unit.
+    Other records than full responses and not-modified revisits are left out.
     """
     spark = captures.sparkSession
     ship_package(spark)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = F.col("http_status") == 200 if "http_status" in captures.columns else F.lit(True)
     c = captures.select(F.col("record_id").cast("long").alias("record_id"), "type", "profile",
                         canonical_url(F.col("url")).alias("curl"),
-                        F.col("ts").cast("long").alias("ts"), "headers")
-    full = F.col("type") == "response"
+                        F.col("ts").cast("long").alias("ts"), "headers",
+                        F.coalesce(whole, F.lit(False)).alias("whole"))
+    full = (F.col("type") == "response") & F.col("whole")
     revisit = (F.col("type") == "revisit") & F.col("profile").endswith("server-not-modified")
     c = c.filter(full | revisit).select(
         "record_id", "curl", "ts", F.when(full, 1).otherwise(0).alias("full"),
@@ -225,12 +247,14 @@ def with_bodies(resolved: DataFrame, captures: DataFrame) -> DataFrame:
 
 
 def captures_of_pages(pages: DataFrame, id: str = "page_id", url: str = "url",
-                      html: str = "html") -> DataFrame:
+                      html: str = "html", others: bool = False) -> DataFrame:
     """(record_id, record): WARC records derived from a table of pages, for trying
     the join on real volumes. Each page is a full response at a time that its id
     gives; ids also decide how many revisits follow, under which spelling of the
-    URL, and whether their validators still agree. record_id is 10 page_id for the
-    response and 10 page_id + 1 to 3 for its revisits."""
+    URL, whether their validators still agree, and in which form times are written.
+    record_id is 10 page_id for the response and 10 page_id + 1 to 3 for its revisits.
+    ``others`` adds responses that are not full answers (206, 304, 404, 500), half an
+    hour after some full ones, as 10 page_id + 4."""
     p = pick(pages, page_id=id, url=url, html=html)
     h = F.pmod(F.xxhash64(F.col("page_id")), F.lit(1_000_000))
     start = F.lit(1_600_000_000) + h * 30
@@ -238,7 +262,10 @@ def captures_of_pages(pages: DataFrame, id: str = "page_id", url: str = "url",
     eol = "\r\n"
 
     def stamp(seconds: Column) -> Column:
-        return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        t = F.timestamp_seconds(seconds)
+        return (F.when(h % 4 == 1, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'.250001Z'"))
+                .when(h % 4 == 2, F.date_format(t, "yyyy-MM-dd'T'HH:mm'Z'"))
+                .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")))
 
     def http_date(seconds: Column) -> Column:
         return F.date_format(F.timestamp_seconds(seconds), "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
@@ -272,4 +299,15 @@ def captures_of_pages(pages: DataFrame, id: str = "page_id", url: str = "url",
     again = (p.withColumn("k", F.explode(F.sequence(F.lit(0), (h % 4).cast("int"))))
              .filter("k > 0")
              .select((F.col("page_id") * 10 + k).alias("record_id"), revisit.alias("record")))
-    return own.union(again)
+    if not others:
+        return own.union(again)
+    line = F.element_at(F.array(*map(F.lit, (
+        "206 Partial Content", "304 Not Modified", "404 Not Found", "500 Internal Server Error"))),
+        (h % 4 + 1).cast("int"))
+    other = F.concat(
+        F.lit(f"WARC/1.1{eol}WARC-Type: response{eol}WARC-Target-URI: "),
+        F.coalesce("url", F.lit("")), F.lit(f"{eol}WARC-Date: "), stamp(start + 1_800),
+        F.lit(f"{eol}{eol}HTTP/1.1 "), line,
+        F.lit(f'{eol}Content-Type: text/html{eol}ETag: "other"{eol}{eol}not the page'))
+    return own.union(again).union(p.filter(h % 3 == 0).select(
+        (F.col("page_id") * 10 + 4).alias("record_id"), other.alias("record")))

@@ -351,3 +351,58 @@ def test_records_from_pages_round_trip(spark, table):
     assert all(r.body == bodies[r.original_id] for r in with_body)
     empty = df.limit(0)
     assert warc.resolve(warc.parse_records(warc.captures_of_pages(empty))).count() == 0
+
+
+@pytest.mark.parametrize("date, iso", [
+    ("2020", "2020-01-01T00:00:00"), ("2020-05", "2020-05-01T00:00:00"),
+    ("2020-05-06", "2020-05-06T00:00:00"), ("2020-05-06T07:08Z", "2020-05-06T07:08:00"),
+    ("2020-05-06T07:08:09Z", "2020-05-06T07:08:09"),
+    ("2020-05-06T07:08:09.5Z", "2020-05-06T07:08:09.500000"),
+    ("2020-05-06T07:08:09.123456789Z", "2020-05-06T07:08:09.123456"),
+    ("2020-05-06T07:08:09+02", "2020-05-06T05:08:09"),
+    ("2020-05-06T07:08+0230", "2020-05-06T04:38:00"),
+    ("2020-05-06T07:08:09.25-01:00", "2020-05-06T08:08:09.250000"),
+    ("2020-13-06T07:08:09Z", None), ("2020-05-06T07:08:09", None), ("yesterday", None), ("", None),
+])
+def test_warc_dates(spark, date, iso):
+    from datetime import datetime, timedelta, timezone
+    record = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Date: {date}\r\n\r\nHTTP/1.1 200 OK\r\n\r\n"
+    df = spark.createDataFrame([(1, record)], "record_id long, record string")
+    since = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    want = iso and (datetime.fromisoformat(iso + "+00:00") - since) // timedelta(microseconds=1)
+    row = warc.parse_records(df).first()
+    assert (row.ts, row.http_status) == (want, 200)
+
+
+def test_only_full_answers_carry_forward(spark):
+    def record(kind, date, head):
+        profile = f"WARC-Profile: {warc.NOT_MODIFIED}\r\n" if kind == "revisit" else ""
+        return (f"WARC/1.1\r\nWARC-Type: {kind}\r\n{profile}WARC-Target-URI: http://a.com/\r\n"
+                f"WARC-Date: {date}\r\n\r\n{head}\r\n\r\n")
+    rows = [(1, record("response", "2020-01-01T00:00:00.100Z", 'HTTP/1.1 200 OK\r\nETag: "a"')),
+            (2, record("revisit", "2020-01-01T00:00:00.050Z", 'HTTP/1.1 304 X\r\nETag: "a"')),
+            (3, record("revisit", "2020-01-01T00:00:00.200Z", 'HTTP/1.1 304 X\r\nETag: "a"'))]
+    for k, line in enumerate(("HTTP/1.1 206 Partial Content", "HTTP/1.1 304 Not Modified",
+                              "HTTP/1.1 404 Not Found", "HTTP/2 500", "X-No-Status: line")):
+        rows.append((10 + k, record("response", f"2020-01-01T00:0{k + 1}Z", line + '\r\nETag: "b"')))
+    rows.append((4, record("revisit", "2020-01-02", 'HTTP/1.1 304 X\r\nETag: "a"')))
+    df = spark.createDataFrame(rows, "record_id long, record string")
+    got = {r.record_id: (r.status, r.original_id)
+           for r in warc.resolve(warc.parse_records(df)).collect()}
+    assert got == {2: ("orphan", None), 3: ("resolved", 1), 4: ("resolved", 1)}
+
+
+def test_other_answers_of_pages_change_nothing(spark, table):
+    pages = [(k, f"http://h{k % 5}.example.com/p{k}", f"<p>{k}</p>") for k in range(200)]
+    df = table(pages, "page_id long, url string, html string")
+    plain = warc.parse_records(warc.captures_of_pages(df))
+    more = warc.parse_records(warc.captures_of_pages(df, others=True)).cache()
+    assert {r[0] for r in more.filter("type = 'response'").select("http_status").collect()} == {
+        200, 206, 304, 404, 500}
+    assert more.filter("ts is null").count() == 0 < more.filter("ts % 1000000 > 0").count()
+    short = warc.captures_of_pages(df).filter(F.col("record").rlike(r"WARC-Date: [^\r]*T\d\d:\d\dZ"))
+    assert short.count() > 0
+    def rows(caps):
+        return sorted((r.record_id, r.ts, r.status, r.original_id or 0, r.original_ts or 0)
+                      for r in warc.resolve(caps).collect())
+    assert rows(more) == rows(plain)
