@@ -2,12 +2,13 @@
 search.
 
 Texts are tokenised in Spark tasks; only (id, piece, start, length, checksum)
-rows go on. They are dealt by hash into groups of about ``group_pieces`` pieces,
-and each group is packed by one task: a greedy first packing, then one-for-one
-and two-for-one exchanges and moves between underfull bins, each of which raises
-the sum of squared fills, until the emptiest bins can be closed. A group's
-memory is bounded by ``group_pieces``; the loss against packing everything at
-once is less than a bin a group.
+rows go on. Full pieces are a sequence each, wherever they are. The others, one a
+text at most, are dealt by hash into groups of about ``group_pieces``, and each
+group is packed by one task: a greedy first packing, then one-for-one and
+two-for-one exchanges and moves between underfull bins, each of which raises the
+sum of squared fills, until the emptiest bins can be closed. A group holds nothing
+else, so its memory is bounded by ``group_pieces``. The search ends at the lower
+bound of bins or when no underfull bin has a change left.
 
 Cases: null text is empty text and still yields the end token; a text longer
 than a sequence is cut into full pieces and a rest; equal rows are packed each;
@@ -31,7 +32,6 @@ from ferrylake.llm.common import pick, ship_package, written
 SEQUENCE = 2048
 GROUP_PIECES = 30_000
 CACHE_CHUNKS = 400_000
-SEARCH_STEPS = 1_000      # steps of the local search in a group
 PAIR_BINS = 16            # bins and items that a two-for-one exchange looks at
 PAIR_ITEMS = 4
 
@@ -195,7 +195,8 @@ def _first_packing(lengths: list[int], size: int) -> list[list[int]]:
 
 
 def local_search(lengths: list[int], size: int = SEQUENCE,
-                 bins: list[list[int]] | None = None, steps: int = SEARCH_STEPS) -> list[list[int]]:
+                 bins: list[list[int]] | None = None,
+                 steps: int | None = None) -> list[list[int]]:
     """Pack items of the given lengths; returns bins of item numbers.
 
     The emptiest bin is the donor. Each step looks over all its items and all
@@ -205,8 +206,8 @@ def local_search(lengths: list[int], size: int = SEQUENCE,
     at the ``PAIR_BINS`` roomiest bins). Every change moves length from a bin to
     one at least as full, so the sum of squared fills rises and the search ends.
     An emptied bin closes; a donor without such a change is set aside until the
-    next one closes. The search stops at the lower bound of bins, when every
-    donor is set aside, or after ``steps`` steps.
+    next one closes or all are set aside. The search stops at the lower bound of bins
+    or when no donor has a change (``steps`` stops it earlier).
     """
     if bins is None:
         bins = _first_packing(lengths, size)
@@ -219,16 +220,20 @@ def local_search(lengths: list[int], size: int = SEQUENCE,
     fill = np.bincount(at, weights=n, minlength=len(bins)).astype(np.int64)
     bound = max(-(-int(n.sum()) // size), int((2 * n > size).sum()))
     stuck = np.zeros(len(bins), bool)
-    alive = len(bins)
-    for _ in range(steps):
+    alive, changed = len(bins), False
+    for _ in itertools.count() if steps is None else range(steps):
         donors = np.flatnonzero((fill > 0) & (fill < size) & ~stuck)
-        if alive <= bound or not len(donors):
+        if alive <= bound or not (len(donors) or changed):
             break
+        if not len(donors):
+            stuck[:] = changed = False
+            continue
         donor = donors[np.argmin(fill[donors])]
         change = _best_change(int(donor), n, at, fill, size)
         if change is None:
             stuck[donor] = True
             continue
+        changed = True
         item, receiver, back = change
         at[item] = receiver
         at[back] = donor
@@ -237,7 +242,7 @@ def local_search(lengths: list[int], size: int = SEQUENCE,
         fill[donor] -= moved
         if not fill[donor]:
             alive -= 1
-            stuck[:] = False
+            stuck[:] = changed = False
     out: dict[int, list[int]] = {}
     for i, k in enumerate(at.tolist()):
         out.setdefault(k, []).append(i)
@@ -301,14 +306,18 @@ def _pair(lengths: np.ndarray, low: int, high: int) -> tuple[int, int, int] | No
 def pack(parts: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``pieces`` rows plus ``sequence_id`` and ``offset``. ``parts`` is counted
     and then packed, so pass a written table. Full pieces are a sequence each
-    and need no search; the others are dealt by hash into groups."""
+    and need no search: they are numbered where they are, after the groups' numbers.
+    The others are dealt by hash into groups."""
     ship_package(parts.sparkSession)
     n = parts.filter(F.col("length") < size).count()
     groups = max(1, -(-n // group_pieces))
     schema = _PIECES + ", sequence_id long, offset long"
     key = F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32",
                      F.monotonically_increasing_id())
-    dealt = parts.withColumn("_g", F.pmod(key, F.lit(groups)).cast("long"))
+    full = parts.filter(F.col("length") >= size).select(
+        "*", (F.lit(groups << 32) + F.monotonically_increasing_id()).alias("sequence_id"),
+        F.lit(0).cast("long").alias("offset"))
+    dealt = parts.filter(F.col("length") < size).withColumn("_g", F.pmod(key, F.lit(groups)).cast("long"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"],
@@ -318,20 +327,15 @@ def pack(parts: DataFrame, size: int = SEQUENCE, group_pieces: int = GROUP_PIECE
         base = int(group["_g"].iat[0]) << 32
         seq = np.zeros(len(group), np.int64)
         off = np.zeros(len(group), np.int64)
-        whole = [i for i, x in enumerate(lengths) if x >= size]
-        rest = [i for i, x in enumerate(lengths) if x < size]
-        for k, i in enumerate(whole):
-            seq[i] = base + k
-        for k, items in enumerate(local_search([lengths[i] for i in rest], size)):
+        for k, items in enumerate(local_search(lengths, size)):
             at = 0
-            for j in sorted(items):
-                i = rest[j]
-                seq[i], off[i] = base + len(whole) + k, at
+            for i in sorted(items):
+                seq[i], off[i] = base + k, at
                 at += lengths[i]
         group["sequence_id"], group["offset"] = seq, off
         return group.drop(columns="_g")
 
-    return dealt.groupBy("_g").applyInPandas(run, schema)
+    return full.union(dealt.groupBy("_g").applyInPandas(run, schema))
 
 
 def packed(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE,

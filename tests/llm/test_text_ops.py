@@ -291,6 +291,30 @@ def test_local_search_improves_a_poor_packing(seed):
     assert len(packing.local_search(lengths, 100)) <= bound + 1
 
 
+def test_full_pieces_stay_out_of_the_groups(spark):
+    from pyspark.sql import functions as F
+    rows = spark.range(0, 4_000, 1, 8).select(
+        F.lit(7).cast("long").alias("doc_id"), F.col("id").cast("int").alias("piece"),
+        (F.col("id") * 2048).alias("start"),
+        F.when(F.col("id") < 3_999, 2048).otherwise(5).cast("long").alias("length"),
+        F.col("id").alias("ids_crc32"))
+    out = packing.pack(rows).cache()
+    full = out.filter("length = 2048")
+    assert full.select(F.spark_partition_id()).distinct().count() == 8    # not one task's frame
+    assert out.select("sequence_id").distinct().count() == out.count() == 4_000
+    assert out.filter("offset <> 0").count() == 0
+
+
+def test_search_goes_on_to_its_end():
+    lengths = np.random.default_rng(1).integers(300, 1_400, packing.GROUP_PIECES).tolist()
+    bins = packing.local_search(lengths)
+    assert sorted(i for b in bins for i in b) == list(range(len(lengths)))
+    assert all(sum(lengths[i] for i in b) <= packing.SEQUENCE for b in bins)
+    assert len(bins) < len(packing.local_search(lengths, steps=1_000))
+    # nothing is left to do
+    assert len(packing.local_search(lengths, bins=bins)) == len(bins)
+
+
 # --- scores ------------------------------------------------------------------
 
 def scores_by_hand(rows, order=2, prior=lm.PRIOR):
