@@ -250,6 +250,16 @@ def _orders_landing(spark, sf_dir):
     return folder
 
 
+def _orders_mixed(spark, sf_dir):
+    """A landing folder of files with their columns in opposite orders."""
+    folder = scratch_path(spark, "orders-mixed")
+    orders = load(spark, sf_dir, "orders")
+    S.write_text_table(orders.filter("o_orderkey % 2 = 0"), folder, n_files=2)
+    S.write_text_table(orders.filter("o_orderkey % 2 = 1").select(*reversed(orders.columns)),
+                       folder, mode="append", n_files=2)
+    return folder
+
+
 def _orders_agg(df):
     return df.groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"), F.sum("o_custkey").cast("bigint").alias("sum_custkey"),
@@ -350,7 +360,7 @@ def apply_stored_schema_orders(spark, sf_dir):
 def stream_type_counts_orders(spark, sf_dir):
     # A1 as a stream: CSV files arriving in a landing folder, counts kept as
     # streaming state; the final snapshot equals the batch vote.
-    folder = _orders_landing(spark, sf_dir)
+    folder = _orders_mixed(spark, sf_dir)
     out = scratch_path(spark, "stream-counts")
     landing.profile_stream(spark, folder, TEXT_COLUMNS["orders"], out,
                            scratch_path(spark, "stream-ckpt")).awaitTermination()
@@ -361,7 +371,7 @@ def stream_type_counts_orders(spark, sf_dir):
 def stream_ingest_orders(spark, sf_dir):
     # R6 as a stream: each arriving CSV file is typed with the settled schema
     # and appended to a Parquet table (exactly once through the checkpoint).
-    folder = _orders_landing(spark, sf_dir)
+    folder = _orders_mixed(spark, sf_dir)
     text = S.read_text_table(spark, folder)
     prof = A.profile(text, mode="exclusive", already_text=True)
     pairs = R.schema_pairs(R.settled_schema(prof))

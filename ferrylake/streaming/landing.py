@@ -12,8 +12,13 @@ Both default to ``availableNow``: process what has landed, then stop.
 
 from __future__ import annotations
 
-from typing import Sequence
+import csv
+import io
+import sys
+from typing import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,20 +26,75 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ferrylake.operators import apply as R6
 from ferrylake.operators import profile as A
-from ferrylake.sources.text import CSV_READ
+from ferrylake.session import ship_package
+from ferrylake.sources.text import _CORRUPT, CSV_READ
 
 
 def text_stream(spark: SparkSession, folder: str, columns: Sequence[str],
                 max_files_per_trigger: int | None = None) -> DataFrame:
-    """New CSV files anywhere below ``folder`` as a stream of text rows
-    (header skipped, every value a string, empty values read as "")."""
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    reader = (spark.readStream.options(**CSV_READ).option("multiLine", "true").schema(schema)
+    """New CSV files anywhere below ``folder`` as a stream of text rows.
+
+    As in ``read_text_table``, each file is read by its own header: its columns may
+    have another order, a column it lacks and a field that a short row does not have
+    are null, an empty field is "". Columns that ``columns`` does not name are left
+    out; a file whose header names none of them, or one twice, stops the stream."""
+    ship_package(spark)
+    cells = [f"_c{i}" for i in range(len(columns))]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, _CORRUPT]])
+    # a file of quoted line breaks is not split: its rows come in order, header first
+    reader = (spark.readStream.options(**{**CSV_READ, "header": "false"})
+              .option("multiLine", "true").schema(schema)
+              .option("columnNameOfCorruptRecord", _CORRUPT).option("columnPruning", "false")
               .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[cC][sS][vV]"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    df = reader.csv(folder)
-    return df.select([F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns])
+    df = reader.csv(folder).select("*", F.col("_metadata.file_path").alias("_file"))
+    out = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+    return df.mapInPandas(_by_header(list(columns), cells), out)
+
+
+def _by_header(columns: list[str], cells: list[str]
+               ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Rows by position, file after file, to rows of ``columns`` by each file's header."""
+
+    def fields(row: pd.Series) -> list[str]:
+        """A record's fields; one of another width than ``cells`` is kept as text."""
+        if pd.isna(row[_CORRUPT]):
+            return [x or "" for x in row[cells]]
+        return next(csv.reader(io.StringIO(row[_CORRUPT], newline="")), [""])
+
+    def positions(file: str, header: list[str]) -> dict[str, int]:
+        if len(set(header)) < len(header) or not set(header) & set(columns):
+            raise ValueError(f"{file} has the header {header}; wanted are {columns}, once each")
+        return {c: i for i, c in enumerate(header)}
+
+    def mapped(rows: pd.DataFrame, place: dict[str, int]) -> pd.DataFrame:
+        odd = rows[_CORRUPT].notna().to_numpy()
+        texts = [fields(r) for _, r in rows[odd].iterrows()]
+        out = {}
+        for c in columns:
+            i = place.get(c, sys.maxsize)
+            col = np.full(len(rows), None, object)
+            if i < len(cells):
+                col[:] = rows[cells[i]].fillna("").to_numpy(object)
+            col[odd] = [t[i] if i < len(t) else None for t in texts]
+            out[c] = col
+        return pd.DataFrame(out, columns=columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        csv.field_size_limit(sys.maxsize)
+        file, place = None, {}
+        for b in batches:
+            names = b["_file"].to_numpy(object)
+            starts = [k for k in range(len(b)) if not k or names[k] != names[k - 1]]
+            for lo, hi in zip(starts, [*starts[1:], len(b)]):
+                if names[lo] != file:
+                    file = names[lo]
+                    place = positions(file, fields(b.iloc[lo]))
+                    lo += 1
+                yield mapped(b.iloc[lo:hi], place)
+
+    return run
 
 
 def profile_stream(spark: SparkSession, folder: str, columns: Sequence[str], out: str,

@@ -83,3 +83,29 @@ def test_ingest_stream_restart_is_exactly_once(spark, tmp_path):
     typed = spark.read.parquet(out)
     assert typed.count() == orders.count()
     assert typed.exceptAll(orders.select(*typed.columns)).count() == 0
+
+
+def test_streams_read_each_file_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "landing"
+    folder.mkdir()
+    for name, text in {
+            "a.csv": 'k,v,t\n1,2.5,"x, ""y""\nz"\n2,,\n3\n\n4,1.5\n5,6.5,t,more\n',
+            "b.csv": "t,k,v\nu,6,3.5\n,7\nw\n",
+            "c.csv": "v,k\n4.5,8\n,9\n",
+            "d.csv": 'note,t,v,k\n"n,\n1",s,5.5,10\nn,r\n'}.items():
+        (folder / name).write_text(text)
+    want = S.read_text_table(spark, str(folder)).select("k", "v", "t")
+    got = str(tmp_path / "rows")
+    (landing.text_stream(spark, str(folder), ["k", "v", "t"]).writeStream.format("parquet")
+     .option("checkpointLocation", str(tmp_path / "c0")).option("path", got)
+     .trigger(availableNow=True).start().awaitTermination())
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    rows = order(spark.read.parquet(got).select("k", "v", "t"))
+    assert rows == order(want) and len(rows) == 12
+    assert ("1", "2.5", 'x, "y"\nz') in rows and ("3", None, None) in rows
+    out = str(tmp_path / "counts")
+    landing.profile_stream(spark, str(folder), ["k", "v", "t"], out,
+                           str(tmp_path / "c1")).awaitTermination()
+    batch = A.type_counts(want, columns=["k", "v", "t"], already_text=True)
+    assert {tuple(r) for r in landing.read_snapshot(spark, out).collect()} == \
+        {tuple(r) for r in batch.collect()}
