@@ -62,6 +62,26 @@ def csv_mixed_headers(spark, sf_dir):
     return typed_from_text(S.read_text_table(spark, out), TEXT_COLUMNS["customer"])
 
 
+def _short_rows(spark, sf_dir, n_files=8):
+    """Customers as CSV files, each with its header, of rows that end before their
+    last field and others whose last field is empty."""
+    c = load(spark, sf_dir, "customer")
+    kind = F.col("c_custkey") % 3
+    cells = [F.col(x).cast("string") for x in ("c_custkey", "c_acctbal")]
+    line = F.concat_ws(",", *cells, F.when(kind == 1, F.lit("")).when(
+        kind == 2, F.col("c_mktsegment")))
+
+    def headed(batches):
+        import pandas as pd
+        yield pd.DataFrame({"value": ["c_custkey,c_acctbal,c_mktsegment"]})
+        yield from batches
+
+    out = scratch_path(spark, "customer-short")
+    c.select(line.alias("value")).repartition(n_files).mapInPandas(
+        headed, "value string").write.text(out)
+    return out
+
+
 # Rows that end before their last field, others whose last field is empty.
 @register("csv_short_rows",
           "SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS sum_custkey, "
@@ -70,16 +90,7 @@ def csv_mixed_headers(spark, sf_dir):
           "CAST(count(CASE WHEN c_custkey % 3 = 2 AND c_mktsegment <> '' THEN 1 END) AS BIGINT) "
           "AS n_full FROM customer")
 def csv_short_rows(spark, sf_dir):
-    c = load(spark, sf_dir, "customer")
-    kind = F.col("c_custkey") % 3
-    cells = [F.col(x).cast("string") for x in ("c_custkey", "c_acctbal")]
-    line = F.concat_ws(",", *cells, F.when(kind == 1, F.lit("")).when(
-        kind == 2, F.col("c_mktsegment")))
-    lines = spark.createDataFrame([(-1, "c_custkey,c_acctbal,c_mktsegment")], "k long, value string")
-    lines = lines.union(c.select(F.col("c_custkey").cast("long"), line))
-    out = scratch_path(spark, "customer-short")
-    lines.repartition(1).sortWithinPartitions("k").select("value").write.text(out)
-    t = S.read_text_table(spark, out)
+    t = S.read_text_table(spark, _short_rows(spark, sf_dir))
     seg = F.col("c_mktsegment")
     return t.agg(F.count(F.lit(1)).alias("n"),
                  F.sum(F.col("c_custkey").cast("long")).alias("sum_custkey"),

@@ -109,3 +109,10 @@ def test_streams_read_each_file_by_its_own_header(spark, tmp_path):
     batch = A.type_counts(want, columns=["k", "v", "t"], already_text=True)
     assert {tuple(r) for r in landing.read_snapshot(spark, out).collect()} == \
         {tuple(r) for r in batch.collect()}
+
+
+def test_short_rows_are_written_by_many_tasks(spark):
+    from ferrylake.queries import io_q
+    lines = spark.read.text(io_q._short_rows(spark, SF001)).withColumn("f", F.input_file_name())
+    per_file = lines.groupBy("f").agg(F.count_if(F.col("value").startswith("c_")).alias("n")).collect()
+    assert [r.n for r in per_file] == [1] * 8
