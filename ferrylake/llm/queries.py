@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrylake.llm import (decontaminate, htmltext, lm, neardup, packing, pii, quality,
-                           sharding, urlfilter, warc)
+from ferrylake.llm import (align, chat, decontaminate, fim, htmltext, lm, neardup, packing, pii,
+                           quality, sharding, urlfilter, warc)
 from ferrylake.llm.common import load, written
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -165,6 +165,61 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(load(spark, sf_dir, "documents"))
 
 
+@query
+def op11_fim_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at code points and put in its form."""
+    t = fim.transform(load(spark, sf_dir, "documents"))
+    return t.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                    F.sha2("output", 256).alias("output_sha256"),
+                    F.sha2(fim.restore(F.col("output"), F.col("form")), 256)
+                    .alias("restored_sha256"))
+
+
+ORACLE["op11_fim_regex"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+           FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, [('0x' || h[8*k+1:8*k+8])::BIGINT for k in range(4)] AS g
+      FROM d),
+c AS (SELECT doc_id, t, n, least(g[1] % (n + 1), g[2] % (n + 1)) AS a,
+             greatest(g[1] % (n + 1), g[2] % (n + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                       OR g[3] % 100 >= 90 THEN 'plain'
+                  WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s
+      FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+                        ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+# Fixed value of the contract: the text of both turns of conversation -1.
+_CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
+
+
+@query
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the windows of every conversation, and of one more that says control
+    strings, give back."""
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_CONTROL_TEXT).alias("text"))
+    w = chat.windows(turns.unionByName(more), tokenizer_path("byte_bpe_50k.json"))
+    return chat.digests(w)
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document."""
+    return align.report(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"),
+                        tokenizer_path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, QueryFn]:
     return dict(QUERIES)
 
