@@ -54,42 +54,95 @@ def keys_missing(keys: DataFrame, inventory: DataFrame,
 
 def plan_copy(src: DataFrame, dst_container: str | None = None,
               dst_inventory: DataFrame | None = None, dst_prefix: str = "",
-              keep_container: bool = False) -> DataFrame:
+              keep_container: bool = False, collisions: str | None = None) -> DataFrame:
     """B1: every source object and where it goes; ``overwrites`` marks keys
     that already exist at the destination (left join on the key, both sides
     shuffled on it; keys are unique per container, so no key fans out).
 
     ``dst_key`` is the source key under ``dst_prefix`` (with the source
-    container as a folder when ``keep_container``)."""
+    container as a folder when ``keep_container``). Several containers may so
+    name one target: with ``collisions`` the plan is settled by that rule
+    (``settle_targets``) before it looks at the destination; without, the run
+    refuses such rows."""
     if dst_container is None:
         raise ValueError("a copy plan needs a destination container")
     rel = F.concat(F.col("container"), F.lit("/"), F.col("key")) if keep_container else F.col("key")
     plan = src.select("container", "key", "size",
                       F.lit(dst_container).alias("dst_container"),
                       F.concat(F.lit(dst_prefix), rel).alias("dst_key"))
+    if collisions:
+        plan = settle_targets(plan, collisions)
     if dst_inventory is None:
         return plan.withColumn("overwrites", F.lit(False))
     existing = dst_inventory.select(F.col("container").alias("dst_container"),
                                     F.col("key").alias("dst_key"),
                                     F.lit(True).alias("overwrites"))
-    return plan.join(existing, ["dst_container", "dst_key"], "left").select(
-        "container", "key", "size", "dst_container", "dst_key",
-        F.coalesce("overwrites", F.lit(False)).alias("overwrites"))
+    # refused rows write nothing, and the others are one a target: no key is hot
+    refused = F.col("refused") if collisions else F.lit(False)
+    out = plan.filter(~refused).join(existing, ["dst_container", "dst_key"], "left").select(
+        *plan.columns, F.coalesce("overwrites", F.lit(False)).alias("overwrites"))
+    return out.unionByName(plan.filter("refused").withColumn("overwrites", F.lit(False))) \
+        if collisions else out
 
 
 def plan_move(src: DataFrame, dst_container: str | None = None,
               dst_inventory: DataFrame | None = None, dst_prefix: str = "",
-              keep_container: bool = False) -> DataFrame:
+              keep_container: bool = False, collisions: str | None = None) -> DataFrame:
     """B2: a copy plan whose originals are deleted after a successful copy."""
-    return plan_copy(src, dst_container, dst_inventory, dst_prefix, keep_container) \
+    return plan_copy(src, dst_container, dst_inventory, dst_prefix, keep_container, collisions) \
         .withColumn("action", F.lit("move"))
 
 
+TARGET = ("dst_container", "dst_key")
+
+
+def shared_targets(plan: DataFrame) -> DataFrame:
+    """(dst_container, dst_key, sources): the targets that several rows name (partial
+    counts, so a target that many rows name is one row a map task)."""
+    return plan.groupBy(*TARGET).agg(F.count(F.lit(1)).alias("sources")).filter("sources > 1")
+
+
+def settle_targets(plan: DataFrame, rule: str = "refuse") -> DataFrame:
+    """B1/B2: no two rows of the plan that run write one target.
+
+    Adds ``rivals`` (rows that name the target, this one included) and ``refused``.
+    Rows of a shared target are taken by container and key:
+
+    * ``refuse``: all of them are refused;
+    * ``first``: the first keeps it, the others are refused;
+    * ``rename``: the first keeps it, the others get ``~`` and 16 hex digits of the
+      SHA-256 of their container and key before the extension; rows whose new
+      target is another row's after all are refused.
+
+    A target that any number of rows name is never one task's: the rows are
+    numbered by ranges of (target, container, key), see ``sequence_in_group``.
+    """
+    if rule not in ("refuse", "first", "rename"):
+        raise ValueError(f"no such rule: {rule}")
+    if shared_targets(plan).isEmpty():
+        return plan.withColumns({"rivals": F.lit(1).cast("bigint"), "refused": F.lit(False)})
+    out = sequence_in_group(plan, TARGET, ("container", "key"), "_nth", total="rivals")
+    later = F.col("_nth") > 1
+    if rule != "rename":
+        lost = (F.col("rivals") > 1) if rule == "refuse" else later
+        return out.withColumn("refused", lost).drop("_nth")
+    mark = F.concat(F.lit("~"), F.substring(F.sha2(F.concat_ws("\n", "container", "key"), 256), 1, 16))
+    # the extension: the last dot of the name and what follows, not a leading dot
+    parts = F.regexp_extract("dst_key", r"(?s)^(.*?[^/])(\.[^./]*)?$", 1), \
+        F.regexp_extract("dst_key", r"(?s)^(.*?[^/])(\.[^./]*)?$", 2)
+    new = out.withColumn("dst_key", F.when(later, F.concat(parts[0], mark, parts[1]))
+                         .otherwise(F.col("dst_key"))).drop("_nth")
+    if shared_targets(new).isEmpty():
+        return new.withColumn("refused", F.lit(False))
+    again = sequence_in_group(new, TARGET, ("container", "key"), "_nth", total="_same")
+    return again.withColumn("refused", F.col("_same") > 1).drop("_nth", "_same")
+
+
 def sequence_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
                       name: str = "seq", n_partitions: int | None = None,
-                      stable: bool = True) -> DataFrame:
+                      stable: bool = True, total: str | None = None) -> DataFrame:
     """1-based position of each row within its group, by ``order`` (ties are
-    numbered in an arbitrary but fixed order).
+    numbered in an arbitrary but fixed order); with ``total`` also the group's rows.
 
     Unlike ``row_number() over (partition by group)``, no group is ever held by
     one task: rows are range-partitioned on (group, order), numbered inside
@@ -112,15 +165,19 @@ def sequence_in_group(df: DataFrame, group: Sequence[str], order: Sequence[str],
         F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = stats.select(*group, "_pid", "_first",
-                           F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
-    offsets = offsets.select(F.col("_pid").alias("_p"), "_first", "_before",
+                           F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(Window.partitionBy(*group)).alias("_total"))
+    offsets = offsets.select(F.col("_pid").alias("_p"), "_first", "_before", "_total",
                              *[F.col(f"`{g}`").alias(f"_g{i}") for i, g in enumerate(group)])
     same = F.col("_pid") == F.col("_p")
     for i, g in enumerate(group):             # a null group is a group like any other
         same = same & F.col(f"`{g}`").eqNullSafe(F.col(f"_g{i}"))
     out = tagged.join(offsets, same).drop("_p", *[f"_g{i}" for i in range(len(group))])
-    return out.withColumn(name, (F.col("_before") + F.col("_mid") - F.col("_first") + 1)
-                          .cast("bigint")).drop("_pid", "_mid", "_first", "_before")
+    out = out.withColumn(name, (F.col("_before") + F.col("_mid") - F.col("_first") + 1)
+                         .cast("bigint"))
+    if total:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_pid", "_mid", "_first", "_before", "_total")
 
 
 def delete_batches(keys: DataFrame, size: int = DELETE_BATCH,

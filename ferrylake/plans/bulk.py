@@ -10,8 +10,11 @@ Rules that keep the jobs safe on a cluster that loses executors:
   Hadoop file systems it is written under another name and renamed, so a failed
   or doubled attempt never leaves a short target. An object is never copied
   onto itself, and a tree never into itself.
+* No target is written by two rows of a run: rows that name one target are refused
+  (unless the plan was settled by another rule, ``operators.objects.settle_targets``).
 * A move deletes only originals whose copy the *written* copy ledger reports
-  as done (left semi join), never "the first n keys".
+  as done (left semi join), never "the first n keys", and only while the target
+  still has the bytes of that copy.
 * The work is spread by the hash of container and key (copy) or by delete batch
   (at most 1000 keys per group), so no task holds a whole container, nor all
   objects of one name.
@@ -115,16 +118,24 @@ def run_copy(spark: SparkSession, plan_path: str, ledger_path: str | None = None
     """Copy every planned object, carry on after failures; the ledger
     ``(container, key, dst_container, dst_key, status, error, bytes)`` is
     written and returned. If the plan has sizes, an object that has another one by
-    now is a failure. Work is spread by container and key over ``parallelism``
-    tasks (default: the shuffle partitions)."""
+    now is a failure. Rows that name the same target are not copied: their status
+    is ``refused``, and the error says how many name it. Work is spread by container
+    and key over ``parallelism`` tasks (default: the shuffle partitions)."""
     ship_package(spark)
     plan = spark.read.parquet(plan_path)
     if "size" not in plan.columns:
         plan = plan.withColumn("size", F.lit(None).cast("bigint"))
-    plan = plan.select("container", "key", "dst_container", "dst_key", "size")
+    if "refused" not in plan.columns:
+        plan = O.settle_targets(plan, "refuse")
+    told = plan.filter("refused").select(
+        "container", "key", "dst_container", "dst_key", F.lit("refused").alias("status"),
+        F.format_string("%d objects go to this target", "rivals").alias("error"),
+        F.lit(0).cast("bigint").alias("bytes"))
+    plan = plan.filter(~F.col("refused")).select(
+        "container", "key", "dst_container", "dst_key", "size")
     by = ["container", "key"]
     dealt = plan.repartition(parallelism, *by) if parallelism else plan.repartition(*by)
-    ledger = dealt.mapInPandas(_copy_batches, LEDGER_SCHEMA)
+    ledger = dealt.mapInPandas(_copy_batches, LEDGER_SCHEMA).unionByName(told)
     ledger_path = ledger_path or scratch_path(spark, "copy-ledger")
     ledger.write.mode("overwrite").parquet(ledger_path)
     return _read_ledger(spark, ledger_path)
@@ -134,12 +145,21 @@ DELETE_THREADS = 8
 
 
 def _delete_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One call per key, some at a time; a key that is gone already is done."""
-    roots = {c: filesystem(c) for c in pdf["container"].unique()}
+    """One call per key, some at a time; a key that is gone already is done. With the
+    columns of a copy, the original goes only if the copy is there with its bytes."""
+    guarded = "dst_container" in pdf.columns
+    names = [pdf["container"], pdf["dst_container"]] if guarded else [pdf["container"]]
+    roots = {c: filesystem(c) for c in pd.concat(names).unique()}
 
-    def delete(c: str, k: str) -> tuple:
+    def delete(c: str, k: str, *copy) -> tuple:
         fs, base = roots[c]
         try:
+            if copy:
+                to, there, size = copy
+                dfs, dbase = roots[to]
+                now = dfs.get_file_info(_join(dbase, there)).size
+                if now != size:
+                    raise OSError(f"the copy has {now} bytes, not {size}: the original stays")
             fs.delete_file(_join(base, k))
         except FileNotFoundError:
             pass
@@ -147,19 +167,23 @@ def _delete_group(pdf: pd.DataFrame) -> pd.DataFrame:
             return c, k, "failed", f"{type(e).__name__}: {e}"
         return c, k, "ok", None
 
+    columns = ["container", "key"] + ["dst_container", "dst_key", "bytes"] * guarded
     with ThreadPoolExecutor(DELETE_THREADS) as pool:
-        out = list(pool.map(delete, pdf["container"], pdf["key"]))
+        out = list(pool.map(delete, *[pdf[c] for c in columns]))
     return pd.DataFrame(out, columns=["container", "key", "status", "error"])
 
 
 def run_delete(spark: SparkSession, plan_path: str, ledger_path: str | None = None) -> DataFrame:
     """Delete in batches of at most 1000 keys (one pandas group each);
-    a failure is reported per key. Ledger ``(container, key, status, error)``."""
+    a failure is reported per key. Ledger ``(container, key, status, error)``. A plan
+    with ``dst_container``, ``dst_key`` and ``bytes`` deletes originals of copies: one
+    whose copy is not there with these bytes is kept and reported."""
     ship_package(spark)
     plan = spark.read.parquet(plan_path)
     if "batch" not in plan.columns:
         plan = O.delete_batches(plan.select("container", "key"))
-    ledger = plan.select("container", "key", "batch").groupBy("container", "batch") \
+    copy = [c for c in ("dst_container", "dst_key", "bytes") if c in plan.columns]
+    ledger = plan.select("container", "key", "batch", *copy).groupBy("container", "batch") \
         .applyInPandas(_delete_group, DELETE_LEDGER_SCHEMA)
     ledger_path = ledger_path or scratch_path(spark, "delete-ledger")
     ledger.write.mode("overwrite").parquet(ledger_path)
@@ -168,10 +192,12 @@ def run_delete(spark: SparkSession, plan_path: str, ledger_path: str | None = No
 
 def run_move(spark: SparkSession, plan_path: str, ledger_path: str | None = None) -> DataFrame:
     """Copy, then delete exactly the originals the written copy ledger
-    reports as copied. Ledger has the copy columns plus ``deleted``."""
+    reports as copied, while their copies have the ledger's bytes. Refused rows
+    keep their originals. Ledger has the copy columns plus ``deleted``."""
     copy_path, delete_path = (scratch_path(spark, x) for x in ("copy-ledger", "delete-ledger"))
     copy_ledger = run_copy(spark, plan_path, copy_path)
-    copied = copy_ledger.filter(F.col("status") == "ok").select("container", "key")
+    copied = copy_ledger.filter(F.col("status") == "ok").select(
+        "container", "key", "dst_container", "dst_key", "bytes")
     to_delete = write_plan(O.delete_batches(copied))
     del_ledger = run_delete(spark, to_delete, delete_path)
     deleted = del_ledger.select("container", "key", (F.col("status") == "ok").alias("deleted"),
@@ -179,6 +205,7 @@ def run_move(spark: SparkSession, plan_path: str, ledger_path: str | None = None
     moved = copy_ledger.join(deleted, ["container", "key"], "left").select(
         "container", "key", "dst_container", "dst_key",
         F.when((F.col("status") == "ok") & F.col("deleted"), F.lit("ok"))
+        .when(F.col("status") == "refused", F.lit("refused"))
         .otherwise(F.lit("failed")).alias("status"),
         F.coalesce("error", "delete_error").alias("error"), "bytes",
         F.coalesce("deleted", F.lit(False)).alias("deleted"))

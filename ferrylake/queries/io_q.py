@@ -243,6 +243,34 @@ def bulk_move_ledger(spark, sf_dir):
     return ledger.select("key", "bytes", "status", "deleted", F.lit(left).cast("int").alias("left_behind"))
 
 
+@register("bulk_move_refusals",
+          "SELECT CASE WHEN page_id % 3 = 0 THEN 'a' ELSE 'archive' END AS place, "
+          "CAST(page_id AS VARCHAR) || '.html' AS key, CAST(strlen(html) AS BIGINT) AS bytes, "
+          "CASE WHEN page_id % 3 = 0 THEN 'refused' ELSE 'ok' END AS status FROM pages "
+          "UNION ALL SELECT 'b', CAST(page_id AS VARCHAR) || '.html', "
+          "CAST(strlen(url) AS BIGINT), 'refused' FROM pages WHERE page_id % 3 = 0")
+def bulk_move_refusals(spark, sf_dir):
+    # Two containers moved into one; where both have a key, both keep their object.
+    from ferrylake.operators import objects as O
+    pages = load(spark, sf_dir, "pages")
+    key = F.concat(F.col("page_id").cast("string"), F.lit(".html"))
+    root = scratch_path(spark, "move-refusals")
+    a, b, archive = (f"{root}/{x}" for x in ("a", "b", "archive"))
+    B.put_objects(pages.select(key.alias("key"), F.col("html").alias("body")), a)
+    B.put_objects(pages.filter("page_id % 3 = 0").select(
+        key.alias("key"), F.col("url").alias("body")), b)
+    both = object_inventory(spark, a).unionByName(object_inventory(spark, b))
+    ledger = B.run_move(spark, B.write_plan(O.plan_move(both, archive)))
+    # what is where afterwards, beside what the ledger says of it
+    there = object_inventory(spark, root).select(
+        F.substring_index("key", "/", 1).alias("place"),
+        F.substring_index("key", "/", -1).alias("key"), F.col("size").alias("bytes"))
+    said = ledger.select(
+        F.when(F.col("status") == "ok", "archive").otherwise(
+            F.substring_index("container", "/", -1)).alias("place"), "key", "status")
+    return there.join(said, ["place", "key"], "full").select("place", "key", "bytes", "status")
+
+
 @register("bulk_delete_ledger",
           "SELECT key, status, 0 AS left_behind FROM (" + _PAGE_KEYS_SQL + ") AS p")
 def bulk_delete_ledger(spark, sf_dir):

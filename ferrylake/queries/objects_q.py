@@ -144,3 +144,47 @@ def delete_batches_hot_container(spark, sf_dir):
     keys = load(spark, sf_dir, "orders").select(
         F.expr(_HOT.replace("VARCHAR", "STRING")).alias("container"), F.col("o_orderkey").alias("key"))
     return O.delete_batches(keys).select("container", "key", "seq", "batch")
+
+
+# B1/B2: pages of all hosts moved into one container. By their path alone some hosts'
+# pages name one target; by their first folder alone most pages do.
+_DISTINCT = (f"(SELECT container, key, max(size) AS size FROM {PAGE_OBJECTS_SQL} AS o "
+             "GROUP BY container, key)")
+_RIVALS = ("SELECT *, row_number() OVER (PARTITION BY key ORDER BY container) AS nth, "
+           f"CAST(count(*) OVER (PARTITION BY key) AS BIGINT) AS rivals FROM {_DISTINCT} AS d")
+_FOLDER = r"regexp_extract(key, '^[^/?#]*', 0)"
+
+
+@register("move_collisions",
+          f"SELECT container, key, size, {_FOLDER} || CASE WHEN nth = 1 THEN '' ELSE '~' || "
+          "substring(sha256(container || chr(10) || key), 1, 16) END || '.html' AS dst_key, "
+          "rivals, false AS refused FROM (SELECT *, "
+          f"row_number() OVER (PARTITION BY {_FOLDER} ORDER BY container, key) AS nth, "
+          f"CAST(count(*) OVER (PARTITION BY {_FOLDER}) AS BIGINT) AS rivals FROM {_DISTINCT} AS d)")
+def move_collisions(spark, sf_dir):
+    # one target named by most rows; all but its first row are renamed.
+    plan = O.plan_move(_distinct_pages(spark, sf_dir), "archive").withColumn(
+        "dst_key", F.concat(F.regexp_extract("key", "^[^/?#]*", 0), F.lit(".html")))
+    return O.settle_targets(plan, "rename").select(
+        "container", "key", "size", "dst_key", "rivals", "refused")
+
+
+def _distinct_pages(spark, sf_dir):
+    return page_objects(load(spark, sf_dir, "pages")).groupBy("container", "key").agg(
+        F.max("size").alias("size"))
+
+
+@register("copy_refusals",
+          "SELECT container, CAST(count(*) AS BIGINT) AS objects, "
+          "CAST(count(*) FILTER (WHERE rivals > 1) AS BIGINT) AS refused, "
+          "CAST(count(*) FILTER (WHERE rivals > 1 AND nth > 1) AS BIGINT) AS refused_after_first "
+          f"FROM ({_RIVALS}) AS r GROUP BY container")
+def copy_refusals(spark, sf_dir):
+    # B1: the same plan by the two other rules.
+    objs = _distinct_pages(spark, sf_dir)
+    all_of = O.plan_copy(objs, "archive", collisions="refuse")
+    later = O.plan_copy(objs, "archive", collisions="first").select(
+        "container", "key", F.col("refused").alias("later"))
+    return all_of.join(later, ["container", "key"]).groupBy("container").agg(
+        F.count(F.lit(1)).alias("objects"), F.count_if("refused").alias("refused"),
+        F.count_if("later").alias("refused_after_first"))
