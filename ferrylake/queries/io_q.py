@@ -98,6 +98,46 @@ def csv_short_rows(spark, sf_dir):
                  F.count_if(seg != "").alias("n_full"))
 
 
+# Texts with line breaks, separators and quotes, in fewer files than tasks read
+# them: borders of the byte ranges lie inside quoted values.
+@register("csv_quoted_breaks",
+          "SELECT CAST(doc_id AS VARCHAR) AS doc_id, length(coalesce(text, '')) AS n_chars, "
+          "sha256(coalesce(text, '')) AS text_sha256, lang, true AS more_tasks_than_files "
+          "FROM documents")
+def csv_quoted_breaks(spark, sf_dir):
+    out = scratch_path(spark, "documents-csv")
+    S.write_text_table(load(spark, sf_dir, "documents").select("doc_id", "text", "lang"), out,
+                       n_files=2)
+    size = object_inventory(spark, out).agg(F.max("size")).first()[0]
+    t = S.read_text_table(spark, out, range_bytes=max(1, size // 16))
+    tasks = t.select(F.spark_partition_id().alias("p")).distinct().count()
+    return t.select("doc_id", F.length("text").cast("bigint").alias("n_chars"),
+                    F.sha2("text", 256).alias("text_sha256"), "lang",
+                    F.lit(tasks > 2).alias("more_tasks_than_files"))
+
+
+# Rows that are equal to their file's header, in files of two column orders.
+_HEADERED = ("CASE WHEN c_custkey % 5 = 0 THEN '{0}' ELSE CAST({0} AS {1}) END")
+
+
+@register("csv_header_rows",
+          "SELECT k, s, CAST(count(*) AS BIGINT) AS n FROM (SELECT "
+          + _HEADERED.format("c_custkey", "VARCHAR") + " AS k, "
+          + _HEADERED.format("c_mktsegment", "VARCHAR") + " AS s FROM customer) AS c GROUP BY k, s")
+def csv_header_rows(spark, sf_dir):
+    c = load(spark, sf_dir, "customer")
+    names = ["c_custkey", "c_mktsegment"]
+    out = scratch_path(spark, "customer-headers")
+    rows = c.select(F.col("c_custkey").alias("id"), *[
+        F.expr(_HEADERED.format(x, "STRING")).alias(x) for x in names])
+    S.write_text_table(rows.filter("id % 2 = 0").select(*names), out, n_files=2)
+    S.write_text_table(rows.filter("id % 2 = 1").select(*reversed(names)), out, mode="append",
+                       n_files=2)
+    return S.read_text_table(spark, out).groupBy(
+        F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("s")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def _page_tree(spark, sf_dir):
     """The pages as a tree of objects ``<host>/<page_id>.html``."""
     pages = load(spark, sf_dir, "pages")

@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import os
-from typing import Iterator, Sequence
-from urllib.parse import urlsplit
+from typing import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrylake.functions.scalars import has_suffix
-from ferrylake.session import to_local
-from ferrylake.sources.inventory import filesystem, kind_of, object_inventory
+from ferrylake.sources.split_csv import (RANGE_BYTES, csv_files, file_headers, record_runs,
+                                         split_records)
 
 # CSV dialect of the text tables: comma, double quote, a quote inside a quoted
 # field doubled (RFC 4180), header row.
@@ -40,12 +34,11 @@ CSV_WRITE = {
 
 
 _CORRUPT = "_ferrylake_record"
-_HEADER_BYTES = 1 << 20       # a header record is looked for in a file's first bytes
 
 
 def read_text_table(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True,
                     empty_as_blank: bool = True, csv_only: bool = False,
-                    by_header: bool = True) -> DataFrame:
+                    by_header: bool = True, range_bytes: int | None = RANGE_BYTES) -> DataFrame:
     """CSV with a header, every value as text.
 
     Blank lines are skipped and surplus values of a long row dropped. An empty
@@ -55,16 +48,18 @@ def read_text_table(spark: SparkSession, path: str | Sequence[str], multi_line:
     Files of a folder may have their columns in different orders, or different
     columns: each is read by its own header, and a column a file lacks is null
     (``by_header=False`` trusts the caller that all headers are equal and skips
-    the look at each file's first line). In such a mixed folder, a data row equal
-    to its file's header is taken for a header.
-
-    ``multi_line`` keeps quoted line breaks inside one value; it reads each
-    file in one task, so land data as many mid-sized files. Turn it off for
-    data known to have no quoted line breaks: files are then split.
-
-    ``csv_only`` reads every ``*.csv`` file (any letter case) below ``path``:
-    Spark lists the tree itself, no file list passes through the driver. Spark
-    passes over names that begin with ``_`` or ``.``; ``ingest`` refuses those.
+    the look at each file's first record). Only a file's first record is its header,
+    whatever rows follow.
+
+    ``multi_line`` keeps quoted line breaks inside one value. Files are cut into
+    records by ranges of ``range_bytes``, many tasks a file (``split_csv``);
+    ``range_bytes=None``, compressed files and stores that only Spark can open
+    take Spark's own reader, one task a file. ``multi_line=False`` is for data known
+    to have no quoted line breaks: Spark splits such files itself.
+
+    ``csv_only`` reads every ``*.csv`` file (any letter case) below ``path``;
+    the file list never passes through the driver. Names that begin with ``_`` or
+    ``.`` are passed over; ``ingest`` refuses those.
     """
     paths = [path] if isinstance(path, str) else list(path)
     reader = spark.read.options(**CSV_READ).option("multiLine", str(multi_line).lower())
@@ -72,16 +67,21 @@ def read_text_table(spark: SparkSession, path: str | Sequence[str], multi_line:
         reader = reader.option("recursiveFileLookup", "true") \
             .option("pathGlobFilter", "*.[cC][sS][vV]")
     names = reader.csv(paths).columns
-    if by_header and isinstance(path, str) and names and kind_of_or_none(path) == "folder":
-        headers = file_headers(spark, path, csv_only)
-        kinds = headers.select("header").distinct().limit(2).count()
-        if kinds > 1:
-            return _read_mixed(reader, path, headers, empty_as_blank)
     if not names:
         return reader.csv(paths)
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _CORRUPT]])
-    df = reader.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT) \
-        .option("columnPruning", "false").csv(paths)
+    files = csv_files(spark, path, csv_only) if isinstance(path, str) else None
+    kinds = 1
+    if by_header and files is not None:
+        headers = file_headers(files)
+        kinds = headers.select("header").distinct().limit(2).count()
+    if kinds > 1:
+        return _read_mixed(files, headers, empty_as_blank, range_bytes or RANGE_BYTES)
+    schema = _text_schema(names)
+    if multi_line and range_bytes and files is not None:
+        df = _parsed(split_records(record_runs(spark, files, range_bytes)), schema)
+    else:
+        df = reader.schema(schema).option("columnNameOfCorruptRecord", _CORRUPT) \
+            .option("columnPruning", "false").csv(paths)
     if not empty_as_blank:
         return df.drop(_CORRUPT)
     here = _field_count(len(names))
@@ -89,6 +89,23 @@ def read_text_table(spark: SparkSession, path: str | Sequence[str], multi_line:
                       for i, c in enumerate(names)])
 
 
+def _text_schema(names: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*names, _CORRUPT]])
+
+
+def _parsed(records: DataFrame, schema: T.StructType, *keep: str) -> DataFrame:
+    """The fields of CSV records, by the dialect of the text tables."""
+    options = {k: v for k, v in CSV_READ.items() if k not in ("header", "inferSchema")}
+    options |= {"multiLine": "true", "columnNameOfCorruptRecord": _CORRUPT}
+    fields = F.from_csv("record", _ddl(schema), options)
+    return records.select(fields.alias("_fields"), *keep).select("_fields.*", *keep)
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}"
+                     for f in schema.fields)
+
+
 def _field_count(width: int) -> Column:
     """How many fields a record has: all of them, unless the reader kept the record
     because it has another number; then its separators outside quotes are counted."""
@@ -97,38 +114,10 @@ def _field_count(width: int) -> Column:
     return F.when(F.col(_CORRUPT).isNull(), F.lit(width)).otherwise(seps + 1)
 
 
-def kind_of_or_none(path: str) -> str | None:
-    """``file``, ``folder`` or ``missing``; None where only Spark can read."""
-    try:
-        return kind_of(path)
-    except Exception:  # noqa: BLE001 - a store that pyarrow does not know
-        return None
-
-
-def file_headers(spark: SparkSession, root: str, csv_only: bool = False) -> DataFrame:
-    """(key, header): the header record of each file that Spark would read under
-    ``root``, taken from the file's first bytes by executors."""
-    inv = object_inventory(spark, root).filter(~F.col("key").rlike(r"(^|/)[_.]"))
-    inv = inv.filter(has_suffix("key")) if csv_only else inv.filter(~F.col("key").contains("/"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for c, k in zip(b["container"], b["key"]):
-                fs, base = filesystem(c)
-                with fs.open_input_stream(f"{base.rstrip('/')}/{k}") as f:
-                    head = f.read(_HEADER_BYTES).decode("utf-8", "replace")
-                first = next((r for r in csv.reader(io.StringIO(head, newline="")) if r), None)
-                if first:
-                    rows.append((k, first))
-            yield pd.DataFrame(rows, columns=["key", "header"])
-
-    return inv.mapInPandas(run, "key string, header array<string>").checkpoint(eager=True)
-
-
-def _read_mixed(reader, root: str, headers: DataFrame, empty_as_blank: bool) -> DataFrame:
-    """Files of unequal headers: read by position, then each row by its file's
-    header (joined by the file's place under ``root``; one row a file)."""
+def _read_mixed(files: DataFrame, headers: DataFrame, empty_as_blank: bool,
+                range_bytes: int) -> DataFrame:
+    """Files of unequal headers: records read by position, then each by its file's
+    header (joined by the file's place; one row a file)."""
     bad = headers.filter(F.size("header") != F.size(F.array_distinct("header"))).first()
     if bad:
         raise ValueError(f"{bad['key']} names a column twice: {bad['header']}")
@@ -137,18 +126,12 @@ def _read_mixed(reader, root: str, headers: DataFrame, empty_as_blank: bool) ->
     columns = list(dict.fromkeys(c for r in kinds.collect() for c in r["header"]))
     width = headers.agg(F.max(F.size("header"))).first()[0]
     cells = [f"_c{i}" for i in range(width)]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, _CORRUPT]])
-    df = reader.option("header", "false").schema(schema) \
-        .option("columnNameOfCorruptRecord", _CORRUPT).option("columnPruning", "false").csv(root)
-    base = urlsplit(to_local(root) if root.startswith("file:") else root).path
-    base = os.path.abspath(base).rstrip("/") + "/"
-    place = F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
-    place = F.regexp_replace(place, "^[a-z0-9]+:(//[^/]*)?", "")
+    runs = record_runs(files.sparkSession, files, range_bytes)
+    records = split_records(runs, files=True)
+    df = _parsed(records, _text_schema(cells), "container", "key")
     rows = df.select(F.array(*[F.coalesce(c, F.lit("")) for c in cells]).alias("_cells"),
-                     _field_count(width).alias("_n"),
-                     F.substring(place, F.lit(len(base) + 1), F.length(place)).alias("key"))
-    rows = rows.join(headers, "key").filter(
-        F.slice("_cells", F.lit(1), F.size("header")) != F.col("header"))
+                     _field_count(width).alias("_n"), "container", "key")
+    rows = rows.join(headers, ["container", "key"])
 
     def cell(c: str) -> Column:
         at = F.array_position("header", c)
@@ -192,9 +175,17 @@ def write_text_table(df: DataFrame, out: str, mode: str = "overwrite",
 
 
 def scan_csv_table(spark: SparkSession, location: str, schema: T.StructType | str,
-                   header: bool = True, multi_line: bool = True) -> DataFrame:
+                   header: bool = True, multi_line: bool = True,
+                   range_bytes: int | None = RANGE_BYTES) -> DataFrame:
     """S3: an external CSV table read with a declared schema; values that do
-    not fit the type read as null (PERMISSIVE)."""
+    not fit the type read as null (PERMISSIVE). Files are read by ranges of
+    ``range_bytes`` as in ``read_text_table``, columns by position."""
+    files = csv_files(spark, location) if multi_line and range_bytes else None
+    if files is not None:
+        declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        records = split_records(record_runs(spark, files, range_bytes), headers=header)
+        return _parsed(records, T.StructType([*declared.fields, T.StructField(
+            _CORRUPT, T.StringType())])).drop(_CORRUPT)
     return (spark.read.options(**CSV_READ).option("header", str(header).lower())
             .option("multiLine", str(multi_line).lower()).schema(schema).csv(location))
 
