@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ferrylake.llm.common import pick, ship_package, written
 from ferrylake.llm.packing import text_runs
-from ferrylake.llm.partids import Numbers, PartIds, laid
+from ferrylake.llm.partids import Numbers, PartIds, byte_letters, laid
 from ferrylake.llm.words import mix
 
 BLOCK_CHARS = 3_000_000
@@ -91,14 +91,6 @@ class ByteLevel:
         return [self.encoding.encode_ordinary(" " + t) for t in texts]
 
 
-def byte_letters() -> list[str]:
-    """The letter by which a byte-level vocabulary writes each byte: printable
-    Latin-1 stands for itself, the others follow from U+0100 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = iter(range(256, 512))
-    return [chr(b if b in plain else next(others)) for b in range(256)]
-
-
 class Pieces:
     """Ids and bytes of a SentencePiece file, which adds the leading space itself."""
 

@@ -19,6 +19,9 @@ from __future__ import annotations
 
 import bisect
 import itertools
+import json
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,10 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrylake.llm.common import pick, ship_package, written
+from ferrylake.llm.partids import Numbers, PartIds, byte_letters, laid
 
 SEQUENCE = 2048
 GROUP_PIECES = 30_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000     # a generation of a worker's store
 PAIR_BINS = 16            # bins and items that a two-for-one exchange looks at
 PAIR_ITEMS = 4
 
@@ -39,86 +43,106 @@ _PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Tokens:
-    """Token ids of texts, with a bounded cache of blank-free chunks.
-
-    The vocabulary's pre-tokeniser never joins characters across a blank, so the
-    ids of a text are the ids of its blank-separated chunks in order; chunks
-    repeat, and each is encoded once while the cache holds it. It also parts
-    letters from a comma or full stop and lower-cases letters one by one, so
-    ``Word,`` needs only ``word`` and ``,`` to be encoded (a capital sigma, whose
-    lower case depends on its place in Python, is left to the tokeniser).
+    """Token ids of texts by a word vocabulary (word ends marked ``</w>``), kept for the
+    blank-free chunks that texts are made of.
+
+    The pre-tokeniser never joins characters across a blank, so the ids of a text are
+    those of its chunks in order. New chunks of letters, digits and ASCII signs are cut
+    where it cuts them, into runs of letters, single digits and runs of signs. The merges
+    of such a part run on its bytes with a blank behind them, which stands for the word
+    end, so many parts are encoded as one text and cut at the word ends. Chunks with an
+    apostrophe (contractions), with ``<|`` (control strings), with marks or other signs,
+    or whose letters do not stay letters when composed and lower-cased, go to the
+    tokeniser itself.
     """
 
     def __init__(self, path: str, limit: int = CACHE_CHUNKS):
+        import tiktoken
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.limit = limit
-        self._reset()
-
-    def _reset(self) -> None:
-        # chunk -> 4 * row of its stem + number of its tail in TAILS; row 0 has no ids
-        self.index: dict[str, int] = {"": 0}
-        self.starts = self.lengths = np.zeros(1, np.int64)
-        self.flat = np.zeros(0, np.uint32)
-        self._add(self.TAILS[1:])
-        self.tail_rows = np.array([self.index[t] >> 2 for t in self.TAILS])
-
-    TAILS = ("", ",", ".")
-
-    def _add(self, stems: tuple[str, ...] | list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(stems),
-                                                               add_special_tokens=False)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        first = len(self.lengths)
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
-        self.lengths = np.concatenate([self.lengths, n])
-        self.flat = np.concatenate([self.flat, np.fromiter(
-            itertools.chain.from_iterable(ids), np.uint32, int(n.sum()))])
-        self.index.update(zip(stems, range(4 * first, 4 * (first + len(ids)), 4)))
-
-    def _learn(self, chunks: set[str]) -> None:
-        index, parts, stems = self.index, [], {}
-        tails = {t: k for k, t in enumerate(self.TAILS)}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
+        byte = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {}
+        self.ends = np.zeros(len(vocab), bool)
+        specials = self.tokenizer.get_added_tokens_decoder()
+        for entry, i in vocab.items():
+            if i not in specials:
+                self.ends[i] = entry.endswith(end)
+                ranks[bytes(byte[c] for c in entry.removesuffix(end))
+                      + (b" " if self.ends[i] else b"")] = i
+        first = len(ranks) - len(model["merges"])
+        for k, m in enumerate(model["merges"]):
+            if vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] != first + k:
+                raise ValueError(f"{path}: ids are not in the order of the merges")
+        self.words = tiktoken.Encoding("words", pat_str=r"\S+ ", mergeable_ranks=ranks,
+                                       special_tokens={})
+        self.store = PartIds(self._learn, 1, limit)
+
+    def _learn(self, chunks: list[str]) -> tuple[Numbers]:
+        parts, counts = [], []
         for c in chunks:
-            tail = tails.get(c[-1], 0)
-            stem = c[:-1] if tail else c
-            if stem.isalpha() and "\u03a3" not in stem:
-                stem = stem.lower()
+            if c.isalpha():
+                found = (c,)
+            elif c[-1:] in (",", ".") and c[:-1].isalpha():
+                found = (c[:-1], c[-1])
+            elif _PLAIN.fullmatch(c) and "<|" not in c:
+                found = _PARTS.findall(c)
             else:
-                stem, tail = c, 0
-            parts.append((c, stem, tail))
-            if stem not in index:
-                stems[stem] = None
-        self._add(list(stems))
-        index.update([(c, index[stem] + tail) for c, stem, tail in parts])
+                found = ()
+            parts += found
+            counts.append(len(found))
+        n_parts = np.array(counts, np.int64)
+        text = unicodedata.normalize("NFC", " ".join(parts))
+        plain = text.lower().split(" ") if parts else []
+        # a capital sigma's lower case depends on its place in Python
+        odd = np.fromiter((not (p.isalpha() or p.isascii()) for p in plain), bool, len(plain))
+        if "\u03a3" in text:
+            odd |= np.fromiter(("\u03a3" in p for p in text.split(" ")), bool, len(plain))
+        of = np.repeat(np.arange(len(chunks)), n_parts)
+        whole = n_parts == 0
+        whole[of[odd]] = True
+        kept = ~whole[of]
+        words = [p for p, k in zip(plain, kept.tolist()) if k]
+        ids = [np.asarray(self.words.encode_ordinary(" ".join(words[k:k + 500]) + " "), np.int32)
+               for k in range(0, len(words), 500)]
+        fast = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+        after = np.flatnonzero(self.ends[fast]) + 1           # one a part
+        n = np.zeros(len(chunks), np.int64)
+        fill = np.flatnonzero(~whole)
+        n[fill] = np.diff(np.concatenate([[0], after])[np.concatenate(
+            [[0], np.cumsum(n_parts[fill])])])
+        slow = np.flatnonzero(whole)
+        n[slow], made = laid([e.ids for e in self.tokenizer.encode_batch_fast(
+            [chunks[k] for k in slow.tolist()], add_special_tokens=False)])
+        flat = np.empty(int(n.sum()), np.int32)
+        from_slow = np.repeat(whole, n)
+        flat[from_slow], flat[~from_slow] = made, fast
+        return ((n, flat),)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as uint32."""
-        if len(self.index) > self.limit:
-            self._reset()
-        index = self.index
+        store = self.store
+        store.turn()
         chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
                   for t in texts]
-        new = {c for cs in chunks for c in cs if c not in index}
-        if new:
-            self._learn(new)
-        return [self._gather(np.fromiter(map(index.__getitem__, cs), np.int64, len(cs)))
-                for cs in chunks]
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        rows = store.rows(itertools.chain.from_iterable(chunks), int(sizes.sum()))
+        store.learn()
+        n, flat = store.ids(rows)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(sizes)])]
+        return [flat[s:e].astype(np.uint32) for s, e in zip(ends[:-1], ends[1:])]
 
-    def _gather(self, codes: np.ndarray) -> np.ndarray:
-        rows = np.empty(2 * len(codes), np.int64)
-        rows[0::2], rows[1::2] = codes >> 2, self.tail_rows[codes & 3]
-        n = self.lengths[rows]
-        ends = np.cumsum(n)
-        begin = np.repeat(self.starts[rows] - (ends - n), n)
-        return self.flat[begin + np.arange(len(begin))]
 
+_PLAIN = re.compile(r"(?:[^\W\d_]|[!-&(-/0-9:-@\[-`{-~])+")
+_PARTS = re.compile(r"[^\W\d_]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
 _TOKENS: dict[tuple[str, int], Tokens] = {}
 
 
 def tokens_of(path: str, limit: int) -> Tokens:
-    """One cache per Python worker, kept over its tasks."""
+    """One store per Python worker, kept over its tasks."""
     if (path, limit) not in _TOKENS:
         _TOKENS.clear()
         _TOKENS[path, limit] = Tokens(path, limit)
@@ -150,7 +174,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE,
            id: str = "doc_id", text: str = "text", end_id: int = 0,
            cache: int = CACHE_CHUNKS) -> DataFrame:
     """One row per piece of each document: its ids end with ``end_id``. ``cache`` is
-    the number of chunks a Python worker keeps (about 250 bytes each)."""
+    the number of chunks a generation of a Python worker's store holds (about 200 bytes
+    each, two generations)."""
     ship_package(docs.sparkSession)
     d = pick(docs, doc_id=id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
 

@@ -252,6 +252,39 @@ def test_token_ids_equal_the_library(spark):
             assert ids.tolist() == whole.encode(t, add_special_tokens=False).ids, t
 
 
+def test_token_ids_of_letters_that_normalise_to_more(spark):
+    """Every letter or mark whose composed or lower-cased form is another one or longer,
+    before a comma, a full stop and another letter, and inside words and sign runs."""
+    import unicodedata
+
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(tokenizer_path())
+    odd = [c for c in map(chr, [*range(0x20, 0xD800), *range(0xE000, 0x20000)])
+           if unicodedata.category(c)[0] in "LM" and (
+               unicodedata.category(c)[0] == "M" or unicodedata.normalize("NFC", c) != c
+               or len(c.lower()) > 1 or len(unicodedata.normalize("NFC", c.lower())) > 1)]
+    assert {"\u0130", "\u0958", "\u095c", "\ufb2a"} <= set(odd)
+    texts = [f"{c}, {c}. {c}{c}b a{c}, B{c}*1 x{c}" for c in odd + ["\u03a3", "\u03c2", "_", "\u00bd"]]
+    ours = packing.Tokens(tokenizer_path(), limit=2000)
+    want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    got = [x.tolist() for k in range(0, len(texts), 500) for x in ours.batch(texts[k:k + 500])]
+    assert [t for t, x, y in zip(texts, got, want) if x != y] == []
+
+
+def test_token_ids_of_random_mixtures(spark):
+    from tokenizers import Tokenizer
+    whole = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(12)
+    bits = ["a", "B", "Σ", "İ", "क़", "é", "'s", "'", "n't", "<|endoftext|>", "<|", "1", "٣", "½",
+            "_", "-", "***", "ß", "ﬁ", "가", "가", "中", "🙂", "\u200d", ".", " ", ",", "\n",
+            "\xa0", "I'LL", "É", "Ǆ", "\u0338", "=", "<", ">"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(5000)]
+    want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    ours = packing.Tokens(tokenizer_path(), limit=100)
+    got = [x.tolist() for k in range(0, len(texts), 50) for x in ours.batch(texts[k:k + 50])]
+    assert got == want
+
+
 def test_packing_round_trip(spark, table):
     from tokenizers import Tokenizer
     whole = Tokenizer.from_file(tokenizer_path())

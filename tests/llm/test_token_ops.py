@@ -195,7 +195,7 @@ def align_by_hand(rows):
     a = tokenizers.Tokenizer.from_file(A_PATH)
     a.encode_special_tokens = True
     b = sentencepiece.SentencePieceProcessor(model_file=B_PATH)
-    letter = {c: i for i, c in enumerate(align.byte_letters())}
+    letter = {c: i for i, c in enumerate(partids.byte_letters())}
     made, holds = [], collections.Counter()
     for _, text in rows:
         t = text or ""
