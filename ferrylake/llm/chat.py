@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrylake.llm.align import ByteLevel
-from ferrylake.llm.common import pick, ship_package, written
+from ferrylake.llm.common import checkpointed, pick, ship_package, written
 from ferrylake.llm.packing import text_runs
 
 BUDGET = 2048
@@ -139,7 +139,7 @@ def placed(turns: DataFrame, tokenizer_path: str, conv: str = "conv_id", turn: s
     offsets = ends.select("conv", "part", F.sum("n").over(earlier).alias("n0"),
                           F.sum("t").over(earlier).alias("t0")).filter("n0 is not null")
     # one row a range at most: only its first conversation can go on from the one before
-    d = local.join(F.broadcast(offsets), ["conv", "part"], "left")
+    d = local.join(F.broadcast(checkpointed(offsets)), ["conv", "part"], "left")
     return d.select("conv", (F.col("pos") + F.coalesce("n0", F.lit(0))).alias("pos"), "role",
                     "text", "tokens", (F.col("before") + F.coalesce("t0", F.lit(0))).alias("before"))
 
@@ -168,7 +168,7 @@ def windows(turns: DataFrame, tokenizer_path: str, budget: int = BUDGET, history
     """One row per window: conversation, number of its first new turn (``first``), its
     turns, how many at its head are repeated, tokens, text, and the loss mask as ranges
     of code points of the text."""
-    d = written(placed(turns, tokenizer_path, conv, turn, role, text), "placed")
+    d = placed(turns, tokenizer_path, conv, turn, role, text)
     size = budget * block_budgets
     kind = turns.schema[conv].dataType
     own = d.withColumn("block", F.floor(F.col("before") / size)).withColumn("use", F.lit(_NEW))
