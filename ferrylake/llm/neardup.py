@@ -43,7 +43,7 @@ SKETCH_BITS = 256            # one bit of each coordinate
 # Pairs at the threshold agree in 0.9 of the bits, give or take 0.019; four
 # deviations below that a pair is not looked at.
 SKETCH_MIN = 0.82
-SIGN_TOGETHER = 400_000      # regions and coordinates that one throw handles
+SIGN_TOGETHER = 150_000      # regions and coordinates that one throw handles (about 40 MB)
 
 _SIGNED = "doc_id long, key long, bands array<long>, sketch array<long>"
 

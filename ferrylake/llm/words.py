@@ -37,7 +37,7 @@ def space_words(text: str | None, lower: bool = False) -> list[bytes]:
 class WordHashes(dict):
     """word -> xxh64; cleared when it holds ``limit`` words, so memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 50_000):
         super().__init__()
         self.limit = limit
 
