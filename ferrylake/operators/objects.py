@@ -93,6 +93,37 @@ def plan_move(src: DataFrame, dst_container: str | None = None,
         .withColumn("action", F.lit("move"))
 
 
+def plan_sync(src: DataFrame, dst: DataFrame, dst_container: str, dst_prefix: str = "",
+              checksums: bool = False) -> DataFrame:
+    """What makes the objects under ``dst_prefix`` of the destination those of
+    the source: ``(action, container, key, size, dst_container, dst_key)``.
+
+    ``copy``: the destination does not have the object, has one of another size, or
+    one written before the source's last change; ``unchanged``: it has it; ``remove``:
+    the source does not have it any more (container and key are null). With
+    ``checksums`` both inventories have a column ``checksum``, which then decides
+    instead of the times. One full join on the key, which is unique on each side.
+    Destination objects outside the prefix are not looked at.
+    """
+    compare = ["checksum"] if checksums else []
+    s = src.select("container", "key", "size", "mtime", *compare,
+                   F.concat(F.lit(dst_prefix), "key").alias("dst_key"))
+    d = dst.filter(F.col("key").startswith(dst_prefix)).select(
+        F.col("key").alias("dst_key"), F.col("size").alias("_size"),
+        F.col("mtime").alias("_mtime"), *[F.col(c).alias("_" + c) for c in compare],
+        F.lit(True).alias("_there"))
+    same = F.col("size").eqNullSafe(F.col("_size")) & (
+        F.col("checksum").eqNullSafe(F.col("_checksum")) if checksums
+        else F.col("_mtime") >= F.col("mtime"))
+    action = (F.when(F.col("container").isNull(), "remove")
+              .when(F.col("_there").isNull() | ~F.coalesce(same, F.lit(False)), "copy")
+              .otherwise("unchanged"))
+    return s.join(d, "dst_key", "full").select(
+        action.alias("action"), "container", "key",
+        F.coalesce("size", "_size").alias("size"),
+        F.lit(dst_container).alias("dst_container"), "dst_key")
+
+
 TARGET = ("dst_container", "dst_key")
 
 

@@ -22,6 +22,7 @@ Rules that keep the jobs safe on a cluster that loses executors:
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from typing import Iterator
@@ -215,18 +216,91 @@ def run_move(spark: SparkSession, plan_path: str, ledger_path: str | None = None
     return _read_ledger(spark, ledger_path)
 
 
+def run_sync(spark: SparkSession, plan_path: str, ledger_path: str | None = None) -> DataFrame:
+    """Run a written ``plan_sync``: copies first, then removals, and these only if
+    no copy failed, so a half-way sync has every object of the last one. Ledger: the
+    copy columns plus ``action``; unchanged objects are listed as ``ok``, removals that
+    were left out as ``skipped``."""
+    copies, removals = (scratch_path(spark, x) for x in ("copy-ledger", "delete-ledger"))
+    plan = spark.read.parquet(plan_path)
+    to_copy = write_plan(plan.filter("action = 'copy'").drop("action"))
+    copied = run_copy(spark, to_copy, copies).withColumn("action", F.lit("copy"))
+    clean = copied.filter("status <> 'ok'").isEmpty()
+    gone = plan.filter("action = 'remove'").select(
+        F.col("dst_container").alias("container"), F.col("dst_key").alias("key"))
+    to_remove = write_plan(O.delete_batches(gone))
+    if clean:
+        removed = run_delete(spark, to_remove, removals)
+    else:
+        removed = spark.read.parquet(to_remove).select(
+            "container", "key", F.lit("skipped").alias("status"),
+            F.lit("a copy failed").alias("error"))
+    none = F.lit(None).cast("string")
+    removed = removed.select(none.alias("container"), none.alias("key"),
+                             F.col("container").alias("dst_container"),
+                             F.col("key").alias("dst_key"), "status", "error",
+                             F.lit(0).cast("bigint").alias("bytes"),
+                             F.lit("remove").alias("action"))
+    kept = plan.filter("action = 'unchanged'").select(
+        "container", "key", "dst_container", "dst_key", F.lit("ok").alias("status"),
+        none.alias("error"), F.col("size").alias("bytes"), "action")
+    ledger_path = ledger_path or scratch_path(spark, "sync-ledger")
+    copied.unionByName(removed).unionByName(kept).write.mode("overwrite").parquet(ledger_path)
+    remove_scratch(spark, copies, to_copy, to_remove, *([removals] if clean else []))
+    return _read_ledger(spark, ledger_path)
+
+
+def with_checksums(inventory: DataFrame) -> DataFrame:
+    """An inventory with the SHA-256 of each object, read in chunks by executors."""
+    ship_package(inventory.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sums = []
+            for c, k in zip(pdf["container"], pdf["key"]):
+                fs, base = filesystem(c)
+                h = hashlib.sha256()
+                with fs.open_input_stream(_join(base, k)) as f:
+                    while buf := f.read(CHUNK):
+                        h.update(buf)
+                sums.append(h.hexdigest())
+            yield pdf.assign(checksum=sums)
+
+    n = int(inventory.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return inventory.repartition(n, "container", "key").mapInPandas(
+        run, O.INVENTORY_SCHEMA + ", checksum string")
+
+
+def sync_plan(spark: SparkSession, src: DataFrame, dst_root: str, prefix: str = "",
+              checksums: bool = False) -> DataFrame:
+    """The plan that makes ``prefix`` of ``dst_root`` the inventory ``src``."""
+    root = dst_root.rstrip("/")
+    there = object_inventory(spark, root) if kind_of(root) == "folder" else \
+        spark.createDataFrame([], O.INVENTORY_SCHEMA)
+    if checksums:
+        src, there = with_checksums(src), with_checksums(there)
+    return O.plan_sync(src, there, root, prefix, checksums)
+
+
 def land_folder(spark: SparkSession, local_root: str, dst_root: str, prefix: str = "raw/",
-                ledger_path: str | None = None) -> DataFrame:
+                ledger_path: str | None = None, sync: bool = False,
+                checksums: bool = False) -> DataFrame:
     """A whole tree copied under ``prefix`` of ``dst_root``, layout kept; an
-    error if there is no such tree."""
+    error if there is no such tree. With ``sync`` only what is new or changed is
+    copied, and what left the tree is removed (``plan_sync``); the ledger then has
+    the column ``action``."""
     inv = object_inventory(spark, local_root)
     root = local_root.rstrip("/")
-    plan = inv.select(
-        "container", "key", F.lit(dst_root.rstrip("/")).alias("dst_container"),
-        dest_key(F.concat(F.lit(root + "/"), F.col("key")), root, prefix).alias("dst_key"),
-        "size")
-    plan_path = write_plan(plan)
-    ledger = run_copy(spark, plan_path, ledger_path)
+    if sync:
+        plan_path = write_plan(sync_plan(spark, inv, dst_root, prefix, checksums))
+        ledger = run_sync(spark, plan_path, ledger_path)
+    else:
+        plan = inv.select(
+            "container", "key", F.lit(dst_root.rstrip("/")).alias("dst_container"),
+            dest_key(F.concat(F.lit(root + "/"), F.col("key")), root, prefix).alias("dst_key"),
+            "size")
+        plan_path = write_plan(plan)
+        ledger = run_copy(spark, plan_path, ledger_path)
     remove_scratch(spark, plan_path)
     return ledger
 

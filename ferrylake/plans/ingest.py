@@ -23,6 +23,7 @@ from ferrylake.operators import profile as A
 from ferrylake.operators import resolve as R
 from ferrylake.plans import bulk as B
 from ferrylake.plans import catalog as T
+from ferrylake.plans.publish import publish
 from ferrylake.session import remove_scratch, scratch_path
 from ferrylake.sources import text as S
 from ferrylake.sources.inventory import kind_of, object_inventory
@@ -77,19 +78,21 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
            convert_to_parquet: bool = True, mode: str = "exclusive",
            raw_prefix: str = "raw/", processed_prefix: str = "processed/",
            ledger_root: str | None = None, multi_line: bool = True,
-           report_rejects: bool = False) -> IngestRun:
+           report_rejects: bool = False, checksums: bool = False) -> IngestRun:
     """``path`` (a folder or one CSV file) -> tables in the catalog.
 
     Every dataset has places of its own, ``raw|processed|rejects/<database>/<table>``
-    of the lake, and only its own are read. A source that is not there, CSV files
-    that Spark would pass over (names that begin with ``_`` or ``.``) and a table
-    registered with other columns are failures.
+    of the lake, and only its own are read. A second run copies what is new or changed
+    and removes what left the source (``checksums``: by content, not by times); the
+    typed table shows the old rows until the new ones are written whole. A source
+    that is not there, CSV files that Spark would pass over (names that begin with
+    ``_`` or ``.``) and a table registered with other columns are failures.
 
-    Steps: land under ``lake_root/raw_prefix`` (B8) -> read all CSVs landed there
+    Steps: sync to ``lake_root/raw_prefix`` (B8) -> read all CSVs landed there
     together (S1) -> vote (A6, ``mode``) -> settle with ``choices`` (R2) ->
     stop with ``next='disambiguate'`` if columns stay open (R5) -> database
-    (T1) -> raw CSV table (T4) -> typed Parquet (R6, S5) -> Parquet table
-    ``<table>_parquet`` (T4) -> [rejects, R7, with ``report_rejects``] ->
+    (T1) -> raw CSV table (T4) -> typed Parquet (R6, S5) published as the table
+    ``<table>_parquet`` (T4, ``publish``) -> [rejects, R7, with ``report_rejects``] ->
     settled schema saved (S8). Any failed step makes the run failed. ``ledger_root`` receives the run ledger (I2) as Parquet.
     """
     run = IngestRun(run_id=uuid.uuid4().hex)
@@ -107,18 +110,21 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
         folder, only = src.rsplit("/", 1) if kind == "file" else (src, None)
         raw_root = f"{lake}/{raw_prefix.strip('/')}/{own}"
         landed = scratch_path(spark, "land-ledger")
-        if only is None:
-            ledger = B.land_folder(spark, folder, raw_root, "", landed)
-        else:
-            inv = object_inventory(spark, folder).filter(F.col("key") == only)
-            plan = inv.select("container", "key", F.lit(raw_root).alias("dst_container"),
-                              F.col("key").alias("dst_key"), "size")
-            ledger = B.run_copy(spark, B.write_plan(plan), landed)
-        counts = ledger.groupBy().agg(F.count(F.lit(1)).alias("n"),
+        inv = object_inventory(spark, folder)
+        if only is not None:
+            inv = inv.filter(F.col("key") == only)
+        plan = B.write_plan(B.sync_plan(spark, inv, raw_root, checksums=checksums))
+        ledger = B.run_sync(spark, plan, landed)
+        removed = F.col("action") == "remove"
+        counts = ledger.groupBy().agg(F.count_if(F.col("action") == "copy").alias("n"),
                                       F.count_if(F.col("status") != "ok").alias("failed"),
-                                      F.count_if(has_suffix("dst_key")).alias("csv"),
-                                      F.count_if(_passed_over("dst_key")).alias("hidden")).first()
-        run.step("land", counts["failed"] == 0, uploaded=counts["n"], failed=counts["failed"])
+                                      F.count_if(F.col("action") == "unchanged").alias("same"),
+                                      F.count_if(removed).alias("removed"),
+                                      F.count_if(has_suffix("dst_key") & ~removed).alias("csv"),
+                                      F.count_if(_passed_over("dst_key") & ~removed)
+                                      .alias("hidden")).first()
+        run.step("land", counts["failed"] == 0, uploaded=counts["n"], failed=counts["failed"],
+                 unchanged=counts["same"], removed=counts["removed"])
         run.locations["raw"] = raw_root
         if counts["failed"]:
             return _finish(spark, run, ledger_root)
@@ -126,12 +132,12 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
             run.step("find_csv", True, message="nothing to ingest: no CSV file among the objects")
             return _finish(spark, run, ledger_root)
         if counts["hidden"]:
-            some = [r["key"] for r in ledger.filter(_passed_over("dst_key")).select("key")
-                    .orderBy("key").limit(5).collect()]
+            some = [r["key"] for r in ledger.filter(_passed_over("dst_key") & ~removed)
+                    .select("key").orderBy("key").limit(5).collect()]
             run.step("find_csv", False, files=counts["hidden"], first=some,
                      error="CSV files whose names begin with _ or . would not be read")
             return _finish(spark, run, ledger_root)
-        remove_scratch(spark, landed)
+        remove_scratch(spark, landed, plan)
 
         # 2-3. read every landed CSV together and vote (Spark lists them)
         text = S.read_text_table(spark, raw_root, multi_line=multi_line, csv_only=True)
@@ -182,17 +188,16 @@ def ingest(spark: SparkSession, path: str, lake_root: str, database: str | None
 
         # 7. typed Parquet + its table (written schema)
         if convert_to_parquet:
-            out = f"{lake}/{processed_prefix.strip('/')}/{own}"
             typed = R6.apply_schema(text, pairs)
-            S.convert_to_parquet(typed, out)
-            rows = spark.read.parquet(out).count()      # from the files' footers
-            run.step("write_parquet", True, location=out, rows=rows)
-            run.locations["processed"] = out
-            res = T.register_table(spark, run.database, f"{run.table}_parquet", out, None,
-                                   fmt="parquet")
-            run.step("create_table_parquet", res["success"], **res)
+            res = publish(typed, f"{lake}/{processed_prefix.strip('/')}/{own}", run.database,
+                          f"{run.table}_parquet")
             if res["success"]:
+                out = res["location"]
+                rows = spark.read.parquet(out).count()      # from the files' footers
+                run.step("write_parquet", True, location=out, rows=rows)
+                run.locations["processed"] = out
                 run.parquet_table = res["table"]
+            run.step("create_table_parquet", res["success"], **res)
 
         # 7b. values the settled types cannot hold (a second pass over the text)
         if report_rejects:

@@ -6,12 +6,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ferrylake.functions.scalars import has_suffix
 from ferrylake.operators import apply as R6
 from ferrylake.operators import profile as A
 from ferrylake.operators import resolve as R
 from ferrylake.plans import bulk as B
 from ferrylake.plans import catalog as T
 from ferrylake.plans.ingest import ingest
+from ferrylake.plans.publish import publish, versions
 from ferrylake.queries import register
 from ferrylake.queries.profile_q import _sql_counts
 from ferrylake.queries.resolve_q import (_ORDERS_AGG_SQL, REJECTS_EVENTS_SQL, spoiled_events,
@@ -259,6 +261,33 @@ def land_folder(spark, sf_dir):
     return ledger.select(F.col("dst_key").alias("key"), "bytes", "status")
 
 
+# A landed tree whose source then loses, changes and gains objects (by page_id % 4).
+@register("land_sync",
+          "SELECT 'raw/' || CAST(page_id AS VARCHAR) || '.html' AS key, "
+          "CASE page_id % 4 WHEN 0 THEN 'unchanged' WHEN 2 THEN 'remove' ELSE 'copy' END AS action, "
+          "CASE page_id % 4 WHEN 1 THEN CAST(strlen(url) AS BIGINT) WHEN 2 THEN NULL "
+          "ELSE CAST(strlen(html) AS BIGINT) END AS bytes, 'ok' AS status FROM pages")
+def land_sync(spark, sf_dir):
+    key = F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("key")
+    pages = load(spark, sf_dir, "pages").select("page_id", key, "html", "url")
+    src, lake = scratch_path(spark, "sync-source"), scratch_path(spark, "sync-lake")
+
+    def put(where, body):
+        B.put_objects(pages.filter(where).select("key", F.col(body).alias("body")), src)
+
+    put("page_id % 4 <> 3", "html")
+    B.land_folder(spark, src, lake, "raw/", sync=True)
+    put("page_id % 4 = 1", "url")
+    put("page_id % 4 = 3", "html")
+    gone = object_inventory(spark, src).filter(
+        F.substring_index("key", ".", 1).cast("long") % 4 == 2)
+    B.run_delete(spark, B.write_plan(gone.select("container", "key")))
+    ledger = B.land_folder(spark, src, lake, "raw/", sync=True)
+    there = object_inventory(spark, lake).select("key", F.col("size").alias("bytes"))
+    return ledger.select(F.col("dst_key").alias("key"), "action", "status").join(
+        there, "key", "full").select("key", "action", "bytes", "status")
+
+
 @register("bulk_copy_ledger", _PAGE_KEYS_SQL)
 def bulk_copy_ledger(spark, sf_dir):
     tree = _page_tree(spark, sf_dir)
@@ -409,6 +438,110 @@ def ingest_two_datasets(spark, sf_dir):
         c.select(F.lit("customer"), "c_custkey", "c_name", "c_acctbal"))
 
 
+@register("ingest_after_removal",
+          "SELECT *, CAST(2 AS BIGINT) AS files_removed FROM (" + _ORDERS_AGG_SQL.replace(
+              "FROM orders", "FROM (SELECT * FROM orders WHERE o_orderkey % 2 = 0) AS orders")
+          + ") AS a")
+def ingest_after_removal(spark, sf_dir):
+    # A second ingest after a part of the source has left: its rows are gone.
+    folder, lake = scratch_path(spark, "orders-parts"), scratch_path(spark, "lake")
+    orders = load(spark, sf_dir, "orders")
+    for k in (0, 1):
+        S.write_text_table(orders.filter(F.col("o_orderkey") % 2 == k), f"{folder}/part{k}",
+                           n_files=2)
+    where = dict(database="lake_orders", table="orders " + folder.rsplit("-", 1)[-1])
+    ingest(spark, folder, lake, **where)
+    B.delete_tree(spark, f"{folder}/part1", dry_run=False)
+    run = ingest(spark, folder, lake, **where)
+    if not run.success or not run.parquet_table:
+        raise RuntimeError(f"ingest failed: {run.errors or run.next}")
+    left = object_inventory(spark, run.locations["raw"]).filter(has_suffix("key")).count()
+    return _orders_agg(spark.table(f"{run.database}.{run.parquet_table}")).withColumn(
+        "files_removed", F.lit(4 - left).cast("bigint"))
+
+
+@register("publish_versions",
+          "SELECT c_custkey, c_name, c_acctbal, false AS third_published, 2 AS n_versions "
+          "FROM customer WHERE c_custkey % 2 = 0")
+def publish_versions(spark, sf_dir):
+    # Two versions of a table, and a third whose write fails on its last rows.
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    root = scratch_path(spark, "versions")
+    db, tbl = "ver_" + root.rsplit("-", 1)[-1], "customer"
+    half = c.filter("c_custkey % 2 = 0")
+    broken = c.withColumn("c_name", F.when(
+        F.col("c_custkey") % 97 == 96, F.raise_error(F.lit("no more")).cast("string"))
+        .otherwise(F.col("c_name")))
+    for df in (c, half):
+        res = publish(df, root, db, tbl)
+        if not res["success"]:
+            raise RuntimeError(res["error"])
+    third = publish(broken, root, db, tbl)
+    return spark.table(f"{db}.{tbl}").select(
+        "*", F.lit(third["success"]).alias("third_published"),
+        F.lit(len(versions(spark, root))).alias("n_versions"))
+
+
+# T4: partitions that land after the first registration, and one that leaves.
+@register("late_partitions",
+          "SELECT o_orderstatus AS status, CASE o_orderstatus WHEN 'F' THEN 'kept' "
+          "WHEN 'P' THEN 'gone' ELSE 'new' END AS state, CAST(count(CASE WHEN o_orderstatus <> 'P' "
+          "THEN 1 END) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus")
+def late_partitions(spark, sf_dir):
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    loc = scratch_path(spark, "orders-by-status")
+    db = "par_" + loc.rsplit("-", 1)[-1]
+
+    def land(which):
+        S.convert_to_parquet(orders.filter(which), loc, mode="append",
+                             partition_by=["o_orderstatus"])
+
+    def register_it():
+        res = T.register_table(spark, db, "orders", loc,
+                               [("o_orderkey", "bigint"), ("o_custkey", "bigint")],
+                               partition_keys=[("o_orderstatus", "string")], fmt="parquet")
+        if not res["success"]:
+            raise RuntimeError(res["error"])
+
+    land("o_orderstatus IN ('F', 'P')")
+    register_it()
+    land("o_orderstatus NOT IN ('F', 'P')")
+    B.delete_tree(spark, f"{loc}/o_orderstatus=P", dry_run=False)
+    state = T.partition_diff(spark, db, "orders").select(
+        F.substring_index("partition", "=", -1).alias("status"), "state").checkpoint()
+    register_it()
+    n = spark.table(f"{db}.orders").groupBy(F.col("o_orderstatus").alias("status")).agg(
+        F.count(F.lit(1)).alias("n"))
+    return state.join(n, "status", "left").select(
+        "status", "state", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+# T4: a table per market segment over files of its own; registered again over the same
+# place and over another one's.
+@register("register_other_location",
+          "SELECT c_mktsegment AS segment, true AS again, false AS elsewhere, "
+          "CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_mktsegment")
+def register_other_location(spark, sf_dir):
+    c = load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    root = scratch_path(spark, "customer-segments")
+    S.convert_to_parquet(c.withColumn("segment", F.col("c_mktsegment")), root,
+                         partition_by=["segment"])
+    db = "loc_" + root.rsplit("-", 1)[-1]
+    segments = [r["c_mktsegment"] for r in c.select("c_mktsegment").distinct().collect()]
+    rows, tables = [], None
+    for k, s in enumerate(segments):
+        own, other = (f"{root}/segment={x}" for x in (s, segments[k - 1]))
+        first, again, elsewhere = (T.register_table(spark, db, s, x, None, fmt="parquet")
+                                   for x in (own, own, other))
+        rows.append((s, again["success"], elsewhere["success"]))
+        t = spark.table(f"{first['database']}.{first['table']}")
+        tables = t if tables is None else tables.unionByName(t)
+    said = spark.createDataFrame(rows, "segment string, again boolean, elsewhere boolean")
+    return tables.groupBy(F.col("c_mktsegment").alias("segment")).agg(
+        F.count(F.lit(1)).alias("n")).join(said, "segment").select(
+        "segment", "again", "elsewhere", "n")
+
+
 @register("raw_against_typed", _ORDERS_AGG_SQL)
 def raw_against_typed(spark, sf_dir):
     # T4 + R6: the raw table of an ingest holds texts; read with the settled types
