@@ -32,22 +32,22 @@ def publish(df: DataFrame, root: str, database: str, table: str, keep: int = 1,
         convert_to_parquet(df, out, mode="errorifexists")
         if spark.catalog.tableExists(name):
             if other := T._differs(spark, db, tbl, out, None, None):
-                _remove(spark, out)
+                remove_folder(spark, out)
                 return {"success": False, "error": other, **said}
             spark.sql(f"ALTER TABLE {name} SET LOCATION {T._lit(out)}")
             spark.catalog.refreshTable(name)
         else:
             res = T.register_table(spark, db, tbl, out, None, fmt="parquet", comment=comment)
             if not res["success"]:
-                _remove(spark, out)
+                remove_folder(spark, out)
                 return {**res, **said}
     except Exception as e:  # noqa: BLE001 - reported; the table still has its old version
-        _remove(spark, out)
+        remove_folder(spark, out)
         return {"success": False, "error": f"{type(e).__name__}: {e}", **said}
     old = [v for v in versions(spark, root) if v < out.rsplit("/", 1)[1]]
     gone = old[:max(len(old) - keep, 0)]
     for v in gone:
-        _remove(spark, f"{root.rstrip('/')}/{v}")
+        remove_folder(spark, f"{root.rstrip('/')}/{v}")
     return {"success": True, "location": out, "removed": len(gone),
             "message": f"table {db}.{tbl}: turned to {out}", **said}
 
@@ -75,6 +75,7 @@ def roll_back(spark: SparkSession, root: str, database: str, table: str) -> dict
     return {"success": True, "location": before[-1]}
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and all in it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,6 +10,7 @@ from ferrylake.functions.scalars import has_suffix
 from ferrylake.operators import apply as R6
 from ferrylake.operators import profile as A
 from ferrylake.operators import resolve as R
+from ferrylake.operators.file_votes import vote_files
 from ferrylake.plans import bulk as B
 from ferrylake.plans import catalog as T
 from ferrylake.plans.ingest import ingest
@@ -140,6 +141,42 @@ def csv_header_rows(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
+# The first 500 rows of CSV files as they stand (orders in key order over files
+# that are named in that order), and their vote.
+_FIRST_SQL = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 500"
+
+
+@register("first_rows_orders",
+          "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS "
+          f"o_custkey, o_orderstatus, o_orderpriority FROM ({_FIRST_SQL}) AS f")
+def first_rows_orders(spark, sf_dir):
+    out = scratch_path(spark, "orders-sorted")
+    text = load(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    text.repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey").write.options(
+        **S.CSV_WRITE).csv(out)
+    return S.first_rows(spark, out, 500, range_bytes=4096)
+
+
+# A folder voted, then voted again after more files have landed and one has left.
+@register("vote_more_files",
+          f"SELECT c.*, CAST(3 AS BIGINT) AS files_read, CAST(2 AS BIGINT) AS files_kept "
+          f"FROM ({_sql_counts('orders')}) AS c")
+def vote_more_files(spark, sf_dir):
+    root = scratch_path(spark, "orders-arriving")
+    folder, store = f"{root}/files", f"{root}/votes"
+    orders = load(spark, sf_dir, "orders")
+    S.write_text_table(orders.filter("o_orderkey % 2 = 0"), folder, n_files=2)
+    S.write_text_table(orders.filter("o_orderkey % 5 = 0"), f"{folder}/leaves", n_files=1)
+    vote_files(spark, folder, store, csv_only=True)
+    B.delete_tree(spark, f"{folder}/leaves", dry_run=False)
+    S.write_text_table(orders.filter("o_orderkey % 2 = 1").select(*reversed(orders.columns)),
+                       f"{folder}/z", n_files=3)
+    vote = vote_files(spark, folder, store, csv_only=True)
+    return vote.counts.select("*", F.lit(vote.read).cast("bigint").alias("files_read"),
+                              F.lit(vote.kept).cast("bigint").alias("files_kept"))
+
+
 def _page_tree(spark, sf_dir):
     """The pages as a tree of objects ``<host>/<page_id>.html``."""
     pages = load(spark, sf_dir, "pages")

@@ -43,7 +43,7 @@ def type_counts_documents(spark, sf_dir):
           counts_sql(long_sql("lineitem"), mode="exclusive"))
 def type_counts_exclusive_lineitem(spark, sf_dir):
     return A.type_counts(load(spark, sf_dir, "lineitem"), mode="exclusive",
-                         columns=TEXT_COLUMNS["lineitem"])
+                         columns=TEXT_COLUMNS["lineitem"], partitions=cores(spark))
 
 
 _SHARES_OUT = ["pos", "column", "total", *A.SHARE_COLS]

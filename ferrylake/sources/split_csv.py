@@ -105,13 +105,18 @@ def _range_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.astype({"first0": "Int64", "first1": "Int64"})
 
 
-def record_runs(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def record_runs(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_BYTES,
+                first: int | None = None) -> DataFrame:
     """(container, key, begin, stop, head): runs of whole records, in all the files'
     records; ``head``: the run begins with the file's first. A file's ranges are a few numbers each, and run along
-    in one window: a file of 5 TB has 160,000."""
+    in one window: a file of 5 TB has 160,000. With ``first`` only so many ranges are
+    read, in the order of files and places, and a run that none of them ends is left out."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
-    ranges = _dealt(file_ranges(files, range_bytes))
+    ranges = file_ranges(files, range_bytes)
+    if first is not None:
+        ranges = ranges.orderBy("container", "key", "begin").limit(first)
+    ranges = _dealt(ranges)
     states = ranges.mapInPandas(_range_states, _STATES).checkpoint(eager=True)
     along = Window.partitionBy("container", "key").orderBy("begin")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
@@ -124,11 +129,13 @@ def record_runs(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_
     # a constant range sets the state, the flips behind it turn it over
     state = F.when(F.col("_known").isNull(), F.col("_flips")).otherwise(
         F.col("_known.end0") + F.col("_flips") - F.col("_known._flips")) % 2
-    runs = s.select("container", "key", "size", F.when(state == 0, F.col("first0")).otherwise(
-        F.col("first1")).alias("begin")).filter("begin is not null")
+    last = F.max("begin").over(Window.partitionBy("container", "key")) + range_bytes
+    runs = s.select("container", "key", F.when(last >= F.col("size"), F.col("size")).alias("size"),
+                    F.when(state == 0, F.col("first0")).otherwise(F.col("first1"))
+                    .alias("begin")).filter("begin is not null")
     return runs.select("container", "key", "begin",
                        F.coalesce(F.lead("begin").over(along), F.col("size")).alias("stop"),
-                       F.lag("begin").over(along).isNull().alias("head"))
+                       F.lag("begin").over(along).isNull().alias("head")).filter("stop is not null")
 
 
 def _dealt(ranges: DataFrame) -> DataFrame:
@@ -142,8 +149,9 @@ def _dealt(ranges: DataFrame) -> DataFrame:
 
 
 def split_records(runs: DataFrame, headers: bool = True, files: bool = False) -> DataFrame:
-    """(record) of the runs, with ``files`` also container and key: line breaks in quotes
-    kept, empty lines left out, and with ``headers`` each file's first record too."""
+    """(record) of the runs, with ``files`` also container, key, the run's begin and the
+    record's place in it: line breaks in quotes kept, empty lines left out, and with
+    ``headers`` each file's first record too."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -153,10 +161,13 @@ def split_records(runs: DataFrame, headers: bool = True, files: bool = False) ->
                 columns = {"record": _texts(records[headers and r["head"]:])}
                 if files:
                     n = len(columns["record"])
-                    columns |= {c: pa.repeat(pa.scalar(r[c]), n) for c in ("container", "key")}
+                    columns |= {c: pa.repeat(pa.scalar(r[c]), n)
+                                for c in ("container", "key", "begin")}
+                    columns["place"] = pa.array(range(n), pa.int64())
                 yield pa.RecordBatch.from_pydict(columns)
 
-    schema = "record string" + (", container string, key string" if files else "")
+    schema = "record string" + (
+        ", container string, key string, begin bigint, place bigint" if files else "")
     return _dealt(runs).mapInArrow(run, schema)
 
 
@@ -190,7 +201,7 @@ _PACKED = r"(?i)\.(gz|gzip|bz2|zst|zstd|lz4|snappy|deflate|xz)$"
 
 
 def csv_files(spark: SparkSession, path: str, csv_only: bool = False) -> DataFrame | None:
-    """(container, key, size) of the files that Spark's reader would take: those of the
+    """(container, key, size, mtime) of the files that Spark's reader would take: those of the
     folder, with ``csv_only`` all ``*.csv`` below it, or the one file. None if only
     Spark can read them: a store that pyarrow does not know, compressed files."""
     try:
@@ -199,13 +210,11 @@ def csv_files(spark: SparkSession, path: str, csv_only: bool = False) -> DataFra
         return None
     if kind == "file":
         folder, name = path.rstrip("/").rsplit("/", 1)
-        fs, base = filesystem(path)
-        files = spark.createDataFrame([(folder, name, fs.get_file_info(base).size)],
-                                      "container string, key string, size bigint")
+        files = object_inventory(spark, folder).filter(F.col("key") == name)
     elif kind == "folder":
         inv = object_inventory(spark, path).filter(~F.col("key").rlike(r"(^|/)[_.]"))
         inv = inv.filter(has_suffix("key")) if csv_only else inv.filter(~F.col("key").contains("/"))
-        files = inv.select("container", "key", "size")
+        files = inv
     else:
         return None
     return files if files.filter(F.col("key").rlike(_PACKED)).isEmpty() else None

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrylake.sources.split_csv import (RANGE_BYTES, csv_files, file_headers, record_runs,
-                                         split_records)
+from ferrylake.sources.split_csv import (RANGE_BYTES, csv_files, file_headers, file_ranges,
+                                         record_runs, split_records)
 
 # CSV dialect of the text tables: comma, double quote, a quote inside a quoted
 # field doubled (RFC 4180), header row.
@@ -116,22 +116,36 @@ def _field_count(width: int) -> Column:
 
 def _read_mixed(files: DataFrame, headers: DataFrame, empty_as_blank: bool,
                 range_bytes: int) -> DataFrame:
-    """Files of unequal headers: records read by position, then each by its file's
-    header (joined by the file's place; one row a file)."""
+    """Files of unequal headers: each row by its file's header."""
+    runs = record_runs(files.sparkSession, files, range_bytes)
+    return _by_header(split_records(runs, files=True), headers, empty_as_blank)
+
+
+def header_columns(headers: DataFrame) -> list[str]:
+    """The columns of files with these headers, in the order of the first file."""
     bad = headers.filter(F.size("header") != F.size(F.array_distinct("header"))).first()
     if bad:
         raise ValueError(f"{bad['key']} names a column twice: {bad['header']}")
     kinds = headers.groupBy("header").agg(F.min("key").alias("k")).orderBy("k")
-    # as many kinds of header as a table has versions; columns in order of first file
-    columns = list(dict.fromkeys(c for r in kinds.collect() for c in r["header"]))
+    # as many kinds of header as a table has versions
+    return list(dict.fromkeys(c for r in kinds.collect() for c in r["header"]))
+
+
+def header_cells(records: DataFrame, headers: DataFrame, *keep: str) -> DataFrame:
+    """(_cells, _n, container, key, header): the fields of records (with their files),
+    how many a record has, and its file's header (joined by the file's place; one row
+    a file)."""
     width = headers.agg(F.max(F.size("header"))).first()[0]
     cells = [f"_c{i}" for i in range(width)]
-    runs = record_runs(files.sparkSession, files, range_bytes)
-    records = split_records(runs, files=True)
-    df = _parsed(records, _text_schema(cells), "container", "key")
+    df = _parsed(records, _text_schema(cells), "container", "key", *keep)
     rows = df.select(F.array(*[F.coalesce(c, F.lit("")) for c in cells]).alias("_cells"),
-                     _field_count(width).alias("_n"), "container", "key")
-    rows = rows.join(headers, ["container", "key"])
+                     _field_count(width).alias("_n"), "container", "key", *keep)
+    return rows.join(headers, ["container", "key"])
+
+
+def _by_header(records: DataFrame, headers: DataFrame, empty_as_blank: bool,
+               *keep: str) -> DataFrame:
+    columns = header_columns(headers)
 
     def cell(c: str) -> Column:
         at = F.array_position("header", c)
@@ -139,7 +153,41 @@ def _read_mixed(files: DataFrame, headers: DataFrame, empty_as_blank: bool,
         return F.when((at > 0) & (at <= F.col("_n")),
                       value if empty_as_blank else F.nullif(value, F.lit(""))).alias(c)
 
-    return rows.select([cell(c) for c in columns])
+    return header_cells(records, headers, *keep).select([cell(c) for c in columns] + list(keep))
+
+
+SAMPLE_BYTES = 1 << 20
+
+
+def first_rows(spark: SparkSession, path: str, n: int | str | float | None = 500,
+               csv_only: bool = False, empty_as_blank: bool = True,
+               range_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """The first ``n`` rows of CSV files as they stand: files by name, rows by their
+    place. Ranges are read from the front, twice as many each time, until there are
+    enough rows; the rest of the files is not opened. Columns are those of the files
+    read, by their headers."""
+    files = csv_files(spark, path, csv_only)
+    if files is None:
+        raise ValueError(f"the order of rows under {path} is not known: no such folder, "
+                         "compressed files or a store that only Spark can read")
+    n = _row_limit(n)
+    ranges, take = file_ranges(files, range_bytes).count(), 1
+    while True:
+        runs = record_runs(spark, files, range_bytes, first=take).checkpoint(eager=True)
+        records = split_records(runs, files=True)
+        if take >= ranges or n is not None and not runs.isEmpty() \
+                and records.limit(n).count() >= n:
+            break
+        take *= 2
+    used = files.join(runs.select("container", "key").distinct(), ["container", "key"], "left_semi")
+    headers = file_headers(used)
+    if headers.isEmpty():
+        raise ValueError(f"no header in the files under {path}")
+    rows = _by_header(records.withColumnsRenamed({"begin": "_begin", "place": "_place"}).withColumn(
+        "_file", F.col("key")), headers, empty_as_blank, "_file", "_begin", "_place")
+    order = ["_file", "_begin", "_place"]
+    rows = rows.orderBy(*order)
+    return (rows if n is None else rows.limit(n)).drop(*order)
 
 
 def sample_rows(df: DataFrame, n: int | str | float | None = 500,
@@ -149,8 +197,18 @@ def sample_rows(df: DataFrame, n: int | str | float | None = 500,
     ``n`` may be a number or numeric text; anything else means 500, as in the
     reference. ``n=None`` keeps the whole table.
     """
+    n = _row_limit(n)
     if n is None:
         return df
+    if not order_by:
+        raise ValueError("a sample needs order_by: Spark tables have no row order "
+                         "(first_rows takes the rows of files as they stand)")
+    return df.orderBy(*order_by).limit(n)
+
+
+def _row_limit(n: int | str | float | None) -> int | None:
+    if n is None:
+        return None
     try:
         if isinstance(n, str):
             n = int(n) if n.strip() else 500
@@ -158,10 +216,7 @@ def sample_rows(df: DataFrame, n: int | str | float | None = 500,
             n = int(n)
     except (TypeError, ValueError):
         n = 500
-    n = max(n, 0)  # the reference stops before the first row for n <= 0
-    if not order_by:
-        raise ValueError("a sample needs order_by: Spark tables have no row order")
-    return df.orderBy(*order_by).limit(n)
+    return max(n, 0)  # the reference stops before the first row for n <= 0
 
 
 def write_text_table(df: DataFrame, out: str, mode: str = "overwrite",
