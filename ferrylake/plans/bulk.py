@@ -23,6 +23,7 @@ Rules that keep the jobs safe on a cluster that loses executors:
 from __future__ import annotations
 
 import hashlib
+import os
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from typing import Iterator
@@ -110,18 +111,117 @@ def _copy_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                                          "status", "error", "bytes"])
 
 
+# --- large objects in parts --------------------------------------------------
+
+PART_BYTES = 128 << 20
+_PARTS = ("container string, key string, dst_container string, dst_key string, size bigint, "
+          "begin bigint, stop bigint, part_name string")
+_PART_LEDGER = _PARTS + ", copied bigint, error string"
+
+
+def _in_parts(part_bytes: int):
+    """Rows of objects that are written in parts: larger than one, to a local or mounted
+    file system, where tasks can write at their own places of one file. (An object store
+    takes an object from one writer, which sends parts at once by itself.)"""
+    local = ~F.col("dst_container").rlike("^[A-Za-z][A-Za-z0-9+.-]+:") \
+        | F.col("dst_container").startswith("file:")
+    return F.coalesce((F.col("size") > part_bytes) & local, F.lit(False))
+
+
+def _copy_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Write each part at its place; a part that is written again writes the same."""
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            done, error = 0, None
+            try:
+                sfs, sbase = filesystem(r.container)
+                dfs, dbase = filesystem(r.dst_container)
+                to = _join(dbase, r.part_name)
+                if sfs.equals(dfs) and sfs.normalize_path(_join(sbase, r.key)) == \
+                        dfs.normalize_path(_join(dbase, r.dst_key)):
+                    raise ValueError("source and target are the same object")
+                dfs.create_dir(to.rsplit("/", 1)[0], recursive=True)
+                with sfs.open_input_file(_join(sbase, r.key)) as fin:
+                    if fin.size() != r.size:
+                        raise OSError(f"{fin.size()} bytes now, {r.size} when it was planned")
+                    fd = os.open(to, os.O_RDWR | os.O_CREAT, 0o666)
+                    try:
+                        at = r.begin
+                        while at < r.stop and (buf := fin.read_at(min(CHUNK, r.stop - at), at)):
+                            at += os.pwrite(fd, buf, at)
+                        os.fsync(fd)
+                    finally:
+                        os.close(fd)
+                done = at - r.begin
+            except Exception as e:  # noqa: BLE001 - one failure must not stop the rest
+                error = f"{type(e).__name__}: {e}"
+            out.append((*r, done, error))
+        yield pd.DataFrame(out, columns=[*pdf.columns, "copied", "error"])
+
+
+def _join_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Put an object whose parts are all there in its place, else remove them."""
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            dfs, dbase = filesystem(r.dst_container)
+            part, to = _join(dbase, r.part_name), _join(dbase, r.dst_key)
+            error = r.error
+            try:
+                n = dfs.get_file_info(part).size
+                if error is None and r.copied == r.size and n is None \
+                        and dfs.get_file_info(to).size == r.size:
+                    pass                               # a task before this one renamed it
+                elif error is None and (r.copied != r.size or n != r.size):
+                    error = f"{r.copied} of {r.size} bytes copied"
+                elif error is None:
+                    dfs.move(part, to)
+                if error is not None and n is not None:
+                    dfs.delete_file(part)
+            except Exception as e:  # noqa: BLE001
+                error = f"{type(e).__name__}: {e}"
+            out.append((r.container, r.key, r.dst_container, r.dst_key,
+                        "failed" if error else "ok", error, 0 if error else r.size))
+        yield pd.DataFrame(out, columns=["container", "key", "dst_container", "dst_key",
+                                         "status", "error", "bytes"])
+
+
+def _copy_large(spark: SparkSession, large: DataFrame, part_bytes: int, scratch: str) -> DataFrame:
+    """Ledger of objects copied in parts: (object, part) rows are dealt over tasks, their
+    written ledger decides which objects are whole."""
+    run = uuid.uuid4().hex
+    name = F.concat(F.regexp_extract("dst_key", "(?s)^(.*/)?[^/]*$", 1), F.lit(f".{run}-"),
+                    F.substring(F.sha2(F.concat_ws("\n", "container", "key"), 256), 1, 24),
+                    F.lit(".part"))
+    begins = F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1, F.lit(part_bytes).cast("bigint"))
+    parts = large.withColumn("part_name", name).withColumn("begin", F.explode(begins)).withColumn(
+        "stop", F.least(F.col("begin") + part_bytes, F.col("size"))).select(
+        *[c.split(" ")[0] for c in _PARTS.split(", ")])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts.repartition(n, "container", "key", "begin").mapInPandas(
+        _copy_parts, _PART_LEDGER).write.parquet(scratch)
+    whole = spark.read.parquet(scratch).groupBy(
+        "container", "key", "dst_container", "dst_key", "size", "part_name").agg(
+        F.sum("copied").alias("copied"), F.min("error").alias("error"))
+    return whole.mapInPandas(_join_parts, LEDGER_SCHEMA)
+
+
 def _read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
 def run_copy(spark: SparkSession, plan_path: str, ledger_path: str | None = None,
-             parallelism: int | None = None) -> DataFrame:
+             parallelism: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """Copy every planned object, carry on after failures; the ledger
     ``(container, key, dst_container, dst_key, status, error, bytes)`` is
     written and returned. If the plan has sizes, an object that has another one by
     now is a failure. Rows that name the same target are not copied: their status
     is ``refused``, and the error says how many name it. Work is spread by container
-    and key over ``parallelism`` tasks (default: the shuffle partitions)."""
+    and key over ``parallelism`` tasks (default: the shuffle partitions). An object of
+    more than ``part_bytes`` that goes to a local or mounted file system is copied in
+    parts by several tasks and renamed into place when all are there; if the plan has no
+    sizes, no object is."""
     ship_package(spark)
     plan = spark.read.parquet(plan_path)
     if "size" not in plan.columns:
@@ -135,10 +235,17 @@ def run_copy(spark: SparkSession, plan_path: str, ledger_path: str | None = None
     plan = plan.filter(~F.col("refused")).select(
         "container", "key", "dst_container", "dst_key", "size")
     by = ["container", "key"]
+    large = plan.filter(_in_parts(part_bytes))
+    parts_path = None if large.isEmpty() else scratch_path(spark, "copy-parts")
+    if parts_path:
+        told = told.unionByName(_copy_large(spark, large, part_bytes, parts_path))
+        plan = plan.filter(~_in_parts(part_bytes))
     dealt = plan.repartition(parallelism, *by) if parallelism else plan.repartition(*by)
     ledger = dealt.mapInPandas(_copy_batches, LEDGER_SCHEMA).unionByName(told)
     ledger_path = ledger_path or scratch_path(spark, "copy-ledger")
     ledger.write.mode("overwrite").parquet(ledger_path)
+    if parts_path:
+        remove_scratch(spark, parts_path)
     return _read_ledger(spark, ledger_path)
 
 

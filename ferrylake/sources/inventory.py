@@ -75,13 +75,34 @@ def _chunks(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(part, columns=columns)
 
 
+def _entries(fs, folder: str, recursive: bool) -> Iterator:
+    """The files and folders in (or below) a folder. A local or mounted folder is read
+    entry by entry, however many it has; other stores hand over a whole listing."""
+    from pyarrow import fs as pafs
+    if not isinstance(fs, pafs.LocalFileSystem):
+        yield from fs.get_file_info(pafs.FileSelector(folder, recursive=recursive,
+                                                      allow_not_found=True))
+        return
+    open_folders = [folder]
+    while open_folders:
+        try:
+            entries = os.scandir(open_folders.pop())
+        except FileNotFoundError:
+            continue
+        with entries:
+            while paths := [e.path for e in itertools.islice(entries, CHUNK)]:
+                for info in fs.get_file_info(paths):
+                    yield info
+                    if recursive and info.type == pafs.FileType.Directory:
+                        open_folders.append(info.path)
+
+
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     from pyarrow import fs as pafs
     for pdf in batches:
         for root, folder in zip(pdf["root"], pdf["folder"]):
             fs, base = filesystem(root)
-            sel = pafs.FileSelector(folder, recursive=True, allow_not_found=True)
-            rows = (_row(info, root, base) for info in fs.get_file_info(sel)
+            rows = (_row(info, root, base) for info in _entries(fs, folder, recursive=True)
                     if info.type == pafs.FileType.File)
             yield from _chunks(rows, ["container", "key", "size", "mtime"])
 
@@ -96,10 +117,9 @@ def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for root, folder in zip(pdf["root"], pdf["folder"]):
             fs, base = filesystem(root)
-            sel = pafs.FileSelector(folder, recursive=False, allow_not_found=True)
             rows = ((*_row(info, root, base), None) if info.type == pafs.FileType.File
                     else (root, None, None, None, info.path)
-                    for info in fs.get_file_info(sel)
+                    for info in _entries(fs, folder, recursive=False)
                     if info.type in (pafs.FileType.File, pafs.FileType.Directory))
             yield from _chunks(rows, ["container", "key", "size", "mtime", "folder"])
 
@@ -116,7 +136,8 @@ def object_inventory(spark: SparkSession, root: str, max_depth: int = 3,
     fewer than ``min_prefixes``. A tree whose
     objects sit in one big sub-folder is thus split over its sub-folders. A
     single flat folder is still listed by one task: a file-system listing
-    cannot be split inside one folder.
+    cannot be split inside one folder. On a local or mounted file system that task
+    holds ``CHUNK`` entries at a time.
 
     Each folder is listed once: a level's rows are checkpointed before they are
     used, so files and folders are of one moment. A missing root is an error."""
