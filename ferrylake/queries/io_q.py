@@ -338,6 +338,22 @@ def bulk_copy_ledger(spark, sf_dir):
         "key", "bytes", "status")
 
 
+# Pages copied in parts of 1 KB, each page by several tasks; what the destination has.
+@register("bulk_copy_parts",
+          "SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1) || '/' "
+          "|| CAST(page_id AS VARCHAR) || '.html' AS key, CAST(strlen(html) AS BIGINT) AS bytes, "
+          "sha256(html) AS checksum, 'ok' AS status FROM pages")
+def bulk_copy_parts(spark, sf_dir):
+    from ferrylake.operators import objects as O
+    tree, mirror = _page_tree(spark, sf_dir), scratch_path(spark, "mirror")
+    plan = O.plan_copy(object_inventory(spark, tree), mirror)
+    ledger = B.run_copy(spark, B.write_plan(plan), part_bytes=1024)
+    there = B.with_checksums(object_inventory(spark, mirror)).select(
+        "key", F.col("size").alias("bytes"), "checksum")
+    return ledger.select("key", "status").join(there, "key", "full").select(
+        "key", "bytes", "checksum", "status")
+
+
 @register("bulk_move_ledger",
           "SELECT key, bytes, status, true AS deleted, 0 AS left_behind FROM (" + _PAGE_KEYS_SQL + ") AS p")
 def bulk_move_ledger(spark, sf_dir):

@@ -57,11 +57,14 @@ def _by_header(columns: list[str], cells: list[str]
                ) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Rows by position, file after file, to rows of ``columns`` by each file's header."""
 
+    def split(record: str) -> list[str]:
+        return next(csv.reader(io.StringIO(record, newline="")), [""])
+
     def fields(row: pd.Series) -> list[str]:
         """A record's fields; one of another width than ``cells`` is kept as text."""
         if pd.isna(row[_CORRUPT]):
             return [x or "" for x in row[cells]]
-        return next(csv.reader(io.StringIO(row[_CORRUPT], newline="")), [""])
+        return split(row[_CORRUPT])
 
     def positions(file: str, header: list[str]) -> dict[str, int]:
         if len(set(header)) < len(header) or not set(header) & set(columns):
@@ -70,7 +73,7 @@ def _by_header(columns: list[str], cells: list[str]
 
     def mapped(rows: pd.DataFrame, place: dict[str, int]) -> pd.DataFrame:
         odd = rows[_CORRUPT].notna().to_numpy()
-        texts = [fields(r) for _, r in rows[odd].iterrows()]
+        texts = list(map(split, rows[_CORRUPT].to_numpy(object)[odd]))
         out = {}
         for c in columns:
             i = place.get(c, sys.maxsize)
