@@ -13,8 +13,9 @@ import xxhash
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
 _STOP = re.compile(r"[>\"']")
-_ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'"
-                   r"|([^\s\"'>]+)))?", re.IGNORECASE)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?"
+                         r"(?:;|$)", re.IGNORECASE)
 _TOKEN = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
@@ -41,6 +42,8 @@ class Node:
     depth: int
     path: int
     hidden: bool = False
+    names: tuple[str, ...] = ()                            # in class and role
+    ident: str = ""
     children: list[str] = field(default_factory=list)     # labels, runs collapsed
 
 
@@ -48,18 +51,32 @@ class Node:
 class Page:
     nodes: list[Node]
     segments: list[tuple[int, str]]       # (node, text) in page order
+    linked: dict[int, int] = field(default_factory=dict)  # node -> characters inside <a>
 
 
-def _tokens(attrs: str) -> tuple[frozenset[str], bool]:
-    found, hidden = set(), False
+def _attributes(attrs: str) -> tuple[frozenset[str], bool, tuple[str, ...], str]:
+    """(words of class, id, role and itemprop; hidden; names in class and role; id)
+    of a tag's attributes. Values of other attributes say nothing."""
+    found: set[str] = set()
+    names: list[str] = []
+    hidden, ident = False, ""
     for m in _ATTR.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
-        name = m[1].lower()
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            hidden |= name == "hidden"
-        else:
-            found.update(_TOKEN.findall(_CAMEL.sub(" ", value).lower()))
-    return frozenset(found), hidden
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden":
+            hidden |= value.lower() != "until-found"
+        elif name == "style":
+            hidden |= _NO_DISPLAY.search(value) is not None
+        elif name in ("class", "id", "role", "itemprop"):
+            found.update(words_of(value))
+            if name in ("class", "role"):
+                names += value.split()
+            elif name == "id":
+                ident = value
+    return frozenset(found), hidden, tuple(names), ident
+
+
+def words_of(name: str) -> list[str]:
+    return _TOKEN.findall(_CAMEL.sub(" ", name).lower())
 
 
 def _label(tag: str, tokens: frozenset[str]) -> str:
@@ -72,6 +89,7 @@ def parse(text: str) -> Page:
     stack: list[tuple[str, int]] = [("html", 0)]          # open elements and their block
     buffer: list[str] = []
     lowered: list[str] = []
+    linked: dict[int, int] = {}
 
     def flush() -> None:
         if buffer:
@@ -94,6 +112,8 @@ def parse(text: str) -> Page:
             break
         if lt > i:
             buffer.append(text[i:lt])
+            if stack[-1][0] in INLINE and _in_link(stack):
+                linked[stack[-1][1]] = linked.get(stack[-1][1], 0) + lt - i
         if text.startswith("<!--", lt):
             end = text.find("-->", lt + 4)
             i = n if end < 0 else end + 3
@@ -172,14 +192,24 @@ def parse(text: str) -> Page:
             continue
         flush()
         parent = stack[-1][1]
-        tokens, hidden = _tokens(attrs) if "=" in attrs or "hidden" in attrs else (
-            frozenset(), False)
+        tokens, hidden, names, ident = _attributes(attrs) if attrs.strip("/> ") else (
+            frozenset(), False, (), "")
         label = _label(name, tokens)
         kids = nodes[parent].children
         if not kids or kids[-1] != label:
             kids.append(label)
         path = xxhash.xxh64_intdigest(label, nodes[parent].path) >> 1
-        nodes.append(Node(name, tokens, parent, nodes[parent].depth + 1, path, hidden))
+        nodes.append(Node(name, tokens, parent, nodes[parent].depth + 1, path, hidden,
+                          names, ident))
         stack.append((name, len(nodes) - 1))
     flush()
-    return Page(nodes, segments)
+    return Page(nodes, segments, linked)
+
+
+def _in_link(stack: list[tuple[str, int]]) -> bool:
+    for tag, _ in reversed(stack[-8:]):
+        if tag == "a":
+            return True
+        if tag not in INLINE:
+            return False
+    return False

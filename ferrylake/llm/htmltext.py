@@ -9,8 +9,10 @@ nothing). Parts are combined from the leaves up, and branches below a threshold
 are removed from every page, unless they hold most of its text or are plain
 blocks right inside the article. What names itself a menu, header, footer,
 sidebar, notice, advert, form or comment is removed before that, also on hosts
-with too few pages for statistics. What is left of the article (or of ``main``,
-or of the page where neither is marked) is the text.
+with too few pages for statistics; inside the article a word in a longer name
+(``related-work``, ``social-history``) only proposes a block, which goes if most of
+its text is links or the site's tree finds it unimportant. What is left of the
+article (or of ``main``, or of the page where neither is marked) is the text.
 
 Pages of a host with the same text are one page to the statistics: a copy, a
 mirror or another spelling of a URL says nothing about the layout. Copies that
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrylake.llm.common import bounded_join, checkpointed, pick, ship_package, written
-from ferrylake.llm.dom import MAX_DEPTH, Node, Page, parse
+from ferrylake.llm.dom import MAX_DEPTH, Node, Page, parse, words_of
 
 GAMMA = 0.9              # how much of a node's importance its branches decide
 LOW = 0.3                # branches below this importance are removed
@@ -44,14 +46,19 @@ MIN_PAGES = 5            # a host's node must be on so many pages to be judged
 # Elements that are never main text.
 _NEVER = frozenset("head script style noscript template svg math iframe object nav footer aside "
                    "form button select textarea menu dialog canvas audio video map".split())
-# Words in class, id or role that name page furniture.
+# Words in class, id or role that name page furniture, whatever stands beside them ...
 _FURNITURE = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion "
-    "banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs footer header masthead topbar "
-    "toolbar comment comments commentlist disqus reply replies respond share sharing social "
-    "related recommended recommendations newsletter subscribe subscription signup login "
-    "widget widgets pagination pager complementary contentinfo search".split())
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo cookie cookies "
+    "consent gdpr popup modal overlay sidebar nav navbar navigation menu menubar breadcrumb "
+    "breadcrumbs masthead topbar toolbar comments commentlist disqus share sharing "
+    "newsletter subscribe signup login widget widgets pagination pager complementary "
+    "contentinfo recommended".split())
+# ... and words that an article's own parts may have in a longer name.
+_MAYBE = frozenset(
+    "banner promotion notice notices alert footer header comment reply replies respond social "
+    "related recommendations subscription search".split())
+_WORDS = _FURNITURE | _MAYBE
+LINKED = 0.5             # a proposed block with so much of its text in links is furniture
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _PLAIN = _HEADINGS | frozenset("p pre blockquote ul ol dl table figure".split())
 _MAIN = frozenset(("article", "main"))
@@ -62,11 +69,13 @@ _NODES = ("key long, host string, same long, path long, parent long, depth int,
 
 @dataclass
 class View:
-    """What of a page is main text before the site's statistics."""
+    """What of a page is main text before the site's statistics. ``proposed``: blocks
+    that a word of their name puts in doubt."""
 
     page: Page
     gone: list[bool]
     roots: list[int]
+    proposed: list[bool]
 
 
 def _is_main(node: Node) -> bool:
@@ -74,23 +83,72 @@ def _is_main(node: Node) -> bool:
         "main" in node.tokens and "content" in node.tokens)
 
 
+def _only_furniture(name: str) -> bool:
+    words = words_of(name)
+    return bool(words) and all(w in _WORDS for w in words)
+
+
+def _named(node: Node, in_article: bool) -> tuple[bool, bool]:
+    """(is furniture by its name, may be).
+
+    Outside the article any such word tells. Inside it a block is furniture if a whole
+    name of its class or role, or its whole id, is made of such words; a word that
+    always means furniture tells for a wrapper, and only proposes a heading, paragraph,
+    list or table; other words only propose."""
+    if not node.tokens & _WORDS or node.tag in ("html", "body"):
+        return False, False
+    if not in_article:
+        return True, False
+    if node.tag in _HEADINGS:
+        return any(map(_only_furniture, node.names)), True
+    if any(map(_only_furniture, node.names)) or (
+            node.tag not in _PLAIN and _only_furniture(node.ident)):
+        return True, False
+    return bool(node.tokens & _FURNITURE) and node.tag not in _PLAIN \
+        and not _only_ident(node), True
+
+
+def _only_ident(node: Node) -> bool:
+    """The words are in the id alone, which may name a part of the article."""
+    return not any(w in _FURNITURE for name in node.names for w in words_of(name))
+
+
+def _link_share(page: Page) -> list[float]:
+    size, linked = [0] * len(page.nodes), [0] * len(page.nodes)
+    for k, t in page.segments:
+        size[k] += len(t)
+    for k, n in page.linked.items():
+        linked[k] += n
+    for k in range(len(size) - 1, 0, -1):
+        size[page.nodes[k].parent] += size[k]
+        linked[page.nodes[k].parent] += linked[k]
+    return [x / n if n else 0.0 for x, n in zip(linked, size, strict=True)]
+
+
 def view(text: str) -> View:
     page = parse(text)
     nodes = page.nodes
     in_main = [False] * len(nodes)
     own = [False] * len(nodes)
     soft = [False] * len(nodes)          # a header inside the article: headings stay
+    proposed = [False] * len(nodes)
+    dense: list[float] = []
     for k, node in enumerate(nodes):
         up = node.parent
-        in_main[k] = (up >= 0 and in_main[up]) or _is_main(node)
-        named = bool(node.tokens & _FURNITURE) and node.tag not in ("html", "body")
-        header = node.tag == "header" or (named and not node.tokens & _FURNITURE - {"header"})
+        inner = up >= 0 and in_main[up]
+        in_main[k] = inner or _is_main(node)
+        named, maybe = _named(node, inner)
+        header = node.tag == "header" or (named and not node.tokens & _WORDS - {"header"})
         if node.tag in _NEVER or node.hidden:
             own[k] = True
-        elif header and up >= 0 and in_main[up]:
+        elif header and inner:
             own[k] = soft[k] = True
         elif header or named:
             own[k] = True
+        elif maybe:
+            dense = dense or _link_share(page)
+            proposed[k] = True
+            own[k] = dense[k] >= LINKED
 
     def spread() -> tuple[list[bool], list[int]]:
         gone = [False] * len(nodes)
@@ -117,7 +175,7 @@ def view(text: str) -> View:
         has[nodes[k].parent] |= has[k]
     mains = [k for k in mains if has[k]]
     articles = [k for k in mains if nodes[k].tag == "article"]
-    return View(page, gone, articles or mains or [0])
+    return View(page, gone, articles or mains or [0], proposed)
 
 
 def _holder(page: Page, own: list[bool]) -> int | None:
@@ -163,7 +221,8 @@ def main_text(text: str | None, low: frozenset[int] = frozenset()) -> str:
         cut = [False] * len(nodes)
         for k, node in enumerate(nodes):
             up = node.parent
-            plain = node.tag in _PLAIN and up >= 0 and nodes[up].tag in _MAIN
+            plain = (node.tag in _PLAIN and up >= 0 and nodes[up].tag in _MAIN
+                     and not v.proposed[k])
             cut[k] = (up >= 0 and cut[up]) or (
                 node.path in low and not plain and k not in v.roots and 2 * size[k] <= whole)
         ok = [a and not b for a, b in zip(ok, cut, strict=True)]

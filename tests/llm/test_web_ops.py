@@ -406,3 +406,51 @@ def test_other_answers_of_pages_change_nothing(spark, table):
         return sorted((r.record_id, r.ts, r.status, r.original_id or 0, r.original_ts or 0)
                       for r in warc.resolve(caps).collect())
     assert rows(more) == rows(plain)
+
+
+# --- names inside an article -------------------------------------------------
+
+_KEPT = ['<div style="overflow:hidden"><p>{}</p></div>', '<p title="the hidden truth">{}</p>',
+         '<div data-id="banner-7"><p>{}</p></div>', '<div data-src="/p?id=search"><p>{}</p></div>',
+         '<h2 id="search-trees">{}</h2>', '<section id="related-work"><p>{}</p></section>',
+         '<p class="social-history">{}</p>', '<div aria-hidden="false"><p>{}</p></div>',
+         '<div class="display none"><p>{}</p></div>', "<p data-x='a>b hidden'>{}</p>"]
+_DROPPED = ['<div style="display:none">{}</div>', "<div hidden>{}</div>", "<p HIDDEN=''>{}</p>",
+            '<div style="color:red; DISPLAY : none !important">{}</div>',
+            '<div class="ad-slot">{}</div>', '<section id="comments"><p>{}</p></section>',
+            '<div class="related"><p>{}</p></div>',
+            '<div class="related-posts"><a href=x>{}</a></div>',
+            '<ul class="breadcrumb"><li>{}</li></ul>', '<p class="advert">{}</p>',
+            '<div class="shareButtons share">{}</div>', "<aside>{}</aside>",
+            '<div class="comment-list"><div class=comment>{}</div></div>']
+
+
+def article_with(block):
+    p = "<p>one two three four five six seven eight nine ten</p>"
+    return (f"<html><body><nav><a href=/>Home</a></nav><article><h1>T</h1>{p}{block}{p}</article>"
+            "<div class='sidebar'>side</div></body></html>")
+
+
+@pytest.mark.parametrize("block", _KEPT + _DROPPED)
+def test_blocks_of_an_article_by_their_attributes(block):
+    text = htmltext.main_text(article_with(block.format("the text")))
+    assert ("the text" in text) == (block in _KEPT)
+    assert text.count("one two") == 2 and "side" not in text and "Home" not in text
+
+
+def test_site_decides_on_blocks_that_a_name_only_proposes(spark, table):
+    """The same ``notice-box`` words on every page of a host are layout, a text of each
+    page's own in a block of that name is not."""
+    def page(host, k):
+        same = host == "same.example"
+        said = "Read our terms before use" if same else f"Finding {k}: sample {k * 7} was late"
+        own = " ".join(f"w{k}x{i}" for i in range(60))
+        return (k, f"http://{host}/{k}",
+                f"<body><article><h1>Page {k}</h1><p>{own}</p><div class='notice-box'>"
+                f"<p>{said}</p></div></article></body>")
+    rows = [page(h, k + 100 * i) for i, h in enumerate(("same.example", "own.example"))
+            for k in range(8)]
+    out = {r.page_id: r.text for r in htmltext.texts(
+        table(rows, "page_id long, url string, html string")).collect()}
+    for k, url, _ in rows:
+        assert ("terms" in out[k] or "Finding" in out[k]) == ("own." in url), (url, out[k])
