@@ -59,8 +59,9 @@ def shards(sizes: DataFrame, n: int = SHARDS, partitions: int | None = None) ->
               .withColumn("_end", F.col("_byte0") + F.sum("size").over(
                   within.rowsBetween(Window.unboundedPreceding, 0))))
     # a row belongs to the shard that holds its middle byte
-    middle = F.col("_end") * 2 - F.col("size")
-    shard = F.least(F.lit(n - 1), F.floor(middle * n / (F.col("_all") * 2))).cast("int")
+    # (whole-number division; twice the position times n fits a long up to 190 PB)
+    middle = f"(_end * 2 - size) * {n}L div (_all * 2)"
+    shard = F.least(F.lit(n - 1), F.expr(middle)).cast("int")
     placed = checkpointed(placed.select("doc_id", "size", "text_crc32", "_row",
                                         shard.alias("shard")))
     first = placed.groupBy("shard").agg(F.min("_row").alias("_first"))
@@ -68,11 +69,3 @@ def shards(sizes: DataFrame, n: int = SHARDS, partitions: int | None = None) ->
             .select("doc_id", "size", "text_crc32", "shard",
                     (F.col("_row") - F.col("_first")).alias("slot")))
 
-
-def write_shards(docs: DataFrame, out: str, n: int = SHARDS, id: str = "doc_id",
-                 text: str = "text") -> None:
-    """Write whole rows into one folder per shard (``id`` must be unique)."""
-    d = docs.withColumnRenamed(id, "_shard_key")
-    place = shards(sized(docs, id, text), n).select(F.col("doc_id").alias("_shard_key"), "shard")
-    (d.join(place, "_shard_key").withColumnRenamed("_shard_key", id)
-     .write.partitionBy("shard").parquet(out))
