@@ -13,10 +13,11 @@ from ferrylake.tables import load
 __all__ = ["load", "ship_package", "checkpointed", "written", "bounded_join", "pick",
            "BROADCAST_ROWS", "let"]
 
-# A side is broadcast only when its counted rows are at most this many (rows of
-# a few dozen bytes: about 10 MB); otherwise the join shuffles both sides and
+# A side is broadcast only when its counted rows are at most this many and their
+# measured text at most so many bytes; otherwise the join shuffles both sides and
 # adaptive execution splits the hot keys.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -41,9 +42,13 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
 
 def bounded_join(big: DataFrame, small: DataFrame, on, how: str = "inner",
                  rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join; ``small`` (already materialised) is broadcast if it is counted to
-    have at most ``rows`` rows, else both sides are shuffled."""
-    if small.limit(rows + 1).count() <= rows:
+    """Join; ``small`` (already materialised) is broadcast if it is counted to have
+    at most ``rows`` rows of together at most ``BROADCAST_BYTES`` (as JSON, which is
+    longer than the rows themselves), else both sides are shuffled."""
+    text = F.octet_length(F.to_json(F.struct(*[_col(small, c) for c in small.columns])))
+    n, size = small.limit(rows + 1).select(text.alias("n")).agg(
+        F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n <= rows and size <= BROADCAST_BYTES:
         return big.join(F.broadcast(small), on, how)
     return big.join(small.hint("merge"), on, how)
 

@@ -18,6 +18,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,24 +125,37 @@ def candidates(index: DataFrame, rare: DataFrame) -> DataFrame:
     return merged.filter("_met = shiftleft(1, need) - 1").select("key", "window", "start")
 
 
-def proximity_matches(index: DataFrame, rare: DataFrame, distance: int) -> DataFrame:
-    """(key, window, pos, gap): places where a window's two rarest terms stand
-    within ``distance`` words of where the phrase would have them.
+def proximity_matches(docs: DataFrame, distinct: DataFrame, terms: DataFrame, index: DataFrame,
+                      distance: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, window, start, len): places where every word of a window stands within
+    ``distance`` words of where the phrase would have it, reckoned from an occurrence of
+    the window's rarest term; ``start`` is where the phrase would begin (it can lie before
+    the document). Distance 0 gives the exact places.
 
-    The join is on blocks of ``distance`` positions, so a list is compared with
-    neighbouring blocks only.
+    The lists of the two rarest terms are intersected within the distance (joined on
+    blocks of so many positions, so a list meets neighbouring blocks only); at the places
+    left all words are looked for. Windows with a term that no document has match nowhere.
     """
-    moved = _anchor_hits(index, rare).withColumnRenamed("start", "at")
+    moved = _anchor_hits(index, anchors(distinct, terms, index))
     width = max(distance, 1)
-    a = (moved.filter("rank = 0").select("key", "window", F.col("at").alias("pos"))
-         .withColumn("_b", F.explode(F.array(*[F.floor(F.col("pos") / width) + k
-                                               for k in (-1, 0, 1)]))))
-    b = (moved.filter("rank = 1").withColumn("_b", F.floor(F.col("at") / width))
-         .select("key", "window", "at", "_b"))
-    return (a.join(b, ["key", "window", "_b"])
-            .filter(F.abs(F.col("at") - F.col("pos")) <= distance)
-            .groupBy("key", "window", "pos").agg(F.min(F.abs(F.col("at") - F.col("pos")))
-                                                 .alias("gap")))
+    first = moved.filter("rank = 0").select("key", "window", "need", "start")
+    a = first.filter("need > 1").withColumn(
+        "_b", F.explode(F.array(*[F.floor(F.col("start") / width) + k for k in (-1, 0, 1)])))
+    b = (moved.filter("rank = 1").withColumn("_b", F.floor(F.col("start") / width))
+         .select("key", "window", F.col("start").alias("_at"), "_b"))
+    two = a.join(b, ["key", "window", "_b"]).filter(
+        F.abs(F.col("_at") - F.col("start")) <= distance).select("key", "window", "start")
+    places = two.union(first.filter("need = 1").select("key", "window", "start")).distinct()
+
+    def near(words: Column, p: Column) -> Column:
+        at = F.sequence(F.lit(0), F.size(p["words"]) - 1)
+        return F.forall(at, lambda k: F.array_contains(
+            F.slice(words, F.greatest(p["start"] + k - distance, F.lit(0)) + 1,
+                    F.greatest(p["start"] + k + distance + 1, F.lit(0))
+                    - F.greatest(p["start"] + k - distance, F.lit(0))),
+            F.get(p["words"], k)))
+
+    return _checked(docs, written(places, "near-places"), distinct, near, id, text)
 
 
 def exact_matches(docs: DataFrame, places: DataFrame, distinct: DataFrame,
@@ -150,14 +165,20 @@ def exact_matches(docs: DataFrame, places: DataFrame, distinct: DataFrame,
     Only documents with a place have their words cut again; texts meet their
     places by key, which names a text, so equal rows need no care.
     """
+    return _checked(docs, places, distinct, lambda words, p: F.slice(
+        words, p["start"] + 1, F.size(p["words"])) == p["words"], id, text)
+
+
+def _checked(docs: DataFrame, places: DataFrame, distinct: DataFrame,
+             same: Callable[[Column, Column], Column], id: str, text: str) -> DataFrame:
+    """The places at which ``same`` holds for the document's words."""
     known = bounded_join(places, checkpointed(distinct), "window")
     per_doc = known.groupBy("key").agg(
         F.collect_list(F.struct("window", "start", "words")).alias("places"))
     d = with_key(docs, id, text).select("key", "text").join(per_doc, "key")
     d = d.withColumn("_w", words(F.col("text")))
-    same = F.filter("places", lambda p: F.slice(
-        F.col("_w"), p["start"] + 1, F.size(p["words"])) == p["words"])
-    return (d.select("key", F.explode(same).alias("p"))
+    kept = F.filter("places", lambda p: same(F.col("_w"), p))
+    return (d.select("key", F.explode(kept).alias("p"))
             .select("key", "p.window", "p.start", F.size("p.words").alias("len"))
             .distinct())
 

@@ -79,11 +79,18 @@ def test_stages_take_extra_columns_nulls_and_empty_tables(spark):
         for name, stage in corpus_pipeline.STAGES[:4]:
             docs = written(stage(spark, docs, SF), f"edge-{name}")
             assert docs.columns == [c.split()[0] for c in schema.split(", ")]
+    # the last stage on odd rows, equal ones among them
+    odd = rows + [(2, "", "en", "a", 0, "k"), (3, "word " * 5000, "en", "a", 0, "k")]
+    out = corpus_pipeline.STAGES[4][1](spark, spark.createDataFrame(odd, schema), SF).collect()
+    lengths = collections.Counter((r.doc_id, r.piece, r.length) for r in out)
+    assert lengths[1, 0, 1] == 1 and lengths[2, 0, 1] == 2 and lengths[None, 0, 31] == 1
+    assert sum(r.length for r in out if r.doc_id == 3) == 5001
+    assert corpus_pipeline.STAGES[4][1](spark, spark.createDataFrame([], schema), SF).count() == 0
 
 
 def test_each_operator_is_registered():
     names = list(queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert [x for x in names if x.startswith(f"op{n}_")], n
 
 

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from fixture_tables import table  # noqa: F401
+from pyspark.sql import functions as F
 
 from ferrylake.llm import decontaminate, lm, packing, pii, quality, sharding
 from ferrylake.llm.queries import tokenizer_path
@@ -195,17 +196,39 @@ def test_decontamination_empty_tables(spark, table):
                                                                          (2, 0, False)}
 
 
-def test_proximity(spark, table):
-    docs = [(1, "rare and then some odd words"), (2, "rare x x x x x x x x odd"), (3, "odd rare")]
-    items = [(1, "rare and odd"), ]
+@pytest.mark.parametrize("distance", [0, 1, 3])
+def test_proximity_equals_brute_force(spark, table, distance):
+    rng = random.Random(21)
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randrange(25))))
+            for i in range(40)]
+    docs += [(100, "rare and then some odd words"), (101, "rare x x x x x x odd"),
+             (102, "odd and rare"), (103, None), (104, "solo")]
+    items = [(1, "rare and odd"), (2, "a b c"), (3, "g f e d"), (4, "solo"), (5, "a a"),
+             (6, "never a"), (7, "c d e f g a b c d e f")]
     d, b = table(docs, "doc_id long, text string"), table(items, "item_id long, text string")
     distinct, _ = decontaminate.windows(b)
     terms = decontaminate.term_table(distinct)
     index = decontaminate.postings(d, terms)
-    rare = decontaminate.anchors(distinct, terms, index)
-    keys = {r.key: r.doc_id for r in decontaminate.with_key(d, "doc_id", "text").collect()}
-    near = decontaminate.proximity_matches(index, rare, 3).collect()
-    assert {keys[r.key] for r in near} <= {1, 3} and 1 in {keys[r.key] for r in near}
+    texts = {r.key: (r.text or "").split() for r in
+             decontaminate.with_key(d, "doc_id", "text").collect()}
+    windows = {r.window: r.words for r in distinct.collect()}
+    rarest = {r.window: (r.term, r.offset) for r in decontaminate.anchors(
+        distinct, terms, index).filter("rank = 0").collect()}
+    names = {r.term: r.word for r in terms.collect()}
+    want = set()
+    for w, (term, offset) in rarest.items():
+        for key, ws in texts.items():
+            for p, x in enumerate(ws):
+                s = p - offset
+                if x == names[term] and all(
+                        t in ws[max(s + k - distance, 0):max(s + k + distance + 1, 0)]
+                        for k, t in enumerate(windows[w])):
+                    want.add((key, w, s, len(windows[w])))
+    got = decontaminate.proximity_matches(d, distinct, terms, index, distance).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and want
+    if distance == 0:
+        _, exact = decontaminate.search(d, distinct)
+        assert {tuple(r) for r in exact.collect()} == want
 
 
 # --- shards ------------------------------------------------------------------
@@ -230,6 +253,32 @@ def test_shards_are_contiguous_and_even(spark, table):
     assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_shards_equal_prefix_sums_by_hand(spark, table):
+    rng = random.Random(4)
+    rows = [(i, "é" * rng.randrange(90)) for i in rng.sample(range(10**6), 700)]
+    out = {r.doc_id: (r.shard, r.slot) for r in sharding.shards(
+        sharding.sized(table(rows, "doc_id long, text string")), partitions=7).collect()}
+    sizes = sorted((i, len(t.encode()) + 8) for i, t in rows)
+    total, end, slots = sum(n for _, n in sizes), 0, collections.Counter()
+    for i, n in sizes:
+        end += n
+        shard = min(23, (2 * end - n) * 24 // (2 * total))
+        assert out[i] == (shard, slots[shard])
+        slots[shard] += 1
+
+
+def test_bounded_join_measures_bytes(spark):
+    from ferrylake.llm import common
+    big = spark.range(100)
+    for small, wide in ((spark.range(5).withColumn("x", F.lit("y")), False),
+                        (spark.range(5).withColumn("x", F.repeat(F.lit("y"), 10_000_000)), True)):
+        small = small.checkpoint()
+        joined = common.bounded_join(big, small, "id", "left")
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert ("broadcast" in plan) == (not wide)
+    assert common.bounded_join(big, small.limit(0).checkpoint(), "id", "left").count() == 100
+
+
 def test_shards_hot_id_and_empty(spark, table):
     rows = [(7, f"t{i % 5}") for i in range(2_000)]
     out = sharding.shards(sharding.sized(table(rows, "doc_id long, text string"))).collect()
