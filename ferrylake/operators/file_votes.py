@@ -42,12 +42,13 @@ def file_counts(files: DataFrame, mode: str = "overlap",
     rows has counts of 0."""
     spark = files.sparkSession
     headers = file_headers(files)
-    records = split_records(record_runs(spark, files, range_bytes), files=True)
     names = headers.join(files.select("container", *FILE), ["container", "key"]).select(
         *FILE, F.posexplode("header").alias("at", "column"))
     if headers.isEmpty():
         return spark.createDataFrame([], STORE)
-    cells = S.header_cells(records, headers)
+    kinds = S.header_kinds(headers)
+    runs = S.runs_with_kinds(record_runs(spark, files, range_bytes), headers, kinds)
+    cells = S.header_cells(split_records(runs, keep=["key", "kind"]), kinds, "key")
     long = cells.select("key", F.inline(F.transform("header", lambda c, i: F.struct(
         c.alias("column"), F.when(i < F.col("_n"), F.get("_cells", i)).alias("value")))))
     counted = _counts(long, F.lit(1).cast("bigint"), mode, ["key", "column"])

@@ -6,7 +6,7 @@ a range is a map of two states, found without knowing where it starts: the ident
 flip, or a constant. Running along a file's ranges (constants reset, flips add up) gives
 each range's own state, hence its first record start; from there to the next range's
 first record start is a run of whole records, read by one task. No file is one task's;
-a task holds one range, and one record where that is longer.
+a task holds a block of its range, and one record where that is longer.
 
 Quotes open a value only at its start, and after a closing quote the rest up to the
 separator belongs to the value, as Spark's CSV reader has it.
@@ -17,7 +17,7 @@ from __future__ import annotations
 import csv
 import io
 import re
-from typing import Iterator
+from typing import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -29,6 +29,7 @@ from ferrylake.session import ensure_checkpoint_dir, ship_package
 from ferrylake.sources.inventory import filesystem, kind_of, object_inventory
 
 RANGE_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20         # read at once in a range
 READ_BYTES = 1 << 20          # read at once behind a range's end
 
 _CLOSED = rb'"(?:[^"]++|"")*+"[^,]*+'          # a quoted value that ends in this line
@@ -54,30 +55,50 @@ def _open_file(container: str, key: str):
     return fs.open_input_file(f"{base.rstrip('/')}/{key}")
 
 
-def _lines(f, begin: int, stop: int, size: int) -> tuple[int, list[bytes]]:
-    """(place of the first, lines) of the lines that start in [begin, stop)."""
-    at = max(begin - 1, 0)
-    f.seek(at)
-    data = f.read(stop - at)
-    if begin:
-        cut = data.find(b"\n")               # a line starts behind a break, also the one before
-        if cut < 0 or begin + cut >= stop:
-            return stop, []
-        data, at = data[cut + 1:], begin + cut
-    if not data.endswith(b"\n"):
-        rest, end = [], stop
-        while end < size and (more := f.read(READ_BYTES)):
+def _line_blocks(f, begin: int, stop: int, size: int) -> Iterator[tuple[int, bytes]]:
+    """(place, bytes) of the lines that start in [begin, stop), some whole lines at a
+    time; the last line is read to its end, which may lie behind ``stop``."""
+    pos = max(begin - 1, 0)
+    f.seek(pos)
+    if begin:                                # a line starts behind a break, also the one before
+        cut = -1
+        while pos < stop and cut < 0:
+            more = f.read(min(BLOCK_BYTES, stop - pos))
+            if not more:
+                return
             cut = more.find(b"\n")
-            if cut >= 0:
-                rest.append(more[:cut + 1])
-                break
-            rest.append(more)
-            end += len(more)
-        data = b"".join([data, *rest])
-    lines = data.split(b"\n")
-    if data.endswith(b"\n"):
+            pos += len(more) if cut < 0 else cut + 1
+        if cut < 0 or pos >= stop:
+            return
+        f.seek(pos)
+    at, held = pos, []
+    while pos < size:
+        inside = pos < stop
+        if not inside and not held:
+            return
+        more = f.read(min(BLOCK_BYTES, stop - pos) if inside else READ_BYTES)
+        if not more:
+            break
+        pos += len(more)
+        cut = more.rfind(b"\n") if inside else more.find(b"\n")
+        if cut < 0:
+            held.append(more)
+            continue
+        block = b"".join([*held, more[:cut + 1]])
+        held = [more[cut + 1:]] if inside and cut + 1 < len(more) else []
+        yield at, block
+        at += len(block)
+        if not inside:
+            return
+    if held:
+        yield at, b"".join(held)
+
+
+def _split(block: bytes) -> list[bytes]:
+    lines = block.split(b"\n")
+    if block.endswith(b"\n"):
         lines.pop()
-    return at, lines
+    return lines
 
 
 def file_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -92,14 +113,17 @@ def _range_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for r in b.itertuples(index=False):
-            with _open_file(r.container, r.key) as f:
-                at, lines = _lines(f, r.begin, r.stop, r.size)
             state, first = [0, 1], [None, None]
-            for line in lines:
-                if line and line != b"\r":           # an empty line is no record
-                    first = [at if f is None and not s else f for f, s in zip(first, state)]
-                state = [after_line(s, line) for s in state] if b'"' in line else state
-                at += len(line) + 1
+            with _open_file(r.container, r.key) as f:
+                for at, block in _line_blocks(f, r.begin, r.stop, r.size):
+                    if b'"' not in block and all(s or x is not None for s, x in zip(state, first)):
+                        continue                         # changes nothing
+                    for line in _split(block):
+                        if line and line != b"\r":       # an empty line is no record
+                            first = [at if x is None and not s else x
+                                     for x, s in zip(first, state)]
+                        state = [after_line(s, line) for s in state] if b'"' in line else state
+                        at += len(line) + 1
             out.append((r.container, r.key, r.begin, r.size, *state, *first))
         frame = pd.DataFrame(out, columns=[c.split(" ")[0] for c in _STATES.split(", ")])
         yield frame.astype({"first0": "Int64", "first1": "Int64"})
@@ -139,38 +163,63 @@ def record_runs(spark: SparkSession, files: DataFrame, range_bytes: int = RANGE_
 
 
 def _dealt(ranges: DataFrame) -> DataFrame:
-    """Rows of file places spread over tasks, which adaptive execution would else put
-    together again, the rows being short."""
+    """Rows of file places spread over tasks, as many each, which adaptive execution
+    would else put together again, the rows being short."""
     spark = ranges.sparkSession
     n = ranges.count()
     most = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                spark.sparkContext.defaultParallelism, n // 4)
-    return ranges.repartition(max(1, min(n, most)), "container", "key", "begin")
+    return ranges.repartitionByRange(max(1, min(n, most)), "container", "key", "begin")
 
 
-def split_records(runs: DataFrame, headers: bool = True, files: bool = False) -> DataFrame:
+def split_records(runs: DataFrame, headers: bool = True, files: bool = False,
+                  keep: Sequence[str] = ()) -> DataFrame:
     """(record) of the runs, with ``files`` also container, key, the run's begin and the
     record's place in it: line breaks in quotes kept, empty lines left out, and with
-    ``headers`` each file's first record too."""
+    ``headers`` each file's first record too. ``keep``: other columns of the runs, whose
+    values all records of a run get."""
+    of_run = ([f"{c} {runs.schema[c].dataType.simpleString()}" for c in keep]
+              + ["container string", "key string", "begin bigint"] * files)
+    names = [c.split(" ")[0] for c in of_run]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for r, same in zip(b.to_pylist(), range(b.num_rows)):
+                place, skip = 0, bool(headers and r["head"])
                 with _open_file(r["container"], r["key"]) as f:
-                    f.seek(r["begin"])
-                    records = list(_records(f.read(r["stop"] - r["begin"])))
-                columns = {"record": _texts(records[headers and r["head"]:])}
-                if files:
-                    n = len(columns["record"])
-                    columns |= {c: pa.repeat(pa.scalar(r[c]), n)
-                                for c in ("container", "key", "begin")}
-                    columns["place"] = pa.array(range(n), pa.int64())
-                yield pa.RecordBatch.from_pydict(columns)
-
-    schema = "record string" + (
-        ", container string, key string, begin bigint, place bigint" if files else "")
+                    for records in _records(_blocks(f, r["begin"], r["stop"])):
+                        if skip and records:
+                            records, skip = records[1:], False
+                        n = len(records)
+                        if not n:
+                            continue
+                        columns = {"record": _texts(records)}
+                        columns |= {c: pa.repeat(b.column(c)[same], n) for c in names}
+                        if files:
+                            columns["place"] = pa.array(range(place, place + n), pa.int64())
+                        place += n
+                        yield pa.RecordBatch.from_pydict(columns)
+
+    schema = ", ".join(["record string", *of_run] + ["place bigint"] * files)
     return _dealt(runs).mapInArrow(run, schema)
 
 
+def _blocks(f, begin: int, stop: int) -> Iterator[bytes]:
+    """The bytes of [begin, stop) in blocks that end with a line, the last as it may."""
+    f.seek(begin)
+    held: list[bytes] = []
+    while begin < stop and (more := f.read(min(BLOCK_BYTES, stop - begin))):
+        begin += len(more)
+        cut = more.rfind(b"\n") + 1
+        if cut:
+            yield b"".join([*held, more[:cut]])
+            held = []
+        if cut < len(more):
+            held.append(more[cut:])
+    if held:
+        yield b"".join(held)
+
+
 def _texts(records: list[bytes]) -> pa.Array:
     try:
         return pa.array(records, pa.binary()).cast(pa.string())
@@ -178,23 +227,30 @@ def _texts(records: list[bytes]) -> pa.Array:
         return pa.array([r.decode("utf-8", "replace") for r in records], pa.string())
 
 
-def _records(data: bytes) -> Iterator[bytes]:
-    """Records of bytes that start with one; a value left open ends with the bytes."""
+def _records(blocks: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Records, a list a block, of bytes that start with one; a value left open ends
+    with the bytes."""
     held: list[bytes] = []
-    state = 0
-    for line in data.split(b"\n"):
-        if b'"' in line:
-            state = after_line(state, line)
-        held.append(line)
-        if not state:
-            record = held[0] if len(held) == 1 else b"\n".join(held)
-            held = []
-            if record.endswith(b"\r"):
-                record = record[:-1]
-            if record:
-                yield record
+    state, ended = 0, False
+    for block in blocks:
+        ended = block.endswith(b"\n")
+        records = lines = _split(block)
+        if held or b'"' in block:
+            records = []
+            for line in lines:
+                if b'"' in line:
+                    state = after_line(state, line)
+                held.append(line)
+                if not state:
+                    records.append(held[0] if len(held) == 1 else b"\n".join(held))
+                    held = []
+        if b"\r" in block:
+            records = [r.removesuffix(b"\r") for r in records]
+        yield list(filter(None, records))
+    if held and ended:
+        held.append(b"")
     if any(held):
-        yield b"\n".join(held)
+        yield [b"\n".join(held)]
 
 
 _PACKED = r"(?i)\.(gz|gzip|bz2|zst|zstd|lz4|snappy|deflate|xz)$"

@@ -118,34 +118,49 @@ def _read_mixed(files: DataFrame, headers: DataFrame, empty_as_blank: bool,
                 range_bytes: int) -> DataFrame:
     """Files of unequal headers: each row by its file's header."""
     runs = record_runs(files.sparkSession, files, range_bytes)
-    return _by_header(split_records(runs, files=True), headers, empty_as_blank)
+    kinds = header_kinds(headers)
+    records = split_records(runs_with_kinds(runs, headers, kinds), keep=["kind"])
+    return _by_header(records, headers, kinds, empty_as_blank)
 
 
-def header_columns(headers: DataFrame) -> list[str]:
+def header_kinds(headers: DataFrame) -> DataFrame:
+    """(kind, header): the different headers, numbered in the order of the first file;
+    as many as a table has versions."""
+    rows = headers.groupBy("header").agg(F.min("key").alias("k")).orderBy("k").collect()
+    return headers.sparkSession.createDataFrame(
+        [(i, r["header"]) for i, r in enumerate(rows)], "kind bigint, header array<string>")
+
+
+def runs_with_kinds(runs: DataFrame, headers: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The runs (a row each) with the kind of their file's header, which their records
+    take along, so that no record is shuffled or sent around to meet its header. Plans
+    over listings have no sizes: which side is small is said here."""
+    of_file = headers.join(F.broadcast(kinds), "header").select("container", "key", "kind")
+    return runs.join(of_file.hint("merge"), ["container", "key"])
+
+
+def header_columns(headers: DataFrame, kinds: DataFrame) -> list[str]:
     """The columns of files with these headers, in the order of the first file."""
     bad = headers.filter(F.size("header") != F.size(F.array_distinct("header"))).first()
     if bad:
         raise ValueError(f"{bad['key']} names a column twice: {bad['header']}")
-    kinds = headers.groupBy("header").agg(F.min("key").alias("k")).orderBy("k")
-    # as many kinds of header as a table has versions
-    return list(dict.fromkeys(c for r in kinds.collect() for c in r["header"]))
+    return list(dict.fromkeys(c for r in kinds.orderBy("kind").collect() for c in r["header"]))
 
 
-def header_cells(records: DataFrame, headers: DataFrame, *keep: str) -> DataFrame:
-    """(_cells, _n, container, key, header): the fields of records (with their files),
-    how many a record has, and its file's header (joined by the file's place; one row
-    a file)."""
-    width = headers.agg(F.max(F.size("header"))).first()[0]
+def header_cells(records: DataFrame, kinds: DataFrame, *keep: str) -> DataFrame:
+    """(_cells, _n, header, *keep): the fields of records that have a ``kind``, how many
+    a record has, and its file's header."""
+    width = kinds.agg(F.max(F.size("header"))).first()[0]
     cells = [f"_c{i}" for i in range(width)]
-    df = _parsed(records, _text_schema(cells), "container", "key", *keep)
+    df = _parsed(records, _text_schema(cells), "kind", *keep)
     rows = df.select(F.array(*[F.coalesce(c, F.lit("")) for c in cells]).alias("_cells"),
-                     _field_count(width).alias("_n"), "container", "key", *keep)
-    return rows.join(headers, ["container", "key"])
+                     _field_count(width).alias("_n"), "kind", *keep)
+    return rows.join(F.broadcast(kinds), "kind").drop("kind")
 
 
-def _by_header(records: DataFrame, headers: DataFrame, empty_as_blank: bool,
+def _by_header(records: DataFrame, headers: DataFrame, kinds: DataFrame, empty_as_blank: bool,
                *keep: str) -> DataFrame:
-    columns = header_columns(headers)
+    columns = header_columns(headers, kinds)
 
     def cell(c: str) -> Column:
         at = F.array_position("header", c)
@@ -153,7 +168,7 @@ def _by_header(records: DataFrame, headers: DataFrame, empty_as_blank: bool,
         return F.when((at > 0) & (at <= F.col("_n")),
                       value if empty_as_blank else F.nullif(value, F.lit(""))).alias(c)
 
-    return header_cells(records, headers, *keep).select([cell(c) for c in columns] + list(keep))
+    return header_cells(records, kinds, *keep).select([cell(c) for c in columns] + list(keep))
 
 
 SAMPLE_BYTES = 1 << 20
@@ -183,8 +198,10 @@ def first_rows(spark: SparkSession, path: str, n: int | str | float | None = 500
     headers = file_headers(used)
     if headers.isEmpty():
         raise ValueError(f"no header in the files under {path}")
+    kinds = header_kinds(headers)
+    records = split_records(runs_with_kinds(runs, headers, kinds), files=True, keep=["kind"])
     rows = _by_header(records.withColumnsRenamed({"begin": "_begin", "place": "_place"}).withColumn(
-        "_file", F.col("key")), headers, empty_as_blank, "_file", "_begin", "_place")
+        "_file", F.col("key")), headers, kinds, empty_as_blank, "_file", "_begin", "_place")
     order = ["_file", "_begin", "_place"]
     rows = rows.orderBy(*order)
     return (rows if n is None else rows.limit(n)).drop(*order)
@@ -219,16 +236,32 @@ def _row_limit(n: int | str | float | None) -> int | None:
     return max(n, 0)  # the reference stops before the first row for n <= 0
 
 
+FILE_BYTES = 128 << 20
+VALUE_BYTES = 12              # of a value that is no string, its separator included
+
+
 def write_text_table(df: DataFrame, out: str, mode: str = "overwrite",
-                     n_files: int | None = None) -> str:
-    """Write a table as CSV text (every value cast to string)."""
+                     n_files: int | None = None, file_bytes: int | None = None) -> str:
+    """Write a table as CSV text (every value cast to string) in ``n_files`` files, each
+    by one task; with ``file_bytes`` in more if these would be larger than about that."""
     text = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
     if n_files:
+        if file_bytes:
+            n_files = max(n_files, -(-text_bytes(df) // file_bytes))
         text = text.repartition(n_files)
     text.write.mode(mode).options(**CSV_WRITE).csv(out)
     return out
 
 
+def text_bytes(df: DataFrame) -> int:
+    """About how many bytes a table has as text: strings by their length, values of other
+    types, which are not read for this, by a fixed width."""
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    long = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in strings),
+               F.lit(len(strings) + VALUE_BYTES * (len(df.columns) - len(strings))))
+    return df.agg(F.coalesce(F.sum(long.cast("bigint")), F.lit(0))).first()[0]
+
+
 def scan_csv_table(spark: SparkSession, location: str, schema: T.StructType | str,
                    header: bool = True, multi_line: bool = True,
                    range_bytes: int | None = RANGE_BYTES) -> DataFrame:
