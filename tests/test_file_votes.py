@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from ferrylake.operators.file_votes import vote_files
+from ferrylake.operators.file_votes import file_counts, vote_files
 from ferrylake.operators.profile import type_counts
 from ferrylake.sources import text as S
 
@@ -97,3 +97,20 @@ def test_vote_of_an_empty_folder(spark, tmp_path):
     assert vote.counts.count() == 0 and vote.read == 0
     assert vote.counts.columns[:3] == ["pos", "column", "total"]
     assert S.first_rows and F
+
+
+@pytest.mark.parametrize("what", ["read", "vote"])
+def test_records_do_not_travel_to_meet_their_header(spark, tmp_path, what):
+    """Plans over listings have no sizes: records were broadcast through the driver."""
+    put(tmp_path, "a.csv", rows(30, 2, 1), ["a", "b"])
+    put(tmp_path, "b.csv", rows(30, 2, 2), ["b", "a"])
+    if what == "read":
+        df = S.read_text_table(spark, str(tmp_path))
+    else:
+        df = file_counts(S.csv_files(spark, str(tmp_path)))
+    df.collect()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    cut = plan.split("MapInArrow")[0]
+    sides = [x for x in cut.splitlines() if "Join" in x]
+    # above the records only joins whose other side is said to be small
+    assert any("rightHint=(strategy=broadcast)" in x for x in sides), plan
