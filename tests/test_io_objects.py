@@ -182,3 +182,14 @@ def test_inventory_same_for_any_expansion(spark, tmp_path, min_prefixes):
     expect = sorted(os.path.relpath(os.path.join(d, f), root)
                     for d, _, fs in os.walk(root) for f in fs)
     assert keys == expect
+
+
+def test_files_of_text_grow_in_number_not_in_size(spark, tmp_path):
+    df = spark.range(2000).selectExpr("id", "repeat('x', 88) AS t", "CAST(NULL AS STRING) AS u")
+    one = S.write_text_table(df, str(tmp_path / "few"), n_files=2)
+    more = S.write_text_table(df, str(tmp_path / "more"), n_files=2, file_bytes=20_000)
+    few = S.write_text_table(df, str(tmp_path / "least"), n_files=2, file_bytes=1 << 20)
+    files = [len([f for f in os.listdir(p) if f.endswith(".csv")]) for p in (one, more, few)]
+    assert files == [2, -(-2000 * (88 + 2 + 12) // 20_000), 2]
+    assert sorted(map(tuple, S.read_text_table(spark, more).collect())) == sorted(
+        map(tuple, S.read_text_table(spark, one).collect()))
