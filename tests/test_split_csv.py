@@ -132,3 +132,45 @@ def test_short_rows_and_blank_fields(spark, tmp_path):
     for size in (1, None):
         got = read_text_table(spark, root, range_bytes=size).orderBy("a").collect()
         assert [tuple(r) for r in got] == [("1", None, None), ("2", "", ""), ("3", "", "x")]
+
+
+def test_blocks_of_a_range_give_the_same_lines_and_records(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(300):
+        data = "".join(rng.choice('a",\n\r\nb') for _ in range(rng.randint(1, 40))).encode()
+        begin = rng.randrange(len(data))
+        stop = rng.randint(begin + 1, len(data))
+        seen = []
+        for size in (1 << 20, rng.randint(1, 7)):
+            monkeypatch.setattr(X, "BLOCK_BYTES", size)
+            monkeypatch.setattr(X, "READ_BYTES", size)
+            lines = [x for _, b in X._line_blocks(io.BytesIO(data), begin, stop, len(data))
+                     for x in X._split(b)]
+            starts = [k for k in range(begin, stop) if not k or data[k - 1:k] == b"\n"]
+            assert lines == [data[k:].split(b"\n")[0] for k in starts]
+            seen.append([r for part in X._records(X._blocks(io.BytesIO(data), 0, len(data)))
+                         for r in part])
+        assert seen[0] == seen[1]
+
+
+def test_a_task_splits_its_range_block_by_block(spark, tmp_path, monkeypatch):
+    """Batches are as large as a block, not as a range."""
+    read = []
+
+    class Noted(io.BytesIO):
+        def read(self, n=-1):
+            read.append(n)
+            return super().read(n)
+
+    monkeypatch.setattr(X, "BLOCK_BYTES", 64)
+    parts = list(X._records(X._blocks(Noted(b"abc,def\n" * 100), 0, 800)))
+    assert max(read) <= 64 and len(parts) > 10 and sum(map(len, parts)) == 100
+
+
+def test_ranges_are_dealt_one_a_task(spark):
+    places = [("c", f"k{i % 4}", i * 32) for i in range(16)]
+    df = spark.createDataFrame(places, "container string, key string, begin long")
+    n = X._dealt(df).groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in n.collect()) == -(-16 // min(16, max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        spark.sparkContext.defaultParallelism)))
