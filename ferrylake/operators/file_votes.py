@@ -36,10 +36,11 @@ class FolderVote:
     gone: int
 
 
-def file_counts(files: DataFrame, mode: str = "overlap",
-                range_bytes: int = RANGE_BYTES) -> DataFrame:
+def file_counts(files: DataFrame, mode: str = "overlap", range_bytes: int = RANGE_BYTES,
+                settle: bool = False) -> DataFrame:
     """The counts of each file's columns, in the columns of ``STORE``; a file without
-    rows has counts of 0."""
+    rows has counts of 0. With ``settle`` the rows are counted at once, so that the driver
+    plans the classifiers once and not again for each stage of the joins behind them."""
     spark = files.sparkSession
     headers = file_headers(files)
     names = headers.join(files.select("container", *FILE), ["container", "key"]).select(
@@ -52,6 +53,8 @@ def file_counts(files: DataFrame, mode: str = "overlap",
     long = cells.select("key", F.inline(F.transform("header", lambda c, i: F.struct(
         c.alias("column"), F.when(i < F.col("_n"), F.get("_cells", i)).alias("value")))))
     counted = _counts(long, F.lit(1).cast("bigint"), mode, ["key", "column"])
+    if settle:
+        counted = counted.checkpoint(eager=True)         # a row a file and column
     out = names.join(counted, ["key", "column"], "left")
     numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
                for c in ["total", "n_blank", *COUNT_COLS]]
@@ -71,18 +74,29 @@ def vote_files(spark: SparkSession, path: str, store: str, mode: str = "overlap"
     last = versions(spark, root)
     known = spark.read.schema(STORE).parquet(f"{root}/{last[-1]}") if last else \
         spark.createDataFrame([], STORE)
-    there = known.select(*FILE).distinct()
-    kept = known.join(files.select(*FILE), FILE, "left_semi")
-    new = files.join(there, FILE, "left_anti")
-    n_files, n_new, n_known = files.count(), new.count(), there.count()
+    seen = compare_files(files, known).checkpoint(eager=True)
+    new = seen.filter("here AND NOT known").select("container", *FILE)
+    kept = known.join(seen.filter("here AND known").select(*FILE), FILE, "left_semi")
+    n_new, n_kept, n_gone = seen.agg(
+        F.count_if(F.expr("here AND NOT known")), F.count_if(F.expr("here AND known")),
+        F.count_if(F.expr("NOT here"))).first()
     out = f"{root}/v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
-    counts = file_counts(new, mode, range_bytes) if n_new else spark.createDataFrame([], STORE)
+    counts = file_counts(new, mode, range_bytes, settle=True) if n_new else \
+        spark.createDataFrame([], STORE)
     kept.unionByName(counts).write.parquet(out)
     for v in last[:-1]:
         remove_folder(spark, f"{root}/{v}")
     merged = merge_counts(spark.read.schema(STORE).parquet(out), mode)
-    kept_files = n_files - n_new
-    return FolderVote(merged, n_new, kept_files, n_known - kept_files)
+    return FolderVote(merged, n_new, n_kept, n_gone)
+
+
+def compare_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(container, key, size, mtime, here, known): the files of an inventory and those with
+    kept counts, a row each; ``here`` and ``known`` say on which sides a file is."""
+    there = known.select(*FILE).distinct().withColumn("known", F.lit(True))
+    both = files.withColumn("here", F.lit(True)).join(there, FILE, "full")
+    sides = [F.coalesce(c, F.lit(False)).alias(c) for c in ["here", "known"]]
+    return both.select("container", *FILE, *sides)
 
 
 def merge_counts(counts: DataFrame, mode: str = "overlap") -> DataFrame:

@@ -177,7 +177,11 @@ def split_records(runs: DataFrame, headers: bool = True, files: bool = False,
     """(record) of the runs, with ``files`` also container, key, the run's begin and the
     record's place in it: line breaks in quotes kept, empty lines left out, and with
     ``headers`` each file's first record too. ``keep``: other columns of the runs, whose
-    values all records of a run get."""
+    values all records of a run get. The runs, a row each, are settled first: dealing them
+    counts, samples and reads them, and the driver would plan and compile their windows
+    and joins for each."""
+    ensure_checkpoint_dir(runs.sparkSession)
+    runs = runs.checkpoint(eager=True)
     of_run = ([f"{c} {runs.schema[c].dataType.simpleString()}" for c in keep]
               + ["container string", "key string", "begin bigint"] * files)
     names = [c.split(" ")[0] for c in of_run]

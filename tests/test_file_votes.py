@@ -9,9 +9,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from ferrylake.operators import file_votes
 from ferrylake.operators.file_votes import file_counts, vote_files
 from ferrylake.operators.profile import type_counts
 from ferrylake.sources import text as S
+from ferrylake.sources.split_csv import record_runs, split_records
 
 
 def put(root, name, rows, header, end="\n"):
@@ -114,3 +116,50 @@ def test_records_do_not_travel_to_meet_their_header(spark, tmp_path, what):
     sides = [x for x in cut.splitlines() if "Join" in x]
     # above the records only joins whose other side is said to be small
     assert any("rightHint=(strategy=broadcast)" in x for x in sides), plan
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_are_settled_before_they_are_dealt(spark, tmp_path):
+    """Dealing reads them three times: the driver planned and compiled their windows and
+    joins for each."""
+    put(tmp_path, "a.csv", rows(30, 2, 1), ["a", "b"])
+    files = S.csv_files(spark, str(tmp_path))
+    plan = optimized(split_records(record_runs(spark, files, 64)))
+    assert "MapInArrow" in plan and "Window" not in plan and "Join" not in plan, plan
+
+
+def test_a_vote_counts_before_it_joins(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "in")
+    put(folder, "a.csv", rows(30, 2, 1), ["a", "b"])
+    put(folder, "b.csv", [], ["b", "c"])
+    files = S.csv_files(spark, folder)
+    plans = []
+    whole = file_counts
+
+    def counted(*a, **k):
+        out = whole(*a, **k)
+        plans.append(optimized(out))
+        assert {tuple(r) for r in out.collect()} == {tuple(r) for r in whole(files).collect()}
+        return out
+
+    monkeypatch.setattr(file_votes, "file_counts", counted)
+    vote = vote_files(spark, folder, str(tmp_path / "store"))
+    assert vote.read == 2 and {tuple(r) for r in vote.counts.collect()} == full(
+        spark, folder, "overlap")
+    assert len(plans) == 1 and "MapInArrow" not in plans[0], plans[0]
+
+
+def test_files_are_compared_in_one_pass(spark):
+    files = spark.sql("SELECT * FROM VALUES ('r', 'a', 1L, timestamp'2024-01-01'), "
+                      "('r', 'b', 2L, timestamp'2024-01-01'), ('r', 'n', 3L, CAST(NULL AS TIMESTAMP)) "
+                      "AS t(container, key, size, mtime)")
+    known = spark.sql("SELECT * FROM VALUES ('a', 1L, timestamp'2024-01-01'), "
+                      "('a', 1L, timestamp'2024-01-01'), ('b', 9L, timestamp'2024-01-01'), "
+                      "('n', 3L, CAST(NULL AS TIMESTAMP)) AS t(key, size, mtime)")
+    seen = file_votes.compare_files(files, known).collect()
+    assert sorted((r["key"], r["size"], r["here"], r["known"]) for r in seen) == [
+        ("a", 1, True, True), ("b", 2, True, False), ("b", 9, False, True),
+        ("n", 3, False, True), ("n", 3, True, False)]           # an unknown time equals none
